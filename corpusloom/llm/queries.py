@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from corpusloom.llm import simhash
+from corpusloom.llm import simhash, substring
 
 QUERIES = {
     "op1_simhash_dedup": simhash.op1,
+    "op9_substring_dedup": substring.op9,
 }
 
 ORACLE_SQL: dict[str, str] = {}
