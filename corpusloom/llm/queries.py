@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from corpusloom.llm import simhash, substring
+from corpusloom.llm import cws, simhash, substring
 
 QUERIES = {
     "op1_simhash_dedup": simhash.op1,
     "op9_substring_dedup": substring.op9,
+    "op10_cws_fingerprints": cws.op10,
 }
 
 ORACLE_SQL: dict[str, str] = {}
