@@ -54,7 +54,7 @@ def drop(spark: SparkSession, *paths: str) -> None:
         at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
-def keep(df: DataFrame, name: str) -> tuple[DataFrame, str]:
+def keep(df: DataFrame, name: str, compression: str = "snappy") -> tuple[DataFrame, str]:
     """Writes df as a table in the shared folder and reads it back, which cuts its lineage.
 
     A lost executor costs at most the tasks it was running: what has been written
@@ -62,7 +62,7 @@ def keep(df: DataFrame, name: str) -> tuple[DataFrame, str]:
     """
     spark = df.sparkSession
     path = f"{scratch(spark)}/{name}-{uuid.uuid4().hex[:12]}"
-    df.write.parquet(path)
+    df.write.option("compression", compression).parquet(path)
     return spark.read.schema(df.schema).parquet(path), path
 
 

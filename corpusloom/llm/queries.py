@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from corpusloom.llm import cws, simhash, substring
+from corpusloom.llm import cws, simhash, substring, tokenids
 
 QUERIES = {
     "op1_simhash_dedup": simhash.op1,
+    "op3_huffman_tokens": tokenids.op3,
     "op9_substring_dedup": substring.op9,
     "op10_cws_fingerprints": cws.op10,
 }
