@@ -82,3 +82,23 @@ def running(totals: dict[int, int]) -> dict[int, int]:
 def text_bytes(name: str = "text"):
     """The text's UTF-8 bytes; null counts as empty."""
     return F.coalesce(F.col(name).cast("string"), F.lit("")).cast("binary")
+
+
+class Memo:
+    """Remembers results by key in two generations of bounded size; what was used lately survives."""
+
+    def __init__(self, size: int):
+        self.size, self.now, self.before = size, {}, {}
+
+    def fill(self, keys: set, make) -> dict:
+        """A dict that has all keys; make(list of missing keys) gives their values in order."""
+        if len(self.now) > self.size:
+            self.now, self.before = {}, self.now
+        missing = list(keys - self.now.keys())
+        if self.before:
+            old = self.before
+            self.now.update((k, old[k]) for k in missing if k in old)
+            missing = [k for k in missing if k not in old]
+        if missing:
+            self.now.update(zip(missing, make(missing), strict=True))
+        return self.now

@@ -37,14 +37,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import keep, running, scratch, table, tasks, text_bytes
+from corpusloom.llm.common import Memo, keep, running, scratch, table, tasks, text_bytes
 from corpusloom.llm.substring import LAST
 
 END = 0
 STRIDE = 128  # ids between checkpoints
 BLOCK_IDS = 1 << 17
 LIMIT = 16
-CACHED = 500_000
+CACHED = 400_000
 TOKENIZER = "byte_bpe_50k.json"
 
 _encoders: dict[str, Encoder] = {}
@@ -66,8 +66,7 @@ class Encoder:
         self.kind = np.dtype("<u2" if self.size <= 1 << 16 else "<u4")
         added = [re.escape(x.content) for x in self.library.get_added_tokens_decoder().values()]
         self.whole = re.compile("|".join(["  ", *added]))
-        self.first: dict[str, bytes] = {}
-        self.later: dict[str, bytes] = {}
+        self.first, self.later = Memo(CACHED // 8), Memo(CACHED)
 
     def _ids(self, texts: list[str]) -> list[bytes]:
         return [np.array(x.ids, self.kind).tobytes() for x in self.library.encode_batch_fast(texts, add_special_tokens=False)]
@@ -78,14 +77,10 @@ class Encoder:
         parts = [x.split(" ") for x in texts]
         for k in whole:
             parts[k] = [""]
-        if len(self.first) + len(self.later) > CACHED:
-            self.first, self.later = {"": b""}, {}
-        new = list({p for x in parts for p in x[1:]} - self.later.keys())
-        self.later.update(zip(new, self._ids([f" {p}" for p in new]), strict=True))
-        new = list({x[0] for x in parts} - self.first.keys())
-        self.first.update(zip(new, self._ids(new), strict=True))
-        get, end = self.later.__getitem__, np.array([END], self.kind).tobytes()
-        out = [b"".join((self.first[x[0]], *map(get, x[1:]), end)) for x in parts]
+        later = self.later.fill({p for x in parts for p in x[1:]}, lambda new: self._ids([f" {p}" for p in new]))
+        first = self.first.fill({x[0] for x in parts}, self._ids)
+        get, end = later.__getitem__, np.array([END], self.kind).tobytes()
+        out = [b"".join((first[x[0]], *map(get, x[1:]), end)) for x in parts]
         for k, ids in zip(whole, self._ids([texts[k] for k in whole]), strict=True):
             out[k] = ids + end
         return out
