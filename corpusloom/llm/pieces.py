@@ -5,8 +5,9 @@ that follows another character; no piece of a merge-type vocabulary reaches acro
 a cut (asserted when the model is loaded), so the parts are encoded independently and
 their ids remembered. A part's symbols start as its characters. An agenda holds each
 adjacent pair whose concatenation is a piece, best score first, leftmost among equals;
-taking a pair joins its symbols and puts the new neighbours' pairs on the agenda. Symbols
-that are no piece fall back to their UTF-8 bytes' pieces, or to the unknown id.
+taking a pair joins its symbols and puts the new neighbours' pairs on the agenda. Parts of
+up to 64 characters have their agendas worked off side by side in arrays, a pair of each
+in a step; longer ones have a heap each. Symbols that are no piece fall back to their UTF-8 bytes' pieces, or to the unknown id.
 
 Every Arrow batch checks each part that is new to the worker against the sentencepiece
 library's own encoding and stops on any difference. Decoding is the library's.
@@ -19,10 +20,12 @@ from __future__ import annotations
 
 import hashlib
 import re
+import struct
 from collections.abc import Iterator
 from heapq import heapify, heappop, heappush
-from itertools import chain
+from itertools import chain, islice
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -33,6 +36,8 @@ MODEL = "piece_bpe_32k.model"
 MARK = "▁"
 REMEMBERED = 300_000
 AT_ONCE = 500
+SHORT = 64
+NONE = np.int64(1) << 62
 
 _models: dict[str, Pieces] = {}
 
@@ -50,7 +55,18 @@ class Pieces:
         if any(re.search(f"[^{MARK}]{MARK}", p) for p in self.ids):
             raise ValueError("a piece reaches across a space; this vocabulary isn't of the merge type that is supported")
         self.parts = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
-        self.memo = Memo(REMEMBERED)
+        self.memo, self.words = Memo(REMEMBERED // 4), Memo(REMEMBERED)  # by part; by part without its space mark
+        self.size = n
+        self.decimal = [str(k).encode() for k in range(n)]
+        self.char = np.arange(0x110000, dtype=np.int64) + n  # characters that are no piece get numbers beyond the pieces'
+        for piece, k in self.ids.items():
+            if len(piece) == 1:
+                self.char[ord(piece)] = k
+        symbol = lambda s: self.ids.get(s, n + ord(s) if len(s) == 1 else None)
+        rank = {c: k for k, c in enumerate(sorted(set(self.cost.values())))}
+        pairs = sorted((a << 32 | b, k, rank[self.cost[s]]) for s, k in self.ids.items() for cut in range(1, len(s)) if (a := symbol(s[:cut])) is not None and (b := symbol(s[cut:])) is not None)
+        self.pair, self.joined, self.rank = (np.array([*x, -1], np.int64) for x in zip(*pairs, strict=True)) if pairs else (np.array([-1]),) * 3
+        self.pair[-1] = NONE
 
     def merge(self, part: str) -> list[str]:
         """The part's pieces, by the agenda of adjacent pairs."""
@@ -82,8 +98,8 @@ class Pieces:
                     heappush(agenda, (c, near, symbols[near] + joined))
         return [s for s in symbols if s is not None]
 
-    def to_ids(self, part: str) -> tuple[int, ...]:
-        out = []
+    def to_ids(self, part: str) -> list[int]:
+        out: list[int] = []
         for s in self.merge(part):
             k = self.ids.get(s)
             if k is not None:
@@ -92,30 +108,86 @@ class Pieces:
                 out.extend(self.bytes[b] for b in s.encode())
             elif not out or out[-1] != self.library.unk_id():
                 out.append(self.library.unk_id())
-        return tuple(out)
+        return out
 
-    def _new(self, parts: list[str]) -> list[tuple[bytes, tuple[int, ...]]]:
-        out = [self.to_ids(p) for p in parts]
-        plain = [(p[1:], ids) for p, ids in zip(parts, out, strict=True) if len(p) > 1 and p[0] == MARK and p[1] != MARK and self.library.normalize(p[1:]) == p]
-        theirs = self.library.encode([p for p, _ in plain], num_threads=1)
-        for (p, ids), other in zip(plain, theirs, strict=True):
-            if list(ids) != other:
-                raise ValueError(f"{p!r}: {list(ids)} differ from the library's {other}")
-        return [(",".join(map(str, ids)).encode(), ids) for ids in out]
+    def _side_by_side(self, parts: list[str]) -> list[bytes | None]:
+        """Each part's ids as 32-bit numbers; None where a symbol is no piece."""
+        symbol = self.char[np.frombuffer("".join(parts).encode("utf-32-le"), np.uint32)]
+        size = np.array([len(p) for p in parts])
+        first = np.cumsum(size) - size
+        n = len(symbol)
+        after, before = np.arange(1, n + 1), np.arange(-1, n - 1)
+        after[first + size - 1], before[first] = n, -1
+        symbol = np.append(symbol, NONE >> 32)  # what stands after a part: joins nothing
+        result, agenda = np.zeros(n, np.int64), np.full(n, NONE)
+
+        def judge(at: np.ndarray) -> None:
+            pair = symbol[at] << 32 | symbol[after[at]]
+            k = np.searchsorted(self.pair, pair)
+            hit = self.pair[k] == pair
+            result[at] = self.joined[k]
+            agenda[at] = np.where(hit, self.rank[k] << 32 | at, NONE)
+
+        judge(np.arange(n))
+        while True:
+            best = np.minimum.reduceat(agenda, first)
+            left = best[best < NONE] & 0xFFFFFFFF
+            if not len(left):
+                break
+            right = after[left]
+            symbol[left] = result[left]
+            symbol[right], agenda[right] = -1, NONE
+            after[left] = far = after[right]
+            before[far[far < n]] = left[far < n]
+            judge(left)
+            near = before[left]
+            judge(near[near >= 0])
+        left = symbol[:n] >= 0
+        count = np.add.reduceat(left, first, dtype=np.int64)
+        ids, ends = symbol[:n][left], np.cumsum(count)
+        odd = np.maximum.reduceat(symbol[:n], first) >= self.size
+        raw = ids.astype(np.int32).tobytes()
+        return [None if x else raw[4 * (e - c) : 4 * e] for e, c, x in zip(ends.tolist(), count.tolist(), odd.tolist(), strict=True)]
+
+    def _all_ids(self, parts: list[str]) -> list[bytes]:
+        """Each part's ids as 32-bit numbers."""
+        out: list = [None] * len(parts)
+        order = sorted((k for k in range(len(parts)) if len(parts[k]) <= SHORT), key=lambda k: len(parts[k]))
+        for at in range(0, len(order), 4096):  # of like lengths, so that they end together
+            some = order[at : at + 4096]
+            for k, ids in zip(some, self._side_by_side([parts[k] for k in some]), strict=True):
+                out[k] = ids
+        return [np.array(self.to_ids(p), np.int32).tobytes() if ids is None else ids for p, ids in zip(parts, out, strict=True)]
+
+    def _new(self, parts: list[str]) -> list[tuple[bytes, bytes]]:
+        out = self._all_ids(parts)
+        plain = [k for k, p in enumerate(parts) if len(p) > 1 and p[0] == MARK and p[1] != MARK and self.library.normalize(p[1:]) == p]
+        theirs = self.library.encode([parts[k][1:] for k in plain], num_threads=1)
+        for k, other in zip(plain, theirs, strict=True):
+            if out[k] != struct.pack(f"={len(other)}i", *other):
+                raise ValueError(f"{parts[k]!r}: {np.frombuffer(out[k], np.int32).tolist()} differ from the library's {other}")
+        decimal, ids = self.decimal, np.frombuffer(b"".join(out), np.int32).tolist()
+        words = iter([decimal[k] for k in ids])
+        return [(b",".join(islice(words, len(x) // 4)), x) for x in out]
+
+    def _new_words(self, words: list[str]) -> list[tuple[bytes, bytes]]:
+        return self._new([MARK + w for w in words])
 
     def encode(self, texts: list[str]) -> list[tuple[bytes, list[int]]]:
         """Each text's ids, also as decimals joined by commas."""
-        parts = []
-        for x in map(self.library.normalize, texts):
+        usual, odd = {}, {}
+        for k, x in enumerate(map(self.library.normalize, texts)):
             if x[:1] == MARK and MARK + MARK not in x and x[-1] != MARK:
-                parts.append([MARK + p for p in x[1:].split(MARK)])
+                usual[k] = x[1:].split(MARK)
             else:
-                parts.append(self.parts.findall(x))
-        known = self.memo.fill(set(chain.from_iterable(parts)), self._new)
-        out = []
-        for x in parts:
-            got = [known[p] for p in x]
-            out.append((b",".join([g[0] for g in got]), list(chain.from_iterable([g[1] for g in got]))))
+                odd[k] = self.parts.findall(x)
+        out: list = [(b"", [])] * len(texts)
+        for memo, some, make in ((self.words, usual, self._new_words), (self.memo, odd, self._new)):
+            known = memo.fill(set(chain.from_iterable(some.values())), make).__getitem__ if some else None
+            for k, x in some.items():
+                if x:
+                    decimal, ids = zip(*map(known, x), strict=True)
+                    out[k] = (b",".join(decimal), np.frombuffer(b"".join(ids), np.int32).tolist())
         return out
 
 

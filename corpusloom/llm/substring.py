@@ -243,7 +243,7 @@ def _suffixes(heavy: dict[int, np.ndarray], buckets: int):
         return pa.RecordBatch.from_arrays([pa.array(bucket), pa.array(did), pa.array(rid), pa.array(lo.astype(np.int32)), pa.array(hi.astype(np.int32)), words], ["bucket", "did", "rid", "lo", "hi", "words"])
 
     def done(did, rid, lo, hi) -> pa.RecordBatch:
-        bucket = (_mix(rid.view(np.uint64)) % np.uint64(buckets)).astype(np.int32)
+        bucket = (_mix(rid.view(np.uint64) ^ did.view(np.uint64)) % np.uint64(buckets)).astype(np.int32)
         return pa.RecordBatch.from_arrays([pa.array(bucket), pa.array(did), pa.array(rid), pa.array(lo.astype(np.int32)), pa.array(hi.astype(np.int32)), pa.nulls(len(did), pa.binary())], ["bucket", "did", "rid", "lo", "hi", "words"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
