@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
-from corpusloom.llm import cws, pieces, simhash, substring, tokenids
+from corpusloom.llm import cws, hyperplane, pieces, simhash, substring, tokenids
 
 QUERIES = {
     "op1_simhash_dedup": simhash.op1,
     "op3_huffman_tokens": tokenids.op3,
+    "op6_hyperplane_dedup": hyperplane.op6,
     "op8_sentencepiece": pieces.op8,
     "op9_substring_dedup": substring.op9,
     "op10_cws_fingerprints": cws.op10,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op6_hyperplane_dedup": hyperplane.SQL,
+}
