@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from corpusloom.llm import cws, hyperplane, pieces, simhash, substring, tokenids
+from corpusloom.llm import cws, hyperplane, pieces, simhash, substring, tokenids, urls
 
 QUERIES = {
     "op1_simhash_dedup": simhash.op1,
+    "op2_url_filter": urls.op2,
     "op3_huffman_tokens": tokenids.op3,
     "op6_hyperplane_dedup": hyperplane.op6,
     "op8_sentencepiece": pieces.op8,
