@@ -35,20 +35,31 @@ from corpusloom.llm.common import keep, table, tasks, text_bytes
 from corpusloom.llm.substring import LAST, _mix, word_codes
 
 SAMPLES = 128
-PIECE = 256 << 10
+PIECE = 1 << 20
 BLOCK = 1 << 14
 
-_SEEDS = _mix(np.arange(1, SAMPLES + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))[:, None]
+_SEEDS = _mix(np.arange(1, SAMPLES + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))[None, :]
+_HALF, _U32, _U21 = np.float32(0.5), np.float32(2.0**-32), np.float32(2.0**-21)
 
 
-def _draws(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """r, ln c and b of each sample (row) and term (column)."""
-    h = _mix(codes[None, :] ^ _SEEDS)
-    unit = np.float32(2.0**-32)
-    r = -np.log(((h & np.uint64(0xFFFFFFFF)).astype(np.float32) + np.float32(0.5)) * unit * (((h >> np.uint64(32)).astype(np.float32) + np.float32(0.5)) * unit))
-    h = _mix(h + np.uint64(0x9E3779B97F4A7C15))
-    u, v = ((h >> np.uint64(43)).astype(np.float32) + np.float32(0.5)) * np.float32(2.0**-21), (((h >> np.uint64(22)) & np.uint64(0x1FFFFF)).astype(np.float32) + np.float32(0.5)) * np.float32(2.0**-21)
-    return r, np.log(-np.log(u * v)), (h & np.uint64(0x3FFFFF)).astype(np.float32) * np.float32(2.0**-22)
+def _unit(h: np.ndarray, shift: int, mask: int, unit: np.float32) -> np.ndarray:
+    return ((h >> np.uint64(shift) & np.uint64(mask)).astype(np.uint32).astype(np.float32) + _HALF) * unit
+
+
+def _keys(codes: np.ndarray, weights: np.ndarray) -> np.ndarray:
+    """For each term (row) and sample (column) one number, ordered as the value that the least of is
+    sampled; its low 32 bits are a hash of (term, t)."""
+    h = _mix(codes[:, None] ^ _SEEDS)
+    r = -np.log(_unit(h, 0, 0xFFFFFFFF, _U32) * _unit(h, 32, 0xFFFFFFFF, _U32))
+    h = h * np.uint64(0xD1342543DE82EF95) + np.uint64(0x9E3779B97F4A7C15)
+    h ^= h >> np.uint64(32)
+    h *= np.uint64(0xD6E8FEB86659FD93)
+    ln_c = np.log(-np.log(_unit(h, 43, 0x1FFFFF, _U21) * _unit(h, 22, 0x1FFFFF, _U21)))
+    b = _unit(h, 0, 0x1FFFFF, _U21)
+    t = np.floor(np.log(weights.astype(np.float32))[:, None] / r + b)  # 0 where the weight is 1
+    value = (ln_c - r * (t - b + np.float32(1))).view(np.int32)
+    low = _mix(codes)[:, None] * (t.astype(np.int64).astype(np.uint64) * np.uint64(2) + np.uint64(1))
+    return (value ^ (value >> 31 & 0x7FFFFFFF)).astype(np.int64) << 32 | (low >> np.uint64(32)).astype(np.int64)
 
 
 def signatures(texts: list[bytes]) -> np.ndarray:
@@ -69,31 +80,20 @@ def signatures(texts: list[bytes]) -> np.ndarray:
     kind = np.empty(len(c), np.int64)
     kind[by_term] = np.cumsum(new) - 1
     c, w = c[new], w[new]
-    best = np.full((len(texts), SAMPLES), np.inf, np.float32)
-    pick = np.zeros((len(texts), SAMPLES), np.uint64)
+    best = np.full((len(texts), SAMPLES), LAST, np.int64)
     for lo in range(0, len(c), BLOCK):
-        cc = c[lo : lo + BLOCK]
-        r, ln_c, b = _draws(cc)
-        t = np.floor(np.log(w[lo : lo + BLOCK].astype(np.float32))[None, :] / r + b)
-        value = ln_c - r * (t - b + np.float32(1))
-        sample = cc[None, :] + t.astype(np.int64).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)
+        hi = min(len(c), lo + BLOCK)
+        value = np.concatenate([_keys(c[k : k + 512], w[k : k + 512]) for k in range(lo, hi, 512) if k < hi])
         inside = (kind >= lo) & (kind < lo + BLOCK) if len(c) > BLOCK else slice(None)
         k, x = kind[inside] - lo, text[inside]
         cuts = np.flatnonzero(np.concatenate(([True], x[1:] != x[:-1]))) if len(x) else np.zeros(0, np.int64)
         for s, e in zip(cuts, [*cuts[1:], len(x)], strict=True):
-            cols = np.sort(k[s:e])  # by term, so that ties don't depend on the block
-            a = value[:, cols]
-            i = a.argmin(axis=1)
-            least, d = a[np.arange(SAMPLES), i], x[s]
-            less = least < best[d]
-            best[d] = np.where(less, least, best[d])
-            pick[d] = np.where(less, sample[np.arange(SAMPLES), cols[i]], pick[d])
+            np.minimum(best[x[s]], value.take(k[s:e], axis=0).min(axis=0), out=best[x[s]])
     some = np.unique(text)
-    out[some] = (_mix(pick[some]) >> np.uint64(48)).astype(np.uint16)
+    out[some] = (best[some] & 0xFFFF).astype(np.uint16)
     return out
 
 
-
 def edited(text: str, following: str) -> str:
     """text with its last third (by code points, rounded down) replaced by the following text's first as many."""
     k = len(text) // 3
