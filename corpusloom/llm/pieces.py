@@ -23,7 +23,7 @@ import re
 import struct
 from collections.abc import Iterator
 from heapq import heapify, heappop, heappush
-from itertools import chain, islice
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -34,7 +34,7 @@ from corpusloom.llm.common import Memo, table, text_bytes
 
 MODEL = "piece_bpe_32k.model"
 MARK = "▁"
-REMEMBERED = 300_000
+REMEMBERED = 600_000
 AT_ONCE = 500
 SHORT = 64
 NONE = np.int64(1) << 62
@@ -159,18 +159,16 @@ class Pieces:
                 out[k] = ids
         return [np.array(self.to_ids(p), np.int32).tobytes() if ids is None else ids for p, ids in zip(parts, out, strict=True)]
 
-    def _new(self, parts: list[str]) -> list[tuple[bytes, bytes]]:
+    def _new(self, parts: list[str]) -> list[bytes]:
         out = self._all_ids(parts)
         plain = [k for k, p in enumerate(parts) if len(p) > 1 and p[0] == MARK and p[1] != MARK and self.library.normalize(p[1:]) == p]
         theirs = self.library.encode([parts[k][1:] for k in plain], num_threads=1)
         for k, other in zip(plain, theirs, strict=True):
             if out[k] != struct.pack(f"={len(other)}i", *other):
                 raise ValueError(f"{parts[k]!r}: {np.frombuffer(out[k], np.int32).tolist()} differ from the library's {other}")
-        decimal, ids = self.decimal, np.frombuffer(b"".join(out), np.int32).tolist()
-        words = iter([decimal[k] for k in ids])
-        return [(b",".join(islice(words, len(x) // 4)), x) for x in out]
+        return out
 
-    def _new_words(self, words: list[str]) -> list[tuple[bytes, bytes]]:
+    def _new_words(self, words: list[str]) -> list[bytes]:
         return self._new([MARK + w for w in words])
 
     def encode(self, texts: list[str]) -> list[tuple[bytes, list[int]]]:
@@ -181,13 +179,13 @@ class Pieces:
                 usual[k] = x[1:].split(MARK)
             else:
                 odd[k] = self.parts.findall(x)
-        out: list = [(b"", [])] * len(texts)
+        out: list = [None] * len(texts)
+        decimal = self.decimal
         for memo, some, make in ((self.words, usual, self._new_words), (self.memo, odd, self._new)):
             known = memo.fill(set(chain.from_iterable(some.values())), make).__getitem__ if some else None
             for k, x in some.items():
-                if x:
-                    decimal, ids = zip(*map(known, x), strict=True)
-                    out[k] = (b",".join(decimal), np.frombuffer(b"".join(ids), np.int32).tolist())
+                ids = np.frombuffer(b"".join(map(known, x)), np.int32).tolist()
+                out[k] = (b",".join([decimal[i] for i in ids]), ids)
         return out
 
 
