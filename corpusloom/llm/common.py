@@ -90,15 +90,18 @@ class Memo:
     def __init__(self, size: int):
         self.size, self.now, self.before = size, {}, {}
 
-    def fill(self, keys: set, make) -> dict:
-        """A dict that has all keys; make(list of missing keys) gives their values in order."""
+    def values(self, keys: list, make) -> list:
+        """Each key's value, never None; make(list of keys not remembered) gives theirs in order."""
         if len(self.now) > self.size:
             self.now, self.before = {}, self.now
-        missing = list(keys - self.now.keys())
-        if self.before:
-            old = self.before
-            self.now.update((k, old[k]) for k in missing if k in old)
-            missing = [k for k in missing if k not in old]
-        if missing:
-            self.now.update(zip(missing, make(missing), strict=True))
-        return self.now
+        get, old = self.now.get, self.before
+        got = list(map(get, keys))
+        missing = {k for k, g in zip(keys, got, strict=True) if g is None}
+        if not missing:
+            return got
+        known = [k for k in missing if k in old] if old else []
+        self.now.update(zip(known, map(old.get, known), strict=True))
+        new = [k for k in missing if k not in old] if old else list(missing)
+        if new:
+            self.now.update(zip(new, make(new), strict=True))
+        return [get(k) if g is None else g for k, g in zip(keys, got, strict=True)]

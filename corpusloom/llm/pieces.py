@@ -23,7 +23,7 @@ import re
 import struct
 from collections.abc import Iterator
 from heapq import heapify, heappop, heappush
-from itertools import chain
+from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
@@ -182,9 +182,9 @@ class Pieces:
         out: list = [None] * len(texts)
         decimal = self.decimal
         for memo, some, make in ((self.words, usual, self._new_words), (self.memo, odd, self._new)):
-            known = memo.fill(set(chain.from_iterable(some.values())), make).__getitem__ if some else None
+            got = iter(memo.values(list(chain.from_iterable(some.values())), make))
             for k, x in some.items():
-                ids = np.frombuffer(b"".join(map(known, x)), np.int32).tolist()
+                ids = np.frombuffer(b"".join(islice(got, len(x))), np.int32).tolist()
                 out[k] = (b",".join([decimal[i] for i in ids]), ids)
         return out
 

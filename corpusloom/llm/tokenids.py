@@ -30,6 +30,7 @@ import re
 import uuid
 import zlib
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -44,7 +45,7 @@ END = 0
 STRIDE = 128  # ids between checkpoints
 BLOCK_IDS = 1 << 17
 LIMIT = 16
-CACHED = 400_000
+CACHED = 600_000
 TOKENIZER = "byte_bpe_50k.json"
 
 _encoders: dict[str, Encoder] = {}
@@ -65,22 +66,43 @@ class Encoder:
         self.size = self.library.get_vocab_size()
         self.kind = np.dtype("<u2" if self.size <= 1 << 16 else "<u4")
         added = [re.escape(x.content) for x in self.library.get_added_tokens_decoder().values()]
+        self.bytes = np.zeros(self.size, np.int64)
+        for token, k in self.library.get_vocab().items():  # byte-level: a character for each byte
+            self.bytes[k] = len(token)
         self.whole = re.compile("|".join(["  ", *added]))
         self.first, self.later = Memo(CACHED // 8), Memo(CACHED)
 
     def _ids(self, texts: list[str]) -> list[bytes]:
         return [np.array(x.ids, self.kind).tobytes() for x in self.library.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _spaced_ids(self, pieces: list[str]) -> list[bytes]:
+        """Each piece's ids with a space before it. Many pieces are encoded as one text, which the tokenizer
+        cuts before each space; the tokens' byte lengths tell whose they are."""
+        out: list = [None] * len(pieces)
+        some = [k for k, p in enumerate(pieces) if p]
+        groups = [some[at : at + 512] for at in range(0, len(some), 512)]
+        texts = ["".join([f" {pieces[k]}" for k in g]) for g in groups]
+        for g, x in zip(groups, self.library.encode_batch_fast(texts, add_special_tokens=False), strict=True):
+            ids = np.array(x.ids)
+            ends = np.cumsum([1 + len(pieces[k].encode()) for k in g])
+            cuts = np.searchsorted(np.cumsum(self.bytes[ids]), ends, "right") * self.kind.itemsize
+            raw, at = ids.astype(self.kind).tobytes(), 0
+            for k, to in zip(g, cuts.tolist(), strict=True):
+                out[k], at = raw[at:to], to
+        for k in (k for k, p in enumerate(pieces) if not p):
+            out[k] = self._ids([" "])[0]
+        return out
+
     def encode(self, texts: list[str]) -> list[bytes]:
         """Each text's ids, little-endian, with the end id."""
         whole = [k for k, x in enumerate(texts) if self.whole.search(x)]
         parts = [x.split(" ") for x in texts]
         for k in whole:
             parts[k] = [""]
-        later = self.later.fill({p for x in parts for p in x[1:]}, lambda new: self._ids([f" {p}" for p in new]))
-        first = self.first.fill({x[0] for x in parts}, self._ids)
-        get, end = later.__getitem__, np.array([END], self.kind).tobytes()
-        out = [b"".join((first[x[0]], *map(get, x[1:]), end)) for x in parts]
+        first = self.first.values([x[0] for x in parts], self._ids)
+        later = iter(self.later.values([p for x in parts for p in islice(x, 1, None)], self._spaced_ids))
+        end = np.array([END], self.kind).tobytes()
+        out = [b"".join((f, *islice(later, len(x) - 1), end)) for f, x in zip(first, parts, strict=True)]
         for k, ids in zip(whole, self._ids([texts[k] for k in whole]), strict=True):
             out[k] = ids + end
         return out
@@ -210,7 +232,7 @@ def _count(kind: np.dtype, size: int):
     return run
 
 
-def _pack(lengths: np.ndarray, kind: np.dtype):
+def _pack(lengths: np.ndarray, kind: np.dtype, bounds: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codes = canonical_codes(lengths)
         for whole in batches:
@@ -220,7 +242,7 @@ def _pack(lengths: np.ndarray, kind: np.dtype):
                 counts = np.array([len(x) // kind.itemsize for x in raw])
                 payload, offsets = pack(np.frombuffer(b"".join(raw), kind).astype(np.int64), counts, lengths, codes)
                 did = [LAST if x is None else x for x in batch.column("doc_id").to_pylist()]
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(did, pa.int64()), pa.array(counts, pa.int32()), pa.array([x.astype("<i8").tobytes() for x in offsets], pa.binary()), pa.array(payload, pa.binary())], ["doc_id", "did", "n", "offsets", "payload"])
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(did, pa.int64()), pa.array(counts, pa.int32()), pa.array([x.astype("<i8").tobytes() for x in offsets], pa.binary()), pa.array(payload, pa.binary()), pa.array(np.searchsorted(bounds, did, "right").astype(np.int32))], ["doc_id", "did", "n", "offsets", "payload", "part"])
 
     return run
 
@@ -267,8 +289,12 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str) -> None:
     lengths = code_lengths(counts)
     used = np.flatnonzero(lengths)
     spark.createDataFrame(list(zip(used.tolist(), lengths[used].tolist(), strict=True)), "id int, length int").coalesce(1).write.parquet(f"{path}/codebook")
-    packed = encoded.mapInArrow(_pack(lengths, tool.kind), "doc_id long, did long, n int, offsets binary, payload binary")
-    packed.repartitionByRange(tasks(spark), "did").sortWithinPartitions("did", "payload").mapInArrow(_blocks, _BLOCKS).write.option("compression", "none").parquet(f"{path}/blocks")
+    n = tasks(spark)
+    did = F.coalesce("doc_id", F.lit(LAST))
+    bounds = encoded.agg(F.percentile_approx(did, [k / n for k in range(1, n)], 100 * n)).first()[0] if n > 1 else []  # one number a part
+    pack_all = _pack(lengths, tool.kind, np.array(bounds or [], np.int64))
+    packed = encoded.mapInArrow(pack_all, "doc_id long, did long, n int, offsets binary, payload binary, part int")
+    packed.repartitionById(n, "part").sortWithinPartitions("did", "payload").mapInArrow(_blocks, _BLOCKS).write.option("compression", "none").parquet(f"{path}/blocks")
     totals = {r.part: r.n for r in spark.read.schema(_BLOCKS).parquet(f"{path}/blocks").groupBy("part").agg(F.sum(F.aggregate("n_tokens", F.lit(0).cast("long"), lambda a, x: a + x)).alias("n")).collect()}
     spark.createDataFrame(list(running(totals).items()), "part int, start long").coalesce(1).write.parquet(f"{path}/index")
 
