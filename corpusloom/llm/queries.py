@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from corpusloom.llm import cws, hyperplane, pieces, simhash, substring, tokenids, urls
+from corpusloom.llm import cws, hyperplane, mixing, pieces, quality, simhash, substring, tokenids, urls
 
 QUERIES = {
     "op1_simhash_dedup": simhash.op1,
     "op2_url_filter": urls.op2,
     "op3_huffman_tokens": tokenids.op3,
+    "op5_quality": quality.op5,
     "op6_hyperplane_dedup": hyperplane.op6,
+    "op7_mixing": mixing.op7,
     "op8_sentencepiece": pieces.op8,
     "op9_substring_dedup": substring.op9,
     "op10_cws_fingerprints": cws.op10,
