@@ -130,5 +130,13 @@ def classify(docs: DataFrame, labels: DataFrame, host: str = "source", path: str
     return out.select("doc_id", F.col("p").alias("p_document"), "host_posterior", "path_posterior", posterior.alias("posterior"), (F.round("odds", 9) >= 0).alias("keep"), "rid")
 
 
+def kept(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """docs without those that `classify` rejects."""
+    last = F.lit((1 << 63) - 1)
+    out = classify(docs, labels).where("not keep").select(F.coalesce("doc_id", last).alias("__did"), F.col("rid").alias("__rid")).distinct()
+    keyed = docs.withColumns({"__did": F.coalesce(F.col("doc_id").cast("long"), last), "__rid": F.xxhash64(text_bytes())})
+    return keyed.join(out, ["__did", "__rid"], "left_anti").select(*docs.columns)
+
+
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).drop("rid")

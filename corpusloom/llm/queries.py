@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from corpusloom.llm import cws, hyperplane, mixing, pieces, quality, simhash, substring, tokenids, urls
+from corpusloom.llm import cws, hyperplane, licenses, mixing, pieces, quality, simhash, substring, tokenids, urls
 
 QUERIES = {
     "op1_simhash_dedup": simhash.op1,
     "op2_url_filter": urls.op2,
     "op3_huffman_tokens": tokenids.op3,
+    "op4_license_scan": licenses.op4,
     "op5_quality": quality.op5,
     "op6_hyperplane_dedup": hyperplane.op6,
     "op7_mixing": mixing.op7,

@@ -56,14 +56,15 @@ def simhash(text: bytes, size: int = 3) -> bytes:
 
 
 def fingerprints(docs: DataFrame, size: int = 3, id_col: str = "doc_id") -> DataFrame:
-    """(doc_id, fp long) for each row of docs; whole texts, one pass, no shuffle."""
+    """(doc_id, rid, fp) for each row of docs, rid a hash of the text; whole texts, one pass, no shuffle."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fps = b"".join(simhash(x.as_py(), size) for x in batch.column(1))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.frombuffer(fps, ">i8").astype(np.int64))], ["doc_id", "fp"])
+            fps = b"".join(simhash(x.as_py(), size) for x in batch.column("text"))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("rid"), pa.array(np.frombuffer(fps, ">i8").astype(np.int64))], ["doc_id", "rid", "fp"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), text_bytes().alias("text")).mapInArrow(run, "doc_id long, fp long")
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_bytes()).alias("rid"), text_bytes().alias("text"))
+    return rows.mapInArrow(run, "doc_id long, rid long, fp long")
 
 
 def _counts(fp):
@@ -100,13 +101,12 @@ def links(points: DataFrame) -> DataFrame:
 
 
 def components(fps: DataFrame) -> DataFrame:
-    """(doc_id, fp) -> (doc_id, fp, component_id)."""
+    """fps (doc_id, rid, fp) with root, which names the component, and component_id, its least doc_id."""
     points, _ = keep(fps.groupBy("fp").agg(F.min("doc_id").alias("first")), "points")
     roots = connected_components(links(points)).withColumnRenamed("node", "fp")
     known = points.join(roots, "fp", "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
     least = known.groupBy("root").agg(F.min("first").alias("component_id"))
-    named = known.join(least, "root").select("fp", "component_id")
-    return fps.join(named, "fp").select("doc_id", "fp", "component_id")
+    return fps.join(known.join(least, "root").select("fp", "root", "component_id"), "fp")
 
 
 def near_duplicates(docs: DataFrame, size: int = 3) -> DataFrame:
@@ -115,5 +115,15 @@ def near_duplicates(docs: DataFrame, size: int = 3) -> DataFrame:
     return components(fps).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def one_of_each(docs: DataFrame, size: int = 3) -> DataFrame:
+    """docs with one row of each component: that of least doc_id (a null one counts as greatest), of its
+    rows the one whose text has the least hash, of equal rows one. All columns stay."""
+    fps, _ = keep(fingerprints(docs, size), "fps")
+    did = F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1))
+    first = components(fps).groupBy("root").agg(F.min(F.struct(did.alias("__did"), F.col("rid").alias("__rid"))).alias("k")).select("k.*")
+    keyed = docs.withColumns({"__did": did, "__rid": F.xxhash64(text_bytes())})
+    return keyed.join(first, ["__did", "__rid"], "left_semi").dropDuplicates(["__did", "__rid"]).select(*docs.columns)
+
+
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))

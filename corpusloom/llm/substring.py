@@ -40,9 +40,11 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from corpusloom.llm.common import keep, table, tasks, text_bytes
 
@@ -328,57 +330,84 @@ def _mask(n: int, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
     return np.cumsum(change[:-1]) > 0
 
 
-def _cut(with_text: bool):
-    """Kept words of documents with ranges: counts and digest, or the text itself."""
+def _kept(words: list[bytes], lo: np.ndarray, hi: np.ndarray) -> list[bytes]:
+    if not len(lo):
+        return words
+    return [words[k] for k in np.flatnonzero(~_mask(len(words), lo.astype(np.int64), hi.astype(np.int64)))]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            n, gone, sha, kept = [], [], [], []
-            for x, ranges in zip(batch.column("text"), batch.column("ranges"), strict=True):
-                words, ranges = x.as_py().split(), ranges.values
-                if ranges is not None and len(ranges):
-                    mask = _mask(len(words), ranges.field("lo").to_numpy().astype(np.int64), ranges.field("hi").to_numpy().astype(np.int64))
-                    left = [words[k] for k in np.flatnonzero(~mask)]
-                else:
-                    left = words
-                n.append(len(words))
-                gone.append(len(words) - len(left))
-                joined = b" ".join(left)
-                sha.append(hashlib.sha256(joined).hexdigest())
-                kept.append(joined if with_text else None)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("did"), batch.column("rid"), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(sha, pa.string()), pa.array(kept, pa.binary())], ["doc_id", "did", "rid", "n_words", "n_removed", "kept_sha256", "kept"])
 
-    return run
+def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Kept words of documents with their repeated ranges, counted and digested."""
+    for batch in batches:
+        n, gone, sha = [], [], []
+        for x, lo, hi in zip(batch.column("text"), batch.column("lo"), batch.column("hi"), strict=True):
+            words = x.as_py().split()
+            left = _kept(words, lo.values.to_numpy(), hi.values.to_numpy()) if lo.is_valid else words
+            n.append(len(words))
+            gone.append(len(words) - len(left))
+            sha.append(hashlib.sha256(b" ".join(left)).hexdigest())
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(sha, pa.string())], ["doc_id", "n_words", "n_removed", "kept_sha256"])
 
 
-def _keys(docs: DataFrame) -> DataFrame:
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("did"), text_bytes().alias("text"))
+@F.pandas_udf(T.StringType())
+def _cut_text(texts: pd.Series, los: pd.Series, his: pd.Series) -> pd.Series:
+    """The kept words joined by one space; null if all words are kept."""
+    out = []
+    for x, lo, hi in zip(texts, los, his, strict=True):
+        out.append(None if lo is None or not len(lo) else b" ".join(_kept(bytes(x).split(), lo, hi)).decode("utf-8", "replace"))
+    return pd.Series(out, dtype=object)
 
 
-def analyse(docs: DataFrame, group: int = GROUP, with_text: bool = False) -> DataFrame:
-    """For each row of docs: doc_id, did, rid, n_words, n_removed, kept_sha256, kept (the kept words'
-    bytes where words went, if with_text; else null)."""
-    spark = docs.sparkSession
-    n = tasks(spark)
-    docs = _keys(docs)
+def _did():
+    return F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST))
+
+
+def _marked_positions(docs: DataFrame) -> DataFrame:
+    """(did, positions) of documents (did, text) with positions that may start repeats."""
     positions = docs.select("did", "text").mapInArrow(_positions, "gram long, did long, pos int, known boolean")
-    dealt = positions.repartition(n, F.when(F.col("known"), F.xxhash64("did", "pos")).otherwise(F.xxhash64("gram"))).sortWithinPartitions("known", "gram")
-    marked = dealt.mapInArrow(_repeated, "did long, pos int").groupBy("did").agg(F.collect_list("pos").alias("positions"))
-    joined = docs.join(marked, "did", "left").withColumn("rid", F.xxhash64("text")).select("doc_id", "did", "rid", "text", "positions")
-    settled, _ = keep(joined.mapInArrow(_settle, "doc_id long, did long, rid long, n_words long, kept_sha256 string, text binary, positions array<int>"), "texts")
-    open_docs = settled.where("positions is not null").select("doc_id", "did", "rid", "text", "positions")
-    counts, _ = keep(open_docs.select("text", "positions").mapInArrow(_prefix_counts, "size int, prefix long, n long").groupBy("size", "prefix").agg(F.sum("n").alias("n")), "prefixes")
+    dealt = positions.repartition(tasks(docs.sparkSession), F.when(F.col("known"), F.xxhash64("did", "pos")).otherwise(F.xxhash64("gram"))).sortWithinPartitions("known", "gram")
+    return dealt.mapInArrow(_repeated, "did long, pos int").groupBy("did").agg(F.collect_list("pos").alias("positions"))
+
+
+def _repeats(docs: DataFrame, group: int) -> DataFrame:
+    """(did, rid, lo, hi), arrays of the ranges of repeated window starts, from documents (did, rid, text, positions)."""
+    counts, _ = keep(docs.select("text", "positions").mapInArrow(_prefix_counts, "size int, prefix long, n long").groupBy("size", "prefix").agg(F.sum("n").alias("n")), "prefixes")
     total = counts.where(f"size = {GRAM}").agg(F.sum("n")).first()[0] or 0
     over = counts.where(F.col("n") > group).select("size", "prefix").collect()  # at most 3 * total / group rows
     heavy = {k: np.array([r.prefix for r in over if r.size == k], np.int64).view(np.uint64) for k in (2, 4, GRAM)}
-    buckets = max(n, -(-total // group))
-    suffixes = open_docs.select("did", "rid", "text", "positions").mapInArrow(_suffixes(heavy, buckets), _SUFFIX)
-    ranges = suffixes.groupBy("bucket").applyInArrow(_subtrees, _RANGE).groupBy("did", "rid").agg(F.collect_list(F.struct("lo", "hi")).alias("ranges"))
-    cut = open_docs.drop("positions").join(ranges, ["did", "rid"], "left").select("doc_id", "did", "rid", "text", "ranges")
-    cut = cut.mapInArrow(_cut(with_text), "doc_id long, did long, rid long, n_words long, n_removed long, kept_sha256 string, kept binary")
-    rest = settled.where("positions is null").select("doc_id", "did", "rid", "n_words", F.lit(0).cast("long").alias("n_removed"), "kept_sha256", F.lit(None).cast("binary").alias("kept"))
-    return cut.union(rest)
+    buckets = max(tasks(docs.sparkSession), -(-total // group))
+    suffixes = docs.select("did", "rid", "text", "positions").mapInArrow(_suffixes(heavy, buckets), _SUFFIX)
+    ranges = suffixes.groupBy("bucket").applyInArrow(_subtrees, _RANGE).groupBy("did", "rid").agg(F.collect_list(F.struct("lo", "hi")).alias("r"))
+    return ranges.select("did", "rid", F.col("r.lo").alias("lo"), F.col("r.hi").alias("hi"))
+
+
+def analyse(docs: DataFrame, group: int = GROUP) -> DataFrame:
+    """For each row of docs: doc_id, n_words, n_removed, kept_sha256."""
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), _did().alias("did"), text_bytes().alias("text"))
+    joined = docs.join(_marked_positions(docs), "did", "left").withColumn("rid", F.xxhash64("text")).select("doc_id", "did", "rid", "text", "positions")
+    settled, _ = keep(joined.mapInArrow(_settle, "doc_id long, did long, rid long, n_words long, kept_sha256 string, text binary, positions array<int>"), "texts")
+    open_docs = settled.where("positions is not null").select("doc_id", "did", "rid", "text", "positions")
+    cut = open_docs.drop("positions").join(_repeats(open_docs, group), ["did", "rid"], "left").select("doc_id", "text", "lo", "hi")
+    cut = cut.mapInArrow(_cut, "doc_id long, n_words long, n_removed long, kept_sha256 string")
+    return cut.union(settled.where("positions is null").select("doc_id", "n_words", F.lit(0).cast("long").alias("n_removed"), "kept_sha256"))
+
+
+def remove_repeats(docs: DataFrame, group: int = GROUP) -> DataFrame:
+    """docs with repeated words gone from text; n_chars, where there is one, follows. Texts that keep all
+    their words stay as they are."""
+    columns = docs.columns
+    marks = _marked_positions(docs.select(_did().alias("did"), text_bytes().alias("text")))
+    keyed = docs.withColumns({"__did": _did(), "__rid": F.xxhash64(text_bytes())})
+    joined, _ = keep(keyed.join(marks.select(F.col("did").alias("__did"), F.col("positions").alias("__positions")), "__did", "left"), "texts", "zstd")
+    open_docs = joined.where("__positions is not null")
+    repeats = _repeats(open_docs.select(F.col("__did").alias("did"), F.col("__rid").alias("rid"), text_bytes().alias("text"), F.col("__positions").alias("positions")), group)
+    repeats = repeats.select(F.col("did").alias("__did"), F.col("rid").alias("__rid"), F.col("lo").alias("__lo"), F.col("hi").alias("__hi"))
+    cut = open_docs.join(repeats, ["__did", "__rid"], "left").withColumn("__kept", _cut_text(text_bytes(), "__lo", "__hi"))
+    new = {"text": F.coalesce("__kept", "text")}
+    if "n_chars" in columns:
+        new["n_chars"] = F.when(F.col("__kept").isNotNull(), F.length("__kept").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
+    return cut.withColumns(new).select(*columns).union(joined.where("__positions is null").select(*columns))
 
 
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return analyse(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_removed", "kept_sha256")
+    return analyse(table(spark, sf_dir, "documents"))
