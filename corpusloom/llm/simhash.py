@@ -76,26 +76,25 @@ def _counts(fp):
     return out
 
 
-def _cells(vector):
-    """The unit cells within Manhattan radius 1 of a point; null outside the grid."""
-    out = [vector]
-    for k in range(0, BITS, SEGMENT):
-        step = 1 << k
-        count = F.shiftrightunsigned(vector, k).bitwiseAND(F.lit(15))
-        out += [F.when(count > 0, vector - F.lit(step)), F.when(count < SEGMENT, vector + F.lit(step))]
-    return F.array(*out)
+def _replicas(points: DataFrame) -> DataFrame:
+    """(fp, cell): the unit cells within Manhattan radius 1 of each point, as far as they lie in the grid."""
+    near = points.select("fp", _counts(F.col("fp")).alias("at")).select("fp", "at", F.explode(F.sequence(F.lit(0), F.lit(2 * BITS // SEGMENT))).alias("k"))
+    shift = f"{SEGMENT} * ((k - 1) div 2)"
+    count, step = f"(shiftrightunsigned(at, int({shift})) & 15)", f"shiftleft(1L, int({shift}))"
+    cell = f"CASE WHEN k = 0 THEN at WHEN k % 2 = 1 AND {count} > 0 THEN at - {step} WHEN k % 2 = 0 AND {count} < {SEGMENT} THEN at + {step} END"
+    return near.select("fp", F.expr(cell).alias("cell")).where("cell is not null")
 
 
 def links(points: DataFrame) -> DataFrame:
     """Edges (a, b) over distinct fingerprints (column fp) whose transitive closure is that of
     all pairs at Hamming distance 2 or less."""
-    grid = points.select("fp", F.explode(_cells(_counts(F.col("fp")))).alias("cell")).where("cell is not null")
+    grid = _replicas(points)
     cells, _ = keep(grid.groupBy("cell").agg(F.count("*").alias("n"), F.min("fp").alias("a"), F.max("fp").alias("b")).where("n > 1"), "cells")
     apart = F.bit_count(F.col("a").bitwiseXOR(F.col("b")))
     pairs = cells.where("n = 2").where(apart <= LIMIT).select("a", "b")
     crowded = grid.join(cells.where("n > 2").select("cell"), "cell", "left_semi").select("fp").distinct()
-    flips = F.array(F.col("fp"), *(F.col("fp").bitwiseXOR(F.lit(1 << k if k < 63 else -(1 << 63))) for k in range(BITS)))
-    exact = crowded.select("fp", F.explode(flips).alias("cell")).groupBy("cell").agg(F.min("fp").alias("a"), F.collect_list("fp").alias("all")).where(F.size("all") > 1)
+    flips = crowded.select("fp", F.explode(F.sequence(F.lit(-1), F.lit(BITS - 1))).alias("k")).select("fp", F.expr("CASE WHEN k < 0 THEN fp ELSE fp ^ shiftleft(1L, k) END").alias("cell"))
+    exact = flips.groupBy("cell").agg(F.min("fp").alias("a"), F.collect_list("fp").alias("all")).where(F.size("all") > 1)
     stars = exact.select("a", F.explode("all").alias("b")).where("a <> b").where(apart <= LIMIT)
     return pairs.union(stars).distinct()
 
