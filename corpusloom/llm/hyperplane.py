@@ -122,7 +122,7 @@ def _compare(group: pa.Table, kind: str, limit: float) -> tuple[np.ndarray, np.n
     raw = group.column("raw").to_pylist()
     signs = np.frombuffer(b"".join(group.column("signs").to_pylist()), np.uint32).reshape(len(rep), -1)[:, :tab]
     sizes = np.array([len(x) for x in raw])
-    left, right = [], []
+    left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]  # a lone block of a pair links nothing
     for size in np.unique(sizes):
         some = np.flatnonzero(sizes == size)
         x = np.frombuffer(b"".join(raw[k] for k in some), kind).reshape(len(some), -1).astype(np.float64)
