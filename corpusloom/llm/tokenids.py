@@ -30,10 +30,10 @@ import re
 import uuid
 import zlib
 from collections.abc import Iterator
-from itertools import islice
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -46,6 +46,7 @@ STRIDE = 128  # ids between checkpoints
 BLOCK_IDS = 1 << 17
 LIMIT = 16
 CACHED = 600_000
+AT_ONCE = 2000
 TOKENIZER = "byte_bpe_50k.json"
 
 _encoders: dict[str, Encoder] = {}
@@ -94,17 +95,32 @@ class Encoder:
         return out
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        """Each text's ids, little-endian, with the end id."""
-        whole = [k for k, x in enumerate(texts) if self.whole.search(x)]
-        parts = [x.split(" ") for x in texts]
-        for k in whole:
-            parts[k] = [""]
-        first = self.first.values([x[0] for x in parts], self._ids)
-        later = iter(self.later.values([p for x in parts for p in islice(x, 1, None)], self._spaced_ids))
-        end = np.array([END], self.kind).tobytes()
-        out = [b"".join((f, *islice(later, len(x) - 1), end)) for f, x in zip(first, parts, strict=True)]
-        for k, ids in zip(whole, self._ids([texts[k] for k in whole]), strict=True):
-            out[k] = ids + end
+        """Each text's ids, little-endian, with the end id. A batch's pieces are numbered by Arrow, so that each different
+        one is looked up once; ids are gathered by their numbers."""
+        odd = [k for k, x in enumerate(texts) if self.whole.search(x)]
+        plain = texts if not odd else ["" if k in set(odd) else x for k, x in enumerate(texts)]
+        if not texts:
+            return []
+        lists = pc.split_pattern(pa.array(plain, pa.large_string()), " ")
+        pieces, offsets = lists.flatten(), lists.offsets.to_numpy()
+        coded = pieces.dictionary_encode()
+        different, n = coded.dictionary.to_pylist(), len(texts)
+        first = self.first.values(pieces.take(pa.array(offsets[:-1])).to_pylist(), self._ids)
+        ids = [*self.later.values(different, self._spaced_ids), *first, np.array([END], self.kind).tobytes()]
+        which = np.full(len(pieces) + n, len(ids) - 1)  # each text's pieces, then the end id
+        place = np.arange(len(pieces)) + np.repeat(np.arange(n), np.diff(offsets))
+        which[place] = coded.indices.to_numpy()
+        starts = offsets[:-1] + np.arange(n)
+        which[starts] = len(different) + np.arange(n)
+        size = np.array([len(x) for x in ids]) // self.kind.itemsize
+        data, at = np.frombuffer(b"".join(ids), self.kind), np.cumsum(size) - size
+        size = size[which]
+        ends = np.cumsum(size)
+        gathered = data[np.repeat(at[which] - ends + size, size) + np.arange(ends[-1])].tobytes()
+        cuts = [0, *(np.add.reduceat(size, starts).cumsum() * self.kind.itemsize).tolist()]
+        out = [gathered[s:e] for s, e in zip(cuts, cuts[1:], strict=False)]
+        for k, whole in zip(odd, self._ids([texts[k] for k in odd]), strict=True):
+            out[k] = whole + np.array([END], self.kind).tobytes()
         return out
 
 
@@ -190,17 +206,18 @@ def pack(ids: np.ndarray, counts: np.ndarray, lengths: np.ndarray, codes: np.nda
 def unpack(payload: bytes, counts: np.ndarray, offsets: np.ndarray, tables: tuple[np.ndarray, np.ndarray, int]) -> np.ndarray:
     """All ids of a block; its checkpoints are read in step."""
     by_value, bits, top = tables
-    data = np.frombuffer(payload + bytes(8), np.uint8).astype(np.uint64)
+    raw = payload + bytes(8)
+    words = np.ndarray(len(raw) - 3, ">u4", raw, strides=(1,))  # 32 bits from each byte on: 7 to skip and 25 to read at most
+    mask = np.uint32((1 << top) - 1)
     at = offsets.astype(np.int64).copy()
     lanes = -(-counts // STRIDE)
     n = np.full(int(lanes.sum()), STRIDE, np.int64)
     n[np.cumsum(lanes) - 1] = counts - (lanes - 1) * STRIDE
     out = np.zeros((len(at), STRIDE), np.uint32)
-    last = len(data) - 5
+    last = len(words) - 1
     for k in range(STRIDE):
-        byte = np.minimum(at >> 3, last)
-        seen = (data[byte] << np.uint64(32)) | (data[byte + 1] << np.uint64(24)) | (data[byte + 2] << np.uint64(16)) | (data[byte + 3] << np.uint64(8)) | data[byte + 4]
-        value = ((seen >> (40 - top - (at & 7)).astype(np.uint64)) & np.uint64((1 << top) - 1)).astype(np.int64)
+        seen = words[np.minimum(at >> 3, last)].astype(np.uint32)
+        value = seen >> (32 - top - (at & 7)).astype(np.uint32) & mask
         out[:, k] = by_value[value]
         at += bits[value]
     return out[np.arange(STRIDE)[None, :] < n[:, None]]
@@ -210,8 +227,8 @@ def _encode(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tool = encoder(path)
         for whole in batches:
-            for at in range(0, whole.num_rows, 500):
-                batch = whole.slice(at, 500)
+            for at in range(0, whole.num_rows, AT_ONCE):
+                batch = whole.slice(at, AT_ONCE)
                 ids = tool.encode([x.decode("utf-8", "replace") for x in batch.column("text").to_pylist()])
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(ids, pa.binary())], ["doc_id", "ids"])
 
