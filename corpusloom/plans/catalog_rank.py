@@ -245,12 +245,12 @@ def _(s, d):
     return select.synthesis_window(rows, 5, 9).select("query_id", "id", "document", "position")
 
 
-@query("w7_focus", """WITH st AS (SELECT source AS query_id, doc_id AS passage, string_split(text, '. ') AS a FROM documents WHERE doc_id < 400), su AS (SELECT query_id, passage, unnest(a) AS t, CAST(generate_subscripts(a, 1) - 1 AS BIGINT) AS idx FROM st),
+@query("w7_focus", """WITH st AS (SELECT source AS query_id, doc_id AS passage, string_split(text, '. ') AS a FROM documents), su AS (SELECT query_id, passage, unnest(a) AS t, CAST(generate_subscripts(a, 1) - 1 AS BIGINT) AS idx FROM st),
 ss AS (SELECT *, length(t) AS n_chars, (length(t) * 7 + idx * 3) % 23 AS score, sum(length(t)) OVER (PARTITION BY query_id, passage) >= 400 AND count(*) OVER (PARTITION BY query_id, passage) > 4 AS lng FROM su),
 sr AS (SELECT *, sum(CASE WHEN lng THEN 1 ELSE 0 END) OVER (PARTITION BY query_id ORDER BY passage RANGE UNBOUNDED PRECEDING) AS running, row_number() OVER (PARTITION BY query_id, passage ORDER BY score DESC, idx) <= 4 AS top FROM ss)
 SELECT query_id, passage, idx, NOT (lng AND running <= 200) OR max(CAST(top AS INTEGER)) OVER (PARTITION BY query_id, passage ORDER BY idx ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING) = 1 AS kept FROM sr""")
 def _(s, d):
-    t = table(s, d, "documents").where("doc_id < 400").select(F.col("source").alias("query_id"), F.col("doc_id").alias("passage"), F.posexplode(F.split("text", "\\. ")).alias("idx", "t"))
+    t = table(s, d, "documents").select(F.col("source").alias("query_id"), F.col("doc_id").alias("passage"), F.posexplode(F.split("text", "\\. ")).alias("idx", "t"))
     t = t.withColumn("n_chars", F.length("t")).withColumn("score", (F.col("n_chars") * 7 + F.col("idx") * 3) % 23)
     return select.focus(t, pairs=200).select("query_id", "passage", "idx", "kept")
 

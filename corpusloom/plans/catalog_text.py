@@ -8,7 +8,7 @@ from corpusloom.functions import text
 from corpusloom.operators import chunks, corpus, filters, select
 from corpusloom.plans import inputs
 from corpusloom.plans.inputs import SQL_DOCS, SQL_MANIFEST, docs, manifest, table
-from corpusloom.sources import pages, tables
+from corpusloom.sources import pages, tables, volumes
 from corpusloom.streaming import ingest
 
 Q: dict = {}
@@ -36,9 +36,9 @@ def _(s, d):
     return docs(s, d).select("doc_id", text.key(F.col("head")).alias("k"))
 
 
-@query("sc3_unnumbered", "SELECT doc_id, regexp_replace(concat(CAST(doc_id AS STRING), '. ', substring(text, 1, 40)), '^\\d+\\.\\s*', '') AS t FROM documents")
+@query("sc3_unnumbered", "SELECT doc_id, regexp_replace(concat(CAST(doc_id AS STRING), '. ', text), '^\\d+\\.\\s*', '') AS t FROM documents")
 def _(s, d):
-    return table(s, d, "documents").select("doc_id", text.unnumbered(F.concat(F.col("doc_id").cast("string"), F.lit(". "), F.substring("text", 1, 40))).alias("t"))
+    return table(s, d, "documents").select("doc_id", text.unnumbered(F.concat(F.col("doc_id").cast("string"), F.lit(". "), "text")).alias("t"))
 
 
 @query("sc4_keywords")
@@ -110,10 +110,10 @@ def _(s, d):
     return docs(s, d).select("doc_id", F.substring("date_from", 1, 4).alias("year"), text.shifted_year(F.col("date_from"), 7).alias("later"))
 
 
-@query("sc16_sc17_blocks", D + " SELECT volume_id, string_agg(CASE WHEN length(text) > 100 THEN concat(substring(text, 1, 100), '...') ELSE text END, '\n\n---\n\n' ORDER BY doc_id) AS block FROM docs WHERE doc_id < 300 GROUP BY volume_id")
+@query("sc16_sc17_blocks", D + " SELECT volume_id, string_agg(CASE WHEN length(text) > 100 THEN concat(substring(text, 1, 100), '...') ELSE text END, '\n\n---\n\n' ORDER BY doc_id) AS block FROM docs GROUP BY volume_id")
 def _(s, d):
     parts = F.array_sort(F.collect_list(F.struct("doc_id", text.truncated(F.col("text"), 100, "...").alias("t"))))
-    return docs(s, d).where("doc_id < 300").groupBy("volume_id").agg(text.blocks(F.transform(parts, lambda p: p["t"])).alias("block"))
+    return docs(s, d).groupBy("volume_id").agg(text.blocks(F.transform(parts, lambda p: p["t"])).alias("block"))
 
 
 @query("sc18_named_actors")
@@ -200,9 +200,9 @@ def _(s, d):
     return filters.guarded(docs(s, d), "volume_id", "src5").unionByName(filters.guarded(docs(s, d), "volume_id", "x' OR '1'='1")).select("document")
 
 
-@query("f9_projection", D + " SELECT document, volume_id, document_id, head, date_from, date_to, subtype, lang, substring(text, 1, 200) AS text FROM docs")
+@query("f9_projection", D + " SELECT document, volume_id, document_id, head, date_from, date_to, subtype, lang, text FROM docs")
 def _(s, d):
-    return docs(s, d).select("document", "volume_id", "document_id", "head", "date_from", "date_to", "subtype", "lang", F.substring("text", 1, 200).alias("text"))
+    return docs(s, d).select("document", "volume_id", "document_id", "head", "date_from", "date_to", "subtype", "lang", "text")
 
 
 def _vectors(s, d):
@@ -236,14 +236,13 @@ def _(s, d):
 
 
 @query("f15_relaxed", D + """, q AS (SELECT item_id AS query_id, concat('src', CAST(item_id AS STRING)) AS v, item_id % 2 = 0 AS filtered FROM benchmark),
-n AS (SELECT query_id, document, filtered FROM q JOIN docs ON volume_id = v AND doc_id % 10 = 1),
-w AS (SELECT query_id, document FROM q JOIN docs ON doc_id % 10 = 1 AND doc_id % 40 = query_id)
+n AS (SELECT query_id, document, filtered FROM q JOIN docs ON volume_id = v AND lang = 'es'),
+w AS (SELECT query_id, document FROM q JOIN docs ON lang = 'fr' AND doc_id % 40 = query_id)
 SELECT query_id, document, false AS relaxed FROM n UNION ALL SELECT w.query_id, w.document, true FROM w JOIN q USING (query_id) WHERE filtered AND query_id NOT IN (SELECT query_id FROM n)""")
 def _(s, d):
     q = table(s, d, "benchmark").select(F.col("item_id").alias("query_id"), F.concat(F.lit("src"), F.col("item_id").cast("string")).alias("volume_id"), (F.col("item_id") % 2 == 0).alias("filtered"))
-    some = docs(s, d).where("doc_id % 10 = 1")
-    hits = q.join(some, "volume_id").select("query_id", "document")
-    wider = q.select("query_id").join(some.withColumn("query_id", F.col("doc_id") % 40), "query_id").select("query_id", "document")
+    hits = q.join(docs(s, d).where("lang = 'es'"), "volume_id").select("query_id", "document")
+    wider = q.select("query_id").join(docs(s, d).where("lang = 'fr'").withColumn("query_id", F.col("doc_id") % 40), "query_id").select("query_id", "document")
     return filters.relaxed(hits, wider, q)
 
 
@@ -318,6 +317,42 @@ def _(s, d):
     return s.read.parquet(path)
 
 
+_XML_TEXT = "replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;')"
+_XML_HEAD = "replace(replace(replace(head, '&', '&amp;'), '<', '&lt;'), '>', '&gt;')"
+
+
+_VOLUME = "concat(volume_id, '-', CAST(CAST(floor(doc_id / 1000) AS BIGINT) AS STRING))"
+
+
+def _volumes(s, d):
+    """Documents as TEI volumes of up to 1000 ids of a source each, written and read as whole files."""
+    div = F.concat(
+        F.lit('<div type="document" subtype="'), "subtype", F.lit('" xml:id="'), "document_id", F.lit('"><head>'), F.expr(_XML_HEAD), F.lit('<note type="source">Source.</note></head><p><persName>A. Person</persName> <!-- no --><note>foot</note>'), F.expr(_XML_TEXT),
+        F.lit(' <ref target="#'), "document_id", F.lit('">1</ref></p></div>'),
+    )
+    rows = docs(s, d).select(F.expr(_VOLUME).alias("volume"), "doc_id", div.alias("div")).groupBy("volume").agg(F.array_sort(F.collect_list(F.struct("doc_id", "div"))).alias("divs"))
+    text_ = F.concat(F.lit('<TEI><teiHeader><title type="complete">Volume '), "volume", F.lit('</title><idno type="series">'), "volume", F.lit("</idno></teiHeader><text><body>"), F.array_join(F.transform("divs", lambda x: x["div"]), ""), F.lit("</body></text></TEI>"))
+    path = tables.scratch(s, "tei")
+    rows.select(text_.alias("value"), "volume").write.partitionBy("volume").text(path)
+    return s.read.format("binaryFile").option("pathGlobFilter", "*.txt").option("recursiveFileLookup", "true").load(path)
+
+
+@query("a1_a2_xml_manifest", D + f" SELECT {_VOLUME} AS volume_id, concat('Volume ', {_VOLUME}) AS title, 'published' AS status, count(*) AS n_documents, count(*) FILTER (WHERE subtype = 'historical-document') AS n_historical FROM docs GROUP BY 1")
+def _(s, d):
+    return volumes.scan_manifest(_volumes(s, d)).select("volume_id", "title", "status", "n_documents", "n_historical")
+
+
+@query("a5_a6_a7_a8_xml_documents", D + f" SELECT {_VOLUME} AS volume_id, document_id, subtype, trim(regexp_replace(head, '\\s+', ' ', 'g')) AS head, 'Source.' AS source_note, 'A. Person' AS persons, concat('A. Person ', trim(regexp_replace(text, '\\s+', ' ', 'g')), ' 1') AS text FROM docs")
+def _(s, d):
+    rows = volumes.scan_documents(_volumes(s, d), editorial_notes=True)
+    return rows.select("volume_id", "document_id", "subtype", "head", "source_note", F.array_join("persons", "|").alias("persons"), "text")
+
+
+@query("a16_a17_xml_references", D + f" SELECT {_VOLUME} AS volume_id, document_id, document_id AS target FROM docs WHERE subtype = 'historical-document'")
+def _(s, d):
+    return volumes.references(volumes.with_references(_volumes(s, d))).select("volume_id", "document_id", "target")
+
+
 @query("a5_a10_page_documents")
 def _(s, d):
     return pages.documents(table(s, d, "pages"))
@@ -446,13 +481,13 @@ def _(s, d):
     return chunk_table(s, d).select("chunk_id", "ordinal", "n_chunks_in_doc", "n_tokens", "text")
 
 
-@query("c2_jnl_adjacent", D + f", {SQL_CHUNKS} SELECT a.chunk_id AS anchor_id, b.chunk_id, b.ordinal FROM chunks a JOIN chunks b ON a.document = b.document AND abs(a.ordinal - b.ordinal) = 1 WHERE a.ordinal % 5 = 2")
+@query("c2_jnl_adjacent", D + f", {SQL_CHUNKS} SELECT a.chunk_id AS anchor_id, b.chunk_id, b.ordinal FROM chunks a JOIN chunks b ON a.document = b.document AND abs(a.ordinal - b.ordinal) = 1")
 def _(s, d):
     c = chunk_table(s, d)
-    return chunks.adjacent(c.where("ordinal % 5 = 2").select("chunk_id"), c)
+    return chunks.adjacent(c.select("chunk_id"), c)
 
 
-@query("c3_neighbours", D + f""", {SQL_CHUNKS}, ev AS (SELECT substring(volume_id, 4, 1) AS query_id, chunk_id, volume_id, document_id, ordinal, row_number() OVER (PARTITION BY substring(volume_id, 4, 1) ORDER BY chunk_id) AS position FROM chunks WHERE ordinal % 3 = 1),
+@query("c3_neighbours", D + f""", {SQL_CHUNKS}, ev AS (SELECT substring(volume_id, 4, 1) AS query_id, chunk_id, volume_id, document_id, ordinal, row_number() OVER (PARTITION BY substring(volume_id, 4, 1) ORDER BY chunk_id) AS position FROM chunks WHERE ordinal = 0),
 nb AS (SELECT e.query_id, c.chunk_id, e.position, c.ordinal FROM ev e JOIN chunks c ON c.volume_id = e.volume_id AND c.document_id = e.document_id AND abs(c.ordinal - e.ordinal) = 1 WHERE NOT EXISTS (SELECT 1 FROM ev x WHERE x.query_id = e.query_id AND x.chunk_id = c.chunk_id)),
 one AS (SELECT * FROM nb QUALIFY row_number() OVER (PARTITION BY query_id, chunk_id ORDER BY position) = 1), al AS (SELECT query_id, chunk_id, position, -1 AS o FROM ev UNION ALL SELECT query_id, chunk_id, position, ordinal FROM one)
 SELECT query_id, chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY position, o) AS place FROM al""")
@@ -461,7 +496,7 @@ def _(s, d):
 
     c = chunk_table(s, d)
     q = F.substring("volume_id", 4, 1)
-    e = c.where("ordinal % 3 = 1").select(q.alias("query_id"), "chunk_id", F.lit(1.0).alias("score"), F.lit("h0").alias("hop"))
+    e = c.where("ordinal = 0").select(q.alias("query_id"), "chunk_id", F.lit(1.0).alias("score"), F.lit("h0").alias("hop"))
     e = e.withColumn("position", F.row_number().over(Window.partitionBy("query_id").orderBy("chunk_id")))
     return chunks.with_neighbours(e, c).select("query_id", "chunk_id", "place")
 
