@@ -19,4 +19,5 @@ QUERIES = {
 
 ORACLE_SQL: dict[str, str] = {
     "op6_hyperplane_dedup": hyperplane.SQL,
+    "op9_substring_dedup": substring.SQL,
 }
