@@ -233,6 +233,16 @@ def _earliest(rows: np.ndarray, did: np.ndarray, rid: np.ndarray, start: np.ndar
     return order[new], order[~own]
 
 
+def _joined(did, rid, lo, hi) -> tuple[np.ndarray, ...]:
+    """Ranges of the same document that touch each other as one."""
+    order = np.lexsort((lo, rid, did))
+    did, rid, lo, hi = did[order], rid[order], lo[order], hi[order]
+    if not len(lo):
+        return did, rid, lo, hi
+    first = np.flatnonzero(np.concatenate(([True], (did[1:] != did[:-1]) | (rid[1:] != rid[:-1]) | (lo[1:] > hi[:-1] + 1))))
+    return did[first], rid[first], lo[first], np.maximum.reduceat(hi, first)
+
+
 def _suffixes(heavy: dict[int, np.ndarray], buckets: int):
     """Marked suffixes, each with the words before it that its windows need, for their group's bucket."""
 
@@ -245,6 +255,7 @@ def _suffixes(heavy: dict[int, np.ndarray], buckets: int):
         return pa.RecordBatch.from_arrays([pa.array(bucket), pa.array(did), pa.array(rid), pa.array(lo.astype(np.int32)), pa.array(hi.astype(np.int32)), words], ["bucket", "did", "rid", "lo", "hi", "words"])
 
     def done(did, rid, lo, hi) -> pa.RecordBatch:
+        did, rid, lo, hi = _joined(did, rid, lo, hi)
         bucket = (_mix(rid.view(np.uint64) ^ did.view(np.uint64)) % np.uint64(buckets)).astype(np.int32)
         return pa.RecordBatch.from_arrays([pa.array(bucket), pa.array(did), pa.array(rid), pa.array(lo.astype(np.int32)), pa.array(hi.astype(np.int32)), pa.nulls(len(did), pa.binary())], ["bucket", "did", "rid", "lo", "hi", "words"])
 
