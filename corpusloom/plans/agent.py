@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom.functions import text
-from corpusloom.operators import cite, select
+from corpusloom.operators import cite, filters, select
 
 
 @dataclass(frozen=True)
@@ -49,6 +49,14 @@ def plan_hops(questions: DataFrame, planned: DataFrame | None = None) -> DataFra
     return hops.unionByName(own.join(hops.select("query_id").distinct(), "query_id", "left_anti"))
 
 
+def hop_filters(hops: DataFrame, manifest: DataFrame) -> DataFrame:
+    """A planner's filters, held against the manifest (N-2): volumes by id or title, what is neither is rejected; dates only in ISO
+    form; only citable documents are searched. hops: query_id, volume, date_from."""
+    known = filters.resolve_volumes(hops.select(F.col("volume").alias("candidate")).distinct(), manifest)
+    rows = hops.join(known, F.col("volume") == F.col("candidate"))
+    return rows.select("query_id", "volume_id", F.when(F.col("how") == "dropped", F.col("candidate")).alias("rejected"), text.iso_date(F.col("date_from")).alias("date_from"), F.lit(cite.CITABLE[0]).alias("subtype"))
+
+
 def rewrite(missing: DataFrame, hops: DataFrame, number: int) -> DataFrame:
     """A corrective hop for each missing one; its text is what is missing, else the original hop's (N-5)."""
     from pyspark.sql import Window

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from corpusloom.operators import corpus, evaluate, select
+from corpusloom.plans import generators
 
 from corpusloom.plans.catalog_rank import SQL_GOLD, SQL_QUESTIONS, body_hits, gold, questions, sql_bm25
 from corpusloom.plans.catalog_text import SQL_CHUNKS, SQL_PERSONS, _persons, chunk_table
@@ -301,9 +302,60 @@ def _(s, d):
     return table(s, d, "benchmark").select("item_id", encode("text").alias("v")).select("item_id", F.round(F.aggregate("v", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double")), 3).alias("norm2"))
 
 
-@query("n16_questions", D + " SELECT document, concat('What does \"', substring(head, 1, 80), '\" say?') AS question FROM docs WHERE doc_id IN (SELECT min(doc_id) FROM docs GROUP BY head HAVING count(*) = 1) AND length(head) > 40 AND length(head) < 160 ORDER BY md5(concat('11:', document)), document LIMIT 40")
+@query("n16_questions", D + " SELECT document, concat('What does \"', head, '\" say?') AS question FROM docs WHERE doc_id IN (SELECT min(doc_id) FROM docs GROUP BY head HAVING count(*) = 1) AND length(head) > 40 AND length(head) < 160 ORDER BY md5(concat('11:', document)), document LIMIT 40")
 def _(s, d):
     t = corpus.distinctive_titles(docs(s, d))
-    return select.seeded_sample(t, "document", 40, 11).select("document", F.concat(F.lit('What does "'), F.substring("head", 1, 80), F.lit('" say?')).alias("question"))
+    return select.seeded_sample(t, "document", 40, 11).select("document", F.concat(F.lit('What does "'), "head", F.lit('" say?')).alias("question"))
 
 
+
+
+def _cases(df):
+    return df.select("case_id", "kind", "question", F.array_join("gold", "|").alias("gold"))
+
+
+_TITLES = "tt AS (SELECT head, min(document) AS document FROM docs GROUP BY head HAVING count(*) = 1 AND length(head) > 40 AND length(head) < 160)"
+
+
+@query("n16_lookups", f"{D}, {_TITLES} SELECT concat('lookup:', document) AS case_id, 'lookup' AS kind, concat('What does \"', head, '\" say?') AS question, document AS gold FROM tt")
+def _(s, d):
+    return _cases(generators.lookups(docs(s, d)))
+
+
+@query("n16_multihops", f"{D}, {SQL_PERSONS} SELECT concat('multihop:', person) AS case_id, 'multihop' AS kind, concat('What do the two documents that name ', person, ' have in common?') AS question, concat(min(p.document), '|', max(p.document)) AS gold FROM persons p JOIN docs USING (doc_id) WHERE contains(docs.text, person) GROUP BY person HAVING count(DISTINCT p.document) = 2")
+def _(s, d):
+    return _cases(generators.multihops(_persons(s, d)))
+
+
+@query("n16_corrections", f"{D}, {_TITLES} SELECT concat('correction:', document) AS case_id, 'correction' AS kind, concat('What was said on ', CAST(CAST(substring(date_from, 1, 4) AS BIGINT) + 7 AS STRING), substring(date_from, 5, 6), ' in \"', tt.head, '\"?') AS question, document AS gold FROM tt JOIN docs USING (document) WHERE date_from <> ''")
+def _(s, d):
+    return _cases(generators.corrections(docs(s, d)))
+
+
+@query("n16_unanswerable", M + " SELECT concat('unanswerable:', volume_id) AS case_id, 'unanswerable' AS kind, concat('What does document 1 of ', title, ' say?') AS question, '' AS gold FROM manifest WHERE status <> 'published'")
+def _(s, d):
+    return _cases(generators.unanswerable(manifest(s, d)))
+
+
+@query("n16_timelines", D + """, k AS (SELECT *, row_number() OVER (PARTITION BY volume_id ORDER BY date_from, document) AS k, count(*) OVER (PARTITION BY volume_id) AS n FROM docs WHERE date_from <> ''),
+e AS (SELECT volume_id, max(CASE WHEN k = 3 THEN date_from END) AS first, max(CASE WHEN k = 8 THEN date_from END) AS last FROM k WHERE n >= 12 GROUP BY volume_id)
+SELECT concat('timeline:', volume_id) AS case_id, 'timeline' AS kind, concat('What happened between ', first, ' and ', last, '?') AS question, string_agg(document, '|' ORDER BY document) AS gold FROM k JOIN e USING (volume_id) WHERE date_from BETWEEN first AND last GROUP BY volume_id, first, last""")
+def _(s, d):
+    return _cases(generators.timelines(docs(s, d)))
+
+
+@query("n15_sweep", f"{R}, c AS (SELECT concat('c', CAST(item_id AS STRING)) AS case_id FROM benchmark), g AS (SELECT case_id, unnest(['B0', 'B3']) AS system FROM c), a AS (SELECT case_id, system, unnest(['en', 'zh']) AS language FROM g) SELECT * FROM a WHERE NOT EXISTS (SELECT 1 FROM runs r WHERE r.case_id = a.case_id AND r.system = a.system AND r.language = a.language AND r.mode = 'partial')")
+def _(s, d):
+    cases = table(s, d, "benchmark").select(F.concat(F.lit("c"), F.col("item_id").cast("string")).alias("case_id"))
+    return generators.sweep(cases, ["B0", "B3"], ["en", "zh"], runs(s, d), "partial")
+
+
+_HOPS = "CASE WHEN item_id % 3 = 0 THEN concat('src', CAST(item_id % 20 AS STRING)) WHEN item_id % 3 = 1 THEN 'Volume src2' ELSE 'nowhere' END"
+
+
+@query("n2_hop_filters", f"{M}, h AS (SELECT item_id AS query_id, {_HOPS} AS v, CASE WHEN item_id % 2 = 0 THEN '1920-01-01' ELSE 'about 1920' END AS f FROM benchmark) SELECT query_id, CASE WHEN v = 'Volume src2' THEN 'src2' WHEN v <> 'nowhere' THEN v END AS volume_id, CASE WHEN v = 'nowhere' THEN v END AS rejected, CASE WHEN f LIKE '1920%' THEN f END AS date_from, 'historical-document' AS subtype FROM h")
+def _(s, d):
+    from corpusloom.plans import agent
+
+    hops = table(s, d, "benchmark").select(F.col("item_id").alias("query_id"), F.expr(_HOPS).alias("volume"), F.when(F.col("item_id") % 2 == 0, "1920-01-01").otherwise("about 1920").alias("date_from"))
+    return agent.hop_filters(hops, manifest(s, d))
