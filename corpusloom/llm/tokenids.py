@@ -26,10 +26,10 @@ other columns are ignored.
 
 from __future__ import annotations
 
-import re
 import uuid
 import zlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -66,11 +66,10 @@ class Encoder:
         self.library = Tokenizer.from_file(path)
         self.size = self.library.get_vocab_size()
         self.kind = np.dtype("<u2" if self.size <= 1 << 16 else "<u4")
-        added = [re.escape(x.content) for x in self.library.get_added_tokens_decoder().values()]
         self.bytes = np.zeros(self.size, np.int64)
         for token, k in self.library.get_vocab().items():  # byte-level: a character for each byte
             self.bytes[k] = len(token)
-        self.whole = re.compile("|".join(["  ", *added]))
+        self.whole = ["  ", *(x.content for x in self.library.get_added_tokens_decoder().values())]
         self.first, self.later = Memo(CACHED // 8), Memo(CACHED)
 
     def _ids(self, texts: list[str]) -> list[bytes]:
@@ -78,30 +77,32 @@ class Encoder:
 
     def _spaced_ids(self, pieces: list[str]) -> list[bytes]:
         """Each piece's ids with a space before it. Many pieces are encoded as one text, which the tokenizer
-        cuts before each space; the tokens' byte lengths tell whose they are."""
+        cuts before each space; the tokens' byte lengths tell whose they are. An empty piece is a space alone,
+        which isn't cut from a space that follows."""
+        if "" in pieces:
+            out = self._spaced_ids([p for p in pieces if p])
+            out.insert(pieces.index(""), self._ids([" "])[0])
+            return out
         out: list = [None] * len(pieces)
-        some = [k for k, p in enumerate(pieces) if p]
-        groups = [some[at : at + 512] for at in range(0, len(some), 512)]
-        texts = ["".join([f" {pieces[k]}" for k in g]) for g in groups]
-        for g, x in zip(groups, self.library.encode_batch_fast(texts, add_special_tokens=False), strict=True):
+        sizes = pc.binary_length(pa.array(pieces, pa.large_string())).to_numpy() + 1
+        step, out = 512, []
+        texts = [" " + " ".join(pieces[at : at + step]) for at in range(0, len(pieces), step)]
+        for at, x in zip(range(0, len(pieces), step), self.library.encode_batch_fast(texts, add_special_tokens=False), strict=True):
             ids = np.array(x.ids)
-            ends = np.cumsum([1 + len(pieces[k].encode()) for k in g])
-            cuts = np.searchsorted(np.cumsum(self.bytes[ids]), ends, "right") * self.kind.itemsize
-            raw, at = ids.astype(self.kind).tobytes(), 0
-            for k, to in zip(g, cuts.tolist(), strict=True):
-                out[k], at = raw[at:to], to
-        for k in (k for k, p in enumerate(pieces) if not p):
-            out[k] = self._ids([" "])[0]
+            cuts = (np.searchsorted(np.cumsum(self.bytes[ids]), np.cumsum(sizes[at : at + step]), "right") * self.kind.itemsize).tolist()
+            raw = ids.astype(self.kind).tobytes()
+            out += [raw[s:e] for s, e in zip([0, *cuts], cuts, strict=False)]
         return out
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Each text's ids, little-endian, with the end id. A batch's pieces are numbered by Arrow, so that each different
         one is looked up once; ids are gathered by their numbers."""
-        odd = [k for k, x in enumerate(texts) if self.whole.search(x)]
-        plain = texts if not odd else ["" if k in set(odd) else x for k, x in enumerate(texts)]
         if not texts:
             return []
-        lists = pc.split_pattern(pa.array(plain, pa.large_string()), " ")
+        plain = pa.array(texts, pa.large_string())
+        whole = reduce(pc.or_, (pc.match_substring(plain, x) for x in self.whole))
+        odd = np.flatnonzero(whole.to_numpy(zero_copy_only=False)).tolist()
+        lists = pc.split_pattern(pc.if_else(whole, pa.scalar("", pa.large_string()), plain) if odd else plain, " ")
         pieces, offsets = lists.flatten(), lists.offsets.to_numpy()
         coded = pieces.dictionary_encode()
         different, n = coded.dictionary.to_pylist(), len(texts)
@@ -119,8 +120,8 @@ class Encoder:
         gathered = data[np.repeat(at[which] - ends + size, size) + np.arange(ends[-1])].tobytes()
         cuts = [0, *(np.add.reduceat(size, starts).cumsum() * self.kind.itemsize).tolist()]
         out = [gathered[s:e] for s, e in zip(cuts, cuts[1:], strict=False)]
-        for k, whole in zip(odd, self._ids([texts[k] for k in odd]), strict=True):
-            out[k] = whole + np.array([END], self.kind).tobytes()
+        for k, own in zip(odd, self._ids([texts[k] for k in odd]), strict=True):
+            out[k] = own + np.array([END], self.kind).tobytes()
         return out
 
 
