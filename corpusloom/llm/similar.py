@@ -9,12 +9,17 @@ therefore takes its candidates from two searches and verifies all of them exactl
 - the fingerprint links of operator 1;
 - 16 bands: under each of 16 hash orders a text's three least shingles form a key; texts
   of similarity s share a band with a chance near s cubed, so at 0.8 all 16 bands miss with
-  a chance of 1 in 90,000. A pair must share three bands (0.998 at 0.8).
-
-In a band's group each text is tested against the group's least and greatest member
-(by a hash of the text), found by grouped minimum and maximum: two candidates for each
-text and band, however large the group. Links are closed by connected components, so a
-group is found whole if its texts reach each other through tested pairs.
+  a chance of 1 in 90,000. One shared band makes a pair a candidate.
+
+A first pass tests each text of a band's group against the group's least and greatest
+member (by a hash of the text), found by grouped minimum and maximum: two candidates for
+each text and band, however large the group, which cover all pairs of groups of up to
+three. Larger groups whose members the first pass has not brought into one component go
+through a second pass, which leaves no pair of different components untested: groups are
+dealt into blocks of bounded size, each pair of blocks is a task's work, and shared shingles
+are counted through an inverted index. Pairs whose link is already known (same component)
+need no test, and a pair of blocks returns the links that join its components, never all
+pairs. Links of both passes are closed by connected components.
 
 Edge cases: as for operator 1; texts without words are alike; texts of fewer words than
 a shingle are alike only if their words are the same.
@@ -32,12 +37,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom.llm import simhash
-from corpusloom.llm.common import keep, text_bytes
+from corpusloom.llm.common import keep, tasks, text_bytes
 from corpusloom.llm.components import connected_components
 from corpusloom.llm.substring import LAST, _mix
 
 SIZE, SIMILARITY = 5, 0.8
-BANDS, LEAST, SHARED = 16, 3, 3
+BANDS, LEAST = 16, 3
+BLOCK = 1 << 19  # shingles in a block of the second pass, were texts dealt evenly
 
 _SEEDS = _mix(np.arange(1, BANDS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 
@@ -100,24 +106,105 @@ def _verify(similarity: float):
     return run
 
 
-def candidates(nodes: DataFrame, similarity: float) -> DataFrame:
-    """Different pairs (a, b) of texts worth verifying. nodes: rid, fp, n, bands."""
+def _join(group: pa.Table, similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """Links (rid, rid) that join the components of a group's texts: all pairs, or those across its two blocks."""
+    rid, label, own = (group.column(c).to_numpy() for c in ("rid", "root", "own"))
+    label = np.unique(label, return_inverse=True)[1]
+    n = group.column("n").to_numpy()
+    lo, hi = group.column("lo")[0].as_py(), group.column("hi")[0].as_py()
+    rows, cols = (np.arange(len(rid)), np.arange(len(rid))) if lo == hi else (np.flatnonzero(own == lo), np.flatnonzero(own == hi))
+    found: tuple[list[int], list[int]] = ([], [])
+    if not len(rows) or not len(cols):
+        return rid[:0], rid[:0]
+    raw = group.column("shingles").to_pylist()
+    flat = np.frombuffer(b"".join(raw[k] for k in cols), np.uint64)
+    order = np.argsort(flat, kind="stable")
+    flat, holder = flat[order], np.repeat(np.arange(len(cols)), n[cols])[order]
+    for r in rows:
+        other = (label[cols] != label[r]) & (np.minimum(n[cols], n[r]) >= similarity * np.maximum(n[cols], n[r]))
+        if not other.any():
+            continue
+        x = np.frombuffer(raw[r], np.uint64)
+        first, size = np.searchsorted(flat, x), np.searchsorted(flat, x, "right")
+        size -= first
+        ends = np.cumsum(size)
+        both = np.bincount(holder[np.repeat(first - ends + size, size) + np.arange(ends[-1] if len(ends) else 0)], minlength=len(cols))
+        for c in cols[other & (both >= similarity * (n[cols] + n[r] - both))]:
+            if label[c] != label[r]:
+                found[0].append(r)
+                found[1].append(c)
+                label[label == label[c]] = label[r]
+    return rid[found[0]], rid[found[1]]
+
+
+def _joins(similarity: float):
+    """Rows come sorted by group; only the group at hand is held."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for group in in_groups(batches, ("band", "key", "lo", "hi")):
+            a, b = _join(group, similarity)
+            if len(a):
+                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+    return run
+
+
+def in_groups(batches: Iterator[pa.RecordBatch], by: tuple[str, ...]) -> Iterator[pa.Table]:
+    """The runs of rows that have the same keys."""
+    held: list[pa.RecordBatch] = []
+    last = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        keys = np.column_stack([batch.column(c).to_numpy() for c in by])
+        cuts = [0, *(np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1).tolist(), len(keys)]
+        for s, e in zip(cuts, cuts[1:], strict=False):
+            if held and tuple(keys[s]) != last:
+                yield pa.Table.from_batches(held)
+                held = []
+            held.append(batch.slice(s, e - s))
+            last = tuple(keys[s])
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def _keys(nodes: DataFrame) -> DataFrame:
+    return nodes.select("rid", "n", F.posexplode("bands").alias("band", "key"))
+
+
+def band_groups(nodes: DataFrame) -> DataFrame:
+    """(band, key) of more than one text: size, least, most, and the texts' number of shingles."""
+    return _keys(nodes).groupBy("band", "key").agg(F.count("*").alias("size"), F.min("rid").alias("least"), F.max("rid").alias("most"), F.sum("n").alias("total")).where("size > 1")
+
+
+def candidates(nodes: DataFrame, similarity: float, groups: DataFrame | None = None) -> DataFrame:
+    """Different pairs (a, b) of texts for the first pass to verify. nodes: rid, fp, n, bands."""
     by_fp = nodes.groupBy("fp").agg(F.min("rid").alias("first"))
     same = nodes.join(by_fp, "fp").where("rid <> first").select(F.col("first").alias("a"), F.col("rid").alias("b"))
     links = simhash.links(by_fp.select("fp"))
     name = lambda c: by_fp.select(F.col("fp").alias(c), F.col("first").alias(f"{c}_first"))
     near = links.join(name("a"), "a").join(name("b"), "b").select(F.col("a_first").alias("a"), F.col("b_first").alias("b"))
-    keys = nodes.select("rid", F.posexplode("bands").alias("band", "key"))
-    groups, _ = keep(keys.groupBy("band", "key").agg(F.count("*").alias("size"), F.min("rid").alias("least"), F.max("rid").alias("most")).where("size > 1"), "bands")
-    met = keys.join(groups, ["band", "key"]).select("rid", F.explode(F.array("least", "most")).alias("other")).where("rid <> other")
+    groups = keep(band_groups(nodes), "bands")[0] if groups is None else groups
+    met = _keys(nodes).join(groups.drop("size", "total"), ["band", "key"]).select("rid", F.explode(F.array("least", "most")).alias("other")).where("rid <> other")
     met = met.select(F.least("rid", "other").alias("a"), F.greatest("rid", "other").alias("b")).distinct()
-    side = lambda c: nodes.select(F.col("rid").alias(c), F.col("n").alias(f"{c}_n"), F.col("bands").alias(f"{c}_bands"))
-    shared = F.size(F.filter(F.zip_with("a_bands", "b_bands", lambda x, y: x == y), lambda x: x))
-    met = met.join(side("a"), "a").join(side("b"), "b").where((shared >= SHARED) & (F.least("a_n", "b_n") >= similarity * F.greatest("a_n", "b_n"))).select("a", "b")
+    side = lambda c: nodes.select(F.col("rid").alias(c), F.col("n").alias(f"{c}_n"))
+    met = met.join(side("a"), "a").join(side("b"), "b").where(F.least("a_n", "b_n") >= similarity * F.greatest("a_n", "b_n")).select("a", "b")
     every = same.union(near).union(met).where("a <> b")
     return every.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
+def unjoined(keys: DataFrame, roots: DataFrame, sets: DataFrame, similarity: float, block: int = BLOCK) -> DataFrame:
+    """Links (a, b) between components within the groups of more than three texts. keys: rid, n, band, key, total of
+    these groups' members; roots: node, root; sets: rid, shingles."""
+    rooted = keys.join(roots.withColumnRenamed("node", "rid"), "rid", "left").withColumn("root", F.coalesce("root", "rid"))
+    open_ = rooted.groupBy("band", "key").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("band", "key")
+    dealt = rooted.join(open_, ["band", "key"], "left_semi").withColumn("blocks", F.greatest(F.lit(1), F.ceil(F.col("total") / block)).cast("int"))
+    dealt = dealt.withColumn("own", F.pmod(F.xxhash64("rid"), "blocks").cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = dealt.select("rid", "n", "root", "band", "key", "own", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"))
+    sorted_groups = dealt.join(sets, "rid").repartition(tasks(keys.sparkSession), "band", "key", "lo", "hi").sortWithinPartitions("band", "key", "lo", "hi")
+    return sorted_groups.mapInArrow(_joins(similarity), "a long, b long")
+
+
 def one_of_each(docs: DataFrame, size: int = SIZE, similarity: float = SIMILARITY) -> DataFrame:
     """docs with one row of each group of near duplicates: that of least doc_id (a null one counts as greatest), of
     its rows the one whose text has the least hash, of equal rows one. All columns stay."""
@@ -125,13 +212,17 @@ def one_of_each(docs: DataFrame, size: int = SIZE, similarity: float = SIMILARIT
     rows = docs.select(did.alias("did"), F.xxhash64(text_bytes()).alias("rid"), text_bytes().alias("text"))
     sketched, _ = keep(rows.mapInArrow(_sketch(size), "did long, rid long, fp long, n long, bands array<long>"), "sketches")
     nodes, _ = keep(sketched.groupBy("rid").agg(F.first("fp").alias("fp"), F.first("n").alias("n"), F.first("bands").alias("bands"), F.min("did").alias("did")), "nodes")
-    pairs, _ = keep(candidates(nodes, similarity), "pairs")
-    asked = pairs.select(F.col("a").alias("rid")).union(pairs.select("b")).distinct()
+    groups, _ = keep(band_groups(nodes), "bands")
+    pairs, _ = keep(candidates(nodes, similarity, groups), "pairs")
+    crowded, _ = keep(_keys(nodes).join(groups.where("size > 3").select("band", "key", "total"), ["band", "key"]), "crowded")
+    asked = pairs.select(F.col("a").alias("rid")).union(pairs.select("b")).union(crowded.select("rid")).distinct()
     texts = rows.select("rid", "did", "text").join(nodes.select("rid", "did"), ["rid", "did"], "left_semi").join(asked, "rid", "left_semi").dropDuplicates(["rid"])
     sets, _ = keep(texts.select("rid", "text").mapInArrow(_sets(size), "rid long, shingles binary"), "sets")
     side = lambda c, s: sets.select(F.col("rid").alias(c), F.col("shingles").alias(s))
     edges = pairs.join(side("a", "x"), "a").join(side("b", "y"), "b").mapInArrow(_verify(similarity), "a long, b long")
-    roots = connected_components(edges).select(F.col("node").alias("rid"), "root")
+    edges, _ = keep(edges, "links")
+    more, _ = keep(unjoined(crowded, connected_components(edges), sets, similarity), "links")
+    roots = connected_components(edges.union(more)).select(F.col("node").alias("rid"), "root")
     least = nodes.join(roots, "rid", "left").groupBy(F.coalesce("root", "rid").alias("root")).agg(F.min(F.struct(F.col("did").alias("__did"), F.col("rid").alias("__rid"))).alias("k"))
     keyed = docs.withColumns({"__did": did, "__rid": F.xxhash64(text_bytes())})
     return keyed.join(least.select("k.*"), ["__did", "__rid"], "left_semi").dropDuplicates(["__did", "__rid"]).select(*docs.columns)

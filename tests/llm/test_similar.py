@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pytest
 
 from corpusloom.llm import similar
 from tests.llm import data
@@ -51,6 +52,34 @@ def test_hot_group_makes_few_candidates(spark):
     assert similar.candidates(nodes, 0.8).count() <= 2 * similar.BANDS * len(rows)
 
 
+def test_star_of_copies(spark):
+    """Copies that are each alike to the original but not to each other; blocks of any size find the same."""
+    base = data.prose(204, 5, 10**5)
+    rows = [(0, base)]
+    for k in range(1, 150):
+        four = edited(base, 4, k)
+        rows.append((k, four if jaccard(base, four) >= 0.8 else edited(base, 3, k)))
+    assert all(jaccard(base, t) >= 0.8 for _, t in rows)
+    assert sum(jaccard(rows[k][1], rows[k + 1][1]) < 0.8 for k in range(1, 149)) > 100
+    df = data.docs(spark, [(i, t, "en", "s") for i, t in rows])
+    assert [r.doc_id for r in similar.one_of_each(df).collect()] == [0]
+
+
+@pytest.mark.parametrize("block", [similar.BLOCK, 3000])
+def test_second_pass_against_all_pairs(spark, block):
+    base = data.prose(150, 6, 10**5)
+    texts = [base, *(edited(base, 1 + k % 5, k) for k in range(80)), *(edited(edited(base, 12, 0), 3, k) for k in range(40))]
+    nodes = [(i, s) for i, t in enumerate(texts) for s in [similar.shingle_set(t.encode())]]
+    total = sum(len(s) for _, s in nodes)
+    keys = spark.createDataFrame([(i, len(s), 0, 7, total) for i, s in nodes], "rid long, n long, band int, key long, total long")
+    frame = spark.createDataFrame([(i, bytearray(s.tobytes())) for i, s in nodes], "rid long, shingles binary")
+    roots = spark.createDataFrame([(1, 0)], "node long, root long")
+    got = [(r.a, r.b) for r in similar.unjoined(keys, roots, frame, 0.8, block).collect()]
+    assert all(jaccard(texts[a], texts[b]) >= 0.8 for a, b in got)
+    wanted = [(a, b) for a in range(len(texts)) for b in range(a) if jaccard(texts[a], texts[b]) >= 0.8]
+    assert (1, 0) in wanted and reach(len(texts), [*got, (1, 0)]) == reach(len(texts), wanted)
+
+
 def test_edge_rows(spark):
     df = data.docs(spark)
     kept = similar.one_of_each(df)
