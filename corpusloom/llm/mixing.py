@@ -5,12 +5,12 @@ targets, its i-th block has release time floor(i / w) and deadline ceil((i + 1)
 each slot goes to the released block of earliest deadline. At every moment a source then
 has had less than one block more or less than its share.
 
-Shares are rounded to quanta of a period (1000 slots, or four for each source), so the
-schedule of a period is the schedule of all: it is made once, on the driver, from one
-count for each source, and each block finds its slot by arithmetic, without a sequential
-pass over the corpus. When a source has no more blocks, the next phase goes on with the
-others at their renewed shares; there are as many phases as sources at most. No document
-is left out or repeated.
+Shares are the given weights as exact fractions, and release times and deadlines are whole-number
+arithmetic on them, so the bound holds against the weights themselves however many sources
+and documents there are. The schedule is made once, on the driver, from one count for each
+source: one entry for each block of 64 documents. When a source has no more blocks, the
+next phase goes on with the others at their renewed shares; there are as many phases as
+sources at most. No document is left out or repeated.
 
 A document's block needs its rank within its source. Ranks are counted within (source,
 range of doc_id) cells, whose offsets are running sums of the cells' counts, so a source
@@ -18,13 +18,17 @@ that holds most rows is dealt to all tasks.
 
 Edge cases: a null source is a source of its own; a null doc_id ranks last; equal ids
 rank in any order; a source without a target weight or with one that isn't positive gets
-the least share, a quantum; a single source is in its own order; an empty table gives an
+a thousand-millionth of the least weight, so it comes when the others have ended; a single source is in its own order; an empty table gives an
 empty result; other columns are kept by `mix`.
 """
 
 from __future__ import annotations
 
 import heapq
+import math
+from array import array
+from collections.abc import Iterator
+from fractions import Fraction
 
 import numpy as np
 import pandas as pd
@@ -35,7 +39,6 @@ from corpusloom.llm.common import table, tasks
 from corpusloom.llm.substring import LAST
 
 BLOCK = 64
-PERIOD = 1000
 POWER = 0.5  # default targets: the square roots of the sources' numbers of documents
 
 
@@ -51,67 +54,72 @@ def quanta(weights: dict[str, float], period: int) -> dict[str, int]:
     return out
 
 
-def period_slots(share: dict[str, int]) -> dict[str, np.ndarray]:
-    """Earliest deadline first over one period: the slots of each source's blocks in it."""
-    n = sum(share.values())
-    coming = [(0, s, 0) for s in share]  # release, source, block
+def whole_weights(weights: dict[str, float]) -> dict[str, int]:
+    """Whole numbers in exactly the weights' proportions."""
+    exact = {s: Fraction(w) for s, w in weights.items()}
+    unit = math.lcm(*(x.denominator for x in exact.values()))
+    out = {s: x.numerator * (unit // x.denominator) for s, x in exact.items()}
+    common = math.gcd(*out.values())
+    return {s: x // common for s, x in out.items()}
+
+
+def earliest_deadlines(weights: dict[str, int]) -> Iterator[tuple[str, int, int]]:
+    """Source, release and deadline of the block in each slot from 0 on, earliest deadline first, without end."""
+    total = sum(weights.values())
+    coming = [(0, s, 0) for s in weights]  # release, source, block
     heapq.heapify(coming)
-    ready: list[tuple[int, str, int]] = []  # deadline, source, block
-    out: dict[str, list[int]] = {s: [] for s in share}
-    for t in range(n):
+    ready: list[tuple[int, str, int, int]] = []  # deadline, source, block, release
+    t = 0
+    while True:
         while coming and coming[0][0] <= t:
-            _, s, i = heapq.heappop(coming)
-            heapq.heappush(ready, (-(-(i + 1) * n // share[s]), s, i))
-        _, s, i = heapq.heappop(ready)
+            release, s, i = heapq.heappop(coming)
+            heapq.heappush(ready, (-(-(i + 1) * total // weights[s]), s, i, release))
+        deadline, s, i, release = heapq.heappop(ready)
+        yield s, release, deadline
+        heapq.heappush(coming, ((i + 1) * total // weights[s], s, i + 1))
+        t += 1
+
+
+def period_slots(share: dict[str, int]) -> dict[str, np.ndarray]:
+    """The slots of each source's blocks in the first sum(share) slots, its period."""
+    out: dict[str, list[int]] = {s: [] for s in share}
+    for t, (s, _, _) in zip(range(sum(share.values())), earliest_deadlines(share)):
         out[s].append(t)
-        if i + 1 < share[s]:
-            heapq.heappush(coming, ((i + 1) * n // share[s], s, i + 1))
     return {s: np.array(x, np.int64) for s, x in out.items()}
 
 
 class Schedule:
-    """Slots of all blocks: for each source its phases' first block, first slot, quanta and period."""
+    """Slots of all blocks: for each source the slot, release and deadline of each of its blocks."""
 
-    def __init__(self, docs: dict[str, int], weights: dict[str, float], block: int = BLOCK, period: int = PERIOD):
+    def __init__(self, docs: dict[str, int], weights: dict[str, float], block: int = BLOCK):
         self.block = block
         left = {s: -(-n // block) for s, n in docs.items() if n > 0}
-        self.phases: dict[str, list[tuple[int, int, int, np.ndarray]]] = {s: [] for s in left}
-        done, start = dict.fromkeys(left, 0), 0
+        made: dict[str, tuple[array, array, array]] = {s: (array("q"), array("q"), array("q")) for s in left}
+        start, last = 0, (1 << 63) - 1
         positive = [w for w in weights.values() if w > 0]
-        least = min(positive, default=1.0) * 1e-9
+        least = Fraction(min(positive, default=1.0)) / 10**9
         while left:
-            n = max(period, 4 * len(left))
-            share = quanta({s: weights.get(s, 0) if weights.get(s, 0) > 0 else least for s in left}, n)
-            slots = period_slots(share)
-            last = {s: (b - 1) // share[s] * n + int(slots[s][(b - 1) % share[s]]) for s, b in left.items()}
-            length = min(last.values()) + 1
-            for s in list(left):
-                self.phases[s].append((done[s], start, n, slots[s]))
-                whole, part = divmod(length, n)
-                used = whole * share[s] + int(np.searchsorted(slots[s], part))
-                done[s] += used
-                left[s] -= used
+            phase = earliest_deadlines(whole_weights({s: weights[s] if weights.get(s, 0) > 0 else least for s in left}))
+            for t, (s, release, deadline) in enumerate(phase, start):
+                slots, releases, deadlines = made[s]
+                slots.append(t)
+                releases.append(start + release)
+                deadlines.append(min(start + deadline, last))
+                left[s] -= 1
                 if not left[s]:
                     del left[s]
-            start += length
+                    start = t + 1
+                    break
         self.slots = start
+        self.blocks = {s: tuple(np.frombuffer(x, np.int64) for x in xs) for s, xs in made.items()}
         short = sorted((int(self.slot(s, np.array([(n - 1) // block]))[0]), -n % block) for s, n in docs.items() if n > 0)
         self.short_slots = np.array([t for t, _ in short], np.int64)
         self.short_sum = np.concatenate(([0], np.cumsum([k for _, k in short], dtype=np.int64)))
 
     def locate(self, source: str, blocks: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Slot, release and deadline of a source's blocks."""
-        slot, release, deadline = (np.zeros(len(blocks), np.int64) for _ in range(3))
-        phases = self.phases[source]
-        which = np.searchsorted([p[0] for p in phases], blocks, "right") - 1
-        for k in np.unique(which):
-            first, start, n, slots = phases[k]
-            here = which == k
-            i = blocks[here] - first
-            slot[here] = start + i // len(slots) * n + slots[i % len(slots)]
-            release[here] = start + i * n // len(slots)
-            deadline[here] = start - (-(i + 1) * n // len(slots))
-        return slot, release, deadline
+        slot, release, deadline = self.blocks[source]
+        return slot[blocks], release[blocks], deadline[blocks]
 
     def slot(self, source: str, blocks: np.ndarray) -> np.ndarray:
         return self.locate(source, blocks)[0]

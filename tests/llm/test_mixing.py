@@ -42,6 +42,25 @@ def test_phases(docs, block):
     assert sorted(seen) == list(range(plan.slots)) and sorted(positions) == list(range(sum(docs.values())))
 
 
+@pytest.mark.parametrize("explicit", [False, True])
+@pytest.mark.parametrize("sources,n", [(20, 220_000), (300, 2_000_000)])
+def test_deviation_from_the_given_weights(sources, n, explicit):
+    """Less than a block off the weights themselves, until the first source ends; one source has a third of all rows."""
+    import numpy as np
+
+    docs = {f"s{k}": n * 2 // 3 // (sources - 1) for k in range(1, sources)} | {"s0": n // 3}
+    weights = dict.fromkeys(docs, 1.0) | {"s0": sources - 1.0} if explicit else {s: k**0.5 for s, k in docs.items()}
+    plan = mixing.Schedule(docs, weights)
+    slots = {s: plan.slot(s, np.arange(-(-k // mixing.BLOCK))) for s, k in docs.items()}
+    assert sorted(np.concatenate(list(slots.values())).tolist()) == list(range(plan.slots))
+    t, share = min(x[-1] for x in slots.values()), {s: w / sum(weights.values()) for s, w in weights.items()}
+    for s, x in slots.items():
+        x = x[x <= t]
+        i = np.arange(len(x))
+        assert (i - share[s] * x > -1 - 1e-6).all() and (i + 1 - share[s] * (x + 1) < 1 + 1e-6).all()
+        assert abs(len(x) - share[s] * (t + 1)) < 1 + 1e-6
+
+
 def test_rows(spark):
     df = data.docs(spark)
     out = mixing.mix(df, {"a": 2.0, None: 1.0, "zz": 5.0}, block=2)
