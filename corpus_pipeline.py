@@ -29,15 +29,18 @@ def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, in the order of the source mixture."""
+    """All documents, in the order of the source mixture. Files don't keep an order when read: the last stage gives each
+    document its place."""
     return mixing.mix(docs)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of each document, with digests of the ids and of what they decode to."""
+    """Token ids of each document, with digests of the ids and of what they decode to, and the document's slot and
+    position in the source mixture."""
     import public_tokenizers
 
-    return pieces.encode_decode(docs, public_tokenizers.path(pieces.MODEL), with_values=True).drop("decoded")
+    placed = mixing.place(docs.select("doc_id", "source", "text")).select("doc_id", "text", "__place.slot", "__place.position")
+    return pieces.encode_decode(placed, public_tokenizers.path(pieces.MODEL), with_values=True, also=("slot", "position")).drop("decoded")
 
 
 STAGES = [

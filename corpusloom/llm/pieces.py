@@ -195,7 +195,7 @@ def model(path: str) -> Pieces:
     return _models[path]
 
 
-def _run(path: str, with_values: bool):
+def _run(path: str, with_values: bool, also: tuple[str, ...] = ()):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tool = model(path)
         for whole in batches:
@@ -211,18 +211,20 @@ def _run(path: str, with_values: bool):
                         pa.array([hashlib.sha256(x.encode()).hexdigest() for x in decoded], pa.string()),
                         pa.array([ids if with_values else None for _, ids in got], pa.list_(pa.int32())),
                         pa.array([x if with_values else None for x in decoded], pa.string()),
+                        *map(batch.column, also),
                     ],
-                    ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "ids", "decoded"],
+                    ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "ids", "decoded", *also],
                 )
 
     return run
 
 
-def encode_decode(docs: DataFrame, path: str, with_values: bool = False) -> DataFrame:
+def encode_decode(docs: DataFrame, path: str, with_values: bool = False, also: tuple[str, ...] = ()) -> DataFrame:
     """For each row of docs: doc_id, n_tokens, ids_sha256, decoded_sha256, and the ids and the decoded
-    text if with_values. One pass, no shuffle."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_bytes().alias("text"))
-    return rows.mapInArrow(_run(path, with_values), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, ids array<int>, decoded string")
+    text if with_values; then its columns named in `also`, of type long. One pass, no shuffle."""
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_bytes().alias("text"), *also)
+    more = "".join(f", {c} long" for c in also)
+    return rows.mapInArrow(_run(path, with_values, also), f"doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, ids array<int>, decoded string{more}")
 
 
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -5,7 +5,7 @@ import pytest
 import sentencepiece
 
 import corpus_pipeline
-from corpusloom.llm import pieces
+from corpusloom.llm import mixing, pieces
 from tests.llm import data
 from tests.llm.test_similar import edited, jaccard
 from tests.llm.test_simhash import reach
@@ -61,3 +61,15 @@ def test_mixture_keeps_every_row(spark, tables):
     d, _ = tables
     docs = spark.read.parquet(f"{d}/documents.parquet")
     assert sorted(map(repr, corpus_pipeline.source_mix(spark, docs, d).collect())) == sorted(map(repr, docs.collect()))
+
+
+def test_rows_tell_their_place_in_the_mixture(spark, tables, monkeypatch):
+    d, _ = tables
+    monkeypatch.setattr(mixing.place, "__defaults__", (None, 4, "source"))
+    monkeypatch.setattr(mixing.mix, "__defaults__", (None, 4))  # small blocks, so that sources alternate
+    docs = spark.read.parquet(f"{d}/documents.parquet").where("doc_id is not null").dropDuplicates(["doc_id"])
+    wanted = mixing.place(docs).select("doc_id", "__place.*").orderBy("position").collect()
+    mixed = corpus_pipeline.source_mix(spark, docs, d)
+    assert [r.doc_id for r in mixed.collect()] == [r.doc_id for r in wanted] != sorted(r.doc_id for r in wanted)
+    out = corpus_pipeline.encode(spark, mixed.repartition(7, "text"), d).orderBy("position").collect()
+    assert [(r.doc_id, r.slot, r.position) for r in out] == [(r.doc_id, r.slot, r.position) for r in wanted]
