@@ -26,6 +26,7 @@ other columns are ignored.
 
 from __future__ import annotations
 
+import re
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -49,15 +50,20 @@ CACHED = 600_000
 AT_ONCE = 2000
 TOKENIZER = "byte_bpe_50k.json"
 
+#: All that is white space to a tokenizer of any kind; more than one of them knows does no harm.
+WHITE = "\t-\r\x1c- \x85\xa0\u1680\u180e\u2000-\u200b\u2028\u2029\u202f\u205f\u2060\u3000\ufeff"
+INNER = f"[{WHITE}] (?:[{WHITE}]|\\z)"  # a space that isn't a run's first, nor its last before a word
+
 _encoders: dict[str, Encoder] = {}
 
 
 class Encoder:
     """A byte-level BPE tokenizer that remembers the ids of what stands between spaces.
 
-    The tokenizer's own splitting always cuts before a space that follows another character
-    than a space, so such pieces are encoded independently. Texts with two spaces in a row or
-    an added token's string go to the library whole.
+    The tokenizer's own splitting always cuts before a space that starts a run of white space
+    or is the last of one before a word, so pieces between such spaces are encoded independently.
+    Texts in which a space has white space before it, and white space or the text's end after
+    it, go to the library whole, and so do those with two spaces in a row or an added token's string.
     """
 
     def __init__(self, path: str):
@@ -70,6 +76,7 @@ class Encoder:
         for token, k in self.library.get_vocab().items():  # byte-level: a character for each byte
             self.bytes[k] = len(token)
         self.whole = ["  ", *(x.content for x in self.library.get_added_tokens_decoder().values())]
+        self.white = re.compile(f"[{WHITE}]")
         self.first, self.later = Memo(CACHED // 8), Memo(CACHED)
 
     def _ids(self, texts: list[str]) -> list[bytes]:
@@ -77,12 +84,13 @@ class Encoder:
 
     def _spaced_ids(self, pieces: list[str]) -> list[bytes]:
         """Each piece's ids with a space before it. Many pieces are encoded as one text, which the tokenizer
-        cuts before each space; the tokens' byte lengths tell whose they are. An empty piece is a space alone,
-        which isn't cut from a space that follows."""
-        if "" in pieces:
-            out = self._spaced_ids([p for p in pieces if p])
-            out.insert(pieces.index(""), self._ids([" "])[0])
-            return out
+        cuts before each space; the tokens' byte lengths tell whose they are. Pieces that are empty or have white
+        space at an end would make runs with the space between them and are encoded each on its own."""
+        edged = [not p or self.white.match(p[0]) is not None or self.white.match(p[-1]) is not None for p in pieces]
+        if any(edged):
+            plain = iter(self._spaced_ids([p for p, e in zip(pieces, edged, strict=True) if not e]))
+            alone = iter(self._ids([" " + p for p, e in zip(pieces, edged, strict=True) if e]))
+            return [next(alone if e else plain) for e in edged]
         out: list = [None] * len(pieces)
         sizes = pc.binary_length(pa.array(pieces, pa.large_string())).to_numpy() + 1
         step, out = 512, []
@@ -100,7 +108,7 @@ class Encoder:
         if not texts:
             return []
         plain = pa.array(texts, pa.large_string())
-        whole = reduce(pc.or_, (pc.match_substring(plain, x) for x in self.whole))
+        whole = reduce(pc.or_, (pc.match_substring(plain, x) for x in self.whole), pc.match_substring_regex(plain, INNER))
         odd = np.flatnonzero(whole.to_numpy(zero_copy_only=False)).tolist()
         lists = pc.split_pattern(pc.if_else(whole, pa.scalar("", pa.large_string()), plain) if odd else plain, " ")
         pieces, offsets = lists.flatten(), lists.offsets.to_numpy()

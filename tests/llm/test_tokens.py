@@ -23,6 +23,24 @@ def test_byte_level_ids(text):
     assert ids == [*_library().encode(text, add_special_tokens=False).ids, 0]
 
 
+RUNS = ["ab \u00a0 \u00a0 cd", "a\u00a0 \u00a0b", "a \u00a0 b", "a\u3000 ", "a\n ", " \u00a0", "\u00a0 \u00a0 \u00a0", "a\n \nb c", "a\u2003 \u2003 b", "x\x0b \x0b y", "x\x85 \x85 y"]
+
+
+@pytest.mark.parametrize("text", RUNS)
+def test_runs_of_white_space_go_whole(text):
+    ids = np.frombuffer(tokenids.encoder(BPE).encode([text])[0], "<u2").tolist()
+    assert ids == [*_library().encode(text, add_special_tokens=False).ids, 0]
+
+
+def test_random_runs_of_white_space():
+    r = random.Random(4)
+    texts = ["".join(r.choice(["a", "bc", " ", " ", "\u00a0", "\n", "\t", "\u3000", "\u200b", "\x1c", "\x85", "."]) for _ in range(r.randrange(12))) for _ in range(20_000)]
+    for at in range(0, len(texts), 1000):  # pieces of many texts are encoded together
+        got = tokenids.encoder(BPE).encode(texts[at : at + 1000])
+        for text, ids in zip(texts[at : at + 1000], got, strict=True):
+            assert np.frombuffer(ids, "<u2").tolist() == [*_library().encode(text, add_special_tokens=False).ids, 0], repr(text)
+
+
 _kept = []
 
 
