@@ -1,7 +1,9 @@
 """Operator 4, license scans by sentence rules.
 
-A text is cut into sentences at line ends and after . ! ? or ; before white space. A
-sentence is normalised (A-Z as a-z; quotes and brackets dropped, other runs of characters
+A text is cut into sentences at line ends and after . ! ? or ; before white space; lines that
+follow each other without such an end between them are also joined, as wrapped sentences
+are, and what begins at a line's start is the longest known sentence there. Comment leaders
+(#, *, //, ;) are no words and fall away. A sentence is normalised (A-Z as a-z; quotes and brackets dropped, other runs of characters
 than letters, digits and + as one space, but for dots between digits, which stay)
 and looked up among the known licence sentences, which gives the document's sequence of
 sentence identifiers; other sentences between them don't break a sequence, as licence
@@ -80,6 +82,7 @@ RULES = [
     ("Proprietary", ["reserved"]),
 ]
 
+_PARTS = re.compile(rb"([\n\r]+)|(?<=[.!?;])[\x20\t\x0b\x0c]+")  # group 1: a line end
 _CUT = re.compile(rb"[\n\r]+|(?<=[.!?;])[\x20\t\x0b\x0c]+")
 _DROP = re.compile(rb"[\"'()\[\]]")
 _REST = re.compile(rb"(?:(?!(?<=[0-9])\.(?=[0-9]))[^a-z0-9+])+")
@@ -96,6 +99,7 @@ class Scanner:
             for text in texts:
                 for key in {normalise(text.encode()), *(normalise(x) for x in _CUT.split(text.encode())[:1])}:
                     self.known.setdefault(key, name)
+        self.begun = {b" ".join(words[:n]) for words in map(bytes.split, self.known) for n in range(1, len(words))}
         self.rules = rules
         # a cheap test that loses nothing: the first word of each known sentence, followed by its second
         starts = {b" ".join(k.split()[:2]) for k in self.known}
@@ -105,10 +109,24 @@ class Scanner:
         if not self.start.search(text):
             return []
         out = []
-        for sentence in _CUT.split(text):
-            name = self.known.get(normalise(sentence))
+        cut = _PARTS.split(text)
+        parts, at_line_end = [], []  # normalised; whether a part ends where its line does, not its sentence
+        for sentence, line_end in zip(cut[::2], [*cut[1::2], None], strict=True):
+            words = normalise(sentence)
+            if words:  # a comment leader alone is none
+                parts.append(words)
+                at_line_end.append(line_end is not None)
+        at = 0
+        while at < len(parts):
+            joined, end, name, after = parts[at], at + 1, self.known.get(parts[at]), at + 1
+            while joined in self.begun and at_line_end[end - 1] and end < len(parts):
+                joined = joined + b" " + parts[end]
+                end += 1
+                if joined in self.known:
+                    name, after = self.known[joined], end
             if name is not None:
                 out.append(name)
+            at = after
         return out
 
     def match(self, names: list[str]) -> tuple[list[str], int, list[str]]:

@@ -1,3 +1,7 @@
+import textwrap
+
+import pytest
+
 from corpusloom.llm import licenses
 from tests.llm import data
 
@@ -25,6 +29,31 @@ def test_sequences():
     assert found(f"{s['mit-short']} {s['gpl3-short']} {s['mit-short']}") == (["MIT", "GPL-3.0"], 3, [])
 
 
+@pytest.mark.parametrize("leader", ["", "# ", " * ", "// ", ";; ", "\t"])
+@pytest.mark.parametrize("end", ["\n", "\r\n"])
+@pytest.mark.parametrize("width", [30, 60, 76])
+def test_wrapped_sentences(leader, end, width):
+    for name, texts in licenses.SENTENCES.items():
+        for t in texts:
+            lines = ["Copyright (c) 2020 Somebody", "", *textwrap.wrap(t, width, break_long_words=False, break_on_hyphens=False), "", "other words"]
+            assert name in TOOL.identifiers(end.join(leader + x for x in lines).encode()), (name, t)
+
+
+def test_wrapped_licences():
+    s = {k: textwrap.fill(v[0], 70) for k, v in licenses.SENTENCES.items()}
+    assert found(f"MIT License\n\n{s['mit-grant']}\n\n{s['mit-notice']}\n\n{s['mit-warranty']} IN NO EVENT\nSHALL") == (["MIT"], 1, [])
+    bsd = f"{s['bsd-redistribute']}\n\n1. Redistributions of source code must retain the above notice.\n\n3. {s['bsd-endorse']}\n"
+    assert found(bsd) == (["BSD-3-Clause"], 1, [])
+    assert found(f"/*\n{textwrap.indent(s['gpl-free'], ' * ')}\n *\n{textwrap.indent(s['gpl-warranty'], ' * ')} without even the\n * implied warranty") == (["GPL-3.0-or-later"], 1, [])
+    assert found(f"{s['isc-grant']}") == (["ISC"], 1, [])
+
+
+def test_lines_between_are_no_part_of_a_sentence():
+    for t in ("Released under\nno terms but\nthe MIT License.", "Released under. the MIT License.", "not Released under\nthe MIT License."):
+        assert found(t) == ([], 0, [])
+    assert found("Licensed under\nReleased under the MIT License.\nAll rights\nreserved.") == (["MIT", "Proprietary"], 2, [])
+
+
 def test_near_misses():
     for t in ("Licensed under the Apache License, Version 3.0.", "the MIT License", "Not licensed under CC BY 4.0 at all", "Licensed under CC BY-NC 40."):
         assert found(t) == ([], 0, [])
