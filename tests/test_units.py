@@ -147,6 +147,15 @@ def test_ann_recall(spark, data):
     assert len(exact & found) >= 0.9 * len(exact)
 
 
+def test_recall_of_the_registered_ann(spark, data):
+    from corpusloom.plans import catalog
+    from corpusloom.plans.catalog_rank import dense_hits
+
+    exact = {(r.query_id, r.id) for r in dense_hits(spark, data, 10).collect()}
+    found = {(r.query_id, r.id) for r in catalog.queries()["r5_r6_dense_ann"](spark, data).collect()}
+    assert len(exact & found) >= 0.9 * len(exact)
+
+
 def test_plugs(spark):
     df = spark.createDataFrame([("a b", "a"), ("c", None)], "q string, t string")
     score = plugs.pair_scorer(lambda: lambda pairs: [float(len(q)) for q, _ in pairs])
