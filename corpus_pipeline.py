@@ -39,7 +39,7 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     position in the source mixture."""
     import public_tokenizers
 
-    placed = mixing.place(docs.select("doc_id", "source", "text")).select("doc_id", "text", "__place.slot", "__place.position")
+    placed = mixing.place(docs.select("doc_id", "source", "text")).select("row.doc_id", "row.text", "place.slot", "place.position")
     return pieces.encode_decode(placed, public_tokenizers.path(pieces.MODEL), with_values=True, also=("slot", "position")).drop("decoded")
 
 

@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
+import gc
 import tempfile
 import uuid
+import weakref
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -84,11 +87,39 @@ def text_bytes(name: str = "text"):
     return F.coalesce(F.col(name).cast("string"), F.lit("")).cast("binary")
 
 
+def row_of(docs: DataFrame) -> Column:
+    """All of a row's columns as one struct, so that no name an operator needs beside it can clash with theirs."""
+    return F.struct(*(F.col(f"`{c.replace('`', '``')}`") for c in docs.columns))
+
+
+_memos: weakref.WeakSet[Memo] = weakref.WeakSet()
+
+
+def alone(*mine: Memo) -> None:
+    """Empties the memos of other operators that this Python worker has served, and returns their memory to the system:
+    workers outlive a stage, and an executor has as many as it has cores."""
+    others = [m for m in _memos if m not in mine and (m.now or m.before)]
+    for m in others:
+        m.now, m.before = {}, {}
+    if others:
+        trim()
+
+
+def trim() -> None:
+    """Returns freed memory to the system where the C library can."""
+    gc.collect()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):
+        pass
+
+
 class Memo:
     """Remembers results by key in two generations of bounded size; what was used lately survives."""
 
     def __init__(self, size: int):
         self.size, self.now, self.before = size, {}, {}
+        _memos.add(self)
 
     def values(self, keys: list, make) -> list:
         """Each key's value, never None; make(list of keys not remembered) gives theirs in order."""

@@ -1,16 +1,20 @@
 """Operator 7, mixing sources to target weights by Pfair scheduling.
 
-A source's documents, in order of doc_id, form blocks of 64. With w its share of the
-targets, its i-th block has release time floor(i / w) and deadline ceil((i + 1) / w), and
-each slot goes to the released block of earliest deadline. At every moment a source then
-has had less than one block more or less than its share.
-
-Shares are the given weights as exact fractions, and release times and deadlines are whole-number
-arithmetic on them, so the bound holds against the weights themselves however many sources
-and documents there are. The schedule is made once, on the driver, from one count for each
-source: one entry for each block of 64 documents. When a source has no more blocks, the
-next phase goes on with the others at their renewed shares; there are as many phases as
-sources at most. No document is left out or repeated.
+A source's documents, in order of doc_id, form blocks of 64. In the fluid mixture every source
+that has blocks left is served at once, each in proportion to its target weight; T(v) = sum of
+min(blocks, weight * v) over the sources is the number of slots that have gone when each has been
+served v times its weight. A source's i-th block has the window of slots that its fluid service
+touches, release floor(T(i / w)) and deadline ceil(T((i + 1) / w)), and each slot goes to the
+released block of earliest deadline. The fluid mixture itself keeps all windows at a rate of one
+block a slot, so earliest-deadline-first keeps them too: at every moment a source has had less
+than one block more or less than its fluid share, also after other sources have ended and the rest share
+their slots.
+
+Weights are taken as exact fractions, and releases and deadlines are whole-number arithmetic on
+them, so the bound holds against the weights themselves however many sources and documents
+there are. The schedule is made once, on the driver, from one count for each source: three numbers for
+each block, and work that grows with blocks times the logarithm of the number of sources. For
+10^10 documents choose blocks of some thousands. No document is left out or repeated.
 
 A document's block needs its rank within its source. Ranks are counted within (source,
 range of doc_id) cells, whose offsets are running sums of the cells' counts, so a source
@@ -18,42 +22,34 @@ that holds most rows is dealt to all tasks.
 
 Edge cases: a null source is a source of its own; a null doc_id ranks last; equal ids
 rank in any order; a source without a target weight or with one that isn't positive gets
-a thousand-millionth of the least weight, so it comes when the others have ended; a single source is in its own order; an empty table gives an
-empty result; other columns are kept by `mix`.
+a thousand-millionth of the least weight, so it comes when the others have ended; a single source is
+in its own order; an empty table gives an empty result; texts of any length, empty or null, are
+only carried along; other columns are kept by `place` and `mix`, whatever their names.
 """
 
 from __future__ import annotations
 
-import heapq
 import math
 from array import array
+from bisect import bisect_right
 from collections.abc import Iterator
 from fractions import Fraction
+from heapq import heapify, heappop, heappush
+from itertools import accumulate
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import table, tasks
+from corpusloom.llm.common import row_of, table, tasks
 from corpusloom.llm.substring import LAST
 
 BLOCK = 64
 POWER = 0.5  # default targets: the square roots of the sources' numbers of documents
 
 
-def quanta(weights: dict[str, float], period: int) -> dict[str, int]:
-    """Whole slots of a period for each source, at least one, by largest remainders."""
-    total = sum(weights.values())
-    spare = period - len(weights)
-    exact = {s: spare * w / total for s, w in weights.items()}
-    out = {s: 1 + int(x) for s, x in exact.items()}
-    rest = period - sum(out.values())
-    for s in sorted(exact, key=lambda s: (int(exact[s]) - exact[s], s))[:rest]:
-        out[s] += 1
-    return out
-
-
 def whole_weights(weights: dict[str, float]) -> dict[str, int]:
     """Whole numbers in exactly the weights' proportions."""
     exact = {s: Fraction(w) for s, w in weights.items()}
@@ -63,29 +59,47 @@ def whole_weights(weights: dict[str, float]) -> dict[str, int]:
     return {s: x // common for s, x in out.items()}
 
 
-def earliest_deadlines(weights: dict[str, int]) -> Iterator[tuple[str, int, int]]:
-    """Source, release and deadline of the block in each slot from 0 on, earliest deadline first, without end."""
-    total = sum(weights.values())
-    coming = [(0, s, 0) for s in weights]  # release, source, block
-    heapq.heapify(coming)
+class Fluid:
+    """The fluid mixture: n blocks and a whole-number weight for each source."""
+
+    def __init__(self, blocks: list[int], weights: list[int]):
+        order = sorted(range(len(blocks)), key=lambda k: Fraction(blocks[k], weights[k]))
+        self.ends = [Fraction(blocks[k], weights[k]) for k in order]  # when each source has had all its blocks
+        self.about = [float(x) for x in self.ends]
+        self.gone = [0, *accumulate(blocks[k] for k in order)]  # blocks of the sources that have ended
+        total = sum(weights)
+        self.left = [total, *(total - x for x in accumulate(weights[k] for k in order))]  # weights of the others
+
+    def slots(self, i: int, w: int) -> tuple[int, int]:
+        """T(i / w) as a fraction."""
+        k = bisect_right(self.about, i / w)
+        while k and self.ends[k - 1] * w > i:
+            k -= 1
+        while k < len(self.ends) and self.ends[k] * w <= i:
+            k += 1
+        return self.gone[k] * w + self.left[k] * i, w
+
+
+def earliest_deadlines(blocks: dict[str, int], weights: dict[str, int]) -> Iterator[tuple[str, int, int]]:
+    """Source, release and deadline of the block in each slot, earliest deadline first."""
+    names = list(blocks)
+    fluid = Fluid([blocks[s] for s in names], [weights[s] for s in names])
+
+    def window(s: str, i: int) -> tuple[int, str, int, int]:
+        (x, w), (y, _) = fluid.slots(i, weights[s]), fluid.slots(i + 1, weights[s])
+        return x // w, s, i, -(-y // w)
+
+    coming = [window(s, 0) for s in names]  # release, source, block, deadline
+    heapify(coming)
     ready: list[tuple[int, str, int, int]] = []  # deadline, source, block, release
-    t = 0
-    while True:
+    for t in range(sum(blocks.values())):
         while coming and coming[0][0] <= t:
-            release, s, i = heapq.heappop(coming)
-            heapq.heappush(ready, (-(-(i + 1) * total // weights[s]), s, i, release))
-        deadline, s, i, release = heapq.heappop(ready)
+            release, s, i, deadline = heappop(coming)
+            heappush(ready, (deadline, s, i, release))
+        deadline, s, i, release = heappop(ready)
         yield s, release, deadline
-        heapq.heappush(coming, ((i + 1) * total // weights[s], s, i + 1))
-        t += 1
-
-
-def period_slots(share: dict[str, int]) -> dict[str, np.ndarray]:
-    """The slots of each source's blocks in the first sum(share) slots, its period."""
-    out: dict[str, list[int]] = {s: [] for s in share}
-    for t, (s, _, _) in zip(range(sum(share.values())), earliest_deadlines(share)):
-        out[s].append(t)
-    return {s: np.array(x, np.int64) for s, x in out.items()}
+        if i + 1 < blocks[s]:
+            heappush(coming, window(s, i + 1))
 
 
 class Schedule:
@@ -93,24 +107,14 @@ class Schedule:
 
     def __init__(self, docs: dict[str, int], weights: dict[str, float], block: int = BLOCK):
         self.block = block
-        left = {s: -(-n // block) for s, n in docs.items() if n > 0}
-        made: dict[str, tuple[array, array, array]] = {s: (array("q"), array("q"), array("q")) for s in left}
-        start, last = 0, (1 << 63) - 1
-        positive = [w for w in weights.values() if w > 0]
-        least = Fraction(min(positive, default=1.0)) / 10**9
-        while left:
-            phase = earliest_deadlines(whole_weights({s: weights[s] if weights.get(s, 0) > 0 else least for s in left}))
-            for t, (s, release, deadline) in enumerate(phase, start):
-                slots, releases, deadlines = made[s]
-                slots.append(t)
-                releases.append(start + release)
-                deadlines.append(min(start + deadline, last))
-                left[s] -= 1
-                if not left[s]:
-                    del left[s]
-                    start = t + 1
-                    break
-        self.slots = start
+        blocks = {s: -(-n // block) for s, n in docs.items() if n > 0}
+        made: dict[str, tuple[array, array, array]] = {s: (array("q"), array("q"), array("q")) for s in blocks}
+        least = Fraction(min((w for w in weights.values() if w > 0), default=1.0)) / 10**9
+        whole = whole_weights({s: weights[s] if weights.get(s, 0) > 0 else least for s in blocks}) if blocks else {}
+        for t, (s, release, deadline) in enumerate(earliest_deadlines(blocks, whole)):
+            for x, to in zip((t, release, deadline), made[s], strict=True):
+                to.append(x)
+        self.slots = sum(blocks.values())
         self.blocks = {s: tuple(np.frombuffer(x, np.int64) for x in xs) for s, xs in made.items()}
         short = sorted((int(self.slot(s, np.array([(n - 1) // block]))[0]), -n % block) for s, n in docs.items() if n > 0)
         self.short_slots = np.array([t for t, _ in short], np.int64)
@@ -134,15 +138,20 @@ def _source(source: str):
 
 
 def place(docs: DataFrame, weights: dict[str | None, float] | None = None, block: int = BLOCK, source: str = "source") -> DataFrame:
-    """docs with the struct `__place`: block, release, deadline, slot, position."""
+    """For each row of docs: row (all its columns, as a struct) and place: block, release, deadline, slot, position."""
     spark = docs.sparkSession
     n = tasks(spark)
     did = F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST))
     bounds = docs.agg(F.percentile_approx(did, [k / n for k in range(1, n)], 100 * n)).first()[0] if n > 1 else []  # one number a task
-    cell = F.size(F.filter(F.array(*map(F.lit, sorted(set(bounds or [])))), lambda b: b <= F.col("__did"))) if bounds else F.lit(0)
-    keyed = docs.withColumns({"__did": did, "__source": _source(source)}).withColumn("__cell", cell)
-    cells = keyed.groupBy("__source", "__cell").agg(F.count("*").alias("__n"))
-    totals = {r[0]: r[1] for r in cells.groupBy("__source").agg(F.sum("__n")).collect()}  # one row a source
+    edges = np.array(sorted(set(bounds or [])), np.int64)
+
+    @F.arrow_udf("int")
+    def cell(ids: pa.Array) -> pa.Array:
+        return pa.array(np.searchsorted(edges, ids.to_numpy(zero_copy_only=False), "right").astype(np.int32))
+
+    keyed = docs.select(did.alias("did"), _source(source).alias("from"), row_of(docs).alias("row")).withColumn("cell", cell("did"))
+    cells = keyed.groupBy("from", "cell").agg(F.count("*").alias("n"))
+    totals = {r[0]: r[1] for r in cells.groupBy("from").agg(F.sum("n")).collect()}  # one row a source
     named = {"n" if s is None else f"s{s}": w for s, w in weights.items()} if weights is not None else {s: k**POWER for s, k in totals.items()}
     plan = Schedule(totals, named, block)
 
@@ -154,18 +163,18 @@ def place(docs: DataFrame, weights: dict[str | None, float] | None = None, block
             slot[at], release[at], deadline[at] = plan.locate(s, blocks[at])
         return pd.DataFrame({"block": blocks, "release": release, "deadline": deadline, "slot": slot, "position": plan.position(slot, inside)})
 
-    before = Window.partitionBy("__source").orderBy("__cell").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = cells.select("__source", "__cell", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before"))
-    within = F.row_number().over(Window.partitionBy("__source", "__cell").orderBy("__did")) - 1
-    ranked = keyed.withColumn("__rank", within).join(offsets, ["__source", "__cell"]).withColumn("__rank", F.col("__rank") + F.col("__before"))
-    return ranked.withColumn("__place", located("__source", "__rank")).select(*docs.columns, "__place")
+    before = Window.partitionBy("from").orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = cells.select("from", "cell", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
+    within = F.row_number().over(Window.partitionBy("from", "cell").orderBy("did")) - 1
+    ranked = keyed.withColumn("rank", within).join(offsets, ["from", "cell"]).withColumn("rank", F.col("rank") + F.col("before"))
+    return ranked.select("row", located("from", "rank").alias("place"))
 
 
 def mix(docs: DataFrame, weights: dict[str | None, float] | None = None, block: int = BLOCK) -> DataFrame:
     """All rows of docs in the mixture's order."""
     placed = place(docs, weights, block)
-    return placed.repartitionByRange(tasks(docs.sparkSession), "__place.position").sortWithinPartitions("__place.position").select(*docs.columns)
+    return placed.repartitionByRange(tasks(docs.sparkSession), "place.position").sortWithinPartitions("place.position").select("row.*")
 
 
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return place(table(spark, sf_dir, "documents").select("doc_id", "source")).select("doc_id", "source", "__place.*")
+    return place(table(spark, sf_dir, "documents").select("doc_id", "source")).select("row.doc_id", "row.source", "place.*")

@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import keep, table, text_bytes
+from corpusloom.llm.common import keep, row_of, table, text_bytes
 from corpusloom.llm.components import connected_components
 
 BITS, SEGMENT = 64, 4
@@ -119,9 +119,9 @@ def one_of_each(docs: DataFrame, size: int = 3) -> DataFrame:
     rows the one whose text has the least hash, of equal rows one. All columns stay."""
     fps, _ = keep(fingerprints(docs, size), "fps")
     did = F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1))
-    first = components(fps).groupBy("root").agg(F.min(F.struct(did.alias("__did"), F.col("rid").alias("__rid"))).alias("k")).select("k.*")
-    keyed = docs.withColumns({"__did": did, "__rid": F.xxhash64(text_bytes())})
-    return keyed.join(first, ["__did", "__rid"], "left_semi").dropDuplicates(["__did", "__rid"]).select(*docs.columns)
+    first = components(fps).groupBy("root").agg(F.min(F.struct(did.alias("did"), "rid")).alias("k")).select("k.*")
+    keyed = docs.select(did.alias("did"), F.xxhash64(text_bytes()).alias("rid"), row_of(docs).alias("row"))
+    return keyed.join(first, ["did", "rid"], "left_semi").dropDuplicates(["did", "rid"]).select("row.*")
 
 
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom.llm import simhash
-from corpusloom.llm.common import keep, tasks, text_bytes
+from corpusloom.llm.common import alone, keep, row_of, tasks, text_bytes
 from corpusloom.llm.components import connected_components
 from corpusloom.llm.substring import LAST, _mix
 
@@ -71,6 +71,7 @@ def bands(shingles: np.ndarray) -> np.ndarray:
 
 def _sketch(size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        alone()
         for batch in batches:
             fps, ns, keys = [], [], []
             for x in batch.column("text"):
@@ -223,6 +224,6 @@ def one_of_each(docs: DataFrame, size: int = SIZE, similarity: float = SIMILARIT
     edges, _ = keep(edges, "links")
     more, _ = keep(unjoined(crowded, connected_components(edges), sets, similarity), "links")
     roots = connected_components(edges.union(more)).select(F.col("node").alias("rid"), "root")
-    least = nodes.join(roots, "rid", "left").groupBy(F.coalesce("root", "rid").alias("root")).agg(F.min(F.struct(F.col("did").alias("__did"), F.col("rid").alias("__rid"))).alias("k"))
-    keyed = docs.withColumns({"__did": did, "__rid": F.xxhash64(text_bytes())})
-    return keyed.join(least.select("k.*"), ["__did", "__rid"], "left_semi").dropDuplicates(["__did", "__rid"]).select(*docs.columns)
+    least = nodes.join(roots, "rid", "left").groupBy(F.coalesce("root", "rid").alias("root")).agg(F.min(F.struct("did", "rid")).alias("k"))
+    keyed = docs.select(did.alias("did"), F.xxhash64(text_bytes()).alias("rid"), row_of(docs).alias("row"))
+    return keyed.join(least.select("k.*"), ["did", "rid"], "left_semi").dropDuplicates(["did", "rid"]).select("row.*")

@@ -2,7 +2,7 @@
 
 import random
 
-SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, fp long, did long, rid long, positions string, part int, host string, n int, component_id string, keep string"
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, fp long, did long, rid long, positions string, part int, host string, n int, component_id string, keep string, row string, place string, cell string, `from` string, __did string, __rid long, __before string, __cell string, __source string, __rank string, `a.b` string, p double, odds string, kept string, h string"
 
 
 def prose(n, seed, words=400):
@@ -22,7 +22,7 @@ def texts():
 
 
 def docs(spark, rows=None):
-    return spark.createDataFrame([(*r, len(r[1] or ""), 1, 2, 3, "p", 4, "h", 5, "c", "k") for r in (texts() if rows is None else rows)], SCHEMA)
+    return spark.createDataFrame([(*r, len(r[1] or ""), 1, 2, 3, "p", 4, "h", 5, "c", "k", "r", "pl", "ce", "fr", f"did {k}", k, "be", "cl", "so", "ra", "ab", 0.5, "od", "kp", "hh") for k, r in enumerate(texts() if rows is None else rows)], SCHEMA)
 
 
 def empty(spark):

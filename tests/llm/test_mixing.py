@@ -1,36 +1,69 @@
+import math
+import time
+from fractions import Fraction
+
+import numpy as np
 import pytest
 
 from corpusloom.llm import mixing
 from tests.llm import data
 
 
-@pytest.mark.parametrize("shares", [{"a": 1}, {"a": 1, "b": 1}, {"a": 7, "b": 2, "c": 1}, {"a": 500, "b": 333, "c": 166, "d": 1}])
-def test_less_than_one_block_off(shares):
-    slots = mixing.period_slots(shares)
-    n = sum(shares.values())
-    owner = [None] * n
-    for s, x in slots.items():
-        for t in x:
-            owner[t] = s
-    assert None not in owner
-    had = dict.fromkeys(shares, 0)
-    for t, s in enumerate(owner):
-        i = had[s]
-        assert i * n // shares[s] <= t < -(-(i + 1) * n // shares[s])
+def fluid(blocks, weights):
+    """By Fractions, a step at a time: (source, block) to the slots at which its service starts and ends."""
+    left, t, out = {s: Fraction(n) for s, n in blocks.items()}, Fraction(0), {}
+    began = dict.fromkeys(blocks, Fraction(0))
+    while any(left.values()):
+        active = [s for s in left if left[s]]
+        total = sum(weights[s] for s in active)
+        upto = {s: left[s] % 1 or Fraction(1) for s in active}  # to the end of the block at hand
+        dt = min(upto[s] * total / weights[s] for s in active)
+        for s in active:
+            left[s] -= dt * weights[s] / total
+            if upto[s] * total / weights[s] == dt:
+                out[s, blocks[s] - int(left[s]) - 1] = (began[s], t + dt)
+                began[s] = t + dt
+        t += dt
+    return out
+
+
+CASES = [({"a": 9}, {"a": 1}), ({"a": 5, "b": 9}, {"a": 1, "b": 1}), ({"a": 70, "b": 20, "c": 10}, {"a": 7, "b": 2, "c": 1}), ({"a": 40, "b": 3, "c": 31, "d": 1}, {"a": 500, "b": 333, "c": 166, "d": 1})]
+
+
+@pytest.mark.parametrize("blocks,weights", CASES)
+def test_windows_are_those_of_the_fluid_mixture(blocks, weights):
+    served = fluid(blocks, weights)
+    had = dict.fromkeys(blocks, 0)
+    for t, (s, release, deadline) in enumerate(mixing.earliest_deadlines(blocks, weights)):
+        start, end = served[s, had[s]]
+        assert (release, deadline) == (math.floor(start), math.ceil(end)) and release <= t < deadline
         had[s] += 1
-        assert all(abs(had[k] - shares[k] * (t + 1) / n) < 1 for k in shares)
+    assert had == blocks
+
+
+@pytest.mark.parametrize("blocks,weights", CASES)
+def test_slots_against_a_plain_scheduler(blocks, weights):
+    """Each slot looks at all sources' next blocks."""
+    served, had, out = fluid(blocks, weights), dict.fromkeys(blocks, 0), []
+    for t in range(sum(blocks.values())):
+        ready = [(math.ceil(served[s, i][1]), s) for s, i in had.items() if i < blocks[s] and served[s, i][0] < t + 1]
+        out.append(min(ready)[1])
+        had[out[-1]] += 1
+    assert [s for s, _, _ in mixing.earliest_deadlines(blocks, weights)] == out
 
 
-def test_quanta():
-    q = mixing.quanta({"a": 0.7, "b": 0.2, "c": 0.1, "d": 1e-12}, 1000)
-    assert sum(q.values()) == 1000 and q["d"] == 1 and abs(q["a"] - 700) <= 3
+def test_many_sources():
+    docs = {f"s{k}": 1 + k % 700 for k in range(100_000)}
+    began = time.process_time()
+    plan = mixing.Schedule(docs, {s: n**0.5 for s, n in docs.items()})
+    assert time.process_time() - began < 60
+    assert sorted(np.concatenate([x[0] for x in plan.blocks.values()]).tolist()) == list(range(plan.slots))
+    assert all((x[1] <= x[0]).all() and (x[0] < x[2]).all() for x in plan.blocks.values())
 
 
 @pytest.mark.parametrize("docs,block", [({"a": 1000, "b": 130, "c": 5, "d": 64}, 64), ({"a": 3, "b": 2}, 1), ({"a": 5000, "b": 4000}, 3)])
 def test_phases(docs, block):
     plan = mixing.Schedule(docs, {"a": 3.0, "b": 2.0, "c": 1.0, "d": 0.0}, block)
-    import numpy as np
-
     seen, positions = [], []
     for s, n in docs.items():
         blocks = np.arange(-(-n // block))
@@ -46,8 +79,6 @@ def test_phases(docs, block):
 @pytest.mark.parametrize("sources,n", [(20, 220_000), (300, 2_000_000)])
 def test_deviation_from_the_given_weights(sources, n, explicit):
     """Less than a block off the weights themselves, until the first source ends; one source has a third of all rows."""
-    import numpy as np
-
     docs = {f"s{k}": n * 2 // 3 // (sources - 1) for k in range(1, sources)} | {"s0": n // 3}
     weights = dict.fromkeys(docs, 1.0) | {"s0": sources - 1.0} if explicit else {s: k**0.5 for s, k in docs.items()}
     plan = mixing.Schedule(docs, weights)
@@ -71,7 +102,7 @@ def test_rows(spark):
 
 def test_order_within_sources(spark):
     rows = [(k, "t", "en", f"s{k % 3}" if k % 7 else "s0") for k in range(300)]
-    out = mixing.place(data.docs(spark, rows), block=4).select("doc_id", "source", "__place.*").orderBy("position").collect()
+    out = mixing.place(data.docs(spark, rows), block=4).select("row.doc_id", "row.source", "place.*").orderBy("position").collect()
     assert [r.position for r in out] == list(range(300))
     for s in ("s0", "s1", "s2"):
         ids = [r.doc_id for r in out if r.source == s]

@@ -68,7 +68,7 @@ def test_rows_tell_their_place_in_the_mixture(spark, tables, monkeypatch):
     monkeypatch.setattr(mixing.place, "__defaults__", (None, 4, "source"))
     monkeypatch.setattr(mixing.mix, "__defaults__", (None, 4))  # small blocks, so that sources alternate
     docs = spark.read.parquet(f"{d}/documents.parquet").where("doc_id is not null").dropDuplicates(["doc_id"])
-    wanted = mixing.place(docs).select("doc_id", "__place.*").orderBy("position").collect()
+    wanted = mixing.place(docs).select("row.doc_id", "place.*").orderBy("position").collect()
     mixed = corpus_pipeline.source_mix(spark, docs, d)
     assert [r.doc_id for r in mixed.collect()] == [r.doc_id for r in wanted] != sorted(r.doc_id for r in wanted)
     out = corpus_pipeline.encode(spark, mixed.repartition(7, "text"), d).orderBy("position").collect()
