@@ -12,7 +12,7 @@ sequences of a licence before its shorter ones; each takes every place where its
 sequence stands in what earlier rules have left, and identifiers that no rule takes are
 reported as left over.
 
-Edge cases: null text has no sentences; a licence that stands several times is reported
+Edge cases: null text has no sentences; a text of any length is scanned in one piece, in time in proportion to it; a licence that stands several times is reported
 once in `licenses` and counted in `n_matches`; rows repeat as they are; an empty table
 gives an empty result; other columns are ignored. One pass, no shuffle.
 """
@@ -32,64 +32,113 @@ from corpusloom.llm.common import table, text_bytes
 SENTENCES = {
     "mit-short": ["Released under the MIT License.", "Licensed under the MIT License.", "This project is licensed under the MIT License.", "SPDX-License-Identifier: MIT"],
     "mit-grant": ["Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:"],
-    "mit-notice": ["The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software."],
+    "mit-notice": ["The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.", "The above copyright notice and this permission notice (including the next paragraph) shall be included in all copies or substantial portions of the Software."],
     "mit-warranty": ["THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT."],
+    "mit-liability": ["IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."],
     "apache2-short": ["Licensed under the Apache License, Version 2.0.", "Licensed under the Apache License, Version 2.0 (the \"License\");", "Released under the Apache License, Version 2.0.", "SPDX-License-Identifier: Apache-2.0"],
     "apache2-use": ["you may not use this file except in compliance with the License."],
-    "apache2-copy": ["You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0"],
+    "apache2-copy": ["You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0", "You may obtain a copy of the License at https://www.apache.org/licenses/LICENSE-2.0"],
+    "apache2-basis": ["Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied."],
+    "apache2-see": ["See the License for the specific language governing permissions and limitations under the License."],
+    "apache2-grant": ["Subject to the terms and conditions of this License, each Contributor hereby grants to You a perpetual, worldwide, non-exclusive, no-charge, royalty-free, irrevocable copyright license to reproduce, prepare Derivative Works of, publicly display, publicly perform, sublicense, and distribute the Work and such Derivative Works in Source or Object form."],
+    "apache2-redistribution": ["You may reproduce and distribute copies of the Work or Derivative Works thereof in any medium, with or without modifications, and in Source or Object form, provided that You meet the following conditions:"],
     "gpl2-short": ["This work is licensed under the GNU General Public License, version 2.", "SPDX-License-Identifier: GPL-2.0-only"],
     "gpl3-short": ["This work is licensed under the GNU General Public License, version 3.", "Licensed under the GNU General Public License, version 3.", "SPDX-License-Identifier: GPL-3.0-only"],
     "gpl-free": ["This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."],
-    "gpl-warranty": ["This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY;"],
+    "gnu-program": ["This program is free software;"],
+    "gnu-library": ["This library is free software;"],
+    "gpl-terms": ["you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation;"],
+    "lgpl-terms": ["you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation;"],
+    "gnu-version-2": ["either version 2 of the License, or (at your option) any later version."],
+    "gnu-version-2.1": ["either version 2.1 of the License, or (at your option) any later version."],
+    "gpl-warranty": ["This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY;", "This library is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY;"],
+    "gpl-fitness": ["without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE."],
+    "gpl-see": ["See the GNU General Public License for more details."],
+    "lgpl-see": ["See the GNU Lesser General Public License for more details."],
+    "gnu-verbatim": ["Everyone is permitted to copy and distribute verbatim copies of this license document, but changing it is not allowed."],
+    "gpl3-title": ["GNU GENERAL PUBLIC LICENSE Version 3, 29 June 2007"],
+    "gpl3-preamble": ["The GNU General Public License is a free, copyleft license for software and other kinds of works."],
+    "gpl2-title": ["GNU GENERAL PUBLIC LICENSE Version 2, June 1991"],
+    "gpl2-preamble": ["The licenses for most software are designed to take away your freedom to share and change it."],
+    "lgpl3-title": ["GNU LESSER GENERAL PUBLIC LICENSE Version 3, 29 June 2007"],
     "lgpl3-short": ["This work is licensed under the GNU Lesser General Public License, version 3.", "SPDX-License-Identifier: LGPL-3.0-only"],
     "bsd-redistribute": ["Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:"],
+    "bsd-source": ["Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer."],
+    "bsd-binary": ["Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution."],
     "bsd-endorse": ["Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."],
+    "bsd-warranty": ["THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED."],
     "bsd-short": ["Licensed under the BSD License.", "Released under the BSD 3-Clause License.", "SPDX-License-Identifier: BSD-3-Clause"],
     "mpl2-short": ["This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.", "Licensed under the Mozilla Public License, Version 2.0.", "SPDX-License-Identifier: MPL-2.0"],
+    "mpl2-copy": ["If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/.", "If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/."],
+    "mpl2-title": ["Mozilla Public License Version 2.0"],
+    "mpl2-grant": ["Each Contributor hereby grants You a world-wide, royalty-free, non-exclusive license:"],
     "cc-by-short": ["Licensed under CC BY 4.0.", "This work is licensed under a Creative Commons Attribution 4.0 International License."],
     "cc-by-nc-short": ["Licensed under CC BY-NC 4.0.", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."],
     "cc-by-sa-short": ["Licensed under CC BY-SA 4.0.", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."],
     "cc0-short": ["Released under CC0 1.0.", "SPDX-License-Identifier: CC0-1.0"],
-    "isc-grant": ["Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."],
+    "isc-grant": ["Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.", "Permission to use, copy, modify, and distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."],
+    "isc-warranty": ["THE SOFTWARE IS PROVIDED \"AS IS\" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS."],
     "unlicense-short": ["This is free and unencumbered software released into the public domain."],
+    "unlicense-grant": ["Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means."],
     "reserved": ["All rights reserved."],
 }
 
 #: Licence, and the sequence of sentences that tells it.
 RULES = [
+    ("MIT", ["mit-grant", "mit-notice", "mit-warranty", "mit-liability"]),
     ("MIT", ["mit-grant", "mit-notice", "mit-warranty"]),
     ("MIT", ["mit-grant", "mit-notice"]),
     ("MIT", ["mit-grant"]),
     ("MIT", ["mit-short"]),
+    ("Apache-2.0", ["apache2-short", "apache2-use", "apache2-copy", "apache2-basis", "apache2-see"]),
+    ("Apache-2.0", ["apache2-short", "apache2-use", "apache2-copy", "apache2-basis"]),
     ("Apache-2.0", ["apache2-short", "apache2-use", "apache2-copy"]),
     ("Apache-2.0", ["apache2-short", "apache2-use"]),
+    ("Apache-2.0", ["apache2-grant", "apache2-redistribution"]),
     ("Apache-2.0", ["apache2-short"]),
+    ("GPL-3.0", ["gpl3-title", "gnu-verbatim", "gpl3-preamble"]),
+    ("GPL-2.0", ["gpl2-title", "gnu-verbatim", "gpl2-preamble"]),
+    ("LGPL-3.0", ["lgpl3-title", "gnu-verbatim"]),
+    ("GPL-3.0-or-later", ["gpl-free", "gpl-warranty", "gpl-fitness", "gpl-see"]),
     ("GPL-3.0-or-later", ["gpl-free", "gpl-warranty"]),
     ("GPL-3.0-or-later", ["gpl-free"]),
+    ("GPL-2.0-or-later", ["gnu-program", "gpl-terms", "gnu-version-2", "gpl-warranty", "gpl-fitness", "gpl-see"]),
+    ("GPL-2.0-or-later", ["gnu-program", "gpl-terms", "gnu-version-2"]),
+    ("LGPL-2.1-or-later", ["gnu-library", "lgpl-terms", "gnu-version-2.1", "gpl-warranty", "gpl-fitness", "lgpl-see"]),
+    ("LGPL-2.1-or-later", ["gnu-library", "lgpl-terms", "gnu-version-2.1"]),
     ("GPL-3.0", ["gpl3-short"]),
     ("GPL-2.0", ["gpl2-short"]),
     ("LGPL-3.0", ["lgpl3-short"]),
+    ("BSD-3-Clause", ["bsd-redistribute", "bsd-source", "bsd-binary", "bsd-endorse", "bsd-warranty"]),
+    ("BSD-3-Clause", ["bsd-redistribute", "bsd-source", "bsd-binary", "bsd-endorse"]),
+    ("BSD-2-Clause", ["bsd-redistribute", "bsd-source", "bsd-binary", "bsd-warranty"]),
+    ("BSD-2-Clause", ["bsd-redistribute", "bsd-source", "bsd-binary"]),
     ("BSD-3-Clause", ["bsd-redistribute", "bsd-endorse"]),
     ("BSD-2-Clause", ["bsd-redistribute"]),
     ("BSD-3-Clause", ["bsd-short"]),
+    ("MPL-2.0", ["mpl2-short", "mpl2-copy"]),
+    ("MPL-2.0", ["mpl2-title", "mpl2-grant"]),
     ("MPL-2.0", ["mpl2-short"]),
     ("CC-BY-NC-4.0", ["cc-by-nc-short"]),
     ("CC-BY-SA-4.0", ["cc-by-sa-short"]),
     ("CC-BY-4.0", ["cc-by-short"]),
     ("CC0-1.0", ["cc0-short"]),
+    ("ISC", ["isc-grant", "isc-warranty"]),
     ("ISC", ["isc-grant"]),
+    ("Unlicense", ["unlicense-short", "unlicense-grant"]),
     ("Unlicense", ["unlicense-short"]),
     ("Proprietary", ["reserved"]),
 ]
 
 _PARTS = re.compile(rb"([\n\r]+)|(?<=[.!?;])[\x20\t\x0b\x0c]+")  # group 1: a line end
 _CUT = re.compile(rb"[\n\r]+|(?<=[.!?;])[\x20\t\x0b\x0c]+")
-_DROP = re.compile(rb"[\"'()\[\]]")
+_DROP = b"\"'()[]"
+_LOWER = bytes(range(256)).lower()
 _REST = re.compile(rb"(?:(?!(?<=[0-9])\.(?=[0-9]))[^a-z0-9+])+")
 
 
 def normalise(sentence: bytes) -> bytes:
-    return _REST.sub(b" ", _DROP.sub(b"", sentence.lower())).strip()
+    return _REST.sub(b" ", sentence.translate(_LOWER, _DROP)).strip()
 
 
 class Scanner:
@@ -101,12 +150,13 @@ class Scanner:
                     self.known.setdefault(key, name)
         self.begun = {b" ".join(words[:n]) for words in map(bytes.split, self.known) for n in range(1, len(words))}
         self.rules = rules
-        # a cheap test that loses nothing: the first word of each known sentence, followed by its second
+        # a cheap test that loses nothing: the first word of each known sentence, followed by its second, in the text
+        # as it is before runs of other characters become spaces
         starts = {b" ".join(k.split()[:2]) for k in self.known}
-        self.start = re.compile(b"|".join(rb"[^a-z0-9+]+".join(map(re.escape, s.split())) for s in sorted(starts)), re.I)
+        self.start = re.compile(b"|".join(rb"[^a-z0-9+]+".join(map(re.escape, s.split())) for s in sorted(starts)))
 
     def identifiers(self, text: bytes) -> list[str]:
-        if not self.start.search(text):
+        if not self.start.search(text.translate(_LOWER, _DROP)):
             return []
         out = []
         cut = _PARTS.split(text)

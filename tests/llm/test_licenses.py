@@ -1,3 +1,5 @@
+import random
+import re
 import textwrap
 
 import pytest
@@ -54,6 +56,92 @@ def test_lines_between_are_no_part_of_a_sentence():
     assert found("Licensed under\nReleased under the MIT License.\nAll rights\nreserved.") == (["MIT", "Proprietary"], 2, [])
 
 
+def brute(text):
+    """The longest known sentence that starts at each part, by trying every one on the words that follow."""
+    known = {}
+    for name, forms in licenses.SENTENCES.items():
+        for form in forms:
+            for key in (form, re.split(r"(?<=[.!?;])[ \t]+", form)[0]):
+                known.setdefault(tuple(_words(key)), name)
+    parts = []  # words, and whether the part ends with its line
+    for line in re.split(r"[\r\n]+", text):
+        cut = re.split(r"(?<=[.!?;])[ \t\x0b\x0c]+", line)
+        parts += [(_words(x), k == len(cut) - 1) for k, x in enumerate(cut)]
+    parts = [(w, e) for w, e in parts if w]
+    out, at = [], 0
+    while at < len(parts):
+        best = None
+        for end in range(at + 1, len(parts) + 1):
+            if end > at + 1 and not parts[end - 2][1]:
+                break
+            words = tuple(w for p, _ in parts[at:end] for w in p)
+            if words in known:
+                best = (end, known[words])
+        out += [best[1]] if best else []
+        at = best[0] if best else at + 1
+    return out
+
+
+def _words(text):
+    bare = "".join(c for c in text.lower() if c not in "\"'()[]")
+    bare = re.sub(r"(?<=[0-9])\.(?=[0-9])", "\0", bare)
+    return [w.replace("\0", ".") for w in re.split(r"[^a-z0-9+\0]+", bare) if w]
+
+
+@pytest.mark.parametrize("seed", range(40))
+def test_against_brute_force(seed):
+    r = random.Random(seed)
+    flat = [t for texts in licenses.SENTENCES.values() for t in texts]
+    lines = []
+    for _ in range(12):
+        t = r.choice(flat) if r.random() < 0.7 else "Some other words of " + r.choice(flat)
+        if r.random() < 0.3:
+            words = t.split()
+            words[r.randrange(len(words))] = r.choice(["", "x", "(the)", "right's", "2.0", "License."])
+            t = " ".join(words)
+        if r.random() < 0.6:
+            t = textwrap.fill(t, r.randrange(20, 90), initial_indent=(lead := r.choice(["", "# ", " * ", "// "])), subsequent_indent=lead, break_on_hyphens=False)
+        lines.append(r.choice([str, str.upper, str.lower])(t))
+    text = "".join(x + r.choice(["\n", " ", "\r\n\n", "\n\n"]) for x in lines)
+    assert TOOL.identifiers(text.encode()) == brute(text)
+
+
+def test_the_pre_test_drops_what_normalisation_drops():
+    assert found("All right's reserved.") == (["Proprietary"], 1, [])
+    assert found("(All) rights\n\n'reserved'.") == (["Proprietary"], 1, [])
+
+
+def whole(*names, lead=(), between="\n\n"):
+    return between.join([*lead, *(licenses.SENTENCES[n][0] for n in names)])
+
+
+FULL = {
+    "MIT": whole("mit-grant", "mit-notice", lead=["MIT License", "Copyright (c) 2020 Some One"]) + "\n\n" + whole("mit-warranty", "mit-liability", between=" "),
+    "Apache-2.0": '   Licensed under the Apache License, Version 2.0 (the "License");\n   you may not use this file except in compliance with the License.\n   You may obtain a copy of the License at\n\n       http://www.apache.org/licenses/LICENSE-2.0\n\n   '
+    + whole("apache2-basis", between=" ") + "\n   " + whole("apache2-see"),
+    "GPL-3.0-or-later": whole("gpl-free") + "\n\n" + whole("gpl-warranty", "gpl-fitness", between=" ") + "  See the GNU General Public License for more details.\n\nYou should have received a copy",
+    "GPL-2.0-or-later": whole("gnu-program", "gpl-terms", "gnu-version-2", between=" ") + "\n\n" + whole("gpl-warranty", "gpl-fitness", "gpl-see", between=" "),
+    "LGPL-2.1-or-later": whole("gnu-library", "lgpl-terms", "gnu-version-2.1", between=" "),
+    "GPL-3.0": "                    GNU GENERAL PUBLIC LICENSE\n                       Version 3, 29 June 2007\n\n Copyright (C) 2007 Free Software Foundation, Inc. <https://fsf.org/>\n" + whole("gnu-verbatim") + "\n\n  Preamble\n\n  " + whole("gpl3-preamble"),
+    "BSD-3-Clause": whole("bsd-redistribute", lead=["Copyright (c) 2020, Some One", "All rights held."]) + "\n\n1. " + whole("bsd-source") + "\n\n2. " + whole("bsd-binary") + "\n\n3. " + whole("bsd-endorse") + "\n\n" + whole("bsd-warranty"),
+    "BSD-2-Clause": whole("bsd-redistribute") + "\n\n  * " + whole("bsd-source") + "\n  * " + whole("bsd-binary") + "\n\n" + whole("bsd-warranty") + " IN NO EVENT SHALL",
+    "MPL-2.0": "This Source Code Form is subject to the terms of the Mozilla Public\nLicense, v. 2.0. If a copy of the MPL was not distributed with this\nfile, You can obtain one at https://mozilla.org/MPL/2.0/.",
+    "ISC": "Copyright (c) 2020 Some One\n\n" + whole("isc-grant", "isc-warranty"),
+    "Unlicense": whole("unlicense-short", "unlicense-grant"),
+}
+
+
+@pytest.mark.parametrize("name", FULL)
+@pytest.mark.parametrize("width", [None, 40, 60, 79])
+@pytest.mark.parametrize("leader", ["", " * ", "# ", "// "])
+def test_whole_licences(name, width, leader):
+    text = FULL[name]
+    if width:
+        text = "\n".join(leader + line for part in text.split("\n") for line in (textwrap.wrap(part.strip(), width, break_on_hyphens=False, break_long_words=False) or [""]))
+    got = found(text)
+    assert got == ([name], 1, []), got
+
+
 def test_near_misses():
     for t in ("Licensed under the Apache License, Version 3.0.", "the MIT License", "Not licensed under CC BY 4.0 at all", "Licensed under CC BY-NC 40."):
         assert found(t) == ([], 0, [])
