@@ -9,6 +9,7 @@ import tempfile
 import uuid
 import weakref
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -92,15 +93,20 @@ def row_of(docs: DataFrame) -> Column:
     return F.struct(*(F.col(f"`{c.replace('`', '``')}`") for c in docs.columns))
 
 
-_memos: weakref.WeakSet[Memo] = weakref.WeakSet()
+_remembering: weakref.WeakSet = weakref.WeakSet()
 
 
-def alone(*mine: Memo) -> None:
-    """Empties the memos of other operators that this Python worker has served, and returns their memory to the system:
-    workers outlive a stage, and an executor has as many as it has cores."""
-    others = [m for m in _memos if m not in mine and (m.now or m.before)]
-    for m in others:
-        m.now, m.before = {}, {}
+def remembering(tool) -> None:
+    """Has `alone` know a tool that remembers results; tool.forget() empties it."""
+    _remembering.add(tool)
+
+
+def alone(*mine) -> None:
+    """Empties what the tools of other operators that this Python worker has served remember, and returns their memory
+    to the system: workers outlive a stage, and an executor has as many as it has cores."""
+    others = [x for x in _remembering if all(x is not m for m in mine)]
+    for x in others:
+        x.forget()
     if others:
         trim()
 
@@ -112,14 +118,19 @@ def trim() -> None:
         ctypes.CDLL(None).malloc_trim(0)
     except (AttributeError, OSError):
         pass
+    pa.default_memory_pool().release_unused()
 
 
 class Memo:
     """Remembers results by key in two generations of bounded size; what was used lately survives."""
 
     def __init__(self, size: int):
-        self.size, self.now, self.before = size, {}, {}
-        _memos.add(self)
+        self.size = size
+        self.forget()
+        remembering(self)
+
+    def forget(self) -> None:
+        self.now, self.before = {}, {}
 
     def values(self, keys: list, make) -> list:
         """Each key's value, never None; make(list of keys not remembered) gives theirs in order."""

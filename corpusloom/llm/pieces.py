@@ -30,11 +30,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import Memo, table, text_bytes
+from corpusloom.llm.common import Memo, alone, table, text_bytes
 
 MODEL = "piece_bpe_32k.model"
 MARK = "▁"
-REMEMBERED = 600_000
+REMEMBERED = 200_000
 AT_ONCE = 500
 SHORT = 64
 NONE = np.int64(1) << 62
@@ -198,6 +198,7 @@ def model(path: str) -> Pieces:
 def _run(path: str, with_values: bool, also: tuple[str, ...] = ()):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tool = model(path)
+        alone(tool.memo, tool.words)
         for whole in batches:
             for at in range(0, whole.num_rows, AT_ONCE):
                 batch = whole.slice(at, AT_ONCE)

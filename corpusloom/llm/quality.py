@@ -2,8 +2,8 @@
 
 A document's own evidence is the probability that a logistic regression on a dozen
 measures of its whole text gives. It is fitted by Newton's method on the labelled
-documents, at most `sample` (20,000) of them, those of least hash of doc_id; everything
-else covers all documents.
+documents, at most `sample` (20,000) of them, those whose hash of doc_id is below a
+threshold set by the number of labels; everything else covers all documents.
 
 Documents belong to a host (here the source) and a path below it (here the language).
 Sums of the documents' probabilities for each path and host, grouped with partial sums,
@@ -14,9 +14,12 @@ its own plus its path's, without its own part in it, less the global ones; it is
 they aren't negative.
 
 Edge cases: null text is empty; null host or path is a group of its own; labels without
-a document or with null quality are left out, several labels of one doc_id are averaged;
-without both kinds of label every document has probability 1/2 and is kept; rows repeat
-as they are; an empty table gives an empty result; other columns are ignored.
+a document or with null quality are left out, several labels of one doc_id are averaged, and
+so are the measures of several rows of one; without both kinds of label every document has
+probability 1/2 and is kept; rows repeat as they are, and rows with a null doc_id are judged
+like others; an empty table gives an empty result; a text is measured in one piece, which takes
+about ten times its size; other columns are ignored by `classify` and kept by `kept`, whatever
+their names.
 """
 
 from __future__ import annotations
@@ -30,9 +33,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import keep, table, text_bytes
+from corpusloom.llm.common import alone, drop, keep, row_of, table, text_bytes
 
 SAMPLE = 20_000
+AT_ONCE = 500
 #: Bytes that count as upper case, digits, symbols and exclamations.
 UPPER_BYTES = b"ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 DIGITS = b"0123456789"
@@ -55,10 +59,20 @@ def measure(text: bytes) -> list[float]:
     ]
 
 
+def _measured(texts: pa.Array) -> np.ndarray:
+    """A row of measures for each text, a few texts in hand at a time."""
+    alone()
+    out = np.empty((len(texts), len(MEASURES)))
+    for at in range(0, len(texts), AT_ONCE):
+        for k, x in enumerate(texts.slice(at, AT_ONCE).to_pylist(), at):
+            out[k] = measure(x)
+    return out
+
+
 def _measures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        x = np.array([measure(t) for t in batch.column("text").to_pylist()], np.float64).reshape(-1, len(MEASURES))
-        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc_id", "host", "path", "rid")), *(pa.array(x[:, k].copy()) for k in range(len(MEASURES)))], ["doc_id", "host", "path", "rid", *MEASURES])
+        x = _measured(batch.column("text"))
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("y"), *(pa.array(x[:, k].copy()) for k in range(len(MEASURES)))], ["doc_id", "y", *MEASURES])
 
 
 def fit(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> np.ndarray:
@@ -95,48 +109,82 @@ def _pseudo(groups: DataFrame, mean, centre) -> float:
     return float(min(1e6, max(1.0, var / spread - 1))) if spread > 0 else 1e6
 
 
-def classify(docs: DataFrame, labels: DataFrame, host: str = "source", path: str = "lang", sample: int = SAMPLE) -> DataFrame:
-    """For each row of docs: doc_id, p_document, host_posterior, path_posterior, posterior, keep; and rid,
-    a hash of the text that tells rows of one doc_id apart."""
-    text = text_bytes()
-    group = lambda c: F.coalesce(F.concat(F.lit("s"), F.col(c).cast("string")), F.lit("n"))
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), group(host).alias("host"), group(path).alias("path"), F.xxhash64(text).alias("rid"), text.alias("text"))
-    kinds = "doc_id long, host string, path string, rid long, " + ", ".join(f"{m} double" for m in MEASURES)
-    rows, _ = keep(rows.mapInArrow(_measures, kinds), "measures")
+def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> np.ndarray | None:
+    """Weights on the measures; None without both kinds of label. Labels are cut to about `sample` by a threshold on
+    the hash of doc_id before any text is read; only those few ids go to all tasks, and their measures to the driver."""
     known = labels.where("quality is not null and doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.avg(F.col("quality").cast("double")).alias("y"))
-    train = rows.join(known, "doc_id").orderBy(F.xxhash64("doc_id"), "rid").limit(sample).select("y", *MEASURES).toPandas()  # at most `sample` rows
-    y = (train["y"].to_numpy() >= 0.5).astype(float)
-    own = F.lit(0.0)
-    if 0 < y.sum() < len(y):
-        w = fit(train[MEASURES].to_numpy(), y)
-        own = F.lit(float(w[-1]))
-        for m, v in zip(MEASURES, w[:-1], strict=True):
-            own = own + F.col(m) * F.lit(float(v))
-    p = 1 / (1 + F.exp(-F.greatest(F.lit(-14.0), F.least(F.lit(14.0), own))))
-    scored, _ = keep(rows.select("doc_id", "host", "path", "rid", p.alias("p")), "scored")
-    paths, _ = keep(scored.groupBy("host", "path").agg(F.count("*").alias("n"), F.sum("p").alias("s")), "paths")
-    hosts = paths.groupBy("host").agg(F.sum("n").alias("n"), F.sum("s").alias("s"))
-    total = hosts.agg(F.sum("n").alias("n"), F.sum("s").alias("s")).first()
-    mean = total.s / total.n if total.n else 0.5
-    k1 = _pseudo(hosts, F.lit(mean), F.lit(mean))
-    hosts = hosts.select("host", ((F.col("s") + k1 * mean) / (F.col("n") + k1)).alias("host_posterior"))
-    paths = paths.join(hosts, "host")
-    k2 = _pseudo(paths, F.col("host_posterior"), F.col("host_posterior"))
-    out = scored.join(paths, ["host", "path"])
-    rest = (F.col("s") - F.col("p") + k2 * F.col("host_posterior")) / (F.col("n") - 1 + k2)
-    odds = _logit(F.col("p")) + _logit(F.least(F.lit(1 - 1e-9), F.greatest(F.lit(1e-9), rest))) - F.lit(math.log(mean) - math.log(1 - mean))
-    out = out.withColumn("path_posterior", (F.col("s") + k2 * F.col("host_posterior")) / (F.col("n") + k2)).withColumn("odds", odds)
+    known = known.where("doc_id is not null")
+    n = known.count()
+    if n > sample:
+        known = known.where(F.xxhash64("doc_id") < F.lit(int(2**64 * 0.95 * sample / n) - 2**63))
+    chosen, path = keep(known, "chosen")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_bytes().alias("text")).join(F.broadcast(chosen), "doc_id")  # `sample` ids of 16 bytes
+    kinds = "doc_id long, y double, " + ", ".join(f"{m} double" for m in MEASURES)
+    rows = texts.mapInArrow(_measures, kinds).groupBy("doc_id").agg(F.first("y").alias("y"), *(F.avg(m).alias(m) for m in MEASURES))
+    rows = rows.withColumn("h", F.xxhash64("doc_id")).toPandas().sort_values("h").head(sample)
+    drop(docs.sparkSession, path)
+    y = (rows["y"].to_numpy() >= 0.5).astype(float)
+    return fit(rows[MEASURES].to_numpy(), y) if 0 < y.sum() < len(y) else None
+
+
+def probability(w: np.ndarray | None):
+    """A function of the text's bytes: the classifier's probability that the document is good."""
+
+    @F.arrow_udf("double")
+    def p(texts: pa.Array) -> pa.Array:
+        if w is None:
+            return pa.array(np.full(len(texts), 0.5))
+        return pa.array(1 / (1 + np.exp(-np.clip((_measured(texts) * w[:-1]).sum(axis=1) + w[-1], -14.0, 14.0))))
+
+    return p
+
+
+class Sites:
+    """Posteriors of hosts and paths, from sums over all documents."""
+
+    def __init__(self, scored: DataFrame):
+        """scored: host, path, p of every document."""
+        paths, _ = keep(scored.groupBy("host", "path").agg(F.count("*").alias("n"), F.sum("p").alias("s")), "paths")
+        hosts = paths.groupBy("host").agg(F.sum("n").alias("n"), F.sum("s").alias("s"))
+        total = hosts.agg(F.sum("n").alias("n"), F.sum("s").alias("s")).first()
+        self.mean = total.s / total.n if total.n else 0.5
+        k1 = _pseudo(hosts, F.lit(self.mean), F.lit(self.mean))
+        hosts = hosts.select("host", ((F.col("s") + k1 * self.mean) / (F.col("n") + k1)).alias("host_posterior"))
+        self.paths = paths.join(hosts, "host")
+        self.pseudo = _pseudo(self.paths, F.col("host_posterior"), F.col("host_posterior"))
+
+    def judge(self, docs: DataFrame) -> DataFrame:
+        """docs (host, path, p, others) with host_posterior, path_posterior and odds."""
+        out, k = docs.join(self.paths, ["host", "path"]), self.pseudo
+        rest = (F.col("s") - F.col("p") + k * F.col("host_posterior")) / (F.col("n") - 1 + k)
+        odds = _logit(F.col("p")) + _logit(F.least(F.lit(1 - 1e-9), F.greatest(F.lit(1e-9), rest))) - F.lit(math.log(self.mean) - math.log(1 - self.mean))
+        return out.withColumns({"path_posterior": (F.col("s") + k * F.col("host_posterior")) / (F.col("n") + k), "odds": odds})
+
+
+def _site(column: str):
+    return F.coalesce(F.concat(F.lit("s"), F.col(column).cast("string")), F.lit("n"))
+
+
+def _good():
+    return F.round("odds", 9) >= 0
+
+
+def classify(docs: DataFrame, labels: DataFrame, host: str = "source", path: str = "lang", sample: int = SAMPLE) -> DataFrame:
+    """For each row of docs: doc_id, p_document, host_posterior, path_posterior, posterior, keep."""
+    p = probability(train(docs, labels, sample))
+    scored, _ = keep(docs.select(F.col("doc_id").cast("long").alias("doc_id"), _site(host).alias("host"), _site(path).alias("path"), p(text_bytes()).alias("p")), "scored")
+    out = Sites(scored).judge(scored)
     posterior = 1 / (1 + F.exp(-F.greatest(F.lit(-30.0), F.least(F.lit(30.0), F.col("odds")))))
-    return out.select("doc_id", F.col("p").alias("p_document"), "host_posterior", "path_posterior", posterior.alias("posterior"), (F.round("odds", 9) >= 0).alias("keep"), "rid")
+    return out.select("doc_id", F.col("p").alias("p_document"), "host_posterior", "path_posterior", posterior.alias("posterior"), _good().alias("keep"))
 
 
-def kept(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """docs without those that `classify` rejects."""
-    last = F.lit((1 << 63) - 1)
-    out = classify(docs, labels).where("not keep").select(F.coalesce("doc_id", last).alias("__did"), F.col("rid").alias("__rid")).distinct()
-    keyed = docs.withColumns({"__did": F.coalesce(F.col("doc_id").cast("long"), last), "__rid": F.xxhash64(text_bytes())})
-    return keyed.join(out, ["__did", "__rid"], "left_anti").select(*docs.columns)
+def kept(docs: DataFrame, labels: DataFrame, host: str = "source", path: str = "lang", sample: int = SAMPLE) -> DataFrame:
+    """docs without those that `classify` rejects. Texts are measured again for the decision rather than written or
+    shuffled: beside them goes only what is known of their path, one row for each."""
+    p = probability(train(docs, labels, sample))
+    rows = docs.select(_site(host).alias("host"), _site(path).alias("path"), p(text_bytes()).alias("p"), row_of(docs).alias("row"))
+    return Sites(rows.select("host", "path", "p")).judge(rows).where(_good()).select("row.*")
 
 
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).drop("rid")
+    return classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
