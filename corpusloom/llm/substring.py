@@ -4,24 +4,29 @@ A window is `width` (20) consecutive words of one document. A word goes if a win
 that covers it has the same words as a window that starts earlier: in a document of
 smaller doc_id, or earlier in its own. Windows are judged on the input.
 
-A suffix is taken at each word and cut at depth 20, which is all that a repeat needs.
-The way to its deep nodes:
+The way to the repeats:
 
 1. Sparse suffixes. Each window elects its least 6-gram (by hash, leftmost on ties), a
    choice that depends on the window's words only, so equal windows elect the same one
    at the same offset. Only elected positions, a seventh or so, are shuffled, by the
    6-gram's hash; what comes once lies under no deep node. What a batch already knows to
-   come twice is marked at once and doesn't meet others, so a common passage loads no task.
-2. Prefix partition. The suffixes at marked positions are split by their first 2 words;
-   prefixes with more than `group` suffixes by 4 words, then by 6, then by all 20. The
-   counts are exact and cover all documents; at most (suffixes / group) prefixes of a
-   length are over that and known to all tasks. Each group is hashed to one of (suffixes /
-   group) buckets, so a bucket is memory-sized. Records that are equal in all their words
-   within a batch send only their earliest; at 20 words this bounds a hot group by the
-   number of batches, not by its copies.
-3. Subtrees. A bucket's suffixes are sorted, their common prefixes measured; a run of
-   suffixes that agree to depth 20 is an internal node, whose leaves but the earliest
-   start a repeated window. Words are compared by 48 bits of a hash in each place.
+   come twice is marked at once; its first position brings the batch's count, so a common
+   passage sends one row a batch.
+2. Prefix partition. A marked position's record is the text of the windows that elect it,
+   34 words at most. Records meet by the 6 words at the elected position. A worker reads
+   them sorted by prefix and takes as many prefixes at a time as make a memory-sized group
+   (`group` records). Where 6 words aren't enough, the prefix is lengthened to all 20 words
+   of each window: for the prefixes known beforehand to come more than `heavy` times (the
+   `known` most frequent of these at most, so what all tasks are told is bounded), and in a
+   second round for any other that turns out larger than a group. A group of a 20-word prefix is a
+   single node and is read in order of place, holding its first leaf alone. Equal records
+   of a batch are combined before they are sent.
+3. Subtrees. The suffixes of a group's records are sorted, word by word, and neighbours'
+   common prefixes measured. Runs of them that reach a depth are the subtree's internal
+   nodes (`deep_nodes`); those of 20 words or more give the maximal repeats. A leaf that
+   isn't the earliest below a node repeats the node's whole depth from where it starts.
+   Words are numbered within a group by their bytes, so equal means equal; hashes choose
+   candidates only.
 4. Ranges of repeated window starts go back to their documents.
 
 Documents without a marked position are done after step 1 and their text moves no more.
@@ -30,8 +35,8 @@ Edge cases: null text has no words; fewer than 20 words are kept whole; rows of
 doc_id with different texts are documents of their own, ordered by a hash of the text;
 rows that are equal in both count as one document and each get its result; a null doc_id
 comes after all others; empty tables give empty results; other columns are ignored (in
-`remove_repeats` they are kept). A document may be as long as a task's memory allows:
-about 40 times its size.
+`remove_repeats` they are kept, whatever their names). A document may be as long as a task's
+memory allows: about 40 times its size.
 """
 
 from __future__ import annotations
@@ -42,18 +47,19 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from corpusloom.llm.common import keep, table, tasks, text_bytes
+from corpusloom.llm.common import alone, keep, row_of, table, tasks, text_bytes
 
 WIDTH = 20
 GRAM = 6
 SPAN = WIDTH - GRAM + 1
 LONGEST = 2 * WIDTH - GRAM  # words of the windows that can elect one position
-GROUP = 20_000
-CODE = 6  # bytes of a word's code
+GROUP = 20_000  # records in a worker's hands at once
+HEAVY, KNOWN = 1000, 100_000
 PIECE = 2 << 20  # text bytes worked on at once
 LAST = (1 << 63) - 1
 
@@ -74,16 +80,21 @@ def _weights(n: int, seed: int) -> np.ndarray:
     return _mix(np.arange(1, n + 1, dtype=np.uint64) + np.uint64(seed << 40)) | np.uint64(1)
 
 
-_GRAM_W, _ROW_A, _ROW_B = _weights(GRAM, 1), _weights(LONGEST, 2), _weights(LONGEST, 3)
+_GRAM_W = _weights(GRAM, 1)
 
 
-def word_codes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """A 64-bit code of each word of the texts, and each text's first word (one more entry at the end)."""
+def _words(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The texts' bytes, which of them belong to words, where the words start and how long they are."""
     data = np.frombuffer(b"\n".join(texts) + b"\n", np.uint8)
     word = ~_SPACE[data]
     step = np.diff(word.view(np.int8), prepend=np.int8(0))
-    starts, ends = np.flatnonzero(step == 1), np.flatnonzero(step == -1)
-    lens = ends - starts
+    starts = np.flatnonzero(step == 1)
+    return data, word, starts, np.flatnonzero(step == -1) - starts
+
+
+def word_codes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """A 64-bit code of each word of the texts, and each text's first word (one more entry at the end)."""
+    data, word, starts, lens = _words(texts)
     bounds = np.cumsum([0, *(len(t) + 1 for t in texts)])
     firsts = np.searchsorted(starts, bounds)
     if not len(starts):
@@ -94,6 +105,21 @@ def word_codes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return _mix(np.add.reduceat(part, at) + lens.astype(np.uint64)), firsts
 
 
+class Clean:
+    """The texts' words with one space between them, to cut records from."""
+
+    def __init__(self, texts: list[bytes]):
+        data, word, starts, lens = _words(texts)
+        both = word.copy()
+        both[starts + lens] = True  # the first space after each word
+        self.data = np.where(word, data, np.uint8(32))[both].tobytes()
+        self.at = np.concatenate(([0], np.cumsum(lens + 1)))
+
+    def cut(self, first: np.ndarray, past: np.ndarray) -> list[bytes]:
+        """The words from `first` up to `past` of each pair."""
+        return [self.data[s:e] for s, e in zip(self.at[first].tolist(), (self.at[past] - 1).tolist(), strict=True)]
+
+
 def _grams(codes: np.ndarray, size: int) -> np.ndarray:
     n = max(0, len(codes) - size + 1)
     out = np.zeros(n, np.uint64)
@@ -139,50 +165,64 @@ def _pieces(batch: pa.RecordBatch, column: str) -> Iterator[tuple[pa.RecordBatch
 
 
 def _positions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Elected positions: (gram, did, pos, known). known: an equal gram came before in this batch; a
-    row without did then tells the one that came first that it has an equal."""
+    """Elected positions: (gram, did, pos, n). n: occurrences of the gram in this part of a batch, at the first
+    of them; 0 at the others."""
+    alone()
     for whole in batches:
         for batch, texts in _pieces(whole, "text"):
             codes, firsts = word_codes(texts)
             at, _, _, text, grams = elected(codes, firsts)
             if not len(at):
                 continue
-            gram, did = grams[at].view(np.int64), batch.column("did").to_numpy()[text]
+            gram = grams[at].view(np.int64)
             _, first, count = np.unique(gram, return_index=True, return_counts=True)
-            known = np.ones(len(at), bool)
-            known[first] = False
-            told = gram[first[count > 1]]
-            n, more = len(at), len(told)
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(np.concatenate((gram, told))),
-                    pa.array(np.concatenate((did, np.zeros(more, np.int64))), mask=np.arange(n + more) >= n),
-                    pa.array(np.concatenate((at - firsts[text], np.zeros(more, np.int64))).astype(np.int32)),
-                    pa.array(np.concatenate((known, np.zeros(more, bool)))),
-                ],
-                ["gram", "did", "pos", "known"],
-            )
-
-
-def _repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows sorted by (known, gram), those that are known or have an equal neighbour. Holds one row
-    between batches, whatever a gram's number of rows."""
-    held, before = None, None  # the last row, not yet judged; the gram before it
-    for batch in batches:
-        rows = pa.Table.from_batches([batch] if held is None else [held, batch]).combine_chunks().to_batches()[0]
-        gram, known = rows.column("gram").to_numpy(), rows.column("known").to_numpy(zero_copy_only=False)
-        same = np.concatenate(([before is not None and before == gram[0]], gram[1:] == gram[:-1]))
-        keep_row = known | same | np.concatenate((same[1:], [False]))
-        n = len(gram) - 1
-        out = rows.slice(0, n).filter(pa.array(keep_row[:n]))
-        out = out.filter(out.column("did").is_valid())
-        if out.num_rows:
-            yield out.select(["did", "pos"])
-        held = rows.slice(n)
-        before = gram[n - 1] if n else before
-        held_same = keep_row[n]
-    if held is not None and held_same and held.column("did")[0].is_valid:
-        yield held.select(["did", "pos"])
+            n = np.zeros(len(at), np.int64)
+            n[first] = count
+            yield pa.RecordBatch.from_arrays([pa.array(gram), pa.array(batch.column("did").to_numpy()[text]), pa.array((at - firsts[text]).astype(np.int32)), pa.array(n)], ["gram", "did", "pos", "n"])
+
+
+def _repeated(heavy: int):
+    """Of rows sorted by (n = 0, gram): the positions (did, pos) whose gram comes more than once, and (gram, n) of the
+    grams that come more than `heavy` times. Holds a number for the gram at hand, and a row while it is the only one."""
+
+    def marks(did: np.ndarray, pos: np.ndarray) -> pa.RecordBatch:
+        none = pa.nulls(len(did), pa.int64())
+        return pa.RecordBatch.from_arrays([pa.array(did), pa.array(pos), none, none], _MARKS)
+
+    def totals(gram: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.nulls(len(gram), pa.int64()), pa.nulls(len(gram), pa.int32()), pa.array(gram), pa.array(n)], _MARKS)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, count, waiting = None, 0, None  # the gram at hand, its occurrences so far, its row while there is but one
+        for batch in batches:
+            gram, did, pos, n = (batch.column(c).to_numpy() for c in ("gram", "did", "pos", "n"))
+            known = n == 0
+            if known.any():
+                yield marks(did[known], pos[known])
+                gram, did, pos, n = gram[~known], did[~known], pos[~known], n[~known]
+            if not len(gram):
+                continue
+            starts = np.flatnonzero(np.concatenate(([True], gram[1:] != gram[:-1])))
+            total = np.add.reduceat(n, starts)
+            size = np.diff(np.concatenate((starts, [len(gram)])))
+            if last is not None and gram[0] == last:
+                total[0] += count
+                if waiting is not None:
+                    yield marks(*waiting)
+            elif last is not None and count > heavy:
+                yield totals(np.array([last]), np.array([count]))
+            over = np.flatnonzero(total[:-1] > heavy)
+            if len(over):
+                yield totals(gram[starts[over]], total[over])
+            twice = np.repeat(total > 1, size)
+            if twice.any():
+                yield marks(did[twice], pos[twice])
+            last, count = gram[-1], int(total[-1])
+            waiting = None if twice[-1] else (did[-1:], pos[-1:])
+        if last is not None and count > heavy:
+            yield totals(np.array([last]), np.array([count]))
+
+    return run
 
 
 def _settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -211,28 +251,31 @@ def _marked(whole: pa.RecordBatch) -> Iterator[tuple]:
         yield codes, at[sel], lo[sel], hi[sel], text[sel], grams, batch, firsts
 
 
-def _prefix_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for whole in batches:
-        for codes, at, _, _, _, grams, _, _ in _marked(whole):
-            for size in (2, 4, GRAM):
-                key, n = np.unique((grams if size == GRAM else _grams(codes, size))[at].view(np.int64), return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(key), size, np.int32)), pa.array(key), pa.array(n)], ["size", "prefix", "n"])
-
-
-_SUFFIX = "bucket int, did long, rid long, lo int, hi int, words binary"
-_RANGE = "did long, rid long, lo int, hi int"
+_MARKS = ["did", "pos", "gram", "n"]
+#: kind 0: settled ranges, 1: records by the gram they elect, 2: windows by a hash of their words.
+SETTLED, BY_GRAM, BY_WINDOW = range(3)
+_SUFFIX = "kind int, key long, did long, rid long, lo int, hi int, words binary"
+_RANGE = "did long, rid long, lo int, hi int, words binary"
 
 
-def _earliest(rows: np.ndarray, did: np.ndarray, rid: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Of rows of codes: the earliest of each kind, and those that repeat one (by 128 bits of hash)."""
-    a, b = (rows * _ROW_A[: rows.shape[1]]).sum(axis=1), (rows * _ROW_B[: rows.shape[1]]).sum(axis=1)
-    order = np.lexsort((start, rid, did, b, a))
-    new = np.concatenate(([True], (a[order][1:] != a[order][:-1]) | (b[order][1:] != b[order][:-1])))
+def _earliest(words: list[bytes], did: np.ndarray, rid: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of equal words: the earliest of each kind, and those at other places."""
+    kind = pa.array(words, pa.binary()).dictionary_encode().indices.to_numpy()
+    order = np.lexsort((start, rid, did, kind))
+    new = np.concatenate(([True], kind[order][1:] != kind[order][:-1]))
     head = order[np.flatnonzero(new)][np.cumsum(new) - 1]
     own = (did[order] == did[head]) & (rid[order] == rid[head]) & (start[order] == start[head])
     return order[new], order[~own]
 
 
+def _documents(did: np.ndarray, rid: np.ndarray) -> np.ndarray:
+    """Each row's document's number in the order of documents."""
+    order = np.lexsort((rid, did))
+    out = np.empty(len(did), np.int64)
+    out[order] = np.cumsum(np.concatenate(([False], (did[order][1:] != did[order][:-1]) | (rid[order][1:] != rid[order][:-1]))))
+    return out
+
+
 def _joined(did, rid, lo, hi) -> tuple[np.ndarray, ...]:
     """Ranges of the same document that touch each other as one."""
     order = np.lexsort((lo, rid, did))
@@ -243,21 +286,37 @@ def _joined(did, rid, lo, hi) -> tuple[np.ndarray, ...]:
     return did[first], rid[first], lo[first], np.maximum.reduceat(hi, first)
 
 
-def _suffixes(heavy: dict[int, np.ndarray], buckets: int):
-    """Marked suffixes, each with the words before it that its windows need, for their group's bucket."""
+def _rows(kind: int, key: np.ndarray, did: np.ndarray, rid: np.ndarray, lo: np.ndarray, hi: np.ndarray, words: list[bytes] | None) -> pa.RecordBatch:
+    n = len(key)
+    text = pa.nulls(n, pa.binary()) if words is None else pa.array(words, pa.binary())
+    return pa.RecordBatch.from_arrays([pa.array(np.full(n, kind, np.int32)), pa.array(key.view(np.int64)), pa.array(did), pa.array(rid), pa.array(lo.astype(np.int32)), pa.array(hi.astype(np.int32)), text], ["kind", "key", "did", "rid", "lo", "hi", "words"])
 
-    def out(group, did, rid, lo, hi, rows, size) -> pa.RecordBatch:
-        bucket = (_mix(group) % np.uint64(buckets)).astype(np.int32)
-        raw = rows.view(np.uint8).reshape(len(rows), rows.shape[1], 8)[:, :, :CODE]
-        raw = raw[np.arange(rows.shape[1])[None, :] < size[:, None]]
-        offsets = np.concatenate(([0], np.cumsum(size * CODE))).astype(np.int32)
-        words = pa.BinaryArray.from_buffers(pa.binary(), len(rows), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(raw))])
-        return pa.RecordBatch.from_arrays([pa.array(bucket), pa.array(did), pa.array(rid), pa.array(lo.astype(np.int32)), pa.array(hi.astype(np.int32)), words], ["bucket", "did", "rid", "lo", "hi", "words"])
 
-    def done(did, rid, lo, hi) -> pa.RecordBatch:
-        did, rid, lo, hi = _joined(did, rid, lo, hi)
-        bucket = (_mix(rid.view(np.uint64) ^ did.view(np.uint64)) % np.uint64(buckets)).astype(np.int32)
-        return pa.RecordBatch.from_arrays([pa.array(bucket), pa.array(did), pa.array(rid), pa.array(lo.astype(np.int32)), pa.array(hi.astype(np.int32)), pa.nulls(len(did), pa.binary())], ["bucket", "did", "rid", "lo", "hi", "words"])
+def _settled(did, rid, lo, hi) -> pa.RecordBatch:
+    did, rid, lo, hi = _joined(did, rid, lo, hi)
+    return _rows(SETTLED, _mix(rid.view(np.uint64) ^ did.view(np.uint64)), did, rid, lo, hi, None)
+
+
+def _windows(words: list[bytes], did: np.ndarray, rid: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """The windows of records, a record's own starts being lo to hi: the earliest of equal ones, and what is settled."""
+    if not words:
+        return
+    clean = Clean(words)
+    n = (hi - lo + 1).astype(np.int64)
+    first = np.cumsum(n + WIDTH - 1) - (n + WIDTH - 1)  # each record's first word
+    own = np.repeat(np.arange(len(n)), n)
+    offset = np.arange(len(own)) - np.repeat(np.cumsum(n) - n, n)
+    start = lo.astype(np.int64)[own] + offset
+    texts = clean.cut(first[own] + offset, first[own] + offset + WIDTH)
+    head, again = _earliest(texts, did[own], rid[own], start)
+    key = np.array([xxhash.xxh3_64_intdigest(texts[k]) for k in head.tolist()], np.uint64)
+    yield _rows(BY_WINDOW, key, did[own][head], rid[own][head], start[head], start[head], [texts[k] for k in head.tolist()])
+    if len(again):
+        yield _settled(did[own][again], rid[own][again], start[again], start[again])
+
+
+def _suffixes(heavy: np.ndarray):
+    """Records of the marked positions: the words of the windows that elect them. Those whose gram is heavy come as windows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -265,72 +324,167 @@ def _suffixes(heavy: dict[int, np.ndarray], buckets: int):
                 if not len(at):
                     continue
                 did, rid = batch.column("did").to_numpy()[text], batch.column("rid").to_numpy()[text]
-                base = firsts[text]
-                size = hi - lo + WIDTH
-                column = np.arange(LONGEST)
-                rows = codes[np.minimum(lo[:, None] + column, len(codes) - 1)]
-                rows[column[None, :] >= size[:, None]] = 0
-                group = _grams(codes, 2)[at]
-                for short, longer in ((2, 4), (4, GRAM)):
-                    over = np.isin(group, heavy[short])
-                    group = np.where(over, (grams if longer == GRAM else _grams(codes, longer))[at], group)
-                full = np.isin(grams[at], heavy[GRAM])
-                light = np.flatnonzero(~full)
-                if len(light):
-                    first, again = _earliest(rows[light], did[light], rid[light], (lo - base)[light])
-                    first, again = light[first], light[again]
-                    yield out(group[first], did[first], rid[first], (lo - base)[first], (hi - base)[first], rows[first], size[first])
-                    yield done(did[again], rid[again], (lo - base)[again], (hi - base)[again])
-                for part in np.array_split(np.flatnonzero(full), 1 + int(full.sum()) // 20_000):
-                    if not len(part):
-                        continue
-                    n = (hi - lo + 1)[part]
-                    own = np.repeat(part, n)
-                    start = lo[own] + np.arange(len(own)) - np.repeat(np.cumsum(n) - n, n)
-                    windows = codes[start[:, None] + np.arange(WIDTH)]
-                    first, again = _earliest(windows, did[own], rid[own], start - base[own])
-                    key = (windows[first] * _ROW_A[:WIDTH]).sum(axis=1)
-                    rel = start - base[own]
-                    yield out(key, did[own][first], rid[own][first], rel[first], rel[first], windows[first], np.full(len(first), WIDTH))
-                    yield done(did[own][again], rid[own][again], rel[again], rel[again])
+                words = Clean(batch.column("text").to_pylist()).cut(lo, hi + WIDTH)
+                lo, hi = lo - firsts[text], hi - firsts[text]
+                first, again = _earliest(words, did, rid, lo)
+                if len(again):
+                    yield _settled(did[again], rid[again], lo[again], hi[again])
+                full = np.isin(grams[at[first]], heavy)
+                light = first[~full]
+                yield _rows(BY_GRAM, grams[at[light]], did[light], rid[light], lo[light], hi[light], [words[k] for k in light.tolist()])
+                over = first[full]
+                for k in range(0, len(over), GROUP):
+                    some = over[k : k + GROUP]
+                    yield from _windows([words[k] for k in some.tolist()], did[some], rid[some], lo[some], hi[some])
 
     return run
 
 
-def _subtrees(bucket: pa.Table) -> pa.Table:
-    """The ranges of window starts that aren't the earliest leaf of their deep node."""
-    words = bucket.column("words").combine_chunks()
-    settled = bucket.filter(words.is_null()).select(["did", "rid", "lo", "hi"])
-    bucket = bucket.filter(words.is_valid())
-    if not bucket.num_rows:
-        return settled
-    did, rid, lo, hi = (bucket.column(c).to_numpy() for c in ("did", "rid", "lo", "hi"))
-    words = bucket.column("words").combine_chunks()
-    words = words.chunk(0) if isinstance(words, pa.ChunkedArray) else words
-    data = np.frombuffer(b"".join(words.to_pylist()), np.uint8).reshape(-1, CODE)
-    n = (hi - lo + 1).astype(np.int64)
-    size = n + WIDTH - 1
+def deep_nodes(common: np.ndarray, width: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """Internal nodes of a suffix tree by depth from `width` on: the depth, and each node's first leaf and the leaf after
+    its last. common: what each sorted leaf has in common with the one before it, 0 at the first."""
+    for depth in np.unique(common[common >= width]).tolist():
+        first = np.flatnonzero(common < depth)
+        past = np.append(first[1:], len(common))
+        is_node = np.logical_or.reduceat(common == depth, first)
+        yield depth, first[is_node], past[is_node]
+
+
+def repeated_depth(common: np.ndarray, place: np.ndarray, width: int) -> np.ndarray:
+    """For each leaf: the depth of the deepest node of `width` or more below which it isn't the earliest, else 0."""
+    out = np.zeros(len(common), np.int64)
+    for depth, first, past in deep_nodes(common, width):
+        size = past - first
+        inside = np.repeat(first - np.cumsum(size) + size, size) + np.arange(int(size.sum()))
+        least = np.repeat(np.minimum.reduceat(place[inside], np.cumsum(size) - size), size)
+        out[inside[place[inside] != least]] = depth
+    return out
+
+
+def sorted_suffixes(ids: np.ndarray, start: np.ndarray, past: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Suffixes ids[start:past], each cut at LONGEST, in lexicographic order, and what each has in common with the one before."""
+    column = np.arange(LONGEST)
+    inside = start[:, None] + column < past[:, None]
+    rows = np.where(inside, ids[np.minimum(start[:, None] + column, len(ids) - 1)] + 1, 0).astype(">u4")
+    order = np.argsort(rows.view(f"V{4 * LONGEST}").ravel(), kind="stable")
+    rows = rows[order]
+    same = (rows[1:] == rows[:-1]) & (rows[1:] > 0)
+    return order, np.concatenate(([0], np.where(same.all(axis=1), LONGEST, same.argmin(axis=1))))
+
+
+def _subtrees(group: pa.Table) -> pa.RecordBatch | None:
+    """Ranges of the window starts that repeat an earlier one, from the records of whole prefixes."""
+    did, rid, lo, hi = (group.column(c).to_numpy() for c in ("did", "rid", "lo", "hi"))
+    data = b" ".join([*group.column("words").to_pylist(), b""])
+    ends = np.flatnonzero(np.frombuffer(data, np.uint8) == 32) + 1
+    words = pa.BinaryArray.from_buffers(pa.binary(), len(ends), [None, pa.py_buffer(np.concatenate(([0], ends)).astype(np.int32)), pa.py_buffer(data)])
+    ids = words.dictionary_encode().indices.to_numpy()
+    n = (hi - lo + 1).astype(np.int64)  # windows of each record
+    past = np.cumsum(n + WIDTH - 1)
     row = np.repeat(np.arange(len(n)), n)
     offset = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
-    start = lo[row] + offset
-    by_place = np.lexsort((start, rid[row], did[row]))
-    row, offset, start = row[by_place], offset[by_place], start[by_place]
-    at = (np.cumsum(size) - size)[row] + offset
-    suffix = np.ascontiguousarray(data[at[:, None] + np.arange(WIDTH)]).reshape(len(at), WIDTH * CODE)
-    leaves = np.argsort(suffix.view(f"V{WIDTH * CODE}").ravel(), kind="stable")  # equal suffixes stay in order of place
-    suffix = suffix[leaves]
-    deep = np.concatenate(([False], (suffix[1:] == suffix[:-1]).all(axis=1)))  # common prefix with the leaf before: all 20 words
-    head = leaves[np.flatnonzero(~deep)][np.cumsum(~deep) - 1]
-    r, h = row[leaves], row[head]
-    again = (did[r] != did[h]) | (rid[r] != rid[h]) | (start[leaves] != start[head])
-    pick = np.sort(leaves[again])
-    d, i, s = did[row[pick]], rid[row[pick]], start[pick]
-    if not len(pick):
-        return settled
-    new = np.concatenate(([True], (d[1:] != d[:-1]) | (i[1:] != i[:-1]) | (s[1:] > s[:-1] + 1)))
-    first = np.flatnonzero(new)
-    last = np.concatenate((first[1:] - 1, [len(pick) - 1]))
-    return pa.concat_tables([settled, pa.table([pa.array(d[first]), pa.array(i[first]), pa.array(s[first].astype(np.int32)), pa.array(s[last].astype(np.int32))], names=["did", "rid", "lo", "hi"])])
+    first = (past - n - WIDTH + 1)[row] + offset
+    order, common = sorted_suffixes(ids, first, past[row])
+    deep = common >= WIDTH
+    deep |= np.append(deep[1:], False)
+    if not deep.any():
+        return None
+    order, common = order[deep], common[deep]  # runs of leaves below deep nodes; the first of a run has less in common with the one before
+    row, start = row[order], lo[row[order]] + offset[order]
+    depth = repeated_depth(common, _documents(did, rid)[row] << 32 | start, WIDTH)
+    again = np.flatnonzero(depth)
+    row, start, depth = row[again], start[again], depth[again]
+    return _ranges(*_joined(did[row], rid[row], start, start + depth - WIDTH))
+
+
+def _ranges(did, rid, lo, hi, words: pa.Array | None = None) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(did), pa.array(rid), pa.array(lo.astype(np.int32)), pa.array(hi.astype(np.int32)), pa.nulls(len(did), pa.binary()) if words is None else words], ["did", "rid", "lo", "hi", "words"])
+
+
+def _single_nodes(windows: pa.RecordBatch, seen: dict) -> pa.RecordBatch:
+    """Windows sorted by (key, place): those whose words came before. seen: the first places of the last key's words."""
+    again = np.zeros(windows.num_rows, bool)
+    rows = zip(*(windows.column(c).to_pylist() for c in ("key", "words", "did", "rid", "lo")), strict=True)
+    for k, (key, words, *place) in enumerate(rows):
+        if seen.get("key") != key:
+            seen.clear()
+            seen["key"] = key
+        again[k] = seen.setdefault(words, place) != place
+    found = windows.filter(pa.array(again))
+    return _ranges(*(found.column(c).to_numpy() for c in ("did", "rid", "lo", "hi")))
+
+
+def _by_prefix(group: int):
+    """Reads rows sorted by (kind, key, place). Out come ranges, and as they are the records of prefixes with more than `group`."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []  # records, the last prefix's perhaps not all
+        size = 0
+        over = None  # the prefix whose records are passed on
+        seen: dict = {}
+
+        def take(rows: pa.RecordBatch, last: bool) -> Iterator[pa.RecordBatch]:
+            nonlocal held, size, over
+            if over is not None and rows.num_rows:
+                n = int(np.searchsorted(rows.column("key").to_numpy() != over, True))
+                if n:
+                    yield _ranges(*(rows.slice(0, n).column(c).to_numpy() for c in ("did", "rid", "lo", "hi")), rows.slice(0, n).column("words"))
+                rows = rows.slice(n)
+                if not rows.num_rows:
+                    return
+                over = None
+            if rows.num_rows:
+                held.append(rows)
+                size += rows.num_rows
+            if not held or size < group and not last:
+                return
+            whole = pa.Table.from_batches(held).combine_chunks()
+            key = whole.column("key").to_numpy()
+            cut = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1], [True])))  # a complete prefix ends at each but the last
+            done = len(cut) - 1 if last else len(cut) - 2
+            k = 0
+            while k < done:
+                end = max(k + 1, int(np.searchsorted(cut, cut[k] + group, "right")) - 1)
+                end = min(end, done)
+                part = whole.slice(cut[k], cut[end] - cut[k])
+                if end == k + 1 and part.num_rows > group:
+                    yield _ranges(*(part.column(c).to_numpy() for c in ("did", "rid", "lo", "hi")), _one(part.column("words")))
+                elif part.num_rows > 1 and (found := _subtrees(part)) is not None:
+                    yield found
+                k = end
+            rest = whole.slice(cut[done])
+            if rest.num_rows > group:
+                over = key[-1]
+                yield _ranges(*(rest.column(c).to_numpy() for c in ("did", "rid", "lo", "hi")), _one(rest.column("words")))
+                rest = rest.slice(rest.num_rows)
+            held, size = (rest.to_batches(), rest.num_rows) if rest.num_rows else ([], 0)
+
+        for batch in batches:
+            kind = batch.column("kind").to_numpy()
+            a, b = np.searchsorted(kind, [BY_GRAM, BY_WINDOW]).tolist()
+            if a:
+                yield _ranges(*(batch.slice(0, a).column(c).to_numpy() for c in ("did", "rid", "lo", "hi")))
+            if b > a:
+                yield from take(batch.slice(a, b - a), False)
+            if b < len(kind):
+                yield _single_nodes(batch.slice(b), seen)
+        yield from take(pa.RecordBatch.from_pylist([], _EMPTY), True)
+
+    return run
+
+
+_EMPTY = pa.schema([("key", pa.int64())])
+
+
+def _one(column: pa.ChunkedArray) -> pa.Array:
+    got = column.combine_chunks()
+    return pa.concat_arrays(got.chunks) if isinstance(got, pa.ChunkedArray) else got
+
+
+def _to_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for whole in batches:
+        for batch, words in _pieces(whole, "words"):
+            yield from _windows(words, *(batch.column(c).to_numpy() for c in ("did", "rid", "lo", "hi")))
 
 
 def _mask(n: int, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
@@ -373,51 +527,57 @@ def _did():
     return F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST))
 
 
-def _marked_positions(docs: DataFrame) -> DataFrame:
-    """(did, positions) of documents (did, text) with positions that may start repeats."""
-    positions = docs.select("did", "text").mapInArrow(_positions, "gram long, did long, pos int, known boolean")
-    dealt = positions.repartition(tasks(docs.sparkSession), F.when(F.col("known"), F.xxhash64("did", "pos")).otherwise(F.xxhash64("gram"))).sortWithinPartitions("known", "gram")
-    return dealt.mapInArrow(_repeated, "did long, pos int").groupBy("did").agg(F.collect_list("pos").alias("positions"))
+def _marked_positions(docs: DataFrame, heavy: int, known: int) -> tuple[DataFrame, np.ndarray]:
+    """(did, positions) of documents (did, text) with positions that may start repeats, and the grams of more than
+    `heavy` positions, at most `known`."""
+    positions = docs.select("did", "text").mapInArrow(_positions, "gram long, did long, pos int, n long")
+    first = F.col("n") > 0
+    dealt = positions.repartition(tasks(docs.sparkSession), F.when(first, F.xxhash64("gram")).otherwise(F.xxhash64("did", "pos"))).sortWithinPartitions(first, "gram")
+    marks, _ = keep(dealt.mapInArrow(_repeated(heavy), "did long, pos int, gram long, n long"), "marks")
+    over = marks.where("gram is not null").orderBy(F.desc("n"), "gram").limit(known).select("gram").collect()
+    return marks.where("pos is not null").groupBy("did").agg(F.collect_list("pos").alias("positions")), np.array([r.gram for r in over], np.int64).view(np.uint64)
+
+
+def _dealt(rows: DataFrame) -> DataFrame:
+    return rows.repartition(tasks(rows.sparkSession), "key").sortWithinPartitions("kind", "key", "did", "rid", "lo")
 
 
-def _repeats(docs: DataFrame, group: int) -> DataFrame:
+def _repeats(docs: DataFrame, heavy: np.ndarray, group: int) -> DataFrame:
     """(did, rid, lo, hi), arrays of the ranges of repeated window starts, from documents (did, rid, text, positions)."""
-    counts, _ = keep(docs.select("text", "positions").mapInArrow(_prefix_counts, "size int, prefix long, n long").groupBy("size", "prefix").agg(F.sum("n").alias("n")), "prefixes")
-    total = counts.where(f"size = {GRAM}").agg(F.sum("n")).first()[0] or 0
-    over = counts.where(F.col("n") > group).select("size", "prefix").collect()  # at most 3 * total / group rows
-    heavy = {k: np.array([r.prefix for r in over if r.size == k], np.int64).view(np.uint64) for k in (2, 4, GRAM)}
-    buckets = max(tasks(docs.sparkSession), -(-total // group))
-    suffixes = docs.select("did", "rid", "text", "positions").mapInArrow(_suffixes(heavy, buckets), _SUFFIX)
-    ranges = suffixes.groupBy("bucket").applyInArrow(_subtrees, _RANGE).groupBy("did", "rid").agg(F.collect_list(F.struct("lo", "hi")).alias("r"))
+    suffixes = docs.select("did", "rid", "text", "positions").mapInArrow(_suffixes(heavy), _SUFFIX)
+    found, _ = keep(_dealt(suffixes).mapInArrow(_by_prefix(group), _RANGE), "ranges")
+    large = found.where("words is not null").mapInArrow(_to_windows, _SUFFIX)
+    more = _dealt(large).mapInArrow(_by_prefix(group), _RANGE)
+    ranges = found.where("words is null").union(more).groupBy("did", "rid").agg(F.collect_list(F.struct("lo", "hi")).alias("r"))
     return ranges.select("did", "rid", F.col("r.lo").alias("lo"), F.col("r.hi").alias("hi"))
 
 
-def analyse(docs: DataFrame, group: int = GROUP) -> DataFrame:
+def analyse(docs: DataFrame, group: int = GROUP, heavy: int = HEAVY, known: int = KNOWN) -> DataFrame:
     """For each row of docs: doc_id, n_words, n_removed, kept_sha256."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), _did().alias("did"), text_bytes().alias("text"))
-    joined = docs.join(_marked_positions(docs), "did", "left").withColumn("rid", F.xxhash64("text")).select("doc_id", "did", "rid", "text", "positions")
+    marks, over = _marked_positions(docs, heavy, known)
+    joined = docs.join(marks, "did", "left").withColumn("rid", F.xxhash64("text")).select("doc_id", "did", "rid", "text", "positions")
     settled, _ = keep(joined.mapInArrow(_settle, "doc_id long, did long, rid long, n_words long, kept_sha256 string, text binary, positions array<int>"), "texts")
     open_docs = settled.where("positions is not null").select("doc_id", "did", "rid", "text", "positions")
-    cut = open_docs.drop("positions").join(_repeats(open_docs, group), ["did", "rid"], "left").select("doc_id", "text", "lo", "hi")
+    cut = open_docs.drop("positions").join(_repeats(open_docs, over, group), ["did", "rid"], "left").select("doc_id", "text", "lo", "hi")
     cut = cut.mapInArrow(_cut, "doc_id long, n_words long, n_removed long, kept_sha256 string")
     return cut.union(settled.where("positions is null").select("doc_id", "n_words", F.lit(0).cast("long").alias("n_removed"), "kept_sha256"))
 
 
-def remove_repeats(docs: DataFrame, group: int = GROUP) -> DataFrame:
+def remove_repeats(docs: DataFrame, group: int = GROUP, heavy: int = HEAVY, known: int = KNOWN) -> DataFrame:
     """docs with repeated words gone from text; n_chars, where there is one, follows. Texts that keep all
     their words stay as they are."""
-    columns = docs.columns
-    marks = _marked_positions(docs.select(_did().alias("did"), text_bytes().alias("text")))
-    keyed = docs.withColumns({"__did": _did(), "__rid": F.xxhash64(text_bytes())})
-    joined, _ = keep(keyed.join(marks.select(F.col("did").alias("__did"), F.col("positions").alias("__positions")), "__did", "left"), "texts", "zstd")
-    open_docs = joined.where("__positions is not null")
-    repeats = _repeats(open_docs.select(F.col("__did").alias("did"), F.col("__rid").alias("rid"), text_bytes().alias("text"), F.col("__positions").alias("positions")), group)
-    repeats = repeats.select(F.col("did").alias("__did"), F.col("rid").alias("__rid"), F.col("lo").alias("__lo"), F.col("hi").alias("__hi"))
-    cut = open_docs.join(repeats, ["__did", "__rid"], "left").withColumn("__kept", _cut_text(text_bytes(), "__lo", "__hi"))
-    new = {"text": F.coalesce("__kept", "text")}
-    if "n_chars" in columns:
-        new["n_chars"] = F.when(F.col("__kept").isNotNull(), F.length("__kept").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
-    return cut.withColumns(new).select(*columns).union(joined.where("__positions is null").select(*columns))
+    marks, over = _marked_positions(docs.select(_did().alias("did"), text_bytes().alias("text")), heavy, known)
+    keyed = docs.select(_did().alias("did"), F.xxhash64(text_bytes()).alias("rid"), row_of(docs).alias("row"))
+    joined, _ = keep(keyed.join(marks, "did", "left"), "texts", "zstd")
+    open_docs = joined.where("positions is not null")
+    text = F.coalesce(F.col("row.text").cast("string"), F.lit("")).cast("binary")
+    repeats = _repeats(open_docs.select("did", "rid", text.alias("text"), "positions"), over, group)
+    cut = open_docs.join(repeats, ["did", "rid"], "left").withColumn("kept", _cut_text(text, "lo", "hi"))
+    row = F.col("row").withField("text", F.coalesce("kept", "row.text"))
+    if "n_chars" in docs.columns:
+        row = row.withField("n_chars", F.when(F.col("kept").isNotNull(), F.length("kept").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("row.n_chars")))
+    return cut.select(row.alias("row")).select("row.*").union(joined.where("positions is null").select("row.*"))
 
 
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
