@@ -9,7 +9,9 @@ import tempfile
 import uuid
 import weakref
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -121,6 +123,65 @@ def trim() -> None:
     pa.default_memory_pool().release_unused()
 
 
+class Remembered:
+    """Results (binary columns) by binary key, in Arrow columns: no Python object for a key that is known.
+
+    When more than `size` keys are remembered, only those asked for last stay; keys over `longest` bytes aren't remembered.
+    """
+
+    def __init__(self, columns: int, size: int = 1_500_000, longest: int = 64):
+        self.width, self.size, self.longest = columns, size, longest
+        self.forget()
+        remembering(self)
+
+    def forget(self) -> None:
+        self.keys = pa.array([], pa.binary())
+        self.columns = [self.keys] * self.width
+
+    def values(self, keys: pa.Array, make) -> list[pa.Array]:
+        """The columns for different keys; make(keys not remembered) gives theirs."""
+        where = pc.index_in(keys, value_set=self.keys)
+        new = keys.filter(where.is_null())
+        made = make(new)
+        place = where.to_numpy(zero_copy_only=False).astype(np.float64)
+        place[np.isnan(place)] = len(self.keys) + np.arange(len(new))
+        place = pa.array(place.astype(np.int64))
+        out = [pa.concat_arrays([c, m]).take(place) for c, m in zip(self.columns, made, strict=True)]
+        if len(self.keys) + len(new) <= self.size:
+            short = pc.less_equal(pc.binary_length(new), self.longest)
+            self.keys = pa.concat_arrays([self.keys, new.filter(short)])
+            self.columns = [pa.concat_arrays([c, m.filter(short)]) for c, m in zip(self.columns, made, strict=True)]
+        else:
+            short = pc.less_equal(pc.binary_length(keys), self.longest)
+            self.keys, self.columns = keys.filter(short), [c.filter(short) for c in out]
+        pa.default_memory_pool().release_unused()  # what the columns held before
+        return out
+
+
+def bytes_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """A binary column's bytes, and where each value starts in them (one more entry at the end)."""
+    _, offsets, data = texts.buffers()
+    if offsets is None or not len(texts):
+        return np.zeros(0, np.uint8), np.zeros(len(texts) + 1, np.int32)
+    offsets = np.frombuffer(offsets, np.int32)[texts.offset : texts.offset + len(texts) + 1]
+    data = np.zeros(0, np.uint8) if data is None else np.frombuffer(data, np.uint8)[offsets[0] : offsets[-1]]
+    return data, offsets - offsets[0]
+
+
+def binary(offsets: np.ndarray, data) -> pa.Array:
+    """A binary column of what lies between the offsets."""
+    return pa.BinaryArray.from_buffers(pa.binary(), len(offsets) - 1, [None, pa.py_buffer(np.ascontiguousarray(offsets, np.int32)), data if isinstance(data, pa.Buffer) else pa.py_buffer(data)])
+
+
+def utf8(column: pa.Array) -> pa.Array:
+    """The column's bytes; what isn't UTF-8 in them is replaced."""
+    try:
+        column.cast(pa.string())
+        return column
+    except pa.ArrowInvalid:
+        return pa.array([x.decode("utf-8", "replace").encode() for x in column.to_pylist()], pa.binary())
+
+
 class Memo:
     """Remembers results by key in two generations of bounded size; what was used lately survives."""
 

@@ -39,31 +39,56 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import Memo, keep, running, scratch, table, tasks, text_bytes
+from corpusloom.llm.common import Remembered, alone, binary, bytes_of, drop, keep, running, scratch, table, tasks, text_bytes, utf8
 from corpusloom.llm.substring import LAST
 
 END = 0
 STRIDE = 128  # ids between checkpoints
 BLOCK_IDS = 1 << 17
 LIMIT = 16
-CACHED = 600_000
-AT_ONCE = 2000
+AT_ONCE, TEXT_AT_ONCE = 10_000, 12 << 20  # texts, and their bytes
 TOKENIZER = "byte_bpe_50k.json"
 
-#: All that is white space to a tokenizer of any kind; more than one of them knows does no harm.
+#: All that is white space to a tokenizer of any kind; more than one of them knows does no harm. Fixed values.
 WHITE = "\t-\r\x1c- \x85\xa0\u1680\u180e\u2000-\u200b\u2028\u2029\u202f\u205f\u2060\u3000\ufeff"
-INNER = f"[{WHITE}] (?:[{WHITE}]|\\z)"  # a space that isn't a run's first, nor its last before a word
+PLAIN = f"(?s)\\A[ \\n][^{WHITE}](?:.*[^{WHITE}])?\\z"
+_BEYOND = [c.encode() for c in map(chr, range(128, 1 << 16)) if not 0xD800 <= ord(c) < 0xE000 and re.match(f"[{WHITE}]", c)]
+_TWO, _THREE = (np.array([int.from_bytes(c, "big") for c in _BEYOND if len(c) == k], np.uint32) for k in (2, 3))
+_SOLID = np.array([33 <= k < 127 for k in range(256)])  # bytes that are characters of their own and no white space
 
 _encoders: dict[str, Encoder] = {}
 
 
+def cut_points(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Where to cut texts (offsets into their UTF-8 bytes): at their starts and before each space or line end that
+    stands alone, between characters that are no white space."""
+    cut = np.zeros(len(data), bool)
+    at = np.flatnonzero((data == 32) | (data == 10))
+    at = at[(at > 0) & (at < len(data) - 1)]
+    before, after = data[at - 1], data[at + 1]
+    lone = (_SOLID[before] | (before > 127)) & (_SOLID[after] | (after > 127))
+    at, before, after = at[lone], before[lone], after[lone]
+    wide = np.flatnonzero((before > 127) | (after > 127))
+    if len(wide):
+        byte = lambda k: data[np.clip(at[wide] + k, 0, len(data) - 1)].astype(np.uint32)
+        white = np.isin(byte(-2) << 8 | byte(-1), _TWO) | np.isin(byte(-3) << 16 | byte(-2) << 8 | byte(-1), _THREE)
+        white |= np.isin(byte(1) << 8 | byte(2), _TWO) | np.isin(byte(1) << 16 | byte(2) << 8 | byte(3), _THREE)
+        at = np.delete(at, wide[white])
+    cut[at] = True
+    full = offsets[1:] > offsets[:-1]
+    cut[offsets[1:][full] - 1] = False  # what follows is another text
+    cut[offsets[:-1][full]] = True
+    return np.flatnonzero(cut)
+
+
 class Encoder:
     """A byte-level BPE tokenizer that remembers the ids of what stands between spaces.
 
-    The tokenizer's own splitting always cuts before a space that starts a run of white space
-    or is the last of one before a word, so pieces between such spaces are encoded independently.
-    Texts in which a space has white space before it, and white space or the text's end after
-    it, go to the library whole, and so do those with two spaces in a row or an added token's string.
+    The tokenizer's own splitting always cuts before a space or a line end that stands alone between other
+    characters, so pieces between such places, each with the space before it, are encoded independently. Many
+    new ones are encoded as one text; the tokens' byte lengths tell whose they are. Pieces that would make
+    a run of white space with their neighbours are encoded each on its own, and so are whole texts with an added token's string.
+    All but that is done on Arrow's columns.
     """
 
     def __init__(self, path: str):
@@ -75,62 +100,59 @@ class Encoder:
         self.bytes = np.zeros(self.size, np.int64)
         for token, k in self.library.get_vocab().items():  # byte-level: a character for each byte
             self.bytes[k] = len(token)
-        self.whole = ["  ", *(x.content for x in self.library.get_added_tokens_decoder().values())]
-        self.white = re.compile(f"[{WHITE}]")
-        self.first, self.later = Memo(CACHED // 8), Memo(CACHED)
-
-    def _ids(self, texts: list[str]) -> list[bytes]:
-        return [np.array(x.ids, self.kind).tobytes() for x in self.library.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def _spaced_ids(self, pieces: list[str]) -> list[bytes]:
-        """Each piece's ids with a space before it. Many pieces are encoded as one text, which the tokenizer
-        cuts before each space; the tokens' byte lengths tell whose they are. Pieces that are empty or have white
-        space at an end would make runs with the space between them and are encoded each on its own."""
-        edged = [not p or self.white.match(p[0]) is not None or self.white.match(p[-1]) is not None for p in pieces]
-        if any(edged):
-            plain = iter(self._spaced_ids([p for p, e in zip(pieces, edged, strict=True) if not e]))
-            alone = iter(self._ids([" " + p for p, e in zip(pieces, edged, strict=True) if e]))
-            return [next(alone if e else plain) for e in edged]
-        out: list = [None] * len(pieces)
-        sizes = pc.binary_length(pa.array(pieces, pa.large_string())).to_numpy() + 1
-        step, out = 512, []
-        texts = [" " + " ".join(pieces[at : at + step]) for at in range(0, len(pieces), step)]
-        for at, x in zip(range(0, len(pieces), step), self.library.encode_batch_fast(texts, add_special_tokens=False), strict=True):
+        self.added = [x.content for x in self.library.get_added_tokens_decoder().values()]
+        self.known = Remembered(1)
+
+    def _alone(self, pieces: list[str]) -> list[bytes]:
+        return [np.array(x.ids, self.kind).tobytes() for x in self.library.encode_batch_fast(pieces, add_special_tokens=False)]
+
+    def _together(self, pieces: pa.Array) -> pa.Array:
+        """Ids of pieces that may stand side by side."""
+        data, at = bytes_of(pieces)
+        data, at = data.tobytes(), at.astype(np.int64)
+        parts, sizes = [], []
+        firsts = range(0, len(pieces), 512)
+        texts = [data[at[k] : at[min(k + 512, len(pieces))]].decode() for k in firsts]
+        for k, x in zip(firsts, self.library.encode_batch_fast(texts, add_special_tokens=False), strict=True):
             ids = np.array(x.ids)
-            cuts = (np.searchsorted(np.cumsum(self.bytes[ids]), np.cumsum(sizes[at : at + step]), "right") * self.kind.itemsize).tolist()
-            raw = ids.astype(self.kind).tobytes()
-            out += [raw[s:e] for s, e in zip([0, *cuts], cuts, strict=False)]
-        return out
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Each text's ids, little-endian, with the end id. A batch's pieces are numbered by Arrow, so that each different
-        one is looked up once; ids are gathered by their numbers."""
-        if not texts:
-            return []
-        plain = pa.array(texts, pa.large_string())
-        whole = reduce(pc.or_, (pc.match_substring(plain, x) for x in self.whole), pc.match_substring_regex(plain, INNER))
-        odd = np.flatnonzero(whole.to_numpy(zero_copy_only=False)).tolist()
-        lists = pc.split_pattern(pc.if_else(whole, pa.scalar("", pa.large_string()), plain) if odd else plain, " ")
-        pieces, offsets = lists.flatten(), lists.offsets.to_numpy()
-        coded = pieces.dictionary_encode()
-        different, n = coded.dictionary.to_pylist(), len(texts)
-        first = self.first.values(pieces.take(pa.array(offsets[:-1])).to_pylist(), self._ids)
-        ids = [*self.later.values(different, self._spaced_ids), *first, np.array([END], self.kind).tobytes()]
-        which = np.full(len(pieces) + n, len(ids) - 1)  # each text's pieces, then the end id
-        place = np.arange(len(pieces)) + np.repeat(np.arange(n), np.diff(offsets))
-        which[place] = coded.indices.to_numpy()
-        starts = offsets[:-1] + np.arange(n)
-        which[starts] = len(different) + np.arange(n)
-        size = np.array([len(x) for x in ids]) // self.kind.itemsize
-        data, at = np.frombuffer(b"".join(ids), self.kind), np.cumsum(size) - size
-        size = size[which]
-        ends = np.cumsum(size)
-        gathered = data[np.repeat(at[which] - ends + size, size) + np.arange(ends[-1])].tobytes()
-        cuts = [0, *(np.add.reduceat(size, starts).cumsum() * self.kind.itemsize).tolist()]
-        out = [gathered[s:e] for s, e in zip(cuts, cuts[1:], strict=False)]
-        for k, own in zip(odd, self._ids([texts[k] for k in odd]), strict=True):
-            out[k] = own + np.array([END], self.kind).tobytes()
-        return out
+            ends = np.cumsum(self.bytes[ids])
+            wanted = at[k + 1 : k + 513] - at[k]
+            past = np.searchsorted(ends, wanted, "right")
+            if (past == 0).any() or (ends[past - 1] != wanted).any():
+                raise ValueError("a token reaches across a space that stands alone; this tokenizer isn't of the kind that is supported")
+            parts.append(ids.astype(self.kind))
+            sizes.append(np.diff(past, prepend=0))
+        return binary(np.concatenate(([0], np.cumsum(np.concatenate(sizes)) * self.kind.itemsize)), np.concatenate(parts))
+
+    def _new(self, pieces: pa.Array) -> list[pa.Array]:
+        text = pieces.cast(pa.string())
+        plain = reduce(pc.and_not, (pc.match_substring(text, x) for x in self.added), pc.match_substring_regex(text, PLAIN))
+        together = np.flatnonzero(plain.to_numpy(zero_copy_only=False))
+        rest = np.flatnonzero(~plain.to_numpy(zero_copy_only=False))
+        out = [self._together(pieces.take(pa.array(together)))] if len(together) else []
+        out.append(pa.array(self._alone(text.take(pa.array(rest)).to_pylist()), pa.binary()))
+        return [pa.concat_arrays(out).take(pa.array(np.argsort(np.concatenate((together, rest)), kind="stable")))]
+
+    def encode(self, texts: pa.Array) -> pa.Array:
+        """Each text's ids, little-endian, with the end id. texts: UTF-8, as binary."""
+        n = len(texts)
+        if not n:
+            return pa.array([], pa.binary())
+        data, offsets = bytes_of(texts)
+        at = cut_points(data, offsets)
+        if self.added:
+            text = texts.cast(pa.string())
+            for k in np.flatnonzero(reduce(pc.or_, (pc.match_substring(text, x) for x in self.added)).to_numpy(zero_copy_only=False)):
+                at = at[(at <= offsets[k]) | (at >= offsets[k + 1])]
+        coded = binary(np.append(at, len(data)), data).dictionary_encode()
+        ids = pa.concat_arrays([*self.known.values(coded.dictionary, self._new), pa.array([np.array([END], self.kind).tobytes()], pa.binary())])
+        ends = np.searchsorted(at, offsets[1:]) + np.arange(n)  # of each text's pieces, where the end id goes
+        which = np.full(len(at) + n, len(ids) - 1, np.int32)
+        inside = np.ones(len(which), bool)
+        inside[ends] = False
+        which[inside] = coded.indices.to_numpy()
+        _, cuts, data = ids.take(pa.array(which)).buffers()
+        return binary(np.frombuffer(cuts, np.int32)[np.append(0, ends + 1)], data)
 
 
 def encoder(path: str) -> Encoder:
@@ -233,29 +255,30 @@ def unpack(payload: bytes, counts: np.ndarray, offsets: np.ndarray, tables: tupl
 
 
 def _encode(path: str):
+    """(doc_id, ids, null, null) for each document, and in the end the counts of the task's ids: (null, null, id, n)."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tool = encoder(path)
+        alone(tool.known)
+        counts = np.zeros(tool.size, np.int64)
         for whole in batches:
-            for at in range(0, whole.num_rows, AT_ONCE):
+            at = 0
+            while at < whole.num_rows:
                 batch = whole.slice(at, AT_ONCE)
-                ids = tool.encode([x.decode("utf-8", "replace") for x in batch.column("text").to_pylist()])
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(ids, pa.binary())], ["doc_id", "ids"])
+                fits = int(np.searchsorted(np.cumsum(pc.binary_length(batch.column("text")).to_numpy()), TEXT_AT_ONCE, "right"))
+                batch = batch.slice(0, max(1, fits))
+                at += batch.num_rows
+                ids = tool.encode(utf8(batch.column("text")))
+                counts += np.bincount(np.frombuffer(ids.buffers()[2], tool.kind, ids.buffers()[2].size // tool.kind.itemsize), minlength=tool.size)
+                none = pa.nulls(batch.num_rows, pa.int64())
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), ids, none.cast(pa.int32()), none], _IDS)
+        used = np.flatnonzero(counts)
+        yield pa.RecordBatch.from_arrays([pa.nulls(len(used), pa.int64()), pa.nulls(len(used), pa.binary()), pa.array(used, pa.int32()), pa.array(counts[used])], _IDS)
 
     return run
 
 
-def _count(kind: np.dtype, size: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(size, np.int64)
-        for batch in batches:
-            for x in batch.column("ids").to_pylist():
-                counts += np.bincount(np.frombuffer(x, kind), minlength=size) if len(x) > 4096 else 0
-            short = b"".join(x for x in batch.column("ids").to_pylist() if len(x) <= 4096)
-            counts += np.bincount(np.frombuffer(short, kind), minlength=size)
-        ids = np.flatnonzero(counts)
-        yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(counts[ids])], ["id", "n"])
-
-    return run
+_IDS = ["doc_id", "ids", "id", "n"]
 
 
 def _pack(lengths: np.ndarray, kind: np.dtype, bounds: np.ndarray):
@@ -307,11 +330,12 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str) -> None:
     """Encodes docs with the tokenizer file and writes the three datasets below path."""
     spark = docs.sparkSession
     tool = encoder(tokenizer)
-    encoded = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_bytes().alias("text")).mapInArrow(_encode(tokenizer), "doc_id long, ids binary")
-    encoded, _ = keep(encoded, "ids", "zstd")
+    encoded = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_bytes().alias("text")).mapInArrow(_encode(tokenizer), "doc_id long, ids binary, id int, n long")
+    encoded, kept = keep(encoded, "ids", "zstd")
     counts = np.zeros(tool.size, np.int64)
-    for r in encoded.select("ids").mapInArrow(_count(tool.kind, tool.size), "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).collect():
+    for r in encoded.where("id is not null").groupBy("id").agg(F.sum("n").alias("n")).collect():  # the vocabulary at most
         counts[r.id] = r.n
+    encoded = encoded.where("id is null").select("doc_id", "ids")
     lengths = code_lengths(counts)
     used = np.flatnonzero(lengths)
     spark.createDataFrame(list(zip(used.tolist(), lengths[used].tolist(), strict=True)), "id int, length int").coalesce(1).write.parquet(f"{path}/codebook")
@@ -321,6 +345,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str) -> None:
     pack_all = _pack(lengths, tool.kind, np.array(bounds or [], np.int64))
     packed = encoded.mapInArrow(pack_all, "doc_id long, did long, n int, offsets binary, payload binary, part int")
     packed.repartitionById(n, "part").sortWithinPartitions("did", "payload").mapInArrow(_blocks, _BLOCKS).write.option("compression", "none").parquet(f"{path}/blocks")
+    drop(spark, kept)
     totals = {r.part: r.n for r in spark.read.schema(_BLOCKS).parquet(f"{path}/blocks").groupBy("part").agg(F.sum(F.aggregate("n_tokens", F.lit(0).cast("long"), lambda a, x: a + x)).alias("n")).collect()}
     spark.createDataFrame(list(running(totals).items()), "part int, start long").coalesce(1).write.parquet(f"{path}/index")
 

@@ -2,6 +2,7 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import public_tokenizers
 import pytest
 import sentencepiece
@@ -16,10 +17,14 @@ BPE, MODEL = public_tokenizers.path(tokenids.TOKENIZER), public_tokenizers.path(
 LETTERS = st.sampled_from(["a", "b", "the", " ", "  ", "\n", " \n", "\t", "'s", "1", "é", "漢", " ", "　", "<|endoftext|>", "<s>", "▁", "!", "\x00", "\x1c", "\r", "🙂"])
 
 
+def encode(texts):
+    return tokenids.encoder(BPE).encode(pa.array([x.encode() for x in texts], pa.binary())).to_pylist()
+
+
 @settings(max_examples=300, deadline=None)
 @given(st.lists(LETTERS, max_size=20).map("".join))
 def test_byte_level_ids(text):
-    ids = np.frombuffer(tokenids.encoder(BPE).encode([text])[0], "<u2").tolist()
+    ids = np.frombuffer(encode([text])[0], "<u2").tolist()
     assert ids == [*_library().encode(text, add_special_tokens=False).ids, 0]
 
 
@@ -28,15 +33,19 @@ RUNS = ["ab \u00a0 \u00a0 cd", "a\u00a0 \u00a0b", "a \u00a0 b", "a\u3000 ", "a\n
 
 @pytest.mark.parametrize("text", RUNS)
 def test_runs_of_white_space_go_whole(text):
-    ids = np.frombuffer(tokenids.encoder(BPE).encode([text])[0], "<u2").tolist()
+    ids = np.frombuffer(encode([text])[0], "<u2").tolist()
     assert ids == [*_library().encode(text, add_special_tokens=False).ids, 0]
 
 
 def test_random_runs_of_white_space():
+    """Runs of white characters of up to a dozen, between words and at the ends."""
     r = random.Random(4)
-    texts = ["".join(r.choice(["a", "bc", " ", " ", "\u00a0", "\n", "\t", "\u3000", "\u200b", "\x1c", "\x85", "."]) for _ in range(r.randrange(12))) for _ in range(20_000)]
+    white = [" ", " ", "\u00a0", "\n", "\t", "\u3000", "\u2003", "\r\n", "\x0b", "\x85"]
+    run = lambda: "".join(r.choice(white[: r.choice([2, 3, 10])]) for _ in range(r.randrange(13)))
+    texts = ["".join(x for _ in range(r.randrange(4)) for x in (run(), r.choice(["a", "bc", "nbsp", "漢", "1.", "'s", ""]))) + run() for _ in range(60_000)]
+    texts += ["".join(r.choice(["a", "bc", " ", " ", "\u00a0", "\n", "\t", "\u3000", "\u200b", "\x1c", "\x85", "."]) for _ in range(r.randrange(12))) for _ in range(40_000)]
     for at in range(0, len(texts), 1000):  # pieces of many texts are encoded together
-        got = tokenids.encoder(BPE).encode(texts[at : at + 1000])
+        got = encode(texts[at : at + 1000])
         for text, ids in zip(texts[at : at + 1000], got, strict=True):
             assert np.frombuffer(ids, "<u2").tolist() == [*_library().encode(text, add_special_tokens=False).ids, 0], repr(text)
 
@@ -53,7 +62,10 @@ def _library():
 @settings(max_examples=300, deadline=None)
 @given(st.lists(LETTERS, max_size=20).map("".join))
 def test_piece_ids(text):
-    assert pieces.model(MODEL).encode([text])[0][1] == pieces.model(MODEL).library.encode(text)
+    ids, decimals = pieces.model(MODEL).encode([text, "", text])
+    wanted = pieces.model(MODEL).library.encode(text)
+    assert [np.frombuffer(x, np.int32).tolist() for x in ids.to_pylist()] == [wanted, [], wanted]
+    assert decimals.to_pylist()[0].decode() == "".join(f"{k}," for k in wanted)
 
 
 def test_agendas_agree():
