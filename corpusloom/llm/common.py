@@ -180,31 +180,3 @@ def utf8(column: pa.Array) -> pa.Array:
         return column
     except pa.ArrowInvalid:
         return pa.array([x.decode("utf-8", "replace").encode() for x in column.to_pylist()], pa.binary())
-
-
-class Memo:
-    """Remembers results by key in two generations of bounded size; what was used lately survives."""
-
-    def __init__(self, size: int):
-        self.size = size
-        self.forget()
-        remembering(self)
-
-    def forget(self) -> None:
-        self.now, self.before = {}, {}
-
-    def values(self, keys: list, make) -> list:
-        """Each key's value, never None; make(list of keys not remembered) gives theirs in order."""
-        if len(self.now) > self.size:
-            self.now, self.before = {}, self.now
-        get, old = self.now.get, self.before
-        got = list(map(get, keys))
-        missing = {k for k, g in zip(keys, got, strict=True) if g is None}
-        if not missing:
-            return got
-        known = [k for k in missing if k in old] if old else []
-        self.now.update(zip(known, map(old.get, known), strict=True))
-        new = [k for k in missing if k not in old] if old else list(missing)
-        if new:
-            self.now.update(zip(new, make(new), strict=True))
-        return [get(k) if g is None else g for k, g in zip(keys, got, strict=True)]

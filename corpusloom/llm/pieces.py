@@ -23,19 +23,18 @@ import re
 import struct
 from collections.abc import Iterator
 from heapq import heapify, heappop, heappush
-from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import Memo, alone, table, text_bytes
+from corpusloom.llm.common import Remembered, alone, binary, bytes_of, table, text_bytes, utf8
 
 MODEL = "piece_bpe_32k.model"
 MARK = "▁"
-REMEMBERED = 200_000
-AT_ONCE = 500
+_MARK = MARK.encode()
+AT_ONCE, NEW_AT_ONCE = 1000, 20_000  # texts; new parts
 SHORT = 64
 NONE = np.int64(1) << 62
 
@@ -54,10 +53,9 @@ class Pieces:
         self.bytes = {int(m.id_to_piece(k)[1:-1], 16): k for k in range(n) if m.is_byte(k)}
         if any(re.search(f"[^{MARK}]{MARK}", p) for p in self.ids):
             raise ValueError("a piece reaches across a space; this vocabulary isn't of the merge type that is supported")
-        self.parts = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
-        self.memo, self.words = Memo(REMEMBERED // 4), Memo(REMEMBERED)  # by part; by part without its space mark
+        self.known = Remembered(2, 500_000)
         self.size = n
-        self.decimal = [str(k).encode() for k in range(n)]
+        self.decimal = pa.array([f"{k},".encode() for k in range(n)], pa.binary())
         self.char = np.arange(0x110000, dtype=np.int64) + n  # characters that are no piece get numbers beyond the pieces'
         for piece, k in self.ids.items():
             if len(piece) == 1:
@@ -111,7 +109,7 @@ class Pieces:
         return out
 
     def _side_by_side(self, parts: list[str]) -> list[bytes | None]:
-        """Each part's ids as 32-bit numbers; None where a symbol is no piece."""
+        """Each part's ids as 32-bit numbers; None where a symbol is no piece and the vocabulary has no bytes."""
         symbol = self.char[np.frombuffer("".join(parts).encode("utf-32-le"), np.uint32)]
         size = np.array([len(p) for p in parts])
         first = np.cumsum(size) - size
@@ -144,10 +142,24 @@ class Pieces:
             judge(near[near >= 0])
         left = symbol[:n] >= 0
         count = np.add.reduceat(left, first, dtype=np.int64)
-        ids, ends = symbol[:n][left], np.cumsum(count)
-        odd = np.maximum.reduceat(symbol[:n], first) >= self.size
-        raw = ids.astype(np.int32).tobytes()
-        return [None if x else raw[4 * (e - c) : 4 * e] for e, c, x in zip(ends.tolist(), count.tolist(), odd.tolist(), strict=True)]
+        ids, part = symbol[:n][left], np.repeat(np.arange(len(first)), count)
+        odd = ids >= self.size
+        none = np.zeros(len(first), bool)
+        if odd.any() and self.bytes:  # characters that are no piece, as their bytes' pieces
+            chars, which = np.unique(ids[odd] - self.size, return_inverse=True)
+            raw = [[self.bytes[b] for b in chr(c).encode()] for c in chars.tolist()]
+            size = np.ones(len(ids), np.int64)
+            size[odd] = np.array([len(x) for x in raw])[which]
+            start = (np.cumsum(size) - size)[odd]
+            ids, part = np.repeat(ids, size), np.repeat(part, size)
+            for k in range(4):
+                some = size[odd] > k
+                ids[start[some] + k] = np.array([x[k] if k < len(x) else 0 for x in raw])[which[some]]
+            count = np.bincount(part, minlength=len(first))
+        elif odd.any():
+            none[part[odd]] = True
+        raw, ends = ids.astype(np.int32).tobytes(), np.cumsum(count)
+        return [None if x else raw[4 * (e - c) : 4 * e] for e, c, x in zip(ends.tolist(), count.tolist(), none.tolist(), strict=True)]
 
     def _all_ids(self, parts: list[str]) -> list[bytes]:
         """Each part's ids as 32-bit numbers."""
@@ -160,6 +172,7 @@ class Pieces:
         return [np.array(self.to_ids(p), np.int32).tobytes() if ids is None else ids for p, ids in zip(parts, out, strict=True)]
 
     def _new(self, parts: list[str]) -> list[bytes]:
+        """Each part's ids, by the agenda, after a look at the library's."""
         out = self._all_ids(parts)
         plain = [k for k, p in enumerate(parts) if len(p) > 1 and p[0] == MARK and p[1] != MARK and self.library.normalize(p[1:]) == p]
         theirs = self.library.encode([parts[k][1:] for k in plain], num_threads=1)
@@ -168,25 +181,32 @@ class Pieces:
                 raise ValueError(f"{parts[k]!r}: {np.frombuffer(out[k], np.int32).tolist()} differ from the library's {other}")
         return out
 
-    def _new_words(self, words: list[str]) -> list[bytes]:
-        return self._new([MARK + w for w in words])
-
-    def encode(self, texts: list[str]) -> list[tuple[bytes, list[int]]]:
-        """Each text's ids, also as decimals joined by commas."""
-        usual, odd = {}, {}
-        for k, x in enumerate(map(self.library.normalize, texts)):
-            if x[:1] == MARK and MARK + MARK not in x and x[-1] != MARK:
-                usual[k] = x[1:].split(MARK)
-            else:
-                odd[k] = self.parts.findall(x)
-        out: list = [None] * len(texts)
-        decimal = self.decimal
-        for memo, some, make in ((self.words, usual, self._new_words), (self.memo, odd, self._new)):
-            got = iter(memo.values(list(chain.from_iterable(some.values())), make))
-            for k, x in some.items():
-                ids = np.frombuffer(b"".join(islice(got, len(x))), np.int32).tolist()
-                out[k] = (b",".join([decimal[i] for i in ids]), ids)
-        return out
+    def _made(self, parts: pa.Array) -> list[pa.Array]:
+        """Ids of new parts as 32-bit numbers, and as decimals with a comma after each."""
+        some = [pa.array(self._new(parts.slice(k, NEW_AT_ONCE).cast(pa.string()).to_pylist()), pa.binary()) for k in range(0, len(parts), NEW_AT_ONCE)]
+        ids = pa.concat_arrays([pa.array([], pa.binary()), *some])
+        data, at = bytes_of(ids)
+        _, offsets, decimals = self.decimal.take(pa.array(data.view(np.int32))).buffers()
+        return [ids, binary(np.frombuffer(offsets, np.int32)[at // 4], decimals)]
+
+    def encode(self, texts: list[str]) -> tuple[pa.Array, pa.Array]:
+        """Each text's ids as 32-bit numbers, and as decimals with a comma after each. Parts of many texts are numbered
+        by Arrow, so that each different one is looked up once; results are gathered by their numbers."""
+        column = pa.array([x.encode() for x in map(self.library.normalize, texts)], pa.binary())
+        data, offsets = bytes_of(column)
+        mark = np.zeros(len(data) + 3, bool)  # with no mark before the first byte
+        if len(data) > 2:
+            mark[3:-2] = (data[:-2] == _MARK[0]) & (data[1:-1] == _MARK[1]) & (data[2:] == _MARK[2])
+        cut = mark[3:] & ~mark[:-3]
+        cut[offsets[:-1][offsets[1:] > offsets[:-1]]] = True
+        at = np.flatnonzero(cut)
+        coded = binary(np.append(at, len(data)), data).dictionary_encode()
+        first = np.searchsorted(at, offsets)
+        out = []
+        for values in self.known.values(coded.dictionary, self._made):
+            _, ends, flat = values.take(coded.indices).buffers()
+            out.append(binary(np.frombuffer(ends, np.int32)[first], flat) if len(at) else pa.array([b""] * len(texts), pa.binary()))
+        return out[0], out[1]
 
 
 def model(path: str) -> Pieces:
@@ -198,19 +218,21 @@ def model(path: str) -> Pieces:
 def _run(path: str, with_values: bool, also: tuple[str, ...] = ()):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tool = model(path)
-        alone(tool.memo, tool.words)
+        alone(tool.known)
         for whole in batches:
             for at in range(0, whole.num_rows, AT_ONCE):
                 batch = whole.slice(at, AT_ONCE)
-                got = tool.encode([x.decode("utf-8", "replace") for x in batch.column("text").to_pylist()])
-                decoded = [tool.library.decode(ids) if ids else "" for _, ids in got]
+                got, decimals = tool.encode(utf8(batch.column("text")).cast(pa.string()).to_pylist())
+                numbers, cuts = (x.view(np.int32) if k == 0 else x // 4 for k, x in enumerate(bytes_of(got)))
+                ids = [numbers[s:e] for s, e in zip(cuts, cuts[1:], strict=False)]
+                decoded = [tool.library.decode(x.tolist()) if len(x) else "" for x in ids]
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column("doc_id"),
-                        pa.array([len(ids) for _, ids in got], pa.int64()),
-                        pa.array([hashlib.sha256(x).hexdigest() for x, _ in got], pa.string()),
+                        pa.array(np.diff(cuts).astype(np.int64)),
+                        pa.array([hashlib.sha256(x[:-1]).hexdigest() for x in decimals.to_pylist()], pa.string()),
                         pa.array([hashlib.sha256(x.encode()).hexdigest() for x in decoded], pa.string()),
-                        pa.array([ids if with_values else None for _, ids in got], pa.list_(pa.int32())),
+                        pa.ListArray.from_arrays(cuts.astype(np.int32), pa.array(numbers)) if with_values else pa.nulls(batch.num_rows, pa.list_(pa.int32())),
                         pa.array([x if with_values else None for x in decoded], pa.string()),
                         *map(batch.column, also),
                     ],
