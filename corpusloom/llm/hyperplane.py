@@ -4,13 +4,17 @@ Equal vectors form a class, which stands for all its copies from then on. A clas
 one signature in each of several tables, the signs of its products with random
 hyperplanes; classes that share a signature are compared exactly, by cosine in double
 precision. Bits for each signature grow with the logarithm of the number of classes, so
-buckets stay small; tables are as many as give a pair at the limit itself the wanted
+that buckets hold some 256 classes if they are spread evenly: what is shuffled grows with the number of
+tables, and larger buckets need shorter signatures and so fewer tables (7 for 50,000 classes, 16 for 5
+million, 35 for 10^9). Tables are as many as give a pair at the limit itself the wanted
 chance to meet (0.97; pairs of higher cosine meet more often).
 
-Buckets of more than `block` classes are split into blocks, and each pair of blocks is
+Signatures are made once and written beside their vectors. Buckets are counted from signatures
+alone; those of more than `block` classes are split into blocks, and each pair of blocks is
 compared in a group of its own, so no task holds more than two blocks and no pair is
-lost. A pair counts in the first table in which it meets. Groups return each class's
-number of linked vectors and a spanning forest of their links, never the pairs.
+lost. A vector moves once for each table (more often in a split bucket). A pair counts in the first table in
+which it meets. Groups return each class's number of linked vectors and a spanning forest of their links,
+never the pairs.
 
 Edge cases: vectors that are null, zero, empty or hold null or non-finite components link
 with nothing, and neither do rows whose id is null; vectors of different lengths don't
@@ -29,12 +33,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import keep, table, tasks
+from corpusloom.llm.common import alone, drop, keep, table, tasks
 from corpusloom.llm.components import connected_components
 
 LIMIT = 0.95
 RECALL = 0.97
-BUCKET = 8  # classes in a bucket, were they spread evenly
+BUCKET = 256  # classes in a bucket, were they spread evenly
 BLOCK = 2048
 SEED = 20240229
 
@@ -70,6 +74,7 @@ def _packed(column: str):
 
 def _signed(bits: int, tables: int, kind: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        alone()
         place = np.uint32(1) << np.arange(bits, dtype=np.uint32)
         for whole in batches:
             for at in range(0, whole.num_rows, 2048):
@@ -83,19 +88,8 @@ def _signed(bits: int, tables: int, kind: str):
                     x /= np.abs(x).max(axis=1, keepdims=True)
                     h = (x @ planes(x.shape[1], bits * tables) > 0).reshape(len(some), tables, bits)
                     signs[some] = (h * place).sum(axis=2, dtype=np.uint32)
-                own = np.repeat(np.arange(len(raw)), tables)
-                take = pa.array(own)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(np.tile(np.arange(tables, dtype=np.int32), len(raw))),
-                        pa.array(signs.astype(np.int64).ravel()),
-                        batch.column("rep").take(take),
-                        batch.column("n").take(take),
-                        batch.column("raw").take(take),
-                        pa.array([s.tobytes() for s in signs], pa.binary()).take(take),
-                    ],
-                    ["tab", "sig", "rep", "n", "raw", "signs"],
-                )
+                lists = pa.ListArray.from_arrays(np.arange(len(raw) + 1, dtype=np.int32) * tables, pa.array(signs.astype(np.int32).ravel()))
+                yield pa.RecordBatch.from_arrays([batch.column("rep"), batch.column("n"), batch.column("raw"), lists], ["rep", "n", "raw", "signs"])
 
     return run
 
@@ -120,7 +114,7 @@ def _compare(group: pa.Table, kind: str, limit: float) -> tuple[np.ndarray, np.n
     rep, n, own = group.column("rep").to_numpy(), group.column("n").to_numpy(), group.column("own").to_numpy()
     tab, lo, hi = group.column("tab")[0].as_py(), group.column("lo")[0].as_py(), group.column("hi")[0].as_py()
     raw = group.column("raw").to_pylist()
-    signs = np.frombuffer(b"".join(group.column("signs").to_pylist()), np.uint32).reshape(len(rep), -1)[:, :tab]
+    signs = pa.concat_arrays([x.flatten() for x in group.column("signs").chunks]).to_numpy().reshape(len(rep), -1)[:, :tab]
     sizes = np.array([len(x) for x in raw])
     left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]  # a lone block of a pair links nothing
     for size in np.unique(sizes):
@@ -188,19 +182,24 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", column: str = "e
     rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), column).mapInArrow(_packed(column), "vec_id long, raw binary")
     rows, _ = keep(rows, "vectors")
     usable = rows.where("raw is not null and vec_id is not null")
-    classes, _ = keep(usable.distinct().groupBy("raw").agg(F.min("vec_id").alias("rep"), F.count("*").alias("n")), "classes")
+    classes, path = keep(usable.distinct().groupBy("raw").agg(F.min("vec_id").alias("rep"), F.count("*").alias("n")), "classes")
     bits, tables = plan(classes.count(), limit, recall)
-    signed = classes.mapInArrow(_signed(bits, tables, kind), "tab int, sig long, rep long, n long, raw binary, signs binary")
-    full = signed.groupBy("tab", "sig").agg(F.count("*").alias("size")).where(F.col("size") > block)
+    signed, _ = keep(classes.mapInArrow(_signed(bits, tables, kind), "rep long, n long, raw binary, signs array<int>"), "signed")
+    drop(spark, path)
+    slim = signed.select("rep", F.posexplode("signs").alias("tab", "sig"))
+    full = slim.groupBy("tab", "sig").agg(F.count("*").alias("size")).where(F.col("size") > block)
     full = full.select("tab", "sig", F.ceil(F.col("size") / block).cast("int").alias("blocks"))
-    dealt = signed.join(full, ["tab", "sig"], "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    crowded = slim.join(full, ["tab", "sig"]).groupBy("rep").agg(F.collect_list(F.struct("tab", "blocks")).alias("crowded"))  # an entry a table
+    dealt = signed.join(crowded, "rep", "left").select("rep", "n", "raw", "signs", "crowded", F.posexplode("signs").alias("tab", "sig"))
+    own = F.filter("crowded", lambda x: x["tab"] == F.col("tab"))
+    dealt = dealt.withColumn("blocks", F.coalesce(F.get(own, F.lit(0))["blocks"], F.lit(1)))
     dealt = dealt.withColumn("own", F.pmod(F.xxhash64("rep"), "blocks").cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     dealt = dealt.select("tab", "sig", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "own", "rep", "n", "raw", "signs")
     sorted_groups = dealt.repartition(tasks(spark), "tab", "sig", "lo", "hi").sortWithinPartitions("tab", "sig", "lo", "hi")
     found, _ = keep(sorted_groups.mapInArrow(_groups(kind, limit), "a long, b long, links long"), "links")
     links = found.where("b is null").groupBy(F.col("a").alias("rep")).agg(F.sum("links").alias("links"))
     roots = connected_components(found.where("b is not null").select("a", "b")).withColumnRenamed("node", "rep")
-    known = classes.join(links, "rep", "left").join(roots, "rep", "left")
+    known = signed.select("raw", "rep", "n").join(links, "rep", "left").join(roots, "rep", "left")
     known = known.select("raw", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.coalesce("root", "rep").alias("component_id"))
     out = usable.join(known, "raw").select("vec_id", "n_links", "component_id", (F.col("vec_id") == F.col("component_id")).alias("kept"))
     apart = rows.where("raw is null or vec_id is null").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
