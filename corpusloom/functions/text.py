@@ -6,13 +6,23 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 TOKEN = r"[\p{L}\p{N}]+"
-#: Characters that full-text queries drop, and abbreviations that don't end a sentence.
+#: Characters that full-text queries drop.
 QUERY_MARKS = "+-!(){}[]^\"~*?:\\/"
+#: Words that end in a dot but not a sentence, in any case.
 ABBREVIATIONS = [
-    "Mr.", "Mrs.", "Ms.", "Dr.", "Prof.", "Gen.", "Col.", "Capt.", "Lt.", "Sgt.", "Gov.", "Sen.", "Rep.", "Hon.", "Rev.", "St.", "No.", "Nos.", "Vol.", "pp.", "cf.", "etc.", "U.S.", "i.e.", "e.g.",
+    "mr", "mrs", "ms", "dr", "prof", "rev", "hon", "col", "gen", "lt", "capt", "adm", "amb", "st", "jr", "sr",
+    "no", "vol", "pp", "ch", "art", "sec", "asst", "dept", "govt",
 ]
-#: Words that are no keywords.
-STOP_WORDS = ["The", "This", "That", "These", "Those", "There", "They", "With", "From", "When", "Where", "Which", "While", "After", "Before", "Under", "Upon", "Have", "Been", "Were"]
+#: Words that are no keywords, in any case, and words that are none as they are.
+STOP_WORDS = ["the", "a", "an", "of", "to", "and", "in", "on", "for", "by", "from", "memorandum", "telegram", "letter"]
+BOILERPLATE = [
+    "Secretary", "State", "Department", "Government", "Excellency", "Ambassador", "Minister", "Legation", "Embassy",
+    "Consul", "Consulate", "President", "Washington", "American", "United", "States", "Charge", "Affaires", "Sir", "Note",
+    "Telegram", "Memorandum", "Despatch", "Enclosure", "Reference", "Source", "Confidential", "Secret",
+    "January", "February", "March", "April", "June", "July", "August", "September", "October", "November", "December",
+]
+#: White space of Unicode, and the separators U+001C to U+001F, inside a character class.
+SPACE = r"\s\x0b\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 
 
 def collapse(c: Column) -> Column:
@@ -30,19 +40,28 @@ def unnumbered(c: Column) -> Column:
     return F.regexp_replace(c, r"^\d+\.\s*", "")
 
 
+def stripped(c: Column) -> Column:
+    """Without white space at the ends."""
+    return F.regexp_replace(c, f"^[{SPACE}]+|[{SPACE}]+$", "")
+
+
 def keywords(c: Column, n: int = 6) -> Column:
-    """The first n different capitalised words of four letters or more that don't start a sentence (SC-4)."""
-    rest = F.transform(F.split(c, r"(?<=[.!?])\s+"), lambda s: F.regexp_replace(s, r"^\W*\w+", ""))
-    words = F.flatten(F.transform(rest, lambda s: F.regexp_extract_all(s, F.lit(r"\b([A-Z][a-z]{3,})"), F.lit(1))))
-    return F.slice(F.array_distinct(F.filter(words, lambda w: ~w.isin(STOP_WORDS))), 1, n)
+    """The first n different capitalised words of four letters or more that don't start a sentence (SC-4). Sentences
+    end at . ! ? ; or : before white space and at line ends."""
+    rest = F.transform(F.split(c, f"(?<=[.!?;:])[{SPACE}]+|\n+"), lambda s: F.regexp_replace(s, f"^[{SPACE}]*[^{SPACE}]+", ""))
+    words = F.flatten(F.transform(rest, lambda s: F.regexp_extract_all(s, F.lit(r"[\p{L}\p{N}_]+"), F.lit(0))))
+    return F.slice(F.array_distinct(F.filter(words, lambda w: w.rlike("^[A-Z][a-z]{3,}$") & ~F.lower(w).isin(STOP_WORDS) & ~w.isin(BOILERPLATE))), 1, n)
 
 
 def sentences(c: Column) -> Column:
-    """Array of sentences (SC-5). Paragraphs end sentences; so does . ! or ? with white space and an upper-case
-    letter, quote or bracket after it. A piece that ends in an abbreviation or an initial takes the next one."""
-    pieces = F.flatten(F.transform(F.split(c, r"\n{2,}"), lambda p: F.split(p, r"(?<=[.!?])[\"')\]]?\s+(?=[A-Z\"'(\[])")))
-    pieces = F.filter(F.transform(pieces, F.trim), lambda p: p != "")
-    open_end = lambda s: F.element_at(F.split(s, r"\s+"), -1).isin(ABBREVIATIONS) | s.rlike(r"(^|\s)[A-Z]\.$")
+    """Array of sentences (SC-5). Paragraphs end sentences; so does . ! or ?, and a closing quote or bracket, with white
+    space and an upper-case letter, quote or bracket after it. A piece that ends in an abbreviation or an initial takes the next one."""
+    #: Fixed value: the boundary.
+    boundary = f"(?<=[.!?])[\"')\\]]?[{SPACE}]+(?=[A-Z\"'(\\[])"
+    pieces = F.flatten(F.transform(F.transform(F.split(c, r"\n{2,}"), stripped), lambda p: F.split(p, boundary)))
+    pieces = F.filter(F.transform(pieces, stripped), lambda p: p != "")
+    last_word = lambda s: F.regexp_extract(F.regexp_replace(s, "[\"')\\]]+$", ""), r"([A-Za-z]+)\.$", 1)
+    open_end = lambda s: F.lower(last_word(s)).isin(ABBREVIATIONS) | last_word(s).rlike("^[A-Z]$")
     empty = F.array().cast("array<string>")
     joined = F.aggregate(
         pieces,
@@ -72,20 +91,20 @@ def language(c: Column) -> Column:
     return F.when(c.rlike(r"[\x{4e00}-\x{9fff}]"), "zh-TW").otherwise("en")
 
 
-#: Routes in order of precedence, each with the words that call for it.
+#: Routes in order of precedence, each with the words that call for it. {series}: a volume's id.
 ROUTES = [
-    ("status", r"\b(published|unpublished|available|released|status)\b.*\b(volume|series)\b|\b(volume|series)\b.*\b(published|unpublished|available|released|status)\b"),
-    ("lookup", r"\bdocument\s+(no\.?\s*)?\d+\b|\bvolume\s+\d+\b.*\bdocument\b"),
-    ("complex", r"\b(compare|contrast|differ|relationship|both|versus|vs|why|how did)\b"),
-    ("timeline", r"\b(timeline|chronolog\w*|sequence of events|between \d{4} and \d{4}|over time)\b"),
+    ("status", r"published|not yet published|planned|forthcoming|出版|已出版|尚未出版|規劃中|哪一卷"),
+    ("lookup", r"{series}[\w\-]*|document\s+\d+|第\s*\d+\s*號文件"),
+    ("complex", r"compare|difference|differ|versus|why did|cause|led to|比較|差異|為什麼|原因|導致|影響"),
+    ("timeline", r"timeline|chronolog|sequence|順序|時間軸|經過|演變|什麼時候|何時|when did"),
 ]
 
 
-def route(c: Column) -> Column:
+def route(c: Column, series: str = r"src\d") -> Column:
     """The first route whose words a question has, else simple (SC-9)."""
     out = F
     for name, words in ROUTES:
-        out = out.when(c.rlike(f"(?i){words}"), name)
+        out = out.when(c.rlike(f"(?i){words.replace('{series}', series)}"), name)
     return out.otherwise("simple")
 
 

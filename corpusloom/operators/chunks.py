@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from corpusloom.functions import text
+
 SIZE, OVERLAP = 512, 64
 
 
@@ -15,20 +19,29 @@ def windows(n, size: int = SIZE, overlap: int = OVERLAP):
     return F.when(n > 0, 1 + F.greatest(F.lit(0), F.ceil((n - size) / (size - overlap)))).otherwise(0).cast("int")
 
 
-def chunk(docs: DataFrame, size: int = SIZE, overlap: int = OVERLAP) -> DataFrame:
-    """A row for each window of white-space tokens (C-1): chunk_id, ordinal, n_chunks_in_doc, n_tokens (of the body),
-    text (head, empty line, body). The body is cut at token ends, so its bytes are the document's. A window
-    whose body is blank gives no row, but its ordinal is used up."""
+def chunk(docs: DataFrame, size: int = SIZE, overlap: int = OVERLAP, spans: Callable[[Column], Column] | None = None) -> DataFrame:
+    """A row for each window of tokens (C-1): chunk_id, ordinal, n_chunks_in_doc, n_tokens (of the body), text (head and
+    empty line, if there is a head, and the body), and those of the documents' doc_number and persons that they have. Tokens
+    are what stands between white space, or what `spans` makes of the text: an array of structs of start and end, in characters from 0, the end
+    excluded (X-4). The body is cut from the first token's start to the last one's end. A window whose body is blank gives no
+    row, but its ordinal is used up."""
     stride = size - overlap
-    spans = F.regexp_extract_all(F.col("text"), F.lit(r"\s*\S+"), F.lit(0))
-    tokens = docs.withColumn("__t", spans).withColumn("__n", windows(F.size("__t"), size, overlap))
-    rows = tokens.where("__n > 0").withColumn("ordinal", F.explode(F.sequence(F.lit(0), F.col("__n") - 1)))
-    part = F.slice("__t", F.col("ordinal") * stride + 1, F.lit(size))
-    body = F.trim(F.regexp_replace(F.array_join(part, ""), r"^\s+|\s+$", ""))
-    rows = rows.withColumn("__body", body).where("__body <> ''")
+    if spans is None:
+        tokens = docs.withColumn("__t", F.regexp_extract_all(F.col("text"), F.lit(r"\s*\S+"), F.lit(0)))
+    else:
+        tokens = docs.withColumn("__t", spans(F.col("text")))
+    rows = tokens.withColumn("__n", windows(F.size("__t"), size, overlap)).where("__n > 0").withColumn("ordinal", F.explode(F.sequence(F.lit(0), F.col("__n") - 1)))
+    rows = rows.withColumn("__part", F.slice("__t", F.col("ordinal") * stride + 1, F.lit(size)))
+    if spans is None:
+        body = F.array_join("__part", "")
+    else:
+        start, end = F.element_at("__part", 1)["start"], F.element_at("__part", -1)["end"]
+        body = F.substr(F.col("text"), start + 1, end - start)
+    rows = rows.withColumn("__body", text.stripped(body)).where("__body <> ''")
+    prefix = F.when(F.coalesce("head", F.lit("")) != "", F.concat("head", F.lit("\n\n"))).otherwise(F.lit(""))
     return rows.select(
         F.concat_ws(":", "volume_id", "document_id", "ordinal").alias("chunk_id"), "volume_id", "document_id", "ordinal", F.col("__n").alias("n_chunks_in_doc"), "subtype", "head", "date_from", "date_to",
-        F.concat("head", F.lit("\n\n"), "__body").alias("text"), F.size(part).alias("n_tokens"),
+        *(c for c in ("doc_number", "persons") if c in docs.columns), F.concat(prefix, "__body").alias("text"), F.size("__part").alias("n_tokens"),
     )
 
 

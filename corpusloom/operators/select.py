@@ -21,18 +21,22 @@ def merge_hops(rows: DataFrame) -> DataFrame:
 
 def select_evidence(rows: DataFrame, absolute: float | None = None, margin: float | None = MARGIN, min_per_hop: int = 3, max_per_hop: int | None = None) -> DataFrame:
     """rows (query_id, hop, id, position, score) with `kept` (W-3). The floor is the absolute one or the query's best less the
-    margin, whichever is higher. Unscored rows stay; each hop keeps its best min_per_hop; a cap on hops wins over
-    both. Without scores or thresholds all rows stay."""
-    q, h = Window.partitionBy("query_id"), Window.partitionBy("query_id", "hop").orderBy(F.col("score").desc_nulls_last(), "position")
+    margin, whichever is higher. Unscored rows stay, whatever the cap: nothing has judged them. Each hop keeps its best
+    min_per_hop scored rows, and max_per_hop of them at most; the cap wins. Without scores or any threshold all rows stay. A null hop
+    is the main one."""
+    if absolute is None and margin is None and max_per_hop is None:
+        return rows.withColumn("kept", F.lit(True))
+    scored = F.col("score").isNotNull()
+    hop = F.coalesce("hop", F.lit("main"))
+    q, h = Window.partitionBy("query_id"), Window.partitionBy("query_id", hop).orderBy(F.col("score").desc_nulls_last(), "position")
     best = F.max("score").over(q)
     floors = [x for x in (F.lit(absolute) if absolute is not None else None, best - margin if margin is not None else None) if x is not None]
-    floor = F.greatest(*floors) if len(floors) > 1 else floors[0] if floors else F.lit(None).cast("double")
-    kept = F.col("score").isNull() | floor.isNull() | (F.col("score") >= floor) | (F.row_number().over(h) <= min_per_hop)
-    out = rows.withColumn("kept", kept)
+    floor = F.greatest(*floors) if len(floors) > 1 else floors[0] if floors else None
+    place = F.row_number().over(h)  # scored rows come first
+    kept = (F.col("score") >= floor) | (place <= min_per_hop) if floor is not None else F.lit(True)
     if max_per_hop is not None:
-        order = Window.partitionBy("query_id", "hop").orderBy(F.col("kept").desc(), F.col("score").desc_nulls_last(), "position")
-        out = out.withColumn("kept", F.col("kept") & (F.row_number().over(order) <= max_per_hop))
-    return out
+        kept = kept & (place <= max_per_hop)  # what is kept of a hop's scored rows are its best
+    return rows.withColumn("kept", ~scored | kept)
 
 
 def missing_hops(rows: DataFrame, hops: DataFrame, absolute: float | None) -> DataFrame:

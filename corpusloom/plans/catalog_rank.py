@@ -202,9 +202,9 @@ def _(s, d):
     return retrieval.lookup(_chunks(s, d), "src19", "d499").select("chunk_id", "text")
 
 
-@query("r14_excerpt", f"{D}, {SQL_CHUNKS}, e AS (SELECT volume_id, document_id, arg_min(head, ordinal) AS head, string_agg(text, ' ' ORDER BY ordinal) AS body FROM chunks GROUP BY volume_id, document_id) SELECT volume_id, document_id, concat(volume_id, ':', document_id, '\n', head, '\n', CASE WHEN length(body) > 2000 THEN concat(substring(body, 1, 2000), ' [TRUNCATED]') ELSE body END) AS excerpt FROM e")
+@query("r14_excerpt", f"{D}, {SQL_CHUNKS}, e AS (SELECT volume_id, document_id, arg_min(head, ordinal) AS head, string_agg(text, ' ' ORDER BY ordinal) AS body FROM chunks GROUP BY volume_id, document_id) SELECT volume_id, document_id, concat(volume_id, ':', document_id, '\n', head, '\n', CASE WHEN length(body) > 60000 THEN concat(substring(body, 1, 60000), ' [TRUNCATED]') ELSE body END) AS excerpt FROM e")
 def _(s, d):
-    return retrieval.excerpt(_chunks(s, d), 2000)
+    return retrieval.excerpt(_chunks(s, d))
 
 
 # selection
@@ -216,9 +216,8 @@ def _scored(s, d):
     return merged_hits(s, d).withColumn("score", F.when(F.col("id") % 9 != 0, F.col("score")))
 
 
-@query("w3_select_evidence", _SEL + """, b AS (SELECT *, greatest(3.0, max(score) OVER (PARTITION BY query_id) - 4.3) AS floor, max(score) OVER (PARTITION BY query_id) AS best, row_number() OVER (PARTITION BY query_id, hop ORDER BY score DESC NULLS LAST, position) AS k FROM sc),
-p AS (SELECT *, score IS NULL OR best IS NULL OR score >= floor OR k <= 3 AS pass FROM b)
-SELECT query_id, hop, id, position, score, pass AND row_number() OVER (PARTITION BY query_id, hop ORDER BY pass DESC, score DESC NULLS LAST, position) <= 8 AS kept FROM p""")
+@query("w3_select_evidence", _SEL + """, judged AS (SELECT *, greatest(3.0, max(score) OVER (PARTITION BY query_id) - 4.3) AS floor, row_number() OVER (PARTITION BY query_id, hop ORDER BY score DESC, position) AS k FROM sc WHERE score IS NOT NULL)
+SELECT query_id, hop, id, position, score, (score >= floor OR k <= 3) AND k <= 8 AS kept FROM judged UNION ALL SELECT query_id, hop, id, position, score, true FROM sc WHERE score IS NULL""")
 def _(s, d):
     return select.select_evidence(_scored(s, d), 3.0, max_per_hop=8).select("query_id", "hop", "id", "position", "score", "kept")
 
@@ -251,11 +250,11 @@ def _(s, d):
 @query("w7_focus", """WITH st AS (SELECT source AS query_id, doc_id AS passage, string_split(text, '. ') AS a FROM documents), su AS (SELECT query_id, passage, unnest(a) AS t, CAST(generate_subscripts(a, 1) - 1 AS BIGINT) AS idx FROM st),
 ss AS (SELECT *, length(t) AS n_chars, (length(t) * 7 + idx * 3) % 23 AS score, sum(length(t)) OVER (PARTITION BY query_id, passage) >= 400 AND count(*) OVER (PARTITION BY query_id, passage) > 4 AS lng FROM su),
 sr AS (SELECT *, sum(CASE WHEN lng THEN 1 ELSE 0 END) OVER (PARTITION BY query_id ORDER BY passage RANGE UNBOUNDED PRECEDING) AS running, row_number() OVER (PARTITION BY query_id, passage ORDER BY score DESC, idx) <= 4 AS top FROM ss)
-SELECT query_id, passage, idx, NOT (lng AND running <= 200) OR max(CAST(top AS INTEGER)) OVER (PARTITION BY query_id, passage ORDER BY idx ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING) = 1 AS kept FROM sr""")
+SELECT query_id, passage, idx, NOT (lng AND running <= 400) OR max(CAST(top AS INTEGER)) OVER (PARTITION BY query_id, passage ORDER BY idx ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING) = 1 AS kept FROM sr""")
 def _(s, d):
     t = table(s, d, "documents").select(F.col("source").alias("query_id"), F.col("doc_id").alias("passage"), F.posexplode(F.split("text", "\\. ")).alias("idx", "t"))
     t = t.withColumn("n_chars", F.length("t")).withColumn("score", (F.col("n_chars") * 7 + F.col("idx") * 3) % 23)
-    return select.focus(t, pairs=200).select("query_id", "passage", "idx", "kept")
+    return select.focus(t).select("query_id", "passage", "idx", "kept")
 
 
 SQL_CLAIMS = "claims AS (SELECT conv_id % 40 AS query_id, conv_id * 100 + turn AS claim, text FROM conversations WHERE role = 'assistant')"

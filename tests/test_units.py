@@ -171,11 +171,34 @@ def test_edges(spark, system, missing, accepted, rounds, wanted):
 
 
 def test_quantile_definitions_differ(spark):
-    df = spark.createDataFrame([(float(k),) for k in range(1, 5)], "x double")
-    r = df.agg(evaluate.nearest_rank(F.col("x"), 0.5).alias("a"), evaluate.floor_rank(F.col("x"), 0.5).alias("b")).first()
-    assert (r.a, r.b) == (3.0, 3.0)  # 0.5 * 3 = 1.5 rounds to 2; floor(0.5 * 4) = 2
-    assert df.where("x > 9").agg(evaluate.nearest_rank(F.col("x"), 0.5)).first()[0] is None
-    assert df.agg(evaluate.nearest_rank(F.col("x"), 0.8).alias("a"), evaluate.floor_rank(F.col("x"), 0.8).alias("b")).first().a == 3.0
+    df = spark.createDataFrame([(None, float(k)) for k in range(1, 5)] + [("b", 7.0), ("b", None), ("c", None)], "g string, x double")
+    at = lambda q: {r.g: (r.near, r.floor) for r in evaluate.values_at(df, ["g"], F.col("x"), {"near": evaluate.nearest_rank(q), "floor": evaluate.floor_rank(q)}).collect()}
+    assert at(0.5) == {None: (3.0, 3.0), "b": (7.0, 7.0)}  # 0.5 * 3 = 1.5 rounds to 2; floor(0.5 * 4) = 2
+    assert at(0.8)[None] == (3.0, 4.0) and at(0.0)[None] == (1.0, 1.0) and at(1.0)[None] == (4.0, 4.0)
+
+
+def test_a_cap_leaves_unscored_rows(spark):
+    rows = [(1, "h0", k, k, 9.0 - k) for k in range(3)] + [(1, "h0", 10 + k, 10 + k, None) for k in range(5)] + [(1, None, 20 + k, 20 + k, 1.0 + k) for k in range(3)]
+    df = spark.createDataFrame(rows, "query_id int, hop string, id int, position int, score double")
+    kept = lambda *a, **b: sorted(r.id for r in select.select_evidence(df, *a, **b).where("kept").collect())
+    assert kept(None, None, max_per_hop=2) == [0, 1, 10, 11, 12, 13, 14, 21, 22]
+    assert kept(None, 1.5, min_per_hop=1) == [0, 1, 10, 11, 12, 13, 14, 22]
+    assert kept(8.5, None, min_per_hop=3, max_per_hop=1) == [0, 10, 11, 12, 13, 14, 22]
+    assert len(kept(None, None)) == len(rows)
+
+
+def test_gates_without_measurements(spark):
+    df = spark.createDataFrame([(k, "B3", "lookup", True, "answered", "simple", "simple", 1.0, 1.0, 1.0, None, 1, 1, 5.0, f"c{k}") for k in range(4)],
+        "run_id int, system string, kind string, answerable boolean, outcome string, expected_route string, actual_route string, union_recall double, accepted_recall double, citation_recall double, judge_score double, llm_calls int, retrieval_calls int, latency_s double, case_id string")
+    got = {r.gate: r.passed for r in evaluate.gates(df, "B0", "B3").collect()}
+    assert got == {"1 multihop recall gain": False, "1 correctness gain": False, "1 retrieval budget": None, "2 route macro f1": True, "2 over-decomposed": True, "3 answers to the unanswerable": True, "4 citation recall": None, "5 latency": True}
+
+
+def test_chunks_by_a_tokenizers_spans(spark):
+    df = spark.createDataFrame([("v", "d1", "s", None, "", "", "abcdefghij  ", 7, ["p"]), ("v", "d2", "s", "Head", "", "", "", 8, [])], "volume_id string, document_id string, subtype string, head string, date_from string, date_to string, text string, doc_number int, persons array<string>")
+    pairs = lambda c: F.transform(F.sequence(F.lit(0), F.greatest(F.lit(0), F.length(c) - 1), F.lit(2)), lambda k: F.struct(k.alias("start"), (k + 2).alias("end")))
+    got = chunks.chunk(df, 3, 1, lambda c: F.when(F.length(c) > 0, pairs(c))).orderBy("ordinal").collect()
+    assert [(r.chunk_id, r.text, r.n_tokens, r.n_chunks_in_doc, r.doc_number, r.persons) for r in got] == [("v:d1:0", "abcdef", 3, 3, 7, ["p"]), ("v:d1:1", "efghij", 3, 3, 7, ["p"]), ("v:d1:2", "ij", 2, 3, 7, ["p"])]
 
 
 def test_greedy_subset():
