@@ -77,10 +77,17 @@ def published(manifest: DataFrame) -> DataFrame:
     return manifest.where(F.col("status") == "published")  # F-11
 
 
-def containing(df: DataFrame, terms: DataFrame, body: str = "text") -> DataFrame:
-    """(term, row) pairs where the row's text has the term (F-12). A substring has no key to join by; the
-    terms are a query set and are matched block by block against each row."""
-    return df.join(terms, F.contains(F.col(body), F.col("term")))
+def containing(df: DataFrame, terms: DataFrame, id_col: str, body: str = "text") -> DataFrame:
+    """(term, row) pairs where the row's text has the term (F-12); id_col tells rows apart. A term of three words or more can only be where
+    its inner words stand between white space: the longest of these is an equi-join key, and what meets by it is verified.
+    Shorter terms have no such key and are matched with each row."""
+    parts = F.split("term", r"\s+")
+    inner = F.slice(parts, F.lit(2), F.greatest(F.size(parts) - 2, F.lit(0)))
+    keyed = terms.withColumn("__key", F.reduce(inner, F.lit(""), lambda a, x: F.when(F.length(x) > F.length(a), x).otherwise(a)))
+    words = df.select(F.col(id_col).alias("__id"), F.explode(F.array_distinct(F.split(body, r"\s+"))).alias("__key"))
+    pairs = words.join(keyed.where("__key <> ''"), "__key").drop("__key")
+    found = df.join(pairs, F.col(id_col) == F.col("__id")).drop("__id").where(F.contains(F.col(body), F.col("term")))
+    return found.unionByName(df.join(keyed.where("__key = ''").drop("__key"), F.contains(F.col(body), F.col("term"))))
 
 
 def first_chunks(chunks: DataFrame) -> DataFrame:

@@ -1,7 +1,7 @@
 """Lexical, vector and hybrid ranking, for a whole table of queries in one plan.
 
-The index is tables: postings (term, id, tf), lengths (id, dl) and document frequencies
-(term, df). Corpus statistics always come from the unfiltered corpus; filters restrict
+The index is tables: postings (term, id, tf, and the document's length dl) and document
+frequencies (term, df), written once and read by all queries. Corpus statistics always come from the unfiltered corpus; filters restrict
 what may be ranked, below the scoring. Ranks have no ties left: scores are compared at
 6 decimals, then by id.
 """
@@ -28,31 +28,31 @@ ARMS = ["bm25", "head", "dense"]
 
 @dataclass(frozen=True)
 class Index:
+    """postings: term, id, tf, dl (the document's number of tokens); frequencies: term, df; n documents of avgdl tokens."""
+
     postings: DataFrame
-    lengths: DataFrame
     frequencies: DataFrame
-    stats: DataFrame  # one row: n, avgdl
-
-
-def build_index(docs: DataFrame, field: str = "text", id_col: str = "doc_id") -> Index:
-    """Postings and statistics of one field (R-1). Counting is grouped before the shuffle."""
-    terms = docs.select(F.col(id_col).alias("id"), F.explode(text.tokens(F.col(field))).alias("term"))
-    postings = terms.groupBy("term", "id").agg(F.count("*").alias("tf"))
-    lengths = docs.select(F.col(id_col).alias("id"), F.size(text.tokens(F.col(field))).cast("long").alias("dl"))
-    frequencies = postings.groupBy("term").agg(F.count("*").alias("df"))
-    return Index(postings, lengths, frequencies, lengths.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl")))
+    n: int
+    avgdl: float
 
 
-def write_index(index: Index, path: str, buckets: int) -> None:
-    """The index as Parquet, postings dealt and sorted by term, so that queries read few row groups."""
-    index.postings.repartition(buckets, "term").sortWithinPartitions("term").write.mode("overwrite").parquet(f"{path}/postings")
-    index.lengths.write.mode("overwrite").parquet(f"{path}/lengths")
-    index.frequencies.write.mode("overwrite").parquet(f"{path}/frequencies")
-    index.stats.write.mode("overwrite").parquet(f"{path}/stats")
+def write_index(docs: DataFrame, path: str, field: str = "text", id_col: str = "doc_id") -> Index:
+    """The index of one field as Parquet (R-1). The texts are read and cut into tokens once; all else comes from the postings,
+    which are dealt and sorted by ranges of (term, id), so that queries read few row groups and no task holds all of a
+    frequent term."""
+    spark = docs.sparkSession
+    tokens = docs.select(F.col(id_col).alias("id"), text.tokens(F.col(field)).alias("tokens")).select("id", F.size("tokens").cast("long").alias("dl"), "tokens")
+    postings = tokens.select("id", "dl", F.explode("tokens").alias("term")).groupBy("term", "id", "dl").agg(F.count("*").alias("tf"))
+    postings.select("term", "id", "tf", "dl").repartitionByRange("term", "id").sortWithinPartitions("term", "id").write.mode("overwrite").parquet(f"{path}/postings")
+    written = spark.read.parquet(f"{path}/postings")
+    written.groupBy("term").agg(F.count("*").alias("df")).write.mode("overwrite").parquet(f"{path}/frequencies")
+    docs.agg(F.count("*").alias("n")).crossJoin(written.agg(F.coalesce(F.sum("tf"), F.lit(0)).alias("tokens"))).write.mode("overwrite").parquet(f"{path}/stats")  # one row each
+    return read_index(spark, path)
 
 
 def read_index(spark: SparkSession, path: str) -> Index:
-    return Index(*(spark.read.parquet(f"{path}/{x}") for x in ("postings", "lengths", "frequencies", "stats")))
+    stats = spark.read.parquet(f"{path}/stats").first()
+    return Index(spark.read.parquet(f"{path}/postings"), spark.read.parquet(f"{path}/frequencies"), stats.n, stats.tokens / stats.n if stats.n else 0.0)
 
 
 def ranked(scored: DataFrame, limit: int) -> DataFrame:
@@ -68,9 +68,8 @@ def bm25(queries: DataFrame, index: Index, limit: int = 50, allowed: DataFrame |
     hits = terms.join(index.frequencies, "term").join(index.postings, "term")
     if allowed is not None:
         hits = hits.join(allowed.select("id"), "id", "left_semi")
-    hits = hits.join(index.lengths, "id").crossJoin(index.stats)
-    idf = F.ln(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    part = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
+    idf = F.ln(1 + (F.lit(index.n) - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    part = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.lit(index.avgdl)))
     return ranked(hits.groupBy("query_id", "id").agg(F.round(F.sum(part), 6).alias("score")), limit)
 
 
@@ -84,12 +83,15 @@ def dense(queries: DataFrame, vectors: DataFrame, limit: int = 50) -> DataFrame:
 
 
 def ivf_centroids(vectors: DataFrame, cells: int | None = None, sample: int = 20_000, seed: int = 7) -> np.ndarray:
-    """Centroids of an inverted file (R-5): k-means on the rows of least hash, `sample` at most; by default one cell for
-    each root of the number of vectors, 4096 at most."""
-    n = vectors.count()
+    """Centroids of an inverted file (R-5): k-means on the rows whose hash is below a threshold set by their number, `sample` at
+    most; by default one cell for each root of the number of vectors, 4096 at most, as a cell needs some of the sample."""
+    rows = vectors.where("vector is not null")
+    n = rows.count()
     cells = cells or max(1, min(4096, int(math.sqrt(n))))
-    rows = vectors.where("vector is not null").orderBy(F.xxhash64(F.lit(seed), "id")).limit(sample).select("vector").toPandas()["vector"]
-    x = np.array(rows.tolist(), np.float64)
+    h = F.xxhash64(F.lit(seed), "id")
+    if n > sample:
+        rows = rows.where(h < F.lit(int(2**64 * 0.95 * sample / n) - 2**63))
+    x = np.array(rows.select(h.alias("h"), "vector").toPandas().sort_values("h")["vector"].head(sample).tolist(), np.float64)
     x /= np.linalg.norm(x, axis=1, keepdims=True)
     c = x[: min(cells, len(x))].copy()
     for _ in range(10):

@@ -54,7 +54,7 @@ def _(s, d):
     from corpusloom.operators import filters
 
     terms = table(s, d, "benchmark").select(F.get(F.split("text", " "), F.lit(1)).alias("term")).distinct()
-    return filters.containing(table(s, d, "documents"), terms).groupBy("term").agg(F.count_distinct("doc_id").alias("df"))
+    return filters.containing(table(s, d, "documents"), terms, "doc_id").groupBy("term").agg(F.count_distinct("doc_id").alias("df"))
 
 
 @query("g6_title_counts", D + " SELECT trim(regexp_replace(regexp_replace(lower(head), '^\\d+\\.\\s*', ''), '\\s+', ' ', 'g')) AS title, count(*) AS n FROM docs GROUP BY 1")

@@ -29,7 +29,7 @@ def questions(s, d):
 def gold(s, d):
     t = table(s, d, "documents").select(F.col("doc_id").alias("id"), F.col("text").alias("body"))
     b = table(s, d, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("term"))
-    return filters.containing(t, b, "body").select("query_id", "id")
+    return filters.containing(t, b, "id", "body").select("query_id", "id")
 
 
 SQL_QUESTIONS = f"questions AS (SELECT item_id AS query_id, array_to_string(list_slice(string_split(text, ' '), 1, {QUERY_WORDS}), ' ') AS query, text FROM benchmark)"
@@ -46,11 +46,11 @@ def sql_bm25(name: str, field: str, limit: int, where: str = "true") -> str:
 
 
 def body_hits(s, d, limit=50, allowed=None):
-    return retrieval.bm25(questions(s, d), retrieval.build_index(docs(s, d)), limit, allowed)
+    return retrieval.bm25(questions(s, d), inputs.index(s, d, "text"), limit, allowed)
 
 
 def head_hits(s, d, limit=50):
-    return retrieval.bm25(questions(s, d), retrieval.build_index(docs(s, d), "head"), limit)
+    return retrieval.bm25(questions(s, d), inputs.index(s, d, "head"), limit)
 
 
 def vector_questions(s, d):
@@ -89,11 +89,7 @@ _TOK = SQL_TOKENS.format("text")
 
 @query("r1_index", f"{D}, t AS (SELECT doc_id AS id, unnest({_TOK}) AS term FROM docs), p AS (SELECT term, id, count(*) AS tf FROM t GROUP BY term, id) SELECT term, count(*) AS df, CAST(sum(tf) AS BIGINT) AS n FROM p GROUP BY term")
 def _(s, d):
-    from corpusloom.sources import tables
-
-    path = tables.scratch(s, "index")
-    retrieval.write_index(retrieval.build_index(docs(s, d)), path, 8)
-    i = retrieval.read_index(s, path)
+    i = inputs.index(s, d, "text")
     return i.postings.groupBy("term").agg(F.sum("tf").alias("n")).join(i.frequencies, "term").select("term", "df", "n")
 
 
@@ -397,7 +393,7 @@ def _(s, d):
 @query("n3_n6_n13_answer_loop")
 def _(s, d):
     asked = questions(s, d).select("query_id", F.col("query").alias("question"))
-    index, body = retrieval.build_index(docs(s, d)), docs(s, d)
+    index, body = inputs.index(s, d, "text"), docs(s, d)
 
     def retrieve(hops):
         hits = retrieval.bm25(hops.select(F.concat_ws("|", "query_id", "hop").alias("query_id"), "query"), index, 10)

@@ -250,10 +250,10 @@ def _(s, d):
     return filters.published(manifest(s, d)).select("volume_id", "n_documents")
 
 
-@query("f12_containing", "WITH t AS (SELECT item_id, substring(text, 1, 60) AS term FROM benchmark) SELECT term, count(*) AS df FROM documents JOIN t ON contains(text, term) GROUP BY term")
+@query("f12_containing", "WITH t AS (SELECT item_id, text AS term FROM benchmark) SELECT term, count(*) AS df FROM documents JOIN t ON contains(text, term) GROUP BY term")
 def _(s, d):
-    terms = table(s, d, "benchmark").select(F.substring("text", 1, 60).alias("term"))
-    return filters.containing(table(s, d, "documents"), terms).groupBy("term").agg(F.count("*").alias("df"))
+    terms = table(s, d, "benchmark").select("item_id", F.col("text").alias("term"))
+    return filters.containing(table(s, d, "documents"), terms, "doc_id").groupBy("term").agg(F.count("*").alias("df"))
 
 
 @query("f13_first_chunks", D + " SELECT document FROM docs WHERE subtype = 'historical-document' AND head <> '' AND date_from <> ''")

@@ -5,6 +5,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from corpusloom.operators import retrieval
+from corpusloom.sources import tables
+
 DOCS = {
     "doc_id": "doc_id",
     "volume_id": "source",
@@ -49,6 +52,20 @@ MANIFEST = "SELECT volume_id, concat('Volume ', volume_id) AS title, concat('Ser
 QUERY_WORDS = 8
 
 
+_indexes: dict[tuple, retrieval.Index] = {}
+
+
+def index(spark: SparkSession, sf_dir: str, field: str) -> retrieval.Index:
+    """The index of a field of the documents, written when it is first asked for and shared by all queries of the
+    application on the same files."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{sf_dir}/documents.parquet")
+    status = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(at)
+    known = (spark.sparkContext.applicationId, sf_dir, field, status.getModificationTime(), status.getLen())
+    if known not in _indexes:
+        _indexes[known] = retrieval.write_index(docs(spark, sf_dir), tables.scratch(spark, f"index-{field}"), field)
+    return _indexes[known]
+
+
 def _columns(columns: dict[str, str]) -> str:
     return ", ".join(f"{e} AS {n}" for n, e in columns.items())
 

@@ -2,18 +2,41 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
+import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+_scratch: dict[str, str] = {}
 
-def scratch(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder that the cluster names, or a temporary one where it names none."""
-    import tempfile
 
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or f"file://{tempfile.mkdtemp(prefix='corpusloom-')}"
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path below this application's own part of the shared folder that the cluster names in spark.checkpoint.dir. Only
+    in local mode a temporary folder stands in where that isn't set. What is below goes when the driver ends."""
+    app = spark.sparkContext.applicationId
+    if app not in _scratch:
+        base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+        if not base:
+            if not spark.sparkContext.master.startswith("local["):
+                raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+            local = tempfile.mkdtemp(prefix="corpusloom-")
+            atexit.register(shutil.rmtree, local, ignore_errors=True)
+            base = f"file://{local}"
+        else:
+            atexit.register(_forget, spark, app)
+        _scratch[app] = f"{base.rstrip('/')}/corpusloom-{uuid.uuid4().hex}"
+    return f"{_scratch[app]}/{name}-{uuid.uuid4().hex}"
+
+
+def _forget(spark: SparkSession, app: str) -> None:
+    try:
+        at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_scratch.pop(app))
+        at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+    except Exception:  # the JVM may have ended before
+        pass
 
 
 def write(df: DataFrame, path: str, by: str | None = None, mode: str = "overwrite") -> None:
