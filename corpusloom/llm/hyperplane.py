@@ -39,7 +39,7 @@ from corpusloom.llm.components import connected_components
 LIMIT = 0.95
 RECALL = 0.97
 BUCKET = 256  # classes in a bucket, were they spread evenly
-BLOCK = 2048
+BLOCK = 512
 SEED = 20240229
 
 

@@ -18,6 +18,7 @@ QUERIES = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op2_url_filter": urls.SQL,
     "op6_hyperplane_dedup": hyperplane.SQL,
     "op9_substring_dedup": substring.SQL,
 }

@@ -107,3 +107,26 @@ def test_order_within_sources(spark):
     for s in ("s0", "s1", "s2"):
         ids = [r.doc_id for r in out if r.source == s]
         assert ids == sorted(ids)
+
+
+def test_the_query_against_a_plain_schedule(spark, data_dir="/root/testdata/sf0.001"):
+    """All rows of the registered query, from the documents' counts on in plain Python."""
+    import os
+
+    if not os.path.isdir(data_dir):
+        pytest.skip("no test tables")
+    docs = spark.read.parquet(f"{data_dir}/documents.parquet").select("doc_id", "source").collect()
+    groups = {}
+    for r in sorted(docs, key=lambda r: r.doc_id):
+        groups.setdefault(r.source, []).append(r.doc_id)
+    blocks = {s: -(-len(x) // mixing.BLOCK) for s, x in groups.items()}
+    served = fluid(blocks, {s: Fraction(len(x) ** 0.5) for s, x in groups.items()})
+    had, wanted, position = dict.fromkeys(blocks, 0), {}, 0
+    for t in range(sum(blocks.values())):
+        deadline, s = min((math.ceil(served[s, i][1]), s) for s, i in had.items() if i < blocks[s] and served[s, i][0] < t + 1)
+        for i in groups[s][had[s] * mixing.BLOCK : (had[s] + 1) * mixing.BLOCK]:
+            wanted[i] = (s, had[s], math.floor(served[s, had[s]][0]), deadline, t, position)
+            position += 1
+        had[s] += 1
+    got = {r.doc_id: (r.source, r.block, r.release, r.deadline, r.slot, r.position) for r in mixing.op7(spark, data_dir).collect()}
+    assert got == wanted and len(got) == len(docs)

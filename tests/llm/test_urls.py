@@ -1,3 +1,4 @@
+import hashlib
 import math
 import re
 from collections import defaultdict
@@ -47,11 +48,12 @@ def test_scores_against_brute_force(spark, data):
 
     df = spark.read.parquet(f"{data}/pages.parquet").select("page_id", "url")
     out = urls.filter_urls(df)
-    sites = out.select(F.concat("host", "path").alias("site"), "rule", "verdict", "score").withColumn("fold", F.pmod(F.xxhash64("site"), F.lit(urls.FOLDS))).collect()
+    sites = out.join(df, "page_id").select(F.lower("url").alias("site"), "url", "rule", "verdict", "score").collect()
+    fold = lambda u: int(hashlib.md5(u.encode()).hexdigest()[:8], 16) % urls.FOLDS
     order, pad = urls.ORDER, urls.PAD
     counts = {k: [defaultdict(int) for _ in range(order + 1)] for k in ("allow", "block")}
     for r in sites:
-        if r.rule and r.fold:
+        if r.rule and fold(r.url):
             t = pad * order + r.site
             for i in range(order, len(t)):
                 for k in range(order + 1):
@@ -86,3 +88,29 @@ def test_threshold_is_the_best(spark):
     t = urls.threshold(spark.createDataFrame(rows, "score double, by_rule string, n long")).first()[0]
     rate = lambda x: sum(n for s, k, n in rows if k == "allow" and s >= x) / 5 + sum(n for s, k, n in rows if k == "block" and s < x) / 7
     assert abs(rate(t - 1e-9) - max(rate(x / 100) for x in range(-60, 60))) < 1e-9
+
+
+def test_against_sql(spark, data, tmp_path):
+    from tests import oracle
+
+    oracle.same(urls.op2(spark, data), oracle.connect(data), urls.SQL)
+    c = oracle.connect(data)
+    c.execute("CREATE OR REPLACE VIEW pages AS SELECT * FROM (VALUES " + ", ".join(f"({k}, {'NULL' if u is None else chr(39) + u + chr(39)})" for k, u in enumerate(ROWS * 3)) + ") t(page_id, url)")
+    oracle.same(urls.filter_urls(pages(spark, list(enumerate(ROWS * 3)))), c, urls.SQL)
+
+
+def test_grams_of_long_urls(spark):
+    """Segments lose and double nothing, whatever the length; time grows with it."""
+    import time
+
+    texts = ["", "a", "abcd", *("".join(chr(97 + (k * k + n) % 26) for k in range(n)) for n in (59, 60, 61, 63, 64, 65, 128, 200)), "é漢🙂" * 50]
+    df = spark.createDataFrame(list(enumerate(texts)), "id int, t string")
+    got = sorted(map(tuple, urls._grams(df, "t", 4).collect()))
+    assert got == sorted((k, (urls.PAD * 4 + t)[i : i + 5]) for k, t in enumerate(texts) for i in range(len(t)))
+    took = []
+    for n in (100_000, 400_000):
+        long = spark.createDataFrame([(1, "abcdefghij" * (n // 10))], "id int, t string")
+        began = time.time()
+        assert urls._grams(long, "t", 4).count() == n
+        took.append(time.time() - began)
+    assert took[1] < 20 * max(took[0], 0.5)
