@@ -2,6 +2,11 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return
 the columns of documents.
+
+Odd input, alike in all stages: a null text is empty; empty and wordless texts are documents like others (near-dedup keeps one
+of them, the other stages change nothing in them); a text may be as long as a task's memory allows, some tens of times its size, and
+is always read whole; equal rows count as copies; a null doc_id comes after all others; null source and lang are
+groups of their own; an empty table gives an empty table; columns beside those of documents are kept, whatever their names.
 """
 
 from __future__ import annotations
@@ -9,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from corpusloom.llm import mixing, pieces, quality, similar, substring
-from corpusloom.llm.common import keep, table
+from corpusloom.llm.common import drop, keep, kept_now, table
 
 
 def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -56,8 +61,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the documents table, each written as Parquet and read again for the next."""
-    docs = table(spark, sf_dir, "documents")
+    """All stages over the documents table, each written as Parquet and read again for the next. When a stage is written,
+    its predecessor's table and its own intermediate ones go."""
+    docs, before = table(spark, sf_dir, "documents"), set(kept_now())
     for name, stage in STAGES[:-1]:
-        docs, _ = keep(stage(spark, docs, sf_dir), name.split()[0])
+        docs, path = keep(stage(spark, docs, sf_dir), name.split()[0])
+        drop(spark, *(p for p in kept_now() if p not in before and p != path))
     return STAGES[-1][1](spark, docs, sf_dir)

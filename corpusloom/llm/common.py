@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 _scratch: dict[str, str] = {}
+_kept: list[str] = []  # scratch tables, in the order they were made
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -52,10 +53,17 @@ def _forget(spark: SparkSession, app: str) -> None:
         pass
 
 
+def kept_now() -> list[str]:
+    """The scratch tables that there are."""
+    return list(_kept)
+
+
 def drop(spark: SparkSession, *paths: str) -> None:
     """Deletes scratch tables that no later step reads."""
     jvm = spark.sparkContext._jvm
     for path in paths:
+        if path in _kept:
+            _kept.remove(path)
         at = jvm.org.apache.hadoop.fs.Path(path)
         at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
@@ -68,6 +76,7 @@ def keep(df: DataFrame, name: str, compression: str = "snappy") -> tuple[DataFra
     """
     spark = df.sparkSession
     path = f"{scratch(spark)}/{name}-{uuid.uuid4().hex[:12]}"
+    _kept.append(path)
     df.write.option("compression", compression).parquet(path)
     return spark.read.schema(df.schema).parquet(path), path
 
