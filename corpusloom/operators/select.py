@@ -39,6 +39,21 @@ def select_evidence(rows: DataFrame, absolute: float | None = None, margin: floa
     return rows.withColumn("kept", ~scored | kept)
 
 
+def graded(evidence: DataFrame, judgements: DataFrame, window: int = 10) -> DataFrame:
+    """evidence (query_id, id, position) with `kept` by a model's judgements (query_id, hop, rejected ids): what is within the window that it
+    was shown goes if every hop rejects it; what it wasn't shown, and all of a query that it failed to judge, stays (N-4)."""
+    shown = F.row_number().over(Window.partitionBy("query_id").orderBy("position")) <= window
+    no = judgements.select("query_id", "hop", F.explode("rejected").alias("id"))
+    gone = rejected_by_all(no, judgements).where("by_all").select("query_id", "id", F.lit(True).alias("__gone"))
+    return evidence.withColumn("__shown", shown).join(gone, ["query_id", "id"], "left").withColumn("kept", ~F.col("__shown") | F.col("__gone").isNull()).drop("__shown", "__gone")
+
+
+def unsupported(judgements: DataFrame) -> DataFrame:
+    """Hops (query_id, hop, missing) that a model's judgement (verdict, corrective) doesn't call supported; missing is the corrective
+    query, or the hop's id."""
+    return judgements.where("verdict <> 'supported'").select("query_id", "hop", F.coalesce(F.nullif("corrective", F.lit("")), "hop").alias("missing"))
+
+
 def missing_hops(rows: DataFrame, hops: DataFrame, absolute: float | None) -> DataFrame:
     """(query_id, hop) whose best score is below the absolute floor or that have none; no rows without a floor (W-4)."""
     if absolute is None:

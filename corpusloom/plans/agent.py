@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.functions import text
 from corpusloom.operators import cite, filters, select
+from corpusloom.sources import tables
 
 
 @dataclass(frozen=True)
@@ -74,25 +75,39 @@ def next_step(states: DataFrame, system: System) -> DataFrame:
     return states.withColumn("step", F.when(again, "rewrite_missing").when((F.col("n_accepted") > 0) | F.lit(not system.grades), "synthesize").otherwise("abstain"))
 
 
-def answer(questions: DataFrame, retrieve: Callable[[DataFrame], DataFrame], generate: Callable[[DataFrame], DataFrame], manifest: DataFrame, system: System = SYSTEMS["B3"], floor: float | None = None, planned: DataFrame | None = None) -> DataFrame:
+def _kept(df: DataFrame, name: str) -> DataFrame:
+    """df as a table in the shared folder, so that later rounds don't run earlier ones again."""
+    path = tables.scratch(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def answer(questions: DataFrame, retrieve: Callable[[DataFrame], DataFrame], generate: Callable[[DataFrame], DataFrame], manifest: DataFrame, system: System = SYSTEMS["B3"], floor: float | None = None, planned: DataFrame | None = None, grade: Callable[[DataFrame, DataFrame], DataFrame] | None = None) -> DataFrame:
     """Answers to all questions (N-3 to N-14). retrieve: hops -> (query_id, hop, id, score, volume_id, subtype, text); generate: accepted
-    evidence -> claims (query_id, claim, text, ids)."""
+    evidence -> claims (query_id, claim, text, ids). Evidence is graded by scores and a floor, or by a model: grade: evidence, hops -> judgements
+    (query_id, hop, verdict, corrective, rejected)."""
     hops = plan_hops(questions, planned if system.plans else None)
     found, asked = None, hops
     for number in range(system.rounds):
-        new = retrieve(asked).withColumn("seen", F.lit(number))
+        new = _kept(retrieve(asked).withColumn("seen", F.lit(number)), "round")
         found = new if found is None else found.unionByName(new)
-        if not system.corrects or number + 1 == system.rounds or floor is None:
+        if not system.corrects or number + 1 == system.rounds or (floor is None and grade is None):
             break
-        missing = select.missing_hops(found, hops, floor).withColumn("missing", F.lit(""))
-        asked = rewrite(missing, hops, number)
+        if grade is None:
+            missing = select.missing_hops(found, hops, floor).withColumn("missing", F.lit(""))
+        else:
+            missing = select.unsupported(grade(select.merge_hops(found), hops))
+        asked = _kept(rewrite(missing, hops, number), "asked")
         if asked.isEmpty():
             break
-    merged = select.merge_hops(found)
-    kept = select.select_evidence(merged, floor).where("kept") if system.grades else merged
+    merged = _kept(select.merge_hops(found), "merged")
+    if not system.grades:
+        kept = merged
+    else:
+        kept = (select.select_evidence(merged, floor) if grade is None else select.graded(merged, _kept(grade(merged, hops), "judgements"))).where("kept")
     about = found.select("query_id", "id", "volume_id", "subtype", "text").dropDuplicates(["query_id", "id"])
-    accepted = kept.join(about, ["query_id", "id"])
-    claims = generate(accepted).withColumn("text", text.without_urls(F.col("text")))
+    accepted = _kept(kept.join(about, ["query_id", "id"]), "accepted")
+    claims = _kept(generate(accepted).withColumn("text", text.without_urls(F.col("text"))), "claims")
     checked = cite.cited(claims, about, accepted, manifest)
     if system.repairs:
         claims = cite.drop_uncited(cite.repair(claims, checked))

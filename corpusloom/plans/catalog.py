@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.plans import catalog_eval, catalog_rank, catalog_text
+from corpusloom.plans import catalog_eval, catalog_probes, catalog_rank, catalog_text
 
 
 def wide(df: DataFrame) -> DataFrame:
@@ -17,7 +17,7 @@ def wide(df: DataFrame) -> DataFrame:
 
 
 def all_queries() -> dict:
-    return catalog_rank.Q | catalog_text.Q | catalog_eval.Q
+    return catalog_rank.Q | catalog_text.Q | catalog_eval.Q | catalog_probes.Q
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -390,9 +390,12 @@ def _(s, d):
     return agent.next_step(st, agent.SYSTEMS["B2"]).select("event_id", "step")
 
 
-@query("n3_n6_n13_answer_loop")
-def _(s, d):
+def _loop(s, d, system, floor=None, grade=None):
+    """Questions of which every third has a plan of two hops; answers quote the best passage."""
     asked = questions(s, d).select("query_id", F.col("query").alias("question"))
+    words = F.split("question", " ")
+    planned = asked.where("query_id % 3 = 0").select("query_id", F.explode(F.array(F.lit(0), F.lit(1))).alias("place"), words.alias("w"))
+    planned = planned.select("query_id", "place", F.array_join(F.slice("w", 1 + 4 * F.col("place"), F.lit(4)), " ").alias("query"), F.lit("complex").alias("route"))
     index, body = inputs.index(s, d, "text"), docs(s, d)
 
     def retrieve(hops):
@@ -404,7 +407,22 @@ def _(s, d):
         best = accepted.groupBy("query_id").agg(F.max_by(F.struct("id", "text"), F.struct("score", "id")).alias("b"))
         return best.select("query_id", F.lit(0).alias("claim"), F.substring("b.text", 1, 80).alias("text"), F.array("b.id").alias("ids"))
 
-    return agent.answer(asked, retrieve, generate, manifest(s, d)).select("query_id", "outcome", "n_retrieved", "reason")
+    return agent.answer(asked, retrieve, generate, manifest(s, d), agent.SYSTEMS[system], floor, planned, grade).select("query_id", "outcome", "n_retrieved", "reason")
+
+
+def _add_loop(name, system, floor=None, grade=None):
+    Q[name] = (lambda s, d: _loop(s, d, system, floor, grade), None)
+
+
+def _by_rank(evidence, hops):
+    """A stand-in for a grading model: every hop rejects what stands after the third place, and the first hop of even questions lacks something."""
+    late = evidence.where("position > 3").groupBy("query_id").agg(F.collect_list("id").alias("late"))
+    verdict = F.when((F.col("hop") == "h0") & (F.col("query_id") % 2 == 0), "missing").otherwise("supported")
+    return hops.join(late, "query_id", "left").select("query_id", "hop", verdict.alias("verdict"), F.lit("").alias("corrective"), F.coalesce("late", F.array().cast("array<string>")).alias("rejected"))
+
+
+for _name, _system, _floor, _grade in (("n3_n6_n13_answer_loop", "B3", 12.0, None), ("n13_b0", "B0", None, None), ("n13_b1", "B1", None, None), ("n13_b2_corrections", "B2", 12.0, None), ("n13_b0_2step", "B0-2step", None, None), ("n4_graded_by_model", "B3", None, _by_rank)):
+    _add_loop(_name, _system, _floor, _grade)
 
 
 # the remaining joins

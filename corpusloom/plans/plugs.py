@@ -12,6 +12,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from corpusloom.operators import chunks as chunk_rows
+from corpusloom.operators import filters, retrieval
+
 
 class Toolbox(Protocol):
     """What an agent may ask for; each tool answers a table of queries at once (X-1)."""
@@ -79,6 +82,77 @@ def hashed_encoder(dim: int = 16) -> Callable[[], Callable[[list[str]], np.ndarr
     return make
 
 
+def tokenizer_spans(path: str) -> Callable[[Column], Column]:
+    """Character spans of a tokenizer file's tokens, for chunks (X-4)."""
+
+    @F.pandas_udf("array<struct<start: int, end: int>>")
+    def spans(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        from tokenizers import Tokenizer
+
+        tool = Tokenizer.from_file(path)
+        for texts in batches:
+            yield pd.Series([[{"start": a, "end": b} for a, b in x.offsets] for x in tool.encode_batch(texts.fillna("").tolist(), add_special_tokens=False)])
+
+    return spans
+
+
+def structured(make: Callable[[], Callable[[str], str]], check: Callable[[object], str | None], attempts: int = 2):
+    """A column function prompt -> struct of answer (JSON that passes the check, else null) and calls (X-5). check gives what is wrong with a parsed
+    answer, or None; the next prompt has it, and then the model is given up."""
+    import json
+
+    @F.pandas_udf("answer string, calls int")
+    def ask(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        model = make()
+        for prompts in batches:
+            rows = []
+            for prompt in prompts:
+                answer, put, calls = None, prompt, 0
+                while answer is None and calls < attempts and prompt is not None:
+                    calls += 1
+                    raw = model(put)
+                    try:
+                        wrong = check(json.loads(raw))
+                    except (TypeError, ValueError) as e:
+                        wrong = str(e)
+                    answer = raw if wrong is None else None
+                    put = f"{prompt}\n\nThe last answer doesn't fit the schema ({wrong}). Answer with JSON that does."
+                rows.append((answer, calls))
+            yield pd.DataFrame(rows, columns=["answer", "calls"])
+
+    return ask
+
+
+@dataclass
+class Tables:
+    """The tools over tables (X-1): an index of chunks, the chunks (chunk_id, volume_id, document_id, ordinal, date_from, date_to, text), the manifest."""
+
+    index: retrieval.Index
+    chunks: DataFrame
+    manifest: DataFrame
+    top_k: int = 10
+
+    def search(self, queries: DataFrame, allowed: DataFrame | None = None) -> DataFrame:
+        """queries: query_id, query; allowed: ids."""
+        return retrieval.bm25(queries, self.index, self.top_k, allowed)
+
+    def lookup(self, references: DataFrame) -> DataFrame:
+        """references: query_id, volume_id, document_id."""
+        return references.join(self.chunks, ["volume_id", "document_id"]).select("query_id", "chunk_id", "ordinal", "text")
+
+    def timeline(self, queries: DataFrame) -> DataFrame:
+        """queries: query_id, query, q_from, q_to: the best chunks of documents that overlap the dates, by date."""
+        pairs = filters.overlapping(queries.select("query_id", "q_from", "q_to"), self.chunks.select(F.col("chunk_id").alias("id"), "date_from", "date_to")).select("query_id", "id", "date_from")
+        hits = retrieval.bm25(queries, self.index, 2**31 - 1).drop("rank").join(pairs, ["query_id", "id"])
+        return retrieval.timeline(retrieval.ranked(hits, self.top_k))
+
+    def neighbours(self, chunk_ids: DataFrame) -> DataFrame:
+        return chunk_rows.adjacent(chunk_ids, self.chunks)
+
+    def status(self, needle: str) -> DataFrame:
+        return filters.series_status(self.manifest, needle)
+
+
 @dataclass
 class ScriptedModel:
     """A stand-in language model that answers from a script, in order, and counts its calls (X-5, X-7)."""
