@@ -9,11 +9,12 @@ what may be ranked, below the scoring. Ranks have no ties left: scores are compa
 from __future__ import annotations
 
 import math
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -73,13 +74,64 @@ def bm25(queries: DataFrame, index: Index, limit: int = 50, allowed: DataFrame |
     return ranked(hits.groupBy("query_id", "id").agg(F.round(F.sum(part), 6).alias("score")), limit)
 
 
-def dense(queries: DataFrame, vectors: DataFrame, limit: int = 50) -> DataFrame:
-    """Exact cosine ranking (R-6): every query against every vector, which is what a stated query set asks for.
-    queries: query_id, q_vector; vectors: id, vector (null: not embedded). Norms are computed once a row."""
-    unit = lambda c: F.transform(c, lambda x: x.cast("double") / F.sqrt(text.dot(F.col(c), F.col(c))))
-    q = queries.where("q_vector is not null").select("query_id", unit("q_vector").alias("q"))
-    v = vectors.where("vector is not null").select("id", unit("vector").alias("v"))
-    return ranked(v.crossJoin(q).select("query_id", "id", F.round(text.dot(F.col("q"), F.col("v")), 6).alias("score")), limit)
+def _blocks(size: int):
+    """Rows (id, vector) as blocks of at most `size` unit vectors of one length: ids, matrix in double precision, length. Zero and
+    null vectors are left out."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, size):
+                batch = whole.slice(at, size)
+                lists = batch.column(1).cast(pa.list_(pa.float64()))
+                lengths = np.diff(lists.offsets.to_numpy())
+                for dim in np.unique(lengths[lengths > 0]):
+                    some = pa.array(lengths == dim)
+                    x = lists.filter(some).flatten().to_numpy(zero_copy_only=False).reshape(-1, dim)
+                    norm = np.sqrt((x * x).sum(axis=1))
+                    good = np.isfinite(norm) & (norm > 0)
+                    ids = batch.column(0).filter(some).filter(pa.array(good))
+                    if len(ids):
+                        yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), ids), pa.array([(x[good] / norm[good, None]).tobytes()], pa.binary()), pa.array([int(dim)], pa.int32())], ["ids", "matrix", "dim"])
+
+    return run
+
+
+def _products(limit: int):
+    """For pairs of blocks (ids, matrix, q_ids, q_matrix, dim): the best `limit` of the block for each query."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(batch.num_rows):
+                dim = batch.column("dim")[k].as_py()
+                ids, q_ids = batch.column("ids")[k].values, batch.column("q_ids")[k].values
+                v, q = (np.frombuffer(batch.column(c)[k].as_py(), np.float64).reshape(-1, dim) for c in ("matrix", "q_matrix"))
+                scores = q @ v.T
+                near = np.round(scores, 6)
+                best = np.partition(near, -limit, axis=1)[:, -limit] if len(v) > limit else np.full(len(q), -2.0)
+                rows, cols = np.nonzero(near >= best[:, None])
+                if len(v) > limit:  # of equal scores at the end, those of least id
+                    rank = np.argsort(np.argsort(np.array(ids.to_pylist(), object), kind="stable"), kind="stable")
+                    order = np.lexsort((rank[cols], -near[rows, cols], rows))
+                    rows, cols = rows[order], cols[order]
+                    first = np.flatnonzero(np.concatenate(([True], rows[1:] != rows[:-1])))
+                    keep = np.arange(len(rows)) - np.repeat(first, np.diff(np.append(first, len(rows)))) < limit
+                    rows, cols = rows[keep], cols[keep]
+                yield pa.RecordBatch.from_arrays([q_ids.take(pa.array(rows)), ids.take(pa.array(cols)), pa.array(scores[rows, cols])], ["query_id", "id", "score"])
+
+    return run
+
+
+def dense(queries: DataFrame, vectors: DataFrame, limit: int = 50, block: int = 4096, asked: int = 512) -> DataFrame:
+    """Exact cosine ranking (R-6): every query against every vector, which is what a stated query set asks for, as matrix
+    products of blocks, each of which gives its best `limit` for each query. queries: query_id, q_vector; vectors: id, vector (null: not
+    embedded; neither null nor zero vectors rank)."""
+    kind = lambda df, c: df.schema[c].dataType.simpleString()
+    q_type, v_type = kind(queries, "query_id"), kind(vectors, "id")
+    q = queries.where("q_vector is not null").select("query_id", "q_vector").mapInArrow(_blocks(asked), f"ids array<{q_type}>, matrix binary, dim int")
+    v = vectors.where("vector is not null").select("id", "vector").mapInArrow(_blocks(block), f"ids array<{v_type}>, matrix binary, dim int")
+    pairs = v.crossJoin(q.select(F.col("ids").alias("q_ids"), F.col("matrix").alias("q_matrix"), F.col("dim").alias("q_dim"))).where("dim = q_dim")
+    best = pairs.select("ids", "matrix", "q_ids", "q_matrix", "dim").mapInArrow(_products(limit), f"query_id {q_type}, id {v_type}, score double")
+    return ranked(best.select("query_id", "id", F.round("score", 6).alias("score")), limit)
 
 
 def ivf_centroids(vectors: DataFrame, cells: int | None = None, sample: int = 20_000, seed: int = 7) -> np.ndarray:

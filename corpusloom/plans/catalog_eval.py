@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from corpusloom.functions import text
 from corpusloom.operators import corpus, evaluate, select
 from corpusloom.plans import generators
 
@@ -87,6 +88,13 @@ def _(s, d):
 _ARRAYS = f"{D}, {SQL_QUESTIONS}, {SQL_GOLD}, {sql_bm25('bm25', 'text', 10)}, gs AS (SELECT query_id, list(id) AS gold FROM gold GROUP BY query_id), fs AS (SELECT query_id, list(id) AS found FROM bm25 GROUP BY query_id)"
 
 
+@query("sc16_sc17_blocks", f"{D}, {SQL_QUESTIONS}, {sql_bm25('bm25', 'text', 5)} SELECT query_id, string_agg(CASE WHEN length(text) > 100 THEN concat(substring(text, 1, 100), '...') ELSE text END, '\n\n---\n\n' ORDER BY rank) AS block FROM bm25 JOIN docs ON doc_id = id GROUP BY query_id")
+def _(s, d):
+    hits = body_hits(s, d, 5).join(docs(s, d).select(F.col("doc_id").alias("id"), "text"), "id")
+    parts = F.array_sort(F.collect_list(F.struct("rank", text.truncated(F.col("text"), 100, "...").alias("t"))))  # five at most
+    return hits.groupBy("query_id").agg(text.blocks(F.transform(parts, lambda p: p["t"])).alias("block"))
+
+
 @query("g10_recall_precision", _ARRAYS + " SELECT q.query_id, round(len(list_intersect(gold, found)) / CAST(len(gold) AS DOUBLE), 6) AS recall, round(coalesce(len(list_intersect(gold, found)), 0) / CAST(len(found) AS DOUBLE), 6) AS precision FROM questions q LEFT JOIN gs USING (query_id) LEFT JOIN fs USING (query_id)")
 def _(s, d):
     ids = lambda h, n: h.groupBy("query_id").agg(F.collect_list("id").alias(n))

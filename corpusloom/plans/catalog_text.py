@@ -141,12 +141,6 @@ def _(s, d):
     return docs(s, d).select("doc_id", F.substring("date_from", 1, 4).alias("year"), text.shifted_year(F.col("date_from"), 7).alias("later"))
 
 
-@query("sc16_sc17_blocks", D + " SELECT volume_id, string_agg(CASE WHEN length(text) > 100 THEN concat(substring(text, 1, 100), '...') ELSE text END, '\n\n---\n\n' ORDER BY doc_id) AS block FROM docs GROUP BY volume_id")
-def _(s, d):
-    parts = F.array_sort(F.collect_list(F.struct("doc_id", text.truncated(F.col("text"), 100, "...").alias("t"))))
-    return docs(s, d).groupBy("volume_id").agg(text.blocks(F.transform(parts, lambda p: p["t"])).alias("block"))
-
-
 @query("sc18_named_actors")
 def _(s, d):
     t = F.concat(F.lit("Mr. "), F.initcap(F.substring_index("text", " ", 1)), F.lit(" met Secretary Byrnes and Dr Smith; Mr. Jones left."))

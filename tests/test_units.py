@@ -243,3 +243,40 @@ def test_index_is_read_once_for_each_arm(spark, data):
 
     plan = catalog_rank.fused_hits(spark, data)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("Relation [") <= 8 and "regexp_extract_all" not in plan.replace("regexp_extract_all(lower(trim(translate(", "")
+
+
+def test_dense_ties_and_odd_vectors(spark):
+    v = [(k, [1.0, 0.0] if k % 2 else [0.6, 0.8]) for k in range(40, 0, -1)] + [(99, None), (98, [0.0, 0.0]), (97, [1.0, 0.0, 0.0])]
+    df = spark.createDataFrame(v, "id long, vector array<double>").repartition(3)
+    q = spark.createDataFrame([("a", [2.0, 0.0]), ("b", [0.0, 3.0]), ("c", None), ("d", [0.0, 0.0])], "query_id string, q_vector array<double>")
+    for block, asked in ((4096, 512), (7, 1)):
+        got = [(r.query_id, r.id, r.score) for r in retrieval.dense(q, df, 3, block, asked).orderBy("query_id", "rank").collect()]
+        assert got == [("a", 1, 1.0), ("a", 3, 1.0), ("a", 5, 1.0), ("b", 2, 0.8), ("b", 4, 0.8), ("b", 6, 0.8)]
+
+
+def test_loop_corrects_and_plans(spark):
+    """A missing hop is asked again; a plan's hops are used by the systems that plan; a grading model's rejections count only if all hops agree."""
+    asked = spark.createDataFrame([(1, "alpha"), (2, "beta")], "query_id long, question string")
+    planned = spark.createDataFrame([(1, 0, "one", "simple"), (1, 1, "two", "simple")], "query_id long, place int, query string, route string")
+    manifest = spark.createDataFrame([("v", "published")], "volume_id string, status string")
+    seen = []
+
+    def retrieve(hops):
+        seen.append(sorted((r.query_id, r.hop, r.query) for r in hops.collect()))
+        score = F.when(F.col("query") == "two", 1.0).when(F.col("hop").startswith("fix"), 8.0).otherwise(9.0)
+        rows = hops.select("query_id", "hop", F.concat(F.lit("v:d"), F.col("query_id").cast("string"), F.lit(":"), F.length("hop").cast("string")).alias("id"), score.alias("score"))
+        return rows.withColumns({"volume_id": F.lit("v"), "subtype": F.lit("historical-document"), "text": F.lit("t")})
+
+    def generate(accepted):
+        return accepted.groupBy("query_id").agg(F.min("id").alias("i")).select("query_id", F.lit(0).alias("claim"), F.lit("c").alias("text"), F.array("i").alias("ids"))
+
+    run = lambda system, **more: [r.asDict() for r in agent.answer(asked, retrieve, generate, manifest, agent.SYSTEMS[system], planned=planned, **more).collect()]
+    out = run("B3", floor=5.0)
+    assert seen == [[(1, "h0", "one"), (1, "h1", "two"), (2, "h0", "beta")], [(1, "fix0", "two")]] and {r["outcome"] for r in out} == {"answered"}
+    seen.clear()
+    run("B0", floor=5.0)
+    assert seen == [[(1, "h0", "alpha"), (2, "h0", "beta")]]
+    seen.clear()
+    grade = lambda evidence, hops: hops.select("query_id", "hop", F.when(F.col("query") == "two", "partial").otherwise("supported").alias("verdict"), F.lit("ask anew").alias("corrective"), F.array(F.lit("v:d2:2")).alias("rejected"))
+    out = {r["query_id"]: r["outcome"] for r in run("B2", grade=grade)}
+    assert seen[1] == [(1, "fix0", "ask anew")] and out[1] == "answered" and out[2] == "abstained"
