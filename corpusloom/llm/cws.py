@@ -15,7 +15,7 @@ nearly all results; the two ends of each range, written with their texts, are jo
 with the neighbouring range's afterwards.
 
 Edge cases: null text is empty; texts without words have the same fingerprint, all zero
-digits; a null doc_id sorts after all others; rows of one doc_id are ordered by their
+digits; a null doc_id sorts after all others, and all rows without one share a range, which is read as a stream; rows of one doc_id are ordered by their
 texts' bytes; a single row is its own successor; an empty table gives an empty result;
 other columns are ignored. Long texts are sampled in blocks of terms.
 """

@@ -10,9 +10,12 @@ up to 64 characters have their agendas worked off side by side in arrays, a pair
 in a step; longer ones have a heap each. Symbols that are no piece fall back to their UTF-8 bytes' pieces, or to the unknown id.
 
 Every Arrow batch checks each part that is new to the worker against the sentencepiece
-library's own encoding and stops on any difference. Decoding is the library's.
+library's own encoding and stops on any difference. A part that the library can't be given on its own (it begins with
+no space mark or with several, or normalises differently) has the texts that hold it checked whole. Decoding is the library's. Models of
+another type than BPE, and those with user-defined symbols, which match before merges, are refused.
 
-Edge cases: null text is empty, has no ids and decodes to the empty text; rows repeat as
+Edge cases: null text is empty, has no ids and decodes to the empty text; a text may be as long as a task's memory allows,
+some tens of times its size; rows repeat as
 they are; an empty table gives an empty result; other columns are ignored.
 """
 
@@ -26,6 +29,7 @@ from heapq import heapify, heappop, heappush
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -41,6 +45,46 @@ NONE = np.int64(1) << 62
 _models: dict[str, Pieces] = {}
 
 
+#: Fixed values of the model file's format: the merge type, and the type of user-defined symbols.
+BPE, USER_DEFINED = 2, 4
+
+
+def _fields(raw: bytes) -> Iterator[tuple[int, int | bytes]]:
+    """Field numbers and values of a protocol buffer message."""
+    at = 0
+
+    def number() -> int:
+        nonlocal at
+        out = shift = 0
+        while True:
+            byte = raw[at]
+            at += 1
+            out |= (byte & 127) << shift
+            shift += 7
+            if byte < 128:
+                return out
+
+    while at < len(raw):
+        tag = number()
+        if tag & 7 == 0:
+            yield tag >> 3, number()
+        else:
+            size = {1: 8, 5: 4}.get(tag & 7) or number()
+            yield tag >> 3, raw[at : at + size]
+            at += size
+
+
+def _model_types(raw: bytes) -> tuple[int, set[int]]:
+    """The model's type and the types of its pieces; both are 1 where the file names none."""
+    kind, types = 1, set()
+    for field, value in _fields(raw):
+        if field == 1:
+            types.add(next((x for f, x in _fields(value) if f == 3), 1))
+        elif field == 2:
+            kind = next((x for f, x in _fields(value) if f == 3), 1)
+    return kind, types
+
+
 class Pieces:
     def __init__(self, path: str):
         import sentencepiece
@@ -48,12 +92,15 @@ class Pieces:
         self.library = sentencepiece.SentencePieceProcessor(model_file=path)
         m, n = self.library, self.library.get_piece_size()
         usual = [k for k in range(n) if not (m.is_control(k) or m.is_unknown(k) or m.is_byte(k) or m.is_unused(k))]
+        kind, types = _model_types(m.serialized_model_proto())
+        if kind != BPE or USER_DEFINED in types:
+            raise ValueError("only models of the merge type without user-defined symbols are supported")
         self.ids = {m.id_to_piece(k): k for k in usual}
         self.cost = {m.id_to_piece(k): -m.get_score(k) for k in usual}
         self.bytes = {int(m.id_to_piece(k)[1:-1], 16): k for k in range(n) if m.is_byte(k)}
         if any(re.search(f"[^{MARK}]{MARK}", p) for p in self.ids):
             raise ValueError("a piece reaches across a space; this vocabulary isn't of the merge type that is supported")
-        self.known = Remembered(2, 500_000)
+        self.known = Remembered(3, 500_000)
         self.size = n
         self.decimal = pa.array([f"{k},".encode() for k in range(n)], pa.binary())
         self.char = np.arange(0x110000, dtype=np.int64) + n  # characters that are no piece get numbers beyond the pieces'
@@ -171,23 +218,27 @@ class Pieces:
                 out[k] = ids
         return [np.array(self.to_ids(p), np.int32).tobytes() if ids is None else ids for p, ids in zip(parts, out, strict=True)]
 
-    def _new(self, parts: list[str]) -> list[bytes]:
-        """Each part's ids, by the agenda, after a look at the library's."""
+    def _new(self, parts: list[str]) -> tuple[list[bytes], list[bytes]]:
+        """Each part's ids, by the agenda, held against the library's; and a byte for those that can't be."""
         out = self._all_ids(parts)
         plain = [k for k, p in enumerate(parts) if len(p) > 1 and p[0] == MARK and p[1] != MARK and self.library.normalize(p[1:]) == p]
         theirs = self.library.encode([parts[k][1:] for k in plain], num_threads=1)
         for k, other in zip(plain, theirs, strict=True):
             if out[k] != struct.pack(f"={len(other)}i", *other):
                 raise ValueError(f"{parts[k]!r}: {np.frombuffer(out[k], np.int32).tolist()} differ from the library's {other}")
-        return out
+        unchecked = [b"?"] * len(parts)
+        for k in plain:
+            unchecked[k] = b""
+        return out, unchecked
 
     def _made(self, parts: pa.Array) -> list[pa.Array]:
-        """Ids of new parts as 32-bit numbers, and as decimals with a comma after each."""
-        some = [pa.array(self._new(parts.slice(k, NEW_AT_ONCE).cast(pa.string()).to_pylist()), pa.binary()) for k in range(0, len(parts), NEW_AT_ONCE)]
-        ids = pa.concat_arrays([pa.array([], pa.binary()), *some])
+        """Ids of new parts as 32-bit numbers, and as decimals with a comma after each; a byte for those unchecked."""
+        none = pa.array([], pa.binary())
+        some = [self._new(parts.slice(k, NEW_AT_ONCE).cast(pa.string()).to_pylist()) for k in range(0, len(parts), NEW_AT_ONCE)]
+        ids, unchecked = (pa.concat_arrays([none, *(pa.array(x[k], pa.binary()) for x in some)]) for k in (0, 1))
         data, at = bytes_of(ids)
         _, offsets, decimals = self.decimal.take(pa.array(data.view(np.int32))).buffers()
-        return [ids, binary(np.frombuffer(offsets, np.int32)[at // 4], decimals)]
+        return [ids, binary(np.frombuffer(offsets, np.int32)[at // 4], decimals), unchecked]
 
     def encode(self, texts: list[str]) -> tuple[pa.Array, pa.Array]:
         """Each text's ids as 32-bit numbers, and as decimals with a comma after each. Parts of many texts are numbered
@@ -206,7 +257,12 @@ class Pieces:
         for values in self.known.values(coded.dictionary, self._made):
             _, ends, flat = values.take(coded.indices).buffers()
             out.append(binary(np.frombuffer(ends, np.int32)[first], flat) if len(at) else pa.array([b""] * len(texts), pa.binary()))
-        return out[0], out[1]
+        ids, decimals, unchecked = out
+        whole = np.flatnonzero(pc.binary_length(unchecked).to_numpy()).tolist()
+        for k, theirs in zip(whole, self.library.encode([texts[k] for k in whole], num_threads=1), strict=True):
+            if ids[k].as_py() != struct.pack(f"={len(theirs)}i", *theirs):
+                raise ValueError(f"{texts[k][:200]!r}: ids differ from the library's")
+        return ids, decimals
 
 
 def model(path: str) -> Pieces:

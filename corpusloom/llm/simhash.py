@@ -14,7 +14,11 @@ whose segments are single bits: there the embedding is the fingerprint itself, a
 cell holds 65 points at most, all pairwise within the limit, and a star stands for
 all its links. So no group emits its pairs, however many near copies it has.
 
-Edge cases: a null or wordless text has fingerprint zero and is linked like any
+What the first grid saves depends on how full its cells are: bit counts of random fingerprints fill some tens of
+millions of cells densely, so above 10^8 different fingerprints nearly all cells are crowded, all points go to the second
+grid as well, and a point costs 33 + 65 replicas of two numbers; cost stays in proportion to the number of points.
+
+Edge cases: a text of any length is hashed in blocks of shingles, in memory of some ten times its size; a null or wordless text has fingerprint zero and is linked like any
 other; one or two words are one shingle; rows of one doc_id with several texts keep
 a row each and share links by fingerprint only; a null doc_id gets a fingerprint
 and a null component if no other row shares its class; an empty table gives an

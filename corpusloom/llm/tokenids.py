@@ -19,7 +19,8 @@ at each document's start and after every 128 of its ids; start counts the part's
 before the block. A reader looks 16 bits up in a table that gives id and length, at all
 checkpoints in step.
 
-Edge cases: null text is empty and gives the end id alone; a null doc_id sorts last; rows
+Edge cases: null text is empty and gives the end id alone; a text may be as long as a task's memory allows, some ten times its
+size, and stands in one block, which is as long as it needs; many null doc_ids share the last part, which is read as a stream; a null doc_id sorts last; rows
 of one doc_id stand in the order of their codes; an empty table writes empty datasets;
 other columns are ignored.
 """

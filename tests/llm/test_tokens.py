@@ -138,5 +138,12 @@ def test_pieces_of_odd_rows(spark):
 def test_a_difference_stops_the_batch(monkeypatch):
     m = pieces.Pieces(MODEL)
     monkeypatch.setattr(m, "_all_ids", lambda parts: [b"\0\0\0\0"] * len(parts))
-    with pytest.raises(ValueError):
-        m.encode(["hello"])
+    for text in ("hello", "  two spaces before"):
+        with pytest.raises(ValueError):
+            m.encode([text])
+
+
+def test_model_types():
+    raw = open(MODEL, "rb").read()
+    kind, types = pieces._model_types(raw)
+    assert kind == pieces.BPE and pieces.USER_DEFINED not in types and 6 in types  # 6: bytes
