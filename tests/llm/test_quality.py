@@ -61,3 +61,27 @@ def test_held_out_accuracy(spark, data_dir="/root/testdata/sf0.01"):
     out = quality.classify(docs, labels.where("doc_id % 2 = 0")).join(labels.where("doc_id % 2 = 1"), "doc_id").collect()
     assert sum(r.keep == (r.quality == 1) for r in out) >= 0.97 * len(out)
     assert sum(r.keep for r in out if r.quality == 1) >= 0.98 * sum(r.quality == 1 for r in out)
+
+
+def test_the_sample_is_bounded(spark, monkeypatch):
+    """More labels than the sample, and a labelled id that a third of all rows share."""
+    rows = [(k if k % 3 else 3, (data.prose(30, k) if k % 2 else "BUY!! NOW!! $$$ " * 9), "en", "s") for k in range(600)]
+    labels = spark.createDataFrame([(k, k % 2, 0) for k in range(600)], "doc_id long, quality int, toxic int")
+    sizes = []
+    fit = quality.fit
+    monkeypatch.setattr(quality, "fit", lambda x, y: sizes.append(len(x)) or fit(x, y))
+    out = quality.classify(data.docs(spark, rows), labels, sample=100).collect()
+    assert len(out) == 600 and 40 <= sizes[0] <= 100
+    weights = [quality.train(data.docs(spark, rows).repartition(n), labels, 100) for n in (1, 7)]
+    assert np.allclose(*weights)
+
+
+def test_kept_agrees_with_classify(spark):
+    labels = spark.createDataFrame([(k, k % 2, 0) for k in range(40)], "doc_id long, quality int, toxic int")
+    rows = [(k, (data.prose(30, k) if k % 2 else "BUY!! NOW!! $$$ " * 9), f"l{k % 3}", f"s{k % 5}") for k in range(120)] + [(None, data.prose(30, 500), None, None), (7, None, "l1", "s2"), (7, "", "l1", "s2")]
+    df = data.docs(spark, rows)
+    kept = quality.kept(df, labels)
+    assert kept.schema == df.schema
+    wanted = sorted(repr(r.doc_id) for r in quality.classify(df, labels).collect() if r.keep)
+    assert sorted(repr(r.doc_id) for r in kept.collect()) == wanted and 0 < len(wanted) < len(rows)
+    assert "SortMergeJoin" not in quality.kept(df, labels)._jdf.queryExecution().executedPlan().toString()
