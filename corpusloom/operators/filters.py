@@ -78,16 +78,26 @@ def published(manifest: DataFrame) -> DataFrame:
 
 
 def containing(df: DataFrame, terms: DataFrame, id_col: str, body: str = "text") -> DataFrame:
-    """(term, row) pairs where the row's text has the term (F-12); id_col tells rows apart. A term of three words or more can only be where
-    its inner words stand between white space: the longest of these is an equi-join key, and what meets by it is verified.
-    Shorter terms have no such key and are matched with each row."""
+    """(term, row) pairs where the row's text has the term (F-12); id_col tells rows apart. Rows and terms meet by an equi-join on
+    a word of the text, and what meets is verified. A term of three words or more can only be where its inner words stand between
+    white space, so the longest of these is the word. Of a shorter one, the longer part lies within a word (alone), at a word's end (the first of
+    two parts) or start (the second): the words that have it so are found among the corpus's different words, not its
+    texts. Only terms of nothing but white space are put to each text."""
     parts = F.split("term", r"\s+")
     inner = F.slice(parts, F.lit(2), F.greatest(F.size(parts) - 2, F.lit(0)))
-    keyed = terms.withColumn("__key", F.reduce(inner, F.lit(""), lambda a, x: F.when(F.length(x) > F.length(a), x).otherwise(a)))
-    words = df.select(F.col(id_col).alias("__id"), F.explode(F.array_distinct(F.split(body, r"\s+"))).alias("__key"))
-    pairs = words.join(keyed.where("__key <> ''"), "__key").drop("__key")
+    longest = F.reduce(inner, F.lit(""), lambda a, x: F.when(F.length(x) > F.length(a), x).otherwise(a))
+    first, last = F.get(parts, F.lit(0)), F.element_at(parts, -1)
+    how = F.when(longest != "", "whole").when(F.size(parts) == 1, "within").when(F.length(first) >= F.length(last), "end").otherwise("start")
+    keyed = terms.withColumn("__how", how).withColumn("__part", F.when(F.col("__how") == "whole", longest).when(F.col("__how") == "start", last).otherwise(first))
+    words = df.select(F.col(id_col).alias("__id"), F.explode(F.array_distinct(F.split(body, r"\s+"))).alias("__word"))
+    part, word, mode = F.col("__part"), F.col("__word"), F.col("__how")
+    fits = F.when(mode == "within", F.contains(word, part)).when(mode == "end", F.endswith(word, part)).otherwise(F.startswith(word, part))
+    short = words.select("__word").distinct().join(keyed.where("__how <> 'whole' and __part <> ''"), fits)
+    by_word = keyed.where("__how = 'whole'").withColumn("__word", part).unionByName(short).drop("__how", "__part")
+    own = [c for c in by_word.columns if c != "__word"]
+    pairs = words.join(by_word, "__word").select("__id", *own).distinct()
     found = df.join(pairs, F.col(id_col) == F.col("__id")).drop("__id").where(F.contains(F.col(body), F.col("term")))
-    return found.unionByName(df.join(keyed.where("__key = ''").drop("__key"), F.contains(F.col(body), F.col("term"))))
+    return found.unionByName(df.join(keyed.where("__part = ''").drop("__how", "__part"), F.contains(F.col(body), F.col("term"))))
 
 
 def first_chunks(chunks: DataFrame) -> DataFrame:

@@ -233,7 +233,7 @@ def test_containing_against_all_pairs(spark):
     r = random.Random(2)
     word = lambda: r.choice(["a", "ab", "b", "ba", "aba"])
     texts = [(k, r.choice([" ", "\n", "  "]).join(word() for _ in range(r.randrange(7)))) for k in range(60)]
-    terms = [(k, " ".join(word() for _ in range(r.randrange(1, 5)))) for k in range(30)] + [(30, " a b "), (31, "a  b a")]
+    terms = [(k, " ".join(word() for _ in range(r.randrange(1, 5)))) for k in range(30)] + [(30, " a b "), (31, "a  b a"), (32, " "), (33, " a"), (34, "b\na"), (35, "a"), (36, "ba ")]
     got = filters.containing(spark.createDataFrame(texts, "doc_id int, text string"), spark.createDataFrame(terms, "q int, term string"), "doc_id").select("doc_id", "q").collect()
     assert sorted(map(tuple, got)) == sorted((i, q) for i, t in texts for q, term in terms if term in t)
 
