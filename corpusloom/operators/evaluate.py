@@ -200,6 +200,15 @@ def first_reason(reasons: list[tuple[str, Column]], otherwise: str = "other") ->
     return reduce(lambda c, r: c.when(r[1], r[0]), reasons, F).otherwise(otherwise)
 
 
+def abstain_reason() -> Column:
+    """Why a run (outcome, answerable, union_recall, n_citations) gave no answer (G-29); empty if it gave one."""
+    reasons = [
+        ("", F.col("outcome") == "answered"), ("correctly abstained", ~F.col("answerable")),
+        ("no gold retrieved", F.coalesce("union_recall", F.lit(0.0)) == 0), ("citation gate", F.coalesce("n_citations", F.lit(0)) == 0),
+    ]
+    return first_reason(reasons)
+
+
 #: What tells a question on a precise title or date.
 PRECISE_TITLE = r"(?i)(titled|標題為|Doc\.|document\s+\d+|第\s*\d+\s*號)"
 PRECISE_DATE = r"\d{4}-\d{2}-\d{2}|\d{4}\s*年"

@@ -148,6 +148,12 @@ def _(s, d):
     return probes.p10(judged)
 
 
+@query("n15_d0_diagnostics", R + " SELECT abstain_reason, citation_valid, count(*) AS n, round(sum(gold_cited), 4) AS cited FROM (SELECT CASE WHEN outcome = 'answered' THEN '' WHEN NOT answerable THEN 'correctly abstained' WHEN coalesce(union_recall, 0) = 0 THEN 'no gold retrieved' WHEN run_id % 3 = 0 THEN 'citation gate' ELSE 'other' END AS abstain_reason, run_id % 3 > 0 AS citation_valid, citation_recall AS gold_cited FROM runs) GROUP BY ALL")
+def _(s, d):
+    rows = probes.d0(runs(s, d).withColumn("n_citations", F.col("run_id") % 3))
+    return rows.groupBy("abstain_reason", "citation_valid").agg(F.count("*").alias("n"), F.round(F.sum("gold_cited"), 4).alias("cited"))
+
+
 @query("n15_d2_recovered", R + ", f AS (SELECT DISTINCT case_id FROM runs WHERE system = 'B0' AND judge_score < 0.5) SELECT language, count(*) AS n, round(avg(CASE WHEN judge_score >= 0.5 THEN 1.0 ELSE 0.0 END), 3) AS recovered FROM runs WHERE system = 'B3' AND judge_score IS NOT NULL AND case_id IN (SELECT case_id FROM f) GROUP BY language")
 def _(s, d):
     r = runs(s, d).withColumnRenamed("judge_score", "score")

@@ -119,6 +119,15 @@ def verification_pairs(passages: DataFrame, n: int = 20, seed: int = 11) -> Data
     return own.select(pair("own"), "claim", "id", F.lit(True).alias("supports")).unionByName(own.join(other, "k").select(pair("other"), "claim", F.col("other").alias("id"), F.lit(False).alias("supports")))
 
 
+def d0(runs: DataFrame) -> DataFrame:
+    """D0: a row for each run from what runs record: where the gold got lost on its way from retrieval to the citations, and why there was no
+    answer. What was in the generator's context isn't recorded and isn't made up."""
+    return runs.select(
+        "system", "case_id", "kind", "language", "answerable", F.col("union_recall").alias("gold_in_union"), F.col("accepted_recall").alias("gold_accepted"), F.col("citation_recall").alias("gold_cited"),
+        (F.col("outcome") != "answered").alias("abstained"), evaluate.abstain_reason().alias("abstain_reason"), (F.coalesce("n_citations", F.lit(0)) > 0).alias("citation_valid"), "judge_score", "retrieval_calls", "llm_calls", "latency_s",
+    )
+
+
 def gold_evidence(cases: DataFrame, chunks: DataFrame) -> DataFrame:
     """D2, D3: what a generator gets when retrieval is left out: every chunk of each case's gold documents, in order."""
     rows = cases.select("case_id", F.posexplode("gold").alias("place", "document")).join(chunks.withColumn("document", F.concat_ws(":", "volume_id", "document_id")), "document")
