@@ -39,12 +39,14 @@ from pyspark.sql import functions as F
 from corpusloom.llm import simhash
 from corpusloom.llm.common import alone, keep, row_of, tasks, text_bytes
 from corpusloom.llm.components import connected_components
-from corpusloom.llm.substring import LAST, _mix
+from corpusloom.llm.substring import LAST, _mix, in_pieces
 
 SIZE, SIMILARITY = 5, 0.8
 BANDS, LEAST = 16, 3
 BLOCK = 1 << 19  # shingles in a block of the second pass, were texts dealt evenly
 
+AT_ONCE = 1 << 18  # text bytes worked on at once
+_MOST = np.uint64((1 << 64) - 1)
 _SEEDS = _mix(np.arange(1, BANDS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 
 
@@ -57,31 +59,36 @@ def shingle_set(text: bytes, size: int = SIZE) -> np.ndarray:
     return np.unique(np.frombuffer(b"".join(map(xxhash.xxh64_digest, shingles, repeat(42))), ">u8").astype(np.uint64))
 
 
-def bands(shingles: np.ndarray) -> np.ndarray:
-    """A key for each band; texts without shingles share all keys."""
-    out = np.zeros(BANDS, np.uint64)
+def bands(sets: list[np.ndarray]) -> np.ndarray:
+    """A key for each text (row) and band; texts without shingles share all keys. A text's shingles differ and are mixed
+    one to one, so taking out the least leaves the next."""
+    out = np.zeros((len(sets), BANDS), np.uint64)
+    size = np.array([len(s) for s in sets], np.int64)
+    some, size = np.flatnonzero(size), size[size > 0]
+    if not len(some):
+        return out
+    flat, first = np.concatenate([sets[k] for k in some]), np.cumsum(size) - size
     for k, seed in enumerate(_SEEDS):
-        h = _mix(shingles ^ seed)
-        if len(h) > LEAST:
-            h = np.partition(h, LEAST - 1)[:LEAST]
-        for x in np.sort(h):
-            out[k] = _mix(out[k : k + 1] * np.uint64(3) + x)[0]
+        h = _mix(flat ^ seed)
+        key = np.zeros(len(some), np.uint64)
+        for j in range(LEAST):
+            least = np.minimum.reduceat(h, first)
+            key = np.where(size > j, _mix(key * np.uint64(3) + least), key)
+            if j + 1 < LEAST:
+                h[h == np.repeat(least, size)] = _MOST
+        out[some, k] = key
     return out
 
 
 def _sketch(size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         alone()
-        for batch in batches:
-            fps, ns, keys = [], [], []
-            for x in batch.column("text"):
-                x = x.as_py()
-                s = shingle_set(x, size)
-                fps.append(int.from_bytes(simhash.simhash(x), "big", signed=True))
-                ns.append(len(s))
-                keys.append(bands(s).view(np.int64))
-            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(ns) + 1, dtype=np.int32) * BANDS), pa.array(np.concatenate(keys) if keys else np.zeros(0, np.int64)))
-            yield pa.RecordBatch.from_arrays([batch.column("did"), batch.column("rid"), pa.array(fps, pa.int64()), pa.array(ns, pa.int64()), lists], ["did", "rid", "fp", "n", "bands"])
+        for whole in batches:
+            for batch, texts in in_pieces(whole, "text", AT_ONCE):
+                sets = [shingle_set(x, size) for x in texts]
+                fps = [int.from_bytes(simhash.simhash(x), "big", signed=True) for x in texts]
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(len(texts) + 1, dtype=np.int32) * BANDS), pa.array(bands(sets).view(np.int64).ravel()))
+                yield pa.RecordBatch.from_arrays([batch.column("did"), batch.column("rid"), pa.array(fps, pa.int64()), pa.array([len(s) for s in sets], pa.int64()), lists], ["did", "rid", "fp", "n", "bands"])
 
     return run
 

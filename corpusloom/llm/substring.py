@@ -151,13 +151,13 @@ def elected(codes: np.ndarray, firsts: np.ndarray) -> tuple[np.ndarray, ...]:
     return at[head], start[head], start[tail], text[start[head]], grams
 
 
-def _pieces(batch: pa.RecordBatch, column: str) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
-    """The batch in parts of about PIECE text bytes."""
+def in_pieces(batch: pa.RecordBatch, column: str, limit: int = PIECE) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
+    """The batch in parts of about `limit` text bytes."""
     texts, at, size = [], 0, 0
     for k, x in enumerate(batch.column(column)):
         texts.append(x.as_py())
         size += len(texts[-1])
-        if size >= PIECE:
+        if size >= limit:
             yield batch.slice(at, k + 1 - at), texts
             texts, at, size = [], k + 1, 0
     if texts:
@@ -169,7 +169,7 @@ def _positions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     of them; 0 at the others."""
     alone()
     for whole in batches:
-        for batch, texts in _pieces(whole, "text"):
+        for batch, texts in in_pieces(whole, "text"):
             codes, firsts = word_codes(texts)
             at, _, _, text, grams = elected(codes, firsts)
             if not len(at):
@@ -241,7 +241,7 @@ def _settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _marked(whole: pa.RecordBatch) -> Iterator[tuple]:
     """The marked positions of a batch of documents: codes, position, first and last window, text, grams; the part, its first words."""
-    for batch, texts in _pieces(whole, "text"):
+    for batch, texts in in_pieces(whole, "text"):
         codes, firsts = word_codes(texts)
         at, lo, hi, text, grams = elected(codes, firsts)
         positions = batch.column("positions")
@@ -483,7 +483,7 @@ def _one(column: pa.ChunkedArray) -> pa.Array:
 
 def _to_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for whole in batches:
-        for batch, words in _pieces(whole, "words"):
+        for batch, words in in_pieces(whole, "words"):
             yield from _windows(words, *(batch.column(c).to_numpy() for c in ("did", "rid", "lo", "hi")))
 
 

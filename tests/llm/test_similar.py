@@ -48,7 +48,7 @@ def test_hot_group_makes_few_candidates(spark):
     rows = [(k, edited(base, 2, k)) for k in range(300)]
     df = data.docs(spark, [(i, t, "en", "s") for i, t in rows])
     assert similar.one_of_each(df).count() == 1
-    nodes = spark.createDataFrame([(i, 0, len(s := similar.shingle_set(t.encode())), similar.bands(s).view(np.int64).tolist()) for i, t in rows], "rid long, fp long, n long, bands array<long>")
+    nodes = spark.createDataFrame([(i, 0, len(s := similar.shingle_set(t.encode())), similar.bands([s])[0].view(np.int64).tolist()) for i, t in rows], "rid long, fp long, n long, bands array<long>")
     assert similar.candidates(nodes, 0.8).count() <= 2 * similar.BANDS * len(rows)
 
 
@@ -93,3 +93,16 @@ def test_edge_rows(spark):
 def test_unlike_short_texts_stay(spark):
     rows = [(k, t, "en", "s") for k, t in enumerate(["a", "b", "a b", "b a", "A", "one two three four", "one two three four five"])]
     assert sorted(r.doc_id for r in similar.one_of_each(data.docs(spark, rows)).collect()) == [0, 1, 2, 3, 5, 6]
+
+
+def test_bands_of_many_texts():
+    """Each text's three least mixed shingles, in order, whatever stands beside it."""
+    texts = [b"", b"a", b"a b c d e f", data.prose(40, 1).encode(), b"", data.prose(300, 2).encode(), b"one two three four five six seven"]
+    sets = [similar.shingle_set(t) for t in texts]
+    got = similar.bands(sets)
+    for k, s in enumerate(sets):
+        for j, seed in enumerate(similar._SEEDS):
+            key = np.zeros(1, np.uint64)
+            for x in np.sort(similar._mix(s ^ seed))[:3]:
+                key = similar._mix(key * np.uint64(3) + x)
+            assert got[k, j] == key[0]
