@@ -43,7 +43,7 @@ from corpusloom.llm.substring import LAST, _mix, in_pieces
 
 SIZE, SIMILARITY = 5, 0.8
 BANDS, LEAST = 16, 3
-BLOCK = 1 << 19  # shingles in a block of the second pass, were texts dealt evenly
+BLOCK, TEXTS = 1 << 19, 512  # shingles and texts in a block of the second pass, were texts dealt evenly
 
 AT_ONCE = 1 << 18  # text bytes worked on at once
 _MOST = np.uint64((1 << 64) - 1)
@@ -201,12 +201,12 @@ def candidates(nodes: DataFrame, similarity: float, groups: DataFrame | None = N
     return every.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
-def unjoined(keys: DataFrame, roots: DataFrame, sets: DataFrame, similarity: float, block: int = BLOCK) -> DataFrame:
-    """Links (a, b) between components within the groups of more than three texts. keys: rid, n, band, key, total of
+def unjoined(keys: DataFrame, roots: DataFrame, sets: DataFrame, similarity: float, block: int = BLOCK, texts: int = TEXTS) -> DataFrame:
+    """Links (a, b) between components within the groups of more than three texts. keys: rid, n, band, key, total and size of
     these groups' members; roots: node, root; sets: rid, shingles."""
     rooted = keys.join(roots.withColumnRenamed("node", "rid"), "rid", "left").withColumn("root", F.coalesce("root", "rid"))
     open_ = rooted.groupBy("band", "key").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("band", "key")
-    dealt = rooted.join(open_, ["band", "key"], "left_semi").withColumn("blocks", F.greatest(F.lit(1), F.ceil(F.col("total") / block)).cast("int"))
+    dealt = rooted.join(open_, ["band", "key"], "left_semi").withColumn("blocks", F.greatest(F.lit(1), F.ceil(F.col("total") / block), F.ceil(F.col("size") / texts)).cast("int"))
     dealt = dealt.withColumn("own", F.pmod(F.xxhash64("rid"), "blocks").cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     dealt = dealt.select("rid", "n", "root", "band", "key", "own", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"))
     sorted_groups = dealt.join(sets, "rid").repartition(tasks(keys.sparkSession), "band", "key", "lo", "hi").sortWithinPartitions("band", "key", "lo", "hi")
@@ -222,7 +222,7 @@ def one_of_each(docs: DataFrame, size: int = SIZE, similarity: float = SIMILARIT
     nodes, _ = keep(sketched.groupBy("rid").agg(F.first("fp").alias("fp"), F.first("n").alias("n"), F.first("bands").alias("bands"), F.min("did").alias("did")), "nodes")
     groups, _ = keep(band_groups(nodes), "bands")
     pairs, _ = keep(candidates(nodes, similarity, groups), "pairs")
-    crowded, _ = keep(_keys(nodes).join(groups.where("size > 3").select("band", "key", "total"), ["band", "key"]), "crowded")
+    crowded, _ = keep(_keys(nodes).join(groups.where("size > 3").select("band", "key", "total", "size"), ["band", "key"]), "crowded")
     asked = pairs.select(F.col("a").alias("rid")).union(pairs.select("b")).union(crowded.select("rid")).distinct()
     texts = rows.select("rid", "did", "text").join(nodes.select("rid", "did"), ["rid", "did"], "left_semi").join(asked, "rid", "left_semi").dropDuplicates(["rid"])
     sets, _ = keep(texts.select("rid", "text").mapInArrow(_sets(size), "rid long, shingles binary"), "sets")

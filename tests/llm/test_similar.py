@@ -65,16 +65,16 @@ def test_star_of_copies(spark):
     assert [r.doc_id for r in similar.one_of_each(df).collect()] == [0]
 
 
-@pytest.mark.parametrize("block", [similar.BLOCK, 3000])
-def test_second_pass_against_all_pairs(spark, block):
+@pytest.mark.parametrize("block,size", [(similar.BLOCK, similar.TEXTS), (3000, similar.TEXTS), (similar.BLOCK, 17)])
+def test_second_pass_against_all_pairs(spark, block, size):
     base = data.prose(150, 6, 10**5)
     texts = [base, *(edited(base, 1 + k % 5, k) for k in range(80)), *(edited(edited(base, 12, 0), 3, k) for k in range(40))]
     nodes = [(i, s) for i, t in enumerate(texts) for s in [similar.shingle_set(t.encode())]]
     total = sum(len(s) for _, s in nodes)
-    keys = spark.createDataFrame([(i, len(s), 0, 7, total) for i, s in nodes], "rid long, n long, band int, key long, total long")
+    keys = spark.createDataFrame([(i, len(s), 0, 7, total, len(nodes)) for i, s in nodes], "rid long, n long, band int, key long, total long, size long")
     frame = spark.createDataFrame([(i, bytearray(s.tobytes())) for i, s in nodes], "rid long, shingles binary")
     roots = spark.createDataFrame([(1, 0)], "node long, root long")
-    got = [(r.a, r.b) for r in similar.unjoined(keys, roots, frame, 0.8, block).collect()]
+    got = [(r.a, r.b) for r in similar.unjoined(keys, roots, frame, 0.8, block, size).collect()]
     assert all(jaccard(texts[a], texts[b]) >= 0.8 for a, b in got)
     wanted = [(a, b) for a in range(len(texts)) for b in range(a) if jaccard(texts[a], texts[b]) >= 0.8]
     assert (1, 0) in wanted and reach(len(texts), [*got, (1, 0)]) == reach(len(texts), wanted)
