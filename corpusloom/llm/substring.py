@@ -43,6 +43,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -374,7 +375,7 @@ def sorted_suffixes(ids: np.ndarray, start: np.ndarray, past: np.ndarray) -> tup
 
 def _subtrees(group: pa.Table) -> pa.RecordBatch | None:
     """Ranges of the window starts that repeat an earlier one, from the records of whole prefixes."""
-    did, rid, lo, hi = (group.column(c).to_numpy() for c in ("did", "rid", "lo", "hi"))
+    did, rid, lo, hi = _places(group)
     data = b" ".join([*group.column("words").to_pylist(), b""])
     ends = np.flatnonzero(np.frombuffer(data, np.uint8) == 32) + 1
     words = pa.BinaryArray.from_buffers(pa.binary(), len(ends), [None, pa.py_buffer(np.concatenate(([0], ends)).astype(np.int32)), pa.py_buffer(data)])
@@ -411,69 +412,75 @@ def _single_nodes(windows: pa.RecordBatch, seen: dict) -> pa.RecordBatch:
             seen["key"] = key
         again[k] = seen.setdefault(words, place) != place
     found = windows.filter(pa.array(again))
-    return _ranges(*(found.column(c).to_numpy() for c in ("did", "rid", "lo", "hi")))
+    return _ranges(*_places(found))
+
+
+def _in_groups(batches: Iterator[pa.RecordBatch], group: int) -> Iterator[tuple[pa.Table, bool]]:
+    """Rows sorted by key as tables of whole prefixes, about `group` rows at a time. Rows of a prefix that has more come as they
+    are read, told by True."""
+    held: list[pa.RecordBatch] = []  # the last prefix's rows perhaps not all
+    over = None
+    for batch in chain(batches, [None]):
+        if batch is not None:
+            n = int((batch.column("key").to_numpy() == over).sum()) if over is not None else 0
+            if n:
+                yield pa.Table.from_batches([batch.slice(0, n)]), True
+            if n == batch.num_rows:
+                continue
+            over = None
+            held.append(batch.slice(n))
+            if sum(x.num_rows for x in held) < group:
+                continue
+        if not held:
+            return
+        whole = pa.Table.from_batches(held).combine_chunks()
+        key = whole.column("key").to_numpy()
+        cut = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1], [True])))
+        complete, at = len(cut) - (1 if batch is None else 2), 0
+        while at < complete:
+            to = min(complete, max(at + 1, int(np.searchsorted(cut, cut[at] + group, "right")) - 1))
+            part = whole.slice(cut[at], cut[to] - cut[at])
+            yield part, part.num_rows > group
+            at = to
+        rest = whole.slice(cut[complete])
+        if rest.num_rows > group:
+            over = key[-1]
+            yield rest, True
+        held = rest.to_batches() if 0 < rest.num_rows <= group else []
 
 
 def _by_prefix(group: int):
     """Reads rows sorted by (kind, key, place). Out come ranges, and as they are the records of prefixes with more than `group`."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []  # records, the last prefix's perhaps not all
-        size = 0
-        over = None  # the prefix whose records are passed on
-        seen: dict = {}
+        ahead: list[pa.RecordBatch] = []
 
-        def take(rows: pa.RecordBatch, last: bool) -> Iterator[pa.RecordBatch]:
-            nonlocal held, size, over
-            if over is not None and rows.num_rows:
-                n = int(np.searchsorted(rows.column("key").to_numpy() != over, True))
+        def of(kind: int) -> Iterator[pa.RecordBatch]:
+            for batch in chain(ahead[:1], batches):
+                ahead.clear()
+                n = int(np.searchsorted(batch.column("kind").to_numpy(), kind, "right"))
                 if n:
-                    yield _ranges(*(rows.slice(0, n).column(c).to_numpy() for c in ("did", "rid", "lo", "hi")), rows.slice(0, n).column("words"))
-                rows = rows.slice(n)
-                if not rows.num_rows:
+                    yield batch.slice(0, n)
+                if n < batch.num_rows:
+                    ahead.append(batch.slice(n))
                     return
-                over = None
-            if rows.num_rows:
-                held.append(rows)
-                size += rows.num_rows
-            if not held or size < group and not last:
-                return
-            whole = pa.Table.from_batches(held).combine_chunks()
-            key = whole.column("key").to_numpy()
-            cut = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1], [True])))  # a complete prefix ends at each but the last
-            done = len(cut) - 1 if last else len(cut) - 2
-            k = 0
-            while k < done:
-                end = max(k + 1, int(np.searchsorted(cut, cut[k] + group, "right")) - 1)
-                end = min(end, done)
-                part = whole.slice(cut[k], cut[end] - cut[k])
-                if end == k + 1 and part.num_rows > group:
-                    yield _ranges(*(part.column(c).to_numpy() for c in ("did", "rid", "lo", "hi")), _one(part.column("words")))
-                elif part.num_rows > 1 and (found := _subtrees(part)) is not None:
-                    yield found
-                k = end
-            rest = whole.slice(cut[done])
-            if rest.num_rows > group:
-                over = key[-1]
-                yield _ranges(*(rest.column(c).to_numpy() for c in ("did", "rid", "lo", "hi")), _one(rest.column("words")))
-                rest = rest.slice(rest.num_rows)
-            held, size = (rest.to_batches(), rest.num_rows) if rest.num_rows else ([], 0)
 
-        for batch in batches:
-            kind = batch.column("kind").to_numpy()
-            a, b = np.searchsorted(kind, [BY_GRAM, BY_WINDOW]).tolist()
-            if a:
-                yield _ranges(*(batch.slice(0, a).column(c).to_numpy() for c in ("did", "rid", "lo", "hi")))
-            if b > a:
-                yield from take(batch.slice(a, b - a), False)
-            if b < len(kind):
-                yield _single_nodes(batch.slice(b), seen)
-        yield from take(pa.RecordBatch.from_pylist([], _EMPTY), True)
+        for batch in of(SETTLED):
+            yield _ranges(*_places(batch))
+        for part, over in _in_groups(of(BY_GRAM), group):
+            if over:
+                yield _ranges(*_places(part), _one(part.column("words")))
+            elif part.num_rows > 1 and (found := _subtrees(part)) is not None:
+                yield found
+        seen: dict = {}
+        for batch in of(BY_WINDOW):
+            yield _single_nodes(batch, seen)
 
     return run
 
 
-_EMPTY = pa.schema([("key", pa.int64())])
+def _places(rows: pa.RecordBatch | pa.Table) -> list[np.ndarray]:
+    return [rows.column(c).to_numpy() for c in ("did", "rid", "lo", "hi")]
 
 
 def _one(column: pa.ChunkedArray) -> pa.Array:
@@ -484,7 +491,7 @@ def _one(column: pa.ChunkedArray) -> pa.Array:
 def _to_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for whole in batches:
         for batch, words in in_pieces(whole, "words"):
-            yield from _windows(words, *(batch.column(c).to_numpy() for c in ("did", "rid", "lo", "hi")))
+            yield from _windows(words, *_places(batch))
 
 
 def _mask(n: int, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:

@@ -124,3 +124,20 @@ def test_prefixes_over_a_group(spark, group, heavy, known):
     rows = corpus(11, 60)
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
     assert sorted(map(tuple, substring.analyse(df, group, heavy, known).collect())) == sorted(r[:4] for r in brute(rows))
+
+
+def test_groups_hold_whole_prefixes():
+    r = random.Random(8)
+    for _ in range(200):
+        keys = sorted(k for k in range(r.randrange(1, 9)) for _ in range(r.choice([1, 1, 2, 3, 9])))
+        cuts = sorted(r.randrange(len(keys) + 1) for _ in range(r.randrange(5)))
+        batches = [pa.RecordBatch.from_arrays([pa.array(keys[s:e], pa.int64())], ["key"]) for s, e in zip([0, *cuts], [*cuts, len(keys)])]
+        group = r.randrange(1, 7)
+        whole, over = [], []
+        for part, large in substring._in_groups(iter(batches), group):
+            got = part.column("key").to_pylist()
+            (over if large else whole).append(got)
+            assert large or len(got) <= group or len(set(got)) == 1
+        assert sorted(k for x in whole + over for k in x) == keys
+        assert {k for x in over for k in x} == {k for k in keys if keys.count(k) > group}
+        assert sum(len(set(x)) for x in whole) == len({k for x in whole for k in x})
