@@ -178,3 +178,21 @@ def mix(docs: DataFrame, weights: dict[str | None, float] | None = None, block:
 
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return place(table(spark, sf_dir, "documents").select("doc_id", "source")).select("row.doc_id", "row.source", "place.*")
+
+
+#: The schedule by recursion over slots: each takes the released block of earliest deadline, of equal ones that of the first source.
+#: T(i / w) is a sum over all sources; what is within 1e-9 of a whole number is one.
+SQL = f"""WITH RECURSIVE d AS (SELECT doc_id, source, CASE WHEN source IS NULL THEN 'n' ELSE concat('s', source) END AS k FROM documents),
+c AS (SELECT k, CAST(ceil(count(*) / CAST({BLOCK} AS DOUBLE)) AS BIGINT) AS nb, sqrt(CAST(count(*) AS DOUBLE)) AS w FROM d GROUP BY k),
+e AS (SELECT k, w, unnest(range(nb + 1)) AS i FROM c), t AS (SELECT e.k, e.i, sum(least(CAST(c.nb AS DOUBLE), c.w * e.i / e.w)) AS at FROM e CROSS JOIN c GROUP BY e.k, e.i),
+x AS (SELECT a.k, a.i, CAST(floor(a.at + 1e-9) AS BIGINT) AS release, CAST(ceil(z.at - 1e-9) AS BIGINT) AS deadline FROM t a JOIN t z ON z.k = a.k AND z.i = a.i + 1),
+l AS (SELECT k, list(release ORDER BY i) AS rel, list(deadline ORDER BY i) AS dl FROM x GROUP BY k),
+w AS (SELECT list(k ORDER BY k) AS ks, list(rel ORDER BY k) AS rel, list(dl ORDER BY k) AS dl, CAST(count(*) AS BIGINT) AS n, CAST(sum(len(rel)) AS BIGINT) AS total FROM l),
+r AS (SELECT CAST(0 AS BIGINT) AS t, [CAST(1 AS BIGINT) FOR z IN range(n)] AS coming, CAST(NULL AS BIGINT) AS pick, CAST(NULL AS BIGINT) AS block FROM w
+UNION ALL SELECT t + 1, [CASE WHEN z = p THEN coming[z] + 1 ELSE coming[z] END FOR z IN range(1, n + 1)], p, coming[p] - 1
+FROM (SELECT t, coming, n, list_sort([{{'d': dl[z][coming[z]], 's': z}} FOR z IN range(1, n + 1) IF coming[z] <= len(rel[z]) AND rel[z][coming[z]] <= t])[1].s AS p FROM r, w WHERE t < total)),
+s AS (SELECT w.ks[pick] AS k, block, t - 1 AS slot FROM r, w WHERE pick IS NOT NULL),
+o AS (SELECT doc_id, source, k, CAST(row_number() OVER (PARTITION BY k ORDER BY doc_id) - 1 AS BIGINT) AS rank FROM d),
+f AS (SELECT o.*, s.block, s.slot, x.release, x.deadline FROM o JOIN s ON s.k = o.k AND s.block = o.rank // {BLOCK} JOIN x ON x.k = s.k AND x.i = s.block),
+g AS (SELECT slot, count(*) AS n FROM f GROUP BY slot), h AS (SELECT slot, CAST(coalesce(sum(n) OVER (ORDER BY slot ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS before FROM g)
+SELECT doc_id, source, block, release, deadline, slot, before + rank % {BLOCK} AS position FROM f JOIN h USING (slot)"""

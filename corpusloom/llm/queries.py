@@ -20,5 +20,6 @@ QUERIES = {
 ORACLE_SQL: dict[str, str] = {
     "op2_url_filter": urls.SQL,
     "op6_hyperplane_dedup": hyperplane.SQL,
+    "op7_mixing": mixing.SQL,
     "op9_substring_dedup": substring.SQL,
 }

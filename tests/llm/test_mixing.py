@@ -130,3 +130,9 @@ def test_the_query_against_a_plain_schedule(spark, data_dir="/root/testdata/sf0.
         had[s] += 1
     got = {r.doc_id: (r.source, r.block, r.release, r.deadline, r.slot, r.position) for r in mixing.op7(spark, data_dir).collect()}
     assert got == wanted and len(got) == len(docs)
+
+
+def test_against_sql(spark, data):
+    from tests import oracle
+
+    oracle.same(mixing.op7(spark, data), oracle.connect(data), mixing.SQL)
