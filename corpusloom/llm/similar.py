@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom.llm import simhash
-from corpusloom.llm.common import alone, keep, row_of, tasks, text_bytes
+from corpusloom.llm.common import alone, in_groups, keep, row_of, tasks, text_bytes
 from corpusloom.llm.components import connected_components
 from corpusloom.llm.substring import LAST, _mix, in_pieces
 
@@ -157,25 +157,6 @@ def _joins(similarity: float):
     return run
 
 
-def in_groups(batches: Iterator[pa.RecordBatch], by: tuple[str, ...]) -> Iterator[pa.Table]:
-    """The runs of rows that have the same keys."""
-    held: list[pa.RecordBatch] = []
-    last = None
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        keys = np.column_stack([batch.column(c).to_numpy() for c in by])
-        cuts = [0, *(np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1).tolist(), len(keys)]
-        for s, e in zip(cuts, cuts[1:], strict=False):
-            if held and tuple(keys[s]) != last:
-                yield pa.Table.from_batches(held)
-                held = []
-            held.append(batch.slice(s, e - s))
-            last = tuple(keys[s])
-    if held:
-        yield pa.Table.from_batches(held)
-
-
 def _keys(nodes: DataFrame) -> DataFrame:
     return nodes.select("rid", "n", F.posexplode("bands").alias("band", "key"))
 

@@ -1,6 +1,7 @@
 import math
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from corpusloom.llm import hyperplane
@@ -65,3 +66,35 @@ def test_plan_reaches_the_recall():
     for n in (0, 1, 100, 10**6, 10**9):
         bits, tables = hyperplane.plan(n)
         assert 1 - (1 - (1 - math.acos(0.95) / math.pi) ** bits) ** tables >= 0.97
+
+
+@pytest.mark.parametrize("lo,hi", [(0, 0), (0, 1)])
+def test_members_are_those_with_a_near_sketch(lo, hi):
+    r = np.random.default_rng(4)
+    n = 700
+    s = r.integers(-(2**63), 2**63, (n, 2))
+    s[1::3] = s[: len(s[1::3])] ^ (1 << r.integers(0, 60, (len(s[1::3]), 2)))  # two signs from another
+    own = r.integers(0, 2, n) if hi else np.zeros(n, int)
+    cols = {"tab": np.zeros(n, np.int32), "sig": np.full(n, 5, np.int32), "lo": np.full(n, lo, np.int32), "hi": np.full(n, hi, np.int32), "own": own.astype(np.int32), "rep": np.arange(n), "s1": s[:, 0], "s2": s[:, 1]}
+    batch = pa.RecordBatch.from_arrays([pa.array(x) for x in cols.values()], list(cols))
+    got = {k for b in hyperplane._members(4)(iter([batch.slice(0, 300), batch.slice(300)])) for k in b.column("rep").to_pylist()}
+    bits = np.unpackbits(s.view(np.uint8).reshape(n, 16), axis=1).astype(int)
+    near = (bits[:, None, :] != bits[None, :, :]).sum(axis=2) <= 4
+    np.fill_diagonal(near, False)
+    if hi:
+        near &= own[:, None] != own[None, :]
+    assert got == set(np.flatnonzero(near.any(axis=1)).tolist()) and 0 < len(got) < n
+
+
+def test_sketches_lose_nothing_at_the_limit():
+    """100,000 pairs at the limit itself differ in no more signs than pass."""
+    r = np.random.default_rng(6)
+    a = r.standard_normal((100_000, 64))
+    a /= np.linalg.norm(a, axis=1, keepdims=True)
+    b = r.standard_normal(a.shape)
+    b -= (a * b).sum(axis=1, keepdims=True) * a
+    b /= np.linalg.norm(b, axis=1, keepdims=True)
+    c = hyperplane.LIMIT * a + np.sqrt(1 - hyperplane.LIMIT**2) * b
+    p = hyperplane.planes(64, hyperplane.SKETCH, hyperplane.SEED + 1)
+    apart = ((a @ p > 0) != (c @ p > 0)).sum(axis=1)
+    assert apart.max() <= hyperplane.near_signs(hyperplane.LIMIT) <= 45 and 11 < apart.mean() < 15
