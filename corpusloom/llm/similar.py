@@ -187,6 +187,7 @@ def unjoined(keys: DataFrame, roots: DataFrame, sets: DataFrame, similarity: flo
     these groups' members; roots: node, root; sets: rid, shingles."""
     rooted = keys.join(roots.withColumnRenamed("node", "rid"), "rid", "left").withColumn("root", F.coalesce("root", "rid"))
     open_ = rooted.groupBy("band", "key").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("band", "key")
+    open_, _ = keep(open_, "open")  # beside an aggregation in its own stage the join couldn't split a hot group
     dealt = rooted.join(open_, ["band", "key"], "left_semi").withColumn("blocks", F.greatest(F.lit(1), F.ceil(F.col("total") / block), F.ceil(F.col("size") / texts)).cast("int"))
     dealt = dealt.withColumn("own", F.pmod(F.xxhash64("rid"), "blocks").cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     dealt = dealt.select("rid", "n", "root", "band", "key", "own", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"))
