@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from corpusloom.llm import conversations, cws, hyperplane, licenses, mixing, pieces, quality, simhash, substring, tokenids, urls
+from corpusloom.llm import conversations, cws, hyperplane, licenses, mixing, pieces, quality, simhash, substring, tokenids, toxicity, urls
 
 QUERIES = {
     "op1_simhash_dedup": simhash.op1,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_sentencepiece": pieces.op8,
     "op9_substring_dedup": substring.op9,
     "op10_cws_fingerprints": cws.op10,
+    "op12_toxicity": toxicity.op12,
     "op13_conversation_repair": conversations.op13,
 }
 
