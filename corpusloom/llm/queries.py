@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from corpusloom.llm import conversations, cws, hyperplane, licenses, mixing, pieces, quality, simhash, substring, tokenids, toxicity, urls
+from corpusloom.llm import conversations, cws, hyperplane, licenses, mixing, negatives, pieces, quality, simhash, substring, tokenids, toxicity, urls
 
 QUERIES = {
     "op1_simhash_dedup": simhash.op1,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_sentencepiece": pieces.op8,
     "op9_substring_dedup": substring.op9,
     "op10_cws_fingerprints": cws.op10,
+    "op11_hard_negatives": negatives.op11,
     "op12_toxicity": toxicity.op12,
     "op13_conversation_repair": conversations.op13,
 }
@@ -24,4 +25,5 @@ ORACLE_SQL: dict[str, str] = {
     "op6_hyperplane_dedup": hyperplane.SQL,
     "op7_mixing": mixing.SQL,
     "op9_substring_dedup": substring.SQL,
+    "op11_hard_negatives": negatives.SQL,
 }
