@@ -1,79 +1,29 @@
 """Lexical, vector and hybrid ranking, for a whole table of queries in one plan.
 
-The index is tables: postings (term, id, tf, and the document's length dl) and document
-frequencies (term, df), written once and read by all queries. Corpus statistics always come from the unfiltered corpus; filters restrict
-what may be ranked, below the scoring. Ranks have no ties left: scores are compared at
-6 decimals, then by id.
+The lexical index is in `postings`, the vector index in `cells`; both are tables that are written once and read by all queries. Ranks have
+no ties left: scores are compared at 6 decimals, then by id.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Callable, Iterator
-from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from corpusloom.functions import text
+from corpusloom.operators.postings import B, K1, Index, bm25, ranked, read_index, write_index  # noqa: F401
 
-K1, B = 1.2, 0.75
 RRF_K = 60
 WEIGHTS = {"bm25": 1.0, "head": 1.0, "dense": 0.5}
 ARMS = ["bm25", "head", "dense"]
 
 
-@dataclass(frozen=True)
-class Index:
-    """postings: term, id, tf, dl (the document's number of tokens); frequencies: term, df; n documents of avgdl tokens."""
-
-    postings: DataFrame
-    frequencies: DataFrame
-    n: int
-    avgdl: float
-
-
-def write_index(docs: DataFrame, path: str, field: str = "text", id_col: str = "doc_id") -> Index:
-    """The index of one field as Parquet (R-1). The texts are read and cut into tokens once; all else comes from the postings,
-    which are dealt and sorted by ranges of (term, id), so that queries read few row groups and no task holds all of a
-    frequent term."""
-    spark = docs.sparkSession
-    tokens = docs.select(F.col(id_col).alias("id"), text.tokens(F.col(field)).alias("tokens")).select("id", F.size("tokens").cast("long").alias("dl"), "tokens")
-    postings = tokens.select("id", "dl", F.explode("tokens").alias("term")).groupBy("term", "id", "dl").agg(F.count("*").alias("tf"))
-    postings.select("term", "id", "tf", "dl").repartitionByRange("term", "id").sortWithinPartitions("term", "id").write.mode("overwrite").parquet(f"{path}/postings")
-    written = spark.read.parquet(f"{path}/postings")
-    written.groupBy("term").agg(F.count("*").alias("df")).write.mode("overwrite").parquet(f"{path}/frequencies")
-    docs.agg(F.count("*").alias("n")).crossJoin(written.agg(F.coalesce(F.sum("tf"), F.lit(0)).alias("tokens"))).write.mode("overwrite").parquet(f"{path}/stats")  # one row each
-    return read_index(spark, path)
-
-
-def read_index(spark: SparkSession, path: str) -> Index:
-    stats = spark.read.parquet(f"{path}/stats").first()
-    return Index(spark.read.parquet(f"{path}/postings"), spark.read.parquet(f"{path}/frequencies"), stats.n, stats.tokens / stats.n if stats.n else 0.0)
-
-
-def ranked(scored: DataFrame, limit: int) -> DataFrame:
-    """The best `limit` rows of each query, with ranks from 1 (T-1, W-1)."""
-    order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "id")
-    return scored.withColumn("rank", F.row_number().over(order).cast("long")).where(F.col("rank") <= limit)
-
-
-def bm25(queries: DataFrame, index: Index, limit: int = 50, allowed: DataFrame | None = None, k1: float = K1, b: float = B) -> DataFrame:
-    """(query_id, id, score, rank) of documents with any of a query's terms (R-2, R-3). queries: query_id, query.
-    allowed: ids that may be ranked. A query without terms has no rows."""
-    terms = queries.select("query_id", F.explode(F.array_distinct(text.tokens(text.query_text(F.col("query"))))).alias("term"))
-    hits = terms.join(index.frequencies, "term").join(index.postings, "term")
-    if allowed is not None:
-        hits = hits.join(allowed.select("id"), "id", "left_semi")
-    idf = F.ln(1 + (F.lit(index.n) - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    part = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.lit(index.avgdl)))
-    return ranked(hits.groupBy("query_id", "id").agg(F.round(F.sum(part), 6).alias("score")), limit)
-
-
 def _blocks(size: int):
     """Rows (id, vector) as blocks of at most `size` unit vectors of one length: ids, matrix in double precision, length. Zero and
     null vectors are left out."""

@@ -143,8 +143,8 @@ class Tables:
     def timeline(self, queries: DataFrame) -> DataFrame:
         """queries: query_id, query, q_from, q_to: the best chunks of documents that overlap the dates, by date."""
         pairs = filters.overlapping(queries.select("query_id", "q_from", "q_to"), self.chunks.select(F.col("chunk_id").alias("id"), "date_from", "date_to")).select("query_id", "id", "date_from")
-        hits = retrieval.bm25(queries, self.index, 2**31 - 1).drop("rank").join(pairs, ["query_id", "id"])
-        return retrieval.timeline(retrieval.ranked(hits, self.top_k))
+        hits = retrieval.bm25(queries, self.index, self.top_k, pairs.select("query_id", "id"))
+        return retrieval.timeline(hits.join(pairs, ["query_id", "id"]))
 
     def neighbours(self, chunk_ids: DataFrame) -> DataFrame:
         return chunk_rows.adjacent(chunk_ids, self.chunks)
