@@ -27,6 +27,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from corpusloom.functions import text
+from corpusloom.sources import tables
 
 K1, B = 1.2, 0.75
 SPAN = 1024  # documents of a span, a power of two
@@ -94,28 +95,28 @@ def ranked(scored: DataFrame, limit: int) -> DataFrame:
 
 def of_terms(index: Index, terms: DataFrame) -> tuple[DataFrame, DataFrame]:
     """The index's blocks and frequencies, cut to the buckets and, if they aren't many, to the terms that are asked for."""
-    asked = [r.term for r in terms.select("term").distinct().limit(PUSHED + 1).collect()]
-    if len(asked) <= PUSHED:
-        wanted = F.col("term").isin(asked)
-        held = {r[0] for r in terms.sparkSession.createDataFrame([(x,) for x in asked], "term string").select(_bucket(index.buckets)).distinct().collect()}
-    else:
-        wanted = F.lit(True)
-        held = {r[0] for r in terms.select(_bucket(index.buckets)).distinct().collect()}  # a number a bucket
+    keyed = terms.select("term", _bucket(index.buckets).alias("bucket")).distinct()
+    asked = keyed.limit(PUSHED + 1).collect()
+    few = len(asked) <= PUSHED
+    held = {r.bucket for r in (asked if few else keyed.select("bucket").distinct().collect())}  # a number a bucket
+    wanted = F.col("term").isin([r.term for r in asked]) if few else F.lit(True)
     here = F.col("bucket").isin(sorted(held)) & wanted
     return index.blocks.where(here), index.frequencies.where(here)
 
 
 @dataclass(frozen=True)
 class Pruned:
-    """The steps of a pruned ranking: spans (query_id, span) that give the thresholds, the hits in them, and the other spans that may matter."""
+    """The steps of a pruned ranking: spans (query_id, span, terms, bound, place by bound) that have any of a query's terms, the hits in
+    the first of them, and the other spans that may matter."""
 
-    lead: DataFrame
+    spans: DataFrame
     first: DataFrame
     others: DataFrame
     scored: Callable[[DataFrame], DataFrame]
 
 
 def pruned(queries: DataFrame, index: Index, limit: int, allowed: DataFrame | None = None, k1: float = K1, b: float = B) -> Pruned:
+    """What the steps share is written, some tens of bytes for each query and span and the leading hits, so no step runs twice."""
     terms = queries.select("query_id", F.explode(F.array_distinct(text.tokens(text.query_text(F.col("query"))))).alias("term"))
     blocks, frequencies = of_terms(index, terms)
     idf = F.ln(1 + (F.lit(index.n) - F.col("df") + 0.5) / (F.col("df") + 0.5))
@@ -125,20 +126,20 @@ def pruned(queries: DataFrame, index: Index, limit: int, allowed: DataFrame | No
         return F.col("idf") * F.col(tf) * (k1 + 1) / (F.col(tf) + k1 * (1 - b + b * F.col(dl) / F.lit(index.avgdl)))
 
     def scored(spans: DataFrame) -> DataFrame:
-        hits = spans.join(weighed, "query_id").join(blocks.select("term", "span", "postings"), ["term", "span"]).select("query_id", "idf", F.inline("postings"))
+        hits = spans.select("query_id", "span", F.inline("terms")).join(blocks.select("term", "span", "postings"), ["term", "span"]).select("query_id", "idf", F.inline("postings"))
         if allowed is not None:
             on = ["query_id", "id"] if "query_id" in allowed.columns else ["id"]
             hits = hits.join(allowed.select(*on), on, "left_semi")
         return hits.groupBy("query_id", "id").agg(F.round(F.sum(part("tf", "dl")), 6).alias("score"))
 
-    spans = weighed.join(blocks.select("term", "span", "top_tf", "least_dl"), "term").groupBy("query_id", "span").agg(F.sum(part("top_tf", "least_dl")).alias("bound"))
+    bounds = weighed.join(blocks.select("term", "span", "top_tf", "least_dl"), "term")
+    spans = bounds.groupBy("query_id", "span").agg(F.sum(part("top_tf", "least_dl")).alias("bound"), F.collect_list(F.struct("term", "idf")).alias("terms"))
     most = Window.partitionBy("query_id").orderBy(F.col("bound").desc(), "span")
-    lead = spans.withColumn("place", F.row_number().over(most)).where(F.col("place") <= LEAD).select("query_id", "span")
-    first = scored(lead)
+    spans = tables.kept(spans.withColumn("place", F.row_number().over(most)), "spans")
+    first = tables.kept(scored(spans.where(F.col("place") <= LEAD)), "lead")
     threshold = ranked(first, limit).where(F.col("rank") == limit).select("query_id", F.col("score").alias("threshold"))
-    others = spans.join(lead, ["query_id", "span"], "left_anti").join(threshold, "query_id", "left")
-    others = others.where(F.col("bound") + 1e-6 >= F.coalesce("threshold", F.lit(0.0))).select("query_id", "span")
-    return Pruned(lead, first, others, scored)
+    others = spans.where(F.col("place") > LEAD).join(threshold, "query_id", "left").where(F.col("bound") + 1e-6 >= F.coalesce("threshold", F.lit(0.0)))
+    return Pruned(spans, first, tables.kept(others.drop("threshold"), "others"), scored)
 
 
 def bm25(queries: DataFrame, index: Index, limit: int = 50, allowed: DataFrame | None = None, k1: float = K1, b: float = B) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from corpusloom.operators import cite, filters, retrieval, select
-from corpusloom.plans import agent, inputs
+from corpusloom.plans import agent, dispatch, inputs
 from corpusloom.plans.inputs import QUERY_WORDS, SQL_DOCS, SQL_MANIFEST, SQL_TOKENS, docs, manifest, table
 
 Q: dict = {}
@@ -425,6 +425,111 @@ for _name, _system, _floor, _grade in (("n3_n6_n13_answer_loop", "B3", 12.0, Non
     _add_loop(_name, _system, _floor, _grade)
 
 
+# the loop with tools by route
+
+_FIRST = "array_to_string(list_slice(string_split(b.text, ' '), {}, {}), ' ')"
+_BY_ROUTE = f"""CASE item_id % 5 WHEN 0 THEN concat('Show ', volume_id, ' document ', CAST(doc_id AS STRING)) WHEN 1 THEN concat('Timeline of ', {_FIRST.format(1, 6)})
+WHEN 2 THEN concat('Is ', volume_id, ' published') ELSE {_FIRST.format(1, 8)} END"""
+_ROUTES = "CASE item_id % 5 WHEN 0 THEN 'lookup' WHEN 1 THEN 'timeline' WHEN 2 THEN 'status' WHEN 3 THEN 'simple' ELSE 'complex' END"
+SQL_HOPS = f"""asked AS (SELECT item_id AS query_id, {_BY_ROUTE} AS question, {_ROUTES} AS route, b.text AS t FROM benchmark b JOIN docs ON doc_id = item_id),
+hops AS (SELECT query_id, 'h0' AS hop, question AS query, route FROM asked WHERE route <> 'complex' UNION ALL
+SELECT query_id, concat('h', CAST(k AS STRING)), array_to_string(list_slice(string_split(question, ' '), 1 + 4 * k, 4 + 4 * k), ' '), route FROM asked, (SELECT unnest([0, 1]) AS k) WHERE route = 'complex')"""
+_CITABLE = "id IN (SELECT doc_id FROM docs WHERE subtype = 'historical-document')"
+SQL_DISPATCHED = f"""questions AS (SELECT concat(CAST(query_id AS STRING), '|', hop) AS query_id, query FROM hops WHERE route IN ('simple', 'complex')), {sql_bm25('wide', 'text', 50, _CITABLE)}"""
+SQL_TIMELINE = SQL_DISPATCHED.replace("'simple', 'complex'", "'timeline'").replace("wide", "narrow").replace("questions", "dated").replace(_CITABLE, _CITABLE + " AND id IN (SELECT doc_id FROM docs WHERE date_to >= '1920-01-01' AND date_from <= '1960-12-31')")
+SQL_TOOLS = f"""{SQL_HOPS}, {SQL_DISPATCHED}, {SQL_TIMELINE},
+tools AS (SELECT h.query_id, h.hop, 'lookup_document' AS tool, false AS relaxed, docs.doc_id AS id, CAST(1 AS BIGINT) AS rank, CAST(NULL AS DOUBLE) AS score FROM hops h JOIN docs ON h.query = concat('Show ', volume_id, ' document ', CAST(doc_id AS STRING)) WHERE h.route = 'lookup'
+UNION ALL SELECT h.query_id, h.hop, 'hybrid_search', h.route = 'simple', w.id, w.rank, w.score FROM hops h JOIN wide w ON w.query_id = concat(CAST(h.query_id AS STRING), '|', h.hop) WHERE w.rank <= CASE WHEN h.route = 'simple' THEN 10 ELSE 50 END
+UNION ALL SELECT h.query_id, h.hop, 'timeline_search', false, n.id, row_number() OVER (PARTITION BY h.query_id ORDER BY coalesce(nullif(date_from, ''), '9999'), document), n.score FROM hops h JOIN narrow n ON n.query_id = concat(CAST(h.query_id AS STRING), '|', h.hop) JOIN docs ON doc_id = n.id WHERE n.rank <= 10)"""
+
+
+def passages(s, d):
+    return docs(s, d).select("doc_id", F.concat("document", F.lit(":0")).alias("id"), "volume_id", "document_id", F.lit(0).alias("ordinal"), "subtype", "date_from", "date_to", "text")
+
+
+def route_questions(s, d):
+    """Questions for each of the routes, their words and the documents that they name from the tables."""
+    rows = table(s, d, "benchmark").alias("b").join(docs(s, d).select("doc_id", "volume_id"), F.col("doc_id") == F.col("item_id"))
+    words = lambda n: f"array_join(slice(split(b.text, ' '), 1, {n}), ' ')"
+    said = _BY_ROUTE.replace(_FIRST.format(1, 6), words(6)).replace(_FIRST.format(1, 8), words(8))
+    return rows.select(F.col("item_id").alias("query_id"), F.expr(said).alias("question"), F.expr(_ROUTES).alias("route"))
+
+
+def route_hops(s, d):
+    """Their hops: two for the complex ones; dates for timelines; filters that nothing passes for the simple ones."""
+    q = route_questions(s, d)
+    place = F.when(F.col("route") == "complex", F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))
+    rows = q.join(docs(s, d).select(F.col("doc_id").alias("query_id"), "volume_id"), "query_id").withColumn("place", F.explode(place))
+    said = F.when(F.col("route") == "complex", F.array_join(F.slice(F.split("question", " "), 1 + 4 * F.col("place"), F.lit(4)), " ")).otherwise(F.col("question"))
+    timeline, simple = F.col("route") == "timeline", F.col("route") == "simple"
+    return rows.select(
+        "query_id", "place", F.concat(F.lit("h"), F.col("place").cast("string")).alias("hop"), said.alias("query"), "route", F.when(simple, F.array("volume_id")).alias("volumes"),
+        F.when(timeline, "1920-01-01").when(simple, "1800-01-01").alias("q_from"), F.when(timeline, "1960-12-31").when(simple, "1800-12-31").alias("q_to"),
+    )
+
+
+def dispatcher(s, d):
+    rows, index = passages(s, d), inputs.index(s, d, "text")
+    numbers = rows.select("id", "doc_id")
+
+    def search(queries, allowed, limit):
+        some = allowed.join(numbers, "id").drop("id").withColumnRenamed("doc_id", "id")
+        return retrieval.bm25(queries, index, limit, some).withColumnRenamed("id", "doc_id").join(numbers, "doc_id").select("query_id", "id", "score", "rank")
+
+    return dispatch.Dispatcher(search, rows.drop("doc_id"), manifest(s, d))
+
+
+@query("n3_dispatch", f"{D}, {SQL_TOOLS} SELECT query_id, hop, tool, relaxed, concat(document, ':0') AS id, rank FROM tools JOIN docs ON doc_id = id")
+def _(s, d):
+    return dispatcher(s, d)(route_hops(s, d)).select("query_id", "hop", "tool", "relaxed", "id", "rank")
+
+
+@query("n3_status", f"{M}, {SQL_HOPS} SELECT h.query_id, m.volume_id, m.status FROM hops h JOIN manifest m ON h.query = concat('Is ', m.volume_id, ' published') WHERE h.route = 'status'")
+def _(s, d):
+    return dispatcher(s, d).status(route_hops(s, d))
+
+
+def _quoting(window):
+    """A stand-in generator: one claim, the beginning of the best passage, with ids of its own that are discarded."""
+    best = window.groupBy("query_id").agg(F.max_by("text", F.struct("score", "id")).alias("b"))
+    return best.select("query_id", F.lit(0).alias("claim"), F.substring("b", 1, 80).alias("text"), F.array(F.lit("made:up:0")).alias("ids"), F.lit("one claim").alias("limitations"))
+
+
+_CLAIMED, _HELD = r"regexp_replace(substring(best.text, 1, 80), 'https?://\S+', '', 'g')", r"list_distinct(regexp_extract_all(lower(p.text), '[\p{L}\p{N}]+'))"
+_CLAIMED_T = rf"list_distinct(regexp_extract_all(lower({_CLAIMED}), '[\p{{L}}\p{{N}}]+'))"
+SQL_SYSTEMS = f"""{M}, {SQL_TOOLS}, {SQL_DISPATCHED.replace('query_id, query FROM hops', 'query_id, question AS query FROM (SELECT *, $$h0$$ AS hop FROM asked)').replace(" WHERE route IN ('simple', 'complex')", "").replace("wide", "plainly").replace("questions", "whole")},
+{SQL_DISPATCHED.replace('query_id, query FROM hops', 'query_id, question AS query FROM (SELECT *, $$h0$$ AS hop FROM asked)').replace("'simple', 'complex'", "'simple', 'complex', 'timeline'").replace("wide", "simply").replace("questions", "plainest")},
+found AS (SELECT 'B0' AS system, query_id, id, score FROM tools WHERE tool = 'lookup_document'
+UNION ALL SELECT 'B0', CAST(split_part(query_id, '|', 1) AS BIGINT), id, score FROM simply WHERE rank <= 10
+UNION ALL SELECT 'B0-2step', CAST(split_part(query_id, '|', 1) AS BIGINT), id, score FROM plainly WHERE rank <= 10),
+ev AS (SELECT f.*, docs.text, docs.document, docs.volume_id, docs.subtype, concat(docs.document, ':0') AS pid FROM found f JOIN docs ON doc_id = f.id),
+best AS (SELECT * FROM ev QUALIFY row_number() OVER (PARTITION BY system, query_id ORDER BY score DESC NULLS LAST, pid DESC) = 1),
+near AS (SELECT p.*, round(8.0 * len(list_intersect({_CLAIMED_T}, {_HELD})) / greatest(len({_CLAIMED_T}), 1) - 4.0, 6) AS s FROM best JOIN ev p ON p.system = best.system AND p.query_id = best.query_id),
+picked AS (SELECT *, max(s) OVER (PARTITION BY system, query_id) AS top, row_number() OVER (PARTITION BY system, query_id ORDER BY s DESC, pid) AS k FROM near QUALIFY k <= 3 AND s >= top - 2.0),
+good AS (SELECT system, query_id, string_agg(DISTINCT document, ' ' ORDER BY document) AS cited FROM picked JOIN manifest USING (volume_id) WHERE status = 'published' AND subtype = 'historical-document' GROUP BY system, query_id),
+got AS (SELECT system, query_id, string_agg(DISTINCT document, ' ' ORDER BY document) AS retrieved FROM ev GROUP BY system, query_id)
+SELECT system, query_id, CASE WHEN cited IS NULL THEN 'abstained' ELSE 'answered' END AS outcome, coalesce(retrieved, '') AS retrieved, coalesce(cited, '') AS cited
+FROM asked CROSS JOIN (SELECT unnest(['B0', 'B0-2step']) AS system) LEFT JOIN got USING (system, query_id) LEFT JOIN good USING (system, query_id)"""
+
+
+def by_system(s, d, systems, floor=None, focus=True):
+    asked, out = route_questions(s, d), None
+    for name in systems:
+        one = agent.ask(asked.drop("route"), dispatcher(s, d), _quoting, manifest(s, d), agent.SYSTEMS[name], floor, route_hops(s, d), focus=focus).withColumn("system", F.lit(name))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+@query("n13_by_system", SQL_SYSTEMS)
+def _(s, d):
+    return by_system(s, d, ("B0", "B0-2step"), focus=False).select("system", "query_id", "outcome", F.array_join("retrieved_documents", " ").alias("retrieved"), F.array_join("cited_documents", " ").alias("cited"))
+
+
+@query("n6_synthesis")
+def _(s, d):
+    return by_system(s, d, ("B1", "B3"), floor=-10.0).select("system", "query_id", "outcome", "language", "answer_text", "cited_documents", "limitations", "reason")
+
+
 # the remaining joins
 
 

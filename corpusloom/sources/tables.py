@@ -39,6 +39,13 @@ def _forget(spark: SparkSession, app: str) -> None:
         pass
 
 
+def kept(df: DataFrame, name: str) -> DataFrame:
+    """df as a table in the shared folder: its lineage is cut, and what uses it twice doesn't run it twice."""
+    path = scratch(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def write(df: DataFrame, path: str, by: str | None = None, mode: str = "overwrite") -> None:
     """Zstandard Parquet, by partition if asked (B-1, B-3). The commit protocol makes it all or nothing."""
     w = df.write.mode(mode).option("compression", "zstd")
