@@ -20,7 +20,7 @@ A document's block needs its rank within its source. Ranks are counted within (s
 range of doc_id) cells, whose offsets are running sums of the cells' counts, so a source
 that holds most rows is dealt to all tasks.
 
-Edge cases: a null source is a source of its own; a null doc_id ranks last; equal ids
+Edge cases: a null source is a source of its own; a null doc_id ranks last, and all null ids of one source are ranked by one task; equal ids
 rank in any order; a source without a target weight or with one that isn't positive gets
 a thousand-millionth of the least weight, so it comes when the others have ended; a single source is
 in its own order; an empty table gives an empty result; texts of any length, empty or null, are
@@ -32,7 +32,7 @@ from __future__ import annotations
 import math
 from array import array
 from bisect import bisect_right
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from fractions import Fraction
 from heapq import heapify, heappop, heappush
 from itertools import accumulate
@@ -47,6 +47,7 @@ from corpusloom.llm.common import row_of, table, tasks
 from corpusloom.llm.substring import LAST
 
 BLOCK = 64
+MOST_BLOCKS = 2**20
 POWER = 0.5  # default targets: the square roots of the sources' numbers of documents
 
 
@@ -59,6 +60,14 @@ def whole_weights(weights: dict[str, float]) -> dict[str, int]:
     return {s: x // common for s, x in out.items()}
 
 
+def block_size(docs: Iterable[int], least: int = BLOCK, most: int = MOST_BLOCKS) -> int:
+    """Documents of a block: least, doubled until the sources' blocks are `most` at most or one each."""
+    counts, size = np.array([n for n in docs if n > 0], np.int64), least
+    while len(counts) and -(-counts // size).sum() > max(most, len(counts)):
+        size *= 2
+    return size
+
+
 class Fluid:
     """The fluid mixture: n blocks and a whole-number weight for each source."""
 
@@ -137,7 +146,7 @@ def _source(source: str):
     return F.when(F.col(source).isNull(), F.lit("n")).otherwise(F.concat(F.lit("s"), F.col(source).cast("string")))
 
 
-def place(docs: DataFrame, weights: dict[str | None, float] | None = None, block: int = BLOCK, source: str = "source") -> DataFrame:
+def place(docs: DataFrame, weights: dict[str | None, float] | None = None, block: int | None = None, source: str = "source") -> DataFrame:
     """For each row of docs: row (all its columns, as a struct) and place: block, release, deadline, slot, position."""
     spark = docs.sparkSession
     n = tasks(spark)
@@ -153,7 +162,7 @@ def place(docs: DataFrame, weights: dict[str | None, float] | None = None, block
     cells = keyed.groupBy("from", "cell").agg(F.count("*").alias("n"))
     totals = {r[0]: r[1] for r in cells.groupBy("from").agg(F.sum("n")).collect()}  # one row a source
     named = {"n" if s is None else f"s{s}": w for s, w in weights.items()} if weights is not None else {s: k**POWER for s, k in totals.items()}
-    plan = Schedule(totals, named, block)
+    plan = Schedule(totals, named, block or block_size(totals.values()))
 
     @F.pandas_udf("block long, release long, deadline long, slot long, position long")
     def located(sources: pd.Series, ranks: pd.Series) -> pd.DataFrame:
@@ -170,7 +179,7 @@ def place(docs: DataFrame, weights: dict[str | None, float] | None = None, block
     return ranked.select("row", located("from", "rank").alias("place"))
 
 
-def mix(docs: DataFrame, weights: dict[str | None, float] | None = None, block: int = BLOCK) -> DataFrame:
+def mix(docs: DataFrame, weights: dict[str | None, float] | None = None, block: int | None = None) -> DataFrame:
     """All rows of docs in the mixture's order."""
     placed = place(docs, weights, block)
     return placed.repartitionByRange(tasks(docs.sparkSession), "place.position").sortWithinPartitions("place.position").select("row.*")

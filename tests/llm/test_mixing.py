@@ -52,6 +52,14 @@ def test_slots_against_a_plain_scheduler(blocks, weights):
     assert [s for s, _, _ in mixing.earliest_deadlines(blocks, weights)] == out
 
 
+def test_blocks_are_bounded():
+    assert mixing.block_size([]) == mixing.block_size([0, 5]) == mixing.block_size([10**6, 3]) == mixing.BLOCK
+    for docs in ([10**10, 7 * 10**9, 12], [10**12] * 40, [10**9] + [1] * 1000):
+        size = mixing.block_size(docs)
+        assert sum(-(-n // size) for n in docs) <= mixing.MOST_BLOCKS < sum(-(-n // (size // 2)) for n in docs) and size % mixing.BLOCK == 0
+    assert mixing.block_size([3] * 50, least=1, most=10) == 4
+
+
 def test_many_sources():
     docs = {f"s{k}": 1 + k % 700 for k in range(100_000)}
     began = time.process_time()
