@@ -6,15 +6,12 @@ no ties left: scores are compared at 6 decimals, then by id.
 
 from __future__ import annotations
 
-import math
 from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from corpusloom.functions import text
 from corpusloom.operators.postings import B, K1, Index, bm25, ranked, read_index, write_index  # noqa: F401
@@ -84,43 +81,6 @@ def dense(queries: DataFrame, vectors: DataFrame, limit: int = 50, block: int =
     return ranked(best.select("query_id", "id", F.round("score", 6).alias("score")), limit)
 
 
-def ivf_centroids(vectors: DataFrame, cells: int | None = None, sample: int = 20_000, seed: int = 7) -> np.ndarray:
-    """Centroids of an inverted file (R-5): k-means on the rows whose hash is below a threshold set by their number, `sample` at
-    most; by default one cell for each root of the number of vectors, 4096 at most, as a cell needs some of the sample."""
-    rows = vectors.where("vector is not null")
-    n = rows.count()
-    cells = cells or max(1, min(4096, int(math.sqrt(n))))
-    h = F.xxhash64(F.lit(seed), "id")
-    if n > sample:
-        rows = rows.where(h < F.lit(int(2**64 * 0.95 * sample / n) - 2**63))
-    x = np.array(rows.select(h.alias("h"), "vector").toPandas().sort_values("h")["vector"].head(sample).tolist(), np.float64)
-    x /= np.linalg.norm(x, axis=1, keepdims=True)
-    c = x[: min(cells, len(x))].copy()
-    for _ in range(10):
-        near = (x @ c.T).argmax(axis=1)
-        for k in range(len(c)):
-            if (near == k).any():
-                m = x[near == k].mean(axis=0)
-                c[k] = m / max(1e-12, np.linalg.norm(m))
-    return c
-
-
-def _cells_of(centroids: np.ndarray, n: int):
-    @F.pandas_udf(T.ArrayType(T.IntegerType()))
-    def cells(vectors: pd.Series) -> pd.Series:
-        scores = np.array(vectors.tolist(), np.float64).reshape(len(vectors), -1) @ centroids.T
-        return pd.Series(list(np.argsort(-scores, axis=1, kind="stable")[:, :n].astype(np.int32)))
-
-    return cells
-
-
-def dense_ann(queries: DataFrame, vectors: DataFrame, centroids: np.ndarray, nprobe: int, limit: int = 50) -> DataFrame:
-    """Approximate ranking: vectors of the nprobe nearest cells, scored exactly (R-6)."""
-    placed = vectors.where("vector is not null").select("id", "vector", F.get(_cells_of(centroids, 1)("vector"), F.lit(0)).alias("cell"))
-    probes = queries.where("q_vector is not null").select("query_id", "q_vector", F.explode(_cells_of(centroids, nprobe)("q_vector")).alias("cell"))
-    return ranked(probes.join(placed, "cell").select("query_id", "id", F.round(text.cosine(F.col("q_vector"), F.col("vector")), 6).alias("score")), limit)
-
-
 def fuse(arms: dict[str, DataFrame], top_k: int, weights: dict[str, float] | None = None, k: int = RRF_K) -> DataFrame:
     """Reciprocal rank fusion (R-7, JN-A): the sum of weight / (k + rank) over the arms; ties go to the arm named first,
     then to the better rank in it. Ranks of each arm stay, null where a row is absent. One grouping, no outer join."""

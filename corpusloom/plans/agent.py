@@ -166,5 +166,5 @@ def ask(questions: DataFrame, dispatcher: dispatch.Dispatcher, generate: Callabl
     return out.select(
         "query_id", "outcome", "language", F.when(answered, F.col("said")).otherwise(refusal).alias("answer_text"), "claims", F.coalesce("retrieved_documents", none).alias("retrieved_documents"),
         F.coalesce("accepted_documents", none).alias("accepted_documents"), F.when(answered, F.coalesce("cited_documents", none)).otherwise(none).alias("cited_documents"),
-        (F.col("limitations") if "limitations" in out.columns else F.lit("")).alias("limitations"), "reason",
+        (F.coalesce("limitations", F.lit("")) if "limitations" in out.columns else F.lit("")).alias("limitations"), "reason",
     )

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from corpusloom.operators import cite, filters, retrieval, select
+from corpusloom.operators import cells, cite, filters, retrieval, select
 from corpusloom.plans import agent, dispatch, inputs
 from corpusloom.plans.inputs import QUERY_WORDS, SQL_DOCS, SQL_MANIFEST, SQL_TOKENS, docs, manifest, table
 
@@ -114,9 +114,8 @@ PROBED = 0.75  # of the cells; tests measure the recall at it
 
 @query("r5_r6_dense_ann")
 def _(s, d):
-    v = vectors(s, d)
-    centroids = retrieval.ivf_centroids(v)
-    return retrieval.dense_ann(vector_questions(s, d), v, centroids, max(1, int(len(centroids) * PROBED)), 10)
+    index = inputs.vector_cells(s, d)
+    return cells.search(vector_questions(s, d), index, max(1, int(len(index.centroids) * PROBED)), 10)
 
 
 @query("r7_jna_fuse", ALL_ARMS + SQL_FUSED.format(k=50) + " SELECT query_id, id, score, rank, CAST(rank_bm25 AS DOUBLE) AS rank_bm25, CAST(rank_head AS DOUBLE) AS rank_head, CAST(rank_dense AS DOUBLE) AS rank_dense FROM fused")

@@ -5,7 +5,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corpusloom.operators import retrieval
+from corpusloom.operators import cells, retrieval
 from corpusloom.sources import tables
 
 DOCS = {
@@ -52,20 +52,30 @@ MANIFEST = "SELECT volume_id, concat('Volume ', volume_id) AS title, concat('Ser
 QUERY_WORDS = 8
 
 
-_indexes: dict[tuple, retrieval.Index] = {}
+_indexes: dict[tuple, retrieval.Index | cells.Cells] = {}
 
 
-def index(spark: SparkSession, sf_dir: str, field: str) -> retrieval.Index:
-    """The index of a field of the documents, written when it is first asked for and shared by all queries of the
-    application on the same files."""
-    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{sf_dir}/documents.parquet")
+def _shared(spark: SparkSession, sf_dir: str, name: str, kind: str, make):
+    """What is made of a table's files when it is first asked for, and shared by all queries of the application on the same files."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{sf_dir}/{name}.parquet")
     status = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(at)
-    known = (spark.sparkContext.applicationId, sf_dir, field, status.getModificationTime(), status.getLen())
+    known = (spark.sparkContext.applicationId, sf_dir, kind, status.getModificationTime(), status.getLen())
     if known not in _indexes:
-        _indexes[known] = retrieval.write_index(docs(spark, sf_dir), tables.scratch(spark, f"index-{field}"), field)
+        _indexes[known] = make(tables.scratch(spark, kind))
     return _indexes[known]
 
 
+def index(spark: SparkSession, sf_dir: str, field: str) -> retrieval.Index:
+    """The lexical index of a field of the documents."""
+    return _shared(spark, sf_dir, "documents", f"index-{field}", lambda path: retrieval.write_index(docs(spark, sf_dir), path, field))
+
+
+def vector_cells(spark: SparkSession, sf_dir: str) -> cells.Cells:
+    """The inverted file of the vectors."""
+    rows = table(spark, sf_dir, "embeddings").selectExpr("vec_id AS id", "embedding AS vector")
+    return _shared(spark, sf_dir, "embeddings", "cells", lambda path: cells.write_cells(rows, path))
+
+
 def _columns(columns: dict[str, str]) -> str:
     return ", ".join(f"{e} AS {n}" for n, e in columns.items())
 

@@ -137,13 +137,13 @@ def test_selection_keeps_unscored_and_hops(spark):
     assert select.missing_hops(rows, rows.select("query_id", "hop").distinct(), None).count() == 0
 
 
-def test_ann_recall(spark, data):
+def test_ann_recall(spark, data, tmp_path):
+    from corpusloom.operators import cells
     from corpusloom.plans.catalog_rank import dense_hits, vector_questions, vectors
 
-    v = vectors(spark, data)
-    c = retrieval.ivf_centroids(v)
+    c = cells.write_cells(vectors(spark, data), str(tmp_path / "cells"))
     exact = {(r.query_id, r.id) for r in dense_hits(spark, data, 10).collect()}
-    found = {(r.query_id, r.id) for r in retrieval.dense_ann(vector_questions(spark, data), v, c, max(1, len(c) * 3 // 4), 10).collect()}
+    found = {(r.query_id, r.id) for r in cells.search(vector_questions(spark, data), c, max(1, len(c.centroids) * 3 // 4), 10).collect()}
     assert len(exact & found) >= 0.9 * len(exact)
 
 
