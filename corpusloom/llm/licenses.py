@@ -2,15 +2,16 @@
 
 A text is cut into sentences at line ends and after . ! ? or ; before white space; lines that
 follow each other without such an end between them are also joined, as wrapped sentences
-are, and what begins at a line's start is the longest known sentence there. Comment leaders
-(#, *, //, ;) are no words and fall away. A sentence is normalised (A-Z as a-z; quotes and brackets dropped, other runs of characters
+are, and what begins at a line's start is the longest known sentence there. Up to six words may lead a known sentence, as a label or a subject
+does ("License:", "This file is"), unless one of them denies it ("not"); of these places the first that begins a known sentence counts. Markup
+tags are line ends, comment leaders (#, *, //, ;) no words. A sentence is normalised (A-Z as a-z; quotes and brackets dropped, other runs of characters
 than letters, digits and + as one space, but for dots between digits, which stay)
 and looked up among the known licence sentences, which gives the document's sequence of
 sentence identifiers; other sentences between them don't break a sequence, as licence
 texts are wrapped and interleaved freely. The rules are tried in their order, longer
 sequences of a licence before its shorter ones; each takes every place where its
 sequence stands in what earlier rules have left, and identifiers that no rule takes are
-reported as left over.
+reported as left over, "All rights reserved." among them, which is no licence and stands in most licence files.
 
 Edge cases: null text has no sentences; a text of any length is scanned in one piece, in time in proportion to it; a licence that stands several times is reported
 once in `licenses` and counted in `n_matches`; rows repeat as they are; an empty table
@@ -80,6 +81,31 @@ SENTENCES = {
     "isc-warranty": ["THE SOFTWARE IS PROVIDED \"AS IS\" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS."],
     "unlicense-short": ["This is free and unencumbered software released into the public domain."],
     "unlicense-grant": ["Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means."],
+    "gnu-only-2": ["version 2 of the License."],
+    "gpl2-only-terms": ["you can redistribute it and/or modify it under the terms of the GNU General Public License version 2 as published by the Free Software Foundation.", "you can redistribute it and/or modify it under the terms of the GNU General Public License, version 2, as published by the Free Software Foundation."],
+    "agpl-free": ["This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."],
+    "agpl-see": ["See the GNU Affero General Public License for more details."],
+    "agpl3-title": ["GNU AFFERO GENERAL PUBLIC LICENSE Version 3, 19 November 2007"],
+    "agpl3-preamble": ["The GNU Affero General Public License is a free, copyleft license for software and other kinds of works, specifically designed to ensure cooperation with the community in the case of network server software."],
+    "agpl3-short": ["Licensed under the GNU Affero General Public License, version 3.", "SPDX-License-Identifier: AGPL-3.0-only"],
+    "lgpl21-title": ["GNU LESSER GENERAL PUBLIC LICENSE Version 2.1, February 1999"],
+    "lgpl21-short": ["Licensed under the GNU Lesser General Public License, version 2.1.", "SPDX-License-Identifier: LGPL-2.1-only"],
+    "epl-notice": ["This program and the accompanying materials are made available under the terms of the Eclipse Public License v."],
+    "epl2-where": ["2.0 which is available at https://www.eclipse.org/legal/epl-2.0.", "2.0 which is available at http://www.eclipse.org/legal/epl-2.0."],
+    "epl2-short": ["This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at https://www.eclipse.org/legal/epl-2.0/", "Licensed under the Eclipse Public License 2.0.", "SPDX-License-Identifier: EPL-2.0"],
+    "epl2-title": ["Eclipse Public License - v 2.0"],
+    "zlib-as-is": ["This software is provided 'as-is', without any express or implied warranty."],
+    "zlib-grant": ["Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions:"],
+    "bsl1-title": ["Boost Software License - Version 1.0 - August 17th, 2003"],
+    "bsl1-grant": ["Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license (the \"Software\") to use, reproduce, display, distribute, execute, and transmit the Software, and to prepare derivative works of the Software, and to permit third-parties to whom the Software is furnished to do so, all subject to the following:"],
+    "bsl1-short": ["Distributed under the Boost Software License, Version 1.0.", "SPDX-License-Identifier: BSL-1.0"],
+    "artistic2-title": ["The Artistic License 2.0"],
+    "artistic2-purpose": ["This license establishes the terms under which a given free software Package may be copied, modified, distributed, and/or redistributed."],
+    "cddl1-title": ["COMMON DEVELOPMENT AND DISTRIBUTION LICENSE (CDDL) Version 1.0"],
+    "cddl-notice": ["The contents of this file are subject to the terms of the Common Development and Distribution License (the \"License\")."],
+    "ofl-short": ["This Font Software is licensed under the SIL Open Font License, Version 1.1.", "SPDX-License-Identifier: OFL-1.1"],
+    "ofl-title": ["SIL OPEN FONT LICENSE Version 1.1 - 26 February 2007"],
+    "ofl-grant": ["Permission is hereby granted, free of charge, to any person obtaining a copy of the Font Software, to use, study, copy, merge, embed, modify, redistribute, and sell modified and unmodified copies of the Font Software, subject to the following conditions:"],
     "reserved": ["All rights reserved."],
 }
 
@@ -99,16 +125,29 @@ RULES = [
     ("GPL-3.0", ["gpl3-title", "gnu-verbatim", "gpl3-preamble"]),
     ("GPL-2.0", ["gpl2-title", "gnu-verbatim", "gpl2-preamble"]),
     ("LGPL-3.0", ["lgpl3-title", "gnu-verbatim"]),
+    ("LGPL-2.1", ["lgpl21-title", "gnu-verbatim", "gpl2-preamble"]),
+    ("LGPL-2.1", ["lgpl21-title", "gnu-verbatim"]),
+    ("AGPL-3.0", ["agpl3-title", "gnu-verbatim", "agpl3-preamble"]),
+    ("AGPL-3.0", ["agpl3-title", "gnu-verbatim"]),
+    ("AGPL-3.0-or-later", ["agpl-free", "gpl-warranty", "gpl-fitness", "agpl-see"]),
+    ("AGPL-3.0-or-later", ["agpl-free", "gpl-warranty"]),
+    ("AGPL-3.0-or-later", ["agpl-free"]),
     ("GPL-3.0-or-later", ["gpl-free", "gpl-warranty", "gpl-fitness", "gpl-see"]),
     ("GPL-3.0-or-later", ["gpl-free", "gpl-warranty"]),
     ("GPL-3.0-or-later", ["gpl-free"]),
     ("GPL-2.0-or-later", ["gnu-program", "gpl-terms", "gnu-version-2", "gpl-warranty", "gpl-fitness", "gpl-see"]),
     ("GPL-2.0-or-later", ["gnu-program", "gpl-terms", "gnu-version-2"]),
+    ("GPL-2.0-only", ["gnu-program", "gpl-terms", "gnu-only-2", "gpl-warranty", "gpl-fitness", "gpl-see"]),
+    ("GPL-2.0-only", ["gnu-program", "gpl-terms", "gnu-only-2"]),
+    ("GPL-2.0-only", ["gnu-program", "gpl2-only-terms", "gpl-warranty", "gpl-fitness", "gpl-see"]),
+    ("GPL-2.0-only", ["gnu-program", "gpl2-only-terms"]),
     ("LGPL-2.1-or-later", ["gnu-library", "lgpl-terms", "gnu-version-2.1", "gpl-warranty", "gpl-fitness", "lgpl-see"]),
     ("LGPL-2.1-or-later", ["gnu-library", "lgpl-terms", "gnu-version-2.1"]),
     ("GPL-3.0", ["gpl3-short"]),
     ("GPL-2.0", ["gpl2-short"]),
     ("LGPL-3.0", ["lgpl3-short"]),
+    ("LGPL-2.1", ["lgpl21-short"]),
+    ("AGPL-3.0", ["agpl3-short"]),
     ("BSD-3-Clause", ["bsd-redistribute", "bsd-source", "bsd-binary", "bsd-endorse", "bsd-warranty"]),
     ("BSD-3-Clause", ["bsd-redistribute", "bsd-source", "bsd-binary", "bsd-endorse"]),
     ("BSD-2-Clause", ["bsd-redistribute", "bsd-source", "bsd-binary", "bsd-warranty"]),
@@ -127,11 +166,29 @@ RULES = [
     ("ISC", ["isc-grant"]),
     ("Unlicense", ["unlicense-short", "unlicense-grant"]),
     ("Unlicense", ["unlicense-short"]),
-    ("Proprietary", ["reserved"]),
+    ("EPL-2.0", ["epl-notice", "epl2-where"]),
+    ("EPL-2.0", ["epl2-short"]),
+    ("EPL-2.0", ["epl2-title"]),
+    ("Zlib", ["zlib-as-is", "zlib-grant"]),
+    ("Zlib", ["zlib-grant"]),
+    ("BSL-1.0", ["bsl1-title", "bsl1-grant"]),
+    ("BSL-1.0", ["bsl1-grant"]),
+    ("BSL-1.0", ["bsl1-short"]),
+    ("Artistic-2.0", ["artistic2-title", "gnu-verbatim", "artistic2-purpose"]),
+    ("Artistic-2.0", ["artistic2-purpose"]),
+    ("CDDL-1.0", ["cddl1-title"]),
+    ("CDDL", ["cddl-notice"]),
+    ("OFL-1.1", ["ofl-short", "ofl-title", "ofl-grant"]),
+    ("OFL-1.1", ["ofl-title", "ofl-grant"]),
+    ("OFL-1.1", ["ofl-short"]),
+    ("OFL-1.1", ["ofl-grant"]),
 ]
 
 _PARTS = re.compile(rb"([\n\r]+)|(?<=[.!?;])[\x20\t\x0b\x0c]+")  # group 1: a line end
 _CUT = re.compile(rb"[\n\r]+|(?<=[.!?;])[\x20\t\x0b\x0c]+")
+_TAG = re.compile(rb"</?[a-zA-Z][^<>]{0,500}>")
+LEADER = 6  # words that may come before a sentence: a label ("License:"), a subject ("This file is"), a number
+_DENIED = {b"not", b"never", b"no", b"isnt", b"cannot", b"without"}
 _DROP = b"\"'()[]"
 _LOWER = bytes(range(256)).lower()
 _REST = re.compile(rb"(?:(?!(?<=[0-9])\.(?=[0-9]))[^a-z0-9+])+")
@@ -153,9 +210,24 @@ class Scanner:
         # a cheap test that loses nothing: the first word of each known sentence, followed by its second, in the text
         # as it is before runs of other characters become spaces
         starts = {b" ".join(k.split()[:2]) for k in self.known}
+        self.starts = starts
         self.start = re.compile(b"|".join(rb"[^a-z0-9+]+".join(map(re.escape, s.split())) for s in sorted(starts)))
 
+    def begins(self, part: bytes) -> Iterator[bytes]:
+        """The part itself, then what is left of it after up to LEADER words, as far as these don't deny it."""
+        yield part
+        rest = part
+        for _ in range(LEADER):
+            word, _, rest = rest.partition(b" ")
+            if not rest or word in _DENIED:
+                return
+            two = rest.split(b" ", 2)[:2]
+            if (two[0] in self.begun) if len(two) == 1 else b" ".join(two) in self.starts:
+                yield rest
+
     def identifiers(self, text: bytes) -> list[str]:
+        if b"<" in text:
+            text = _TAG.sub(b"\n", text)
         if not self.start.search(text.translate(_LOWER, _DROP)):
             return []
         out = []
@@ -168,14 +240,17 @@ class Scanner:
                 at_line_end.append(line_end is not None)
         at = 0
         while at < len(parts):
-            joined, end, name, after = parts[at], at + 1, self.known.get(parts[at]), at + 1
-            while joined in self.begun and at_line_end[end - 1] and end < len(parts):
-                joined = joined + b" " + parts[end]
-                end += 1
-                if joined in self.known:
-                    name, after = self.known[joined], end
-            if name is not None:
-                out.append(name)
+            after = at + 1
+            for begin in self.begins(parts[at]):
+                joined, end, name = begin, at + 1, self.known.get(begin)
+                while joined in self.begun and at_line_end[end - 1] and end < len(parts):
+                    joined = joined + b" " + parts[end]
+                    end += 1
+                    if joined in self.known:
+                        name, after = self.known[joined], end
+                if name is not None:
+                    out.append(name)
+                    break
             at = after
         return out
 
