@@ -6,7 +6,8 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from corpusloom.operators import cells, cite, filters, retrieval, select
-from corpusloom.plans import agent, dispatch, inputs
+from corpusloom.sources import tables
+from corpusloom.plans import agent, dispatch, inputs, probes, runs
 from corpusloom.plans.inputs import QUERY_WORDS, SQL_DOCS, SQL_MANIFEST, SQL_TOKENS, docs, manifest, table
 
 Q: dict = {}
@@ -529,6 +530,34 @@ def _(s, d):
     return by_system(s, d, ("B1", "B3"), floor=-10.0).select("system", "query_id", "outcome", "language", "answer_text", "cited_documents", "limitations", "reason")
 
 
+def run_cases(s, d, systems, withheld=False):
+    """The questions of all routes as cases whose gold is the document that they are made of, through the loop into a table of runs."""
+    asked = route_questions(s, d)
+    gold = docs(s, d).select(F.col("doc_id").alias("query_id"), F.array("document").alias("gold"), "volume_id", "document_id")
+    cases = asked.join(gold, "query_id").select(F.col("query_id").alias("case_id"), "question", F.lit("route").alias("kind"), F.col("route").alias("expected_route"), "gold", "volume_id", "document_id")
+    tools = dispatcher(s, d)
+    tools.withheld = cases.select("volume_id", "document_id") if withheld else None
+
+    def ask(questions, system):
+        return agent.ask(questions, tools, _quoting, tools.manifest, agent.SYSTEMS[system], focus=False)
+
+    mark = runs.fingerprint(inputs.index(s, d, "text"), withheld=withheld, top_k=tools.top_k, per_hop=tools.per_hop)
+    return runs.sweep(cases, systems, ask, tables.scratch(s, "runs"), mark, units=1)
+
+
+_GOLD_IN = "CASE WHEN list_contains(string_split(coalesce({}, ''), ' '), docs.document) THEN CAST(1 AS DOUBLE) ELSE CAST(0 AS DOUBLE) END"
+
+
+@query("n15_runs", SQL_SYSTEMS.replace("SELECT system, query_id, CASE", "SELECT system, query_id AS case_id, asked.route AS expected_route, CASE").replace("coalesce(retrieved, '') AS retrieved, coalesce(cited, '') AS cited", f"{_GOLD_IN.format('retrieved')} AS union_recall, {_GOLD_IN.format('cited')} AS citation_recall").replace("FROM asked CROSS JOIN", "FROM asked JOIN docs ON docs.doc_id = asked.query_id CROSS JOIN"))
+def _(s, d):
+    return run_cases(s, d, ["B0", "B0-2step"]).select("system", "case_id", "expected_route", "outcome", "union_recall", "citation_recall")
+
+
+@query("n15_p1_runs")
+def _(s, d):
+    return probes.p1(run_cases(s, d, ["B0-2step"], withheld=True).withColumn("leaked", F.col("union_recall") > 0))
+
+
 # the remaining joins
 
 
