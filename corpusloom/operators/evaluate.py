@@ -5,9 +5,12 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import reduce
 
+from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from corpusloom.sources import tables
+
 LABELS = ["simple", "lookup", "timeline", "complex", "status"]
 
 
@@ -34,14 +37,31 @@ def floor_rank(q: float) -> Callable[[Column], Column]:
     return lambda n: F.least(n - 1, F.floor(F.lit(q) * n))
 
 
-def values_at(rows: DataFrame, by: list[str], value: Column, ranks: dict[str, Callable[[Column], Column]]) -> DataFrame:
-    """For each group with values: the values at the ranks. Equal values are counted before they meet, and no group is
-    gathered in a row."""
-    counts = rows.select(*by, value.alias("__v")).where("__v is not null").groupBy(*by, "__v").agg(F.count("*").alias("__c"))
-    group = Window.partitionBy(*by)
-    counts = counts.withColumn("__to", F.sum("__c").over(group.orderBy("__v").rowsBetween(Window.unboundedPreceding, Window.currentRow))).withColumn("__n", F.sum("__c").over(group))
-    at = lambda r: F.max(F.when((r(F.col("__n")) < F.col("__to")) & (r(F.col("__n")) >= F.col("__to") - F.col("__c")), F.col("__v")))
-    return counts.groupBy(*by).agg(*(at(r).alias(name) for name, r in ranks.items()))
+BINS = 256  # ranges of values in the first pass of a selection
+
+
+def values_at(rows: DataFrame, by: list[str], value: Column, ranks: dict[str, Callable[[Column], Column]], weight: Column | None = None) -> DataFrame:
+    """For each group with values: the values at the ranks, by two passes over the counts of different values. The first adds the counts up by range of values (edges are quantiles
+    over all groups, `BINS` numbers), which tells the range that each rank is in; the second orders the values of these ranges only. No
+    window holds a whole group. weight: how often a row counts."""
+    one = F.lit(1).cast("long") if weight is None else weight
+    counts = rows.select(*by, value.alias("__v"), one.alias("__w")).where("__v is not null and __w > 0").groupBy(*by, "__v").agg(F.sum("__w").alias("__c"))
+    counts = tables.kept(counts.withColumn("__key", F.to_json(F.struct(F.lit(0), *by), {"ignoreNullFields": "false"})), "values")
+    as_double = F.col("__v").cast("double")
+    edges = counts.agg(F.percentile_approx(F.when(~F.isnan(as_double), as_double), [k / BINS for k in range(1, BINS)], 10 * BINS)).first()[0] or []
+    inner = sorted({x for x in edges if abs(x) != float("inf")}) or [0.0]
+    ranges = Bucketizer(splits=[float("-inf"), *inner, float("inf")], inputCol="__d", outputCol="__bin", handleInvalid="keep")  # NaN comes last, as it sorts
+    counts = ranges.transform(counts.withColumn("__d", as_double)).drop("__d")
+    sums = counts.groupBy("__key", "__bin").agg(F.sum("__c").alias("__s"), *(F.first(c).alias(c) for c in by))
+    before = F.coalesce(F.sum("__s").over(Window.partitionBy("__key").orderBy("__bin").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    sums = sums.withColumn("__before", before).withColumn("__n", F.sum("__s").over(Window.partitionBy("__key")))
+    wanted = F.explode(F.array(*(F.struct(F.lit(name).alias("__name"), r(F.col("__n")).cast("long").alias("__rank")) for name, r in ranks.items())))
+    found = sums.select("__key", "__bin", "__before", "__s", wanted.alias("__r")).select("__key", "__bin", "__before", "__s", "__r.*").where("__rank >= __before and __rank < __before + __s")
+    near = counts.select("__key", "__bin", "__v", "__c").join(found, ["__key", "__bin"])
+    upto = F.col("__before") + F.sum("__c").over(Window.partitionBy("__key", "__bin", "__name").orderBy("__v").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    per = near.withColumn("__to", upto).where("__rank < __to").groupBy("__key").agg(*(F.min(F.when(F.col("__name") == name, F.col("__v"))).alias(name) for name in ranks))
+    groups = sums.groupBy("__key").agg(*(F.first(c).alias(c) for c in by))
+    return groups.join(per, "__key").select(*by, *ranks)
 
 
 def _beside(left: DataFrame, right: DataFrame, by: list[str]) -> DataFrame:
@@ -142,15 +162,18 @@ def route_stability(runs: DataFrame) -> DataFrame:
 def separation(rows: DataFrame) -> DataFrame:
     """Quantiles and means of gold and other scores, and the floors that keep 100, 95 and 90 % of gold with the share of all
     rows they keep (G-19), overall, by language, by kind, and by both, in one pass over grouping sets."""
-    rows = rows.where("score is not null")
-    sliced = rows.withColumn("s", F.explode(F.array(*(F.struct(language.alias("slice_language"), kind.alias("slice_kind")) for language in (F.lit("*"), F.col("language")) for kind in (F.lit("*"), F.col("kind")))))).select("s.*", "score", "is_gold")
-    gold, other = F.when(F.col("is_gold"), F.col("score")), F.when(~F.col("is_gold"), F.col("score"))
+    gold = F.count_if("is_gold")
+    base = rows.where("score is not null").groupBy("language", "kind", "score").agg(F.count("*").alias("n"), gold.alias("n_gold"))  # what the slices are added up from
+    slices = F.explode(F.array(*(F.struct(language.alias("slice_language"), kind.alias("slice_kind")) for language in (F.lit("*"), F.col("language")) for kind in (F.lit("*"), F.col("kind")))))
     by = ["slice_language", "slice_kind"]
-    per = sliced.groupBy(*by).agg(F.count("*").alias("n"), F.count(gold).alias("n_gold"), (F.round(F.avg(gold), 6) + 0.0).alias("mean_gold"), (F.round(F.avg(other), 6) + 0.0).alias("mean_other"))
+    sliced = base.withColumn("s", slices).groupBy("s.slice_language", "s.slice_kind", "score").agg(F.sum("n").alias("n"), F.sum("n_gold").alias("n_gold"))
+    sliced = tables.kept(sliced, "slices")
+    mean = lambda w: F.round(F.sum(F.when(w > 0, F.col("score") * w)) / F.nullif(F.sum(w), F.lit(0)), 6) + 0.0
+    per = sliced.groupBy(*by).agg(F.sum("n").alias("n"), F.sum("n_gold").alias("n_gold"), mean(F.col("n_gold")).alias("mean_gold"), mean(F.col("n") - F.col("n_gold")).alias("mean_other"))
     ranks = {f"gold_p{int(q * 100)}": floor_rank(q) for q in (0.05, 0.25, 0.5, 0.75, 0.95)} | {f"floor_{keep}": floor_rank(1 - keep / 100) for keep in (100, 95, 90)}
-    per = _beside(per, values_at(sliced, by, gold, ranks), by)
+    per = _beside(per, values_at(sliced, by, F.col("score"), ranks, F.col("n_gold")), by)
     floors = per.select(*by, *(f"floor_{k}" for k in (100, 95, 90)))
-    over = _beside(sliced.select(*by, "score"), floors, by).groupBy(*by).agg(*(F.count_if(F.col("score") >= F.col(f"floor_{k}")).alias(f"over_{k}") for k in (100, 95, 90)))
+    over = _beside(sliced.select(*by, "score", F.col("n").alias("w")), floors, by).groupBy(*by).agg(*(F.sum(F.when(F.col("score") >= F.col(f"floor_{k}"), F.col("w")).otherwise(0)).alias(f"over_{k}") for k in (100, 95, 90)))
     per = _beside(per, over, by)
     return per.withColumns({f"kept_{k}": F.when(F.col("n_gold") > 0, F.round(F.col(f"over_{k}") / F.col("n"), 6)) for k in (100, 95, 90)}).drop("over_100", "over_95", "over_90")
 
