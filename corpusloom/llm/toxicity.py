@@ -43,7 +43,7 @@ from corpusloom.llm.common import alone, bytes_of, drop, keep, table
 
 SAMPLE, SAMPLE_BYTES = 3000, 24_000_000  # texts of each class, and bytes of both, that the dictionaries are trained on
 BASE, OWN = 32_768, 8_192  # bytes of the shared base and of either class's own part at most
-LEVEL, WORDS, LONGEST = 12, 8, 256
+LEVEL, WORDS, LONGEST = 12, 6, 256
 LOW, HIGH = -4, 7  # differences beyond these count as these
 AT_ONCE = 200_000  # windows compressed in one call
 FEATURES = ("total", "mean", "top")
