@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from corpusloom.functions import text
 from corpusloom.operators import chunks
 from corpusloom.plans import plugs, probes
 from corpusloom.plans.catalog_eval import _TITLES, R
-from corpusloom.plans.catalog_rank import SQL_GOLD, SQL_QUESTIONS, body_hits, gold, sql_bm25
+from corpusloom.plans.catalog_rank import SQL_GOLD, SQL_HOPS, SQL_QUESTIONS, body_hits, gold, route_questions, sql_bm25
+from corpusloom.plans.catalog_text import Q as TEXT_Q
 from corpusloom.plans.inputs import SQL_DOCS, SQL_MANIFEST, docs, manifest, runs, table
 
 Q: dict = {}
@@ -120,11 +122,18 @@ def _(s, d):
     return probes.p7(runs(s, d).select(F.when(k % 2 == 0, "unpublished").otherwise("false_premise").alias("kind"), "outcome", answer.alias("answer"), F.lit("1962-10-22").alias("true_date")))
 
 
-@query("n15_probe_p8", "SELECT CAST(1 AS DOUBLE) AS accuracy, CAST(1 AS DOUBLE) AS consistency, CAST(0.85 AS DOUBLE) AS held_out, true AS passed")
-def _(s, d):
-    from corpusloom.functions import text
+_ROUTED = TEXT_Q["sc9_route"][1]
+_ROUTED = _ROUTED[_ROUTED.index("CASE") : _ROUTED.index(" AS route FROM")]
+
 
-    return probes.p8(probes.routed(s).withColumn("actual_route", text.route(F.col("question_en"))), 0.85)
+@query("n15_probe_p8", f"""{D}, {SQL_HOPS}, r AS (SELECT query_id, route AS expected, {_ROUTED} AS actual FROM (SELECT *, lower(question) AS q FROM asked)),
+p AS (SELECT expected, count(*) AS n, sum(CASE WHEN actual = expected THEN 1 ELSE 0 END) AS hits, count(DISTINCT actual) AS ways FROM r WHERE query_id % 4 > 0 GROUP BY expected),
+x AS (SELECT sum(hits) / sum(n) AS a, avg(CASE WHEN ways = 1 THEN 1.0 ELSE 0.0 END) AS c FROM p), h AS (SELECT avg(CASE WHEN actual = expected THEN 1.0 ELSE 0.0 END) AS h FROM r WHERE query_id % 4 = 0)
+SELECT CAST(round(a, 3) AS DOUBLE) AS accuracy, CAST(round(c, 3) AS DOUBLE) AS consistency, CAST(round(h, 3) AS DOUBLE) AS held_out, coalesce(a >= 0.8 AND c = 1 AND h >= 0.8, false) AS passed FROM x CROSS JOIN h""")
+def _(s, d):
+    """Questions of every route from the tables; every fourth is held out."""
+    rows = route_questions(s, d).select("query_id", F.col("route").alias("expected_route"), text.route(F.col("question")).alias("actual_route"))
+    return probes.p8(rows.where("query_id % 4 > 0"), rows.where("query_id % 4 = 0"))
 
 
 @query("n15_probe_p9", D + """, k AS (SELECT *, row_number() OVER (PARTITION BY volume_id ORDER BY date_from, document) AS k, count(*) OVER (PARTITION BY volume_id) AS n FROM docs WHERE date_from <> ''),

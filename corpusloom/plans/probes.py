@@ -200,12 +200,14 @@ def p7(runs: DataFrame) -> DataFrame:
     return runs.agg(at("unpublished").alias("unpublished"), at("false_premise").alias("false_premise"), ((F.coalesce(at("unpublished"), F.lit(0.0)) >= 0.9) & (F.coalesce(at("false_premise"), F.lit(0.0)) >= 0.5)).alias("passed"))
 
 
-def p8(runs: DataFrame, held_out: float | None) -> DataFrame:
-    """runs: expected_route, actual_route. Consistent: all wordings of a route go one way. held_out: accuracy on questions that nothing was
-    tuned on; without it the probe doesn't pass."""
-    per = runs.groupBy("expected_route").agg(F.count("*").alias("n"), F.count_if(F.col("actual_route") == F.col("expected_route")).alias("hits"), F.count_distinct("actual_route").alias("ways"))
+def p8(runs: DataFrame, held_out: DataFrame) -> DataFrame:
+    """runs: expected_route, actual_route. Consistent: all wordings of a route go one way. held_out: the same of questions that nothing was
+    tuned on; without any the probe doesn't pass."""
+    hit = (F.col("actual_route") == F.col("expected_route")).cast("int")
+    per = runs.groupBy("expected_route").agg(F.count("*").alias("n"), F.sum(hit).alias("hits"), F.count_distinct("actual_route").alias("ways"))
     accuracy, one_way = F.sum("hits") / F.sum("n"), F.avg((F.col("ways") == 1).cast("double"))
-    return per.agg(F.round(accuracy, 3).alias("accuracy"), F.round(one_way, 3).alias("consistency"), F.lit(held_out).cast("double").alias("held_out"), ((accuracy >= 0.8) & (one_way == 1) & F.lit((held_out or 0) >= 0.8)).alias("passed"))
+    out = per.agg(accuracy.alias("a"), one_way.alias("c")).crossJoin(held_out.agg(F.avg(hit).alias("h")))  # one row each
+    return out.select(F.round("a", 3).alias("accuracy"), F.round("c", 3).alias("consistency"), F.round("h", 3).alias("held_out"), F.coalesce((F.col("a") >= 0.8) & (F.col("c") == 1) & (F.col("h") >= 0.8), F.lit(False)).alias("passed"))
 
 
 def p9(rows: DataFrame, cases: DataFrame) -> DataFrame:
