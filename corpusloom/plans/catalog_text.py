@@ -71,10 +71,11 @@ _TITLED = ["He met Adm. Stark in Rome. It went well.", "Amb. Winant left! \"So i
 
 
 #: Worked by hand: titles, initials and closing quotes.
-@query("sc5_titles", "SELECT * FROM (VALUES (0, 0, 'He met Adm. Stark in Rome.'), (0, 1, 'It went well.'), (1, 0, 'Amb. Winant left!'), (1, 1, '\"So it was.'), (1, 2, 'Then'), (2, 0, 'The Dept. Of war (no. 5) met J. Smith.'), (2, 1, 'Next [it] ended?'), (2, 2, 'Yes.'), (2, 3, 'Mr. Byrnes spoke.'), (3, 0, 'At 5 p.m.'), (3, 1, 'He left.'), (3, 2, 'No. 7 U.S. Forces')) t(chunk_id, idx, sentence)".replace("VALUES (0, 0", "VALUES (CAST(0 AS BIGINT), CAST(0 AS BIGINT)"))
+@query("sc5_titles", "WITH v AS (SELECT * FROM (VALUES (0, 0, 'He met Adm. Stark in Rome.'), (0, 1, 'It went well.'), (1, 0, 'Amb. Winant left!'), (1, 1, '\"So it was.'), (1, 2, 'Then'), (2, 0, 'The Dept. Of war (no. 5) met J. Smith.'), (2, 1, 'Next [it] ended?'), (2, 2, 'Yes.'), (2, 3, 'Mr. Byrnes spoke.'), (3, 0, 'At 5 p.m.'), (3, 1, 'He left.'), (3, 2, 'No. 7 U.S. Forces')) t(k, idx, sentence)) SELECT doc_id AS chunk_id, idx, sentence FROM documents JOIN v ON doc_id % 4 = k".replace("VALUES (0, 0", "VALUES (CAST(0 AS BIGINT), CAST(0 AS BIGINT)"))
 def _(s, d):
-    rows = s.createDataFrame(list(enumerate(_TITLED)), "chunk_id long, t string")
-    return chunks.sentence_rows(rows, text.sentences(F.col("t")))
+    """Each document is given one of the texts with titles, initials and brackets."""
+    said = F.element_at(F.array(*map(F.lit, _TITLED)), (F.col("doc_id") % 4 + 1).cast("int"))
+    return chunks.sentence_rows(table(s, d, "documents").select(F.col("doc_id").alias("chunk_id"), said.alias("t")), text.sentences(F.col("t")))
 
 
 @query("sc6_query_text", "SELECT item_id, trim(translate(text, '+-!(){}[]^\"~*?:\\/', repeat(' ', 18))) AS t FROM benchmark")
