@@ -8,7 +8,7 @@ from corpusloom.functions import text
 from corpusloom.operators import chunks, corpus, filters, select
 from corpusloom.plans import inputs
 from corpusloom.plans.inputs import SQL_DOCS, SQL_MANIFEST, docs, manifest, table
-from corpusloom.sources import pages, tables, volumes
+from corpusloom.sources import keyed, pages, tables, volumes
 from corpusloom.streaming import ingest
 
 Q: dict = {}
@@ -447,7 +447,10 @@ def _(s, d):
 def _(s, d):
     t = table(s, d, "documents").select("doc_id", "lang")
     new = t.where("doc_id % 3 = 0").unionByName(t.where("doc_id < 5").withColumn("doc_id", F.col("doc_id") + 1000000)).withColumn("lang", F.lit("new"))
-    return tables.upsert(t, new, "doc_id")
+    kept = keyed.KeyedTable(s, tables.scratch(s, "keyed"), "doc_id")
+    kept.upsert(t)
+    kept.upsert(new)
+    return kept.read(t.schema)
 
 
 @query("b5_replace_columns", "SELECT d.doc_id, CASE WHEN e.vec_id IS NULL THEN d.n_chars ELSE CAST(e.label AS BIGINT) END AS n_chars FROM documents d LEFT JOIN embeddings e ON e.vec_id = d.doc_id")
