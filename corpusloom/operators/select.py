@@ -5,14 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from corpusloom.sources import tables
+
 MARGIN = 4.3
 NEAR_BEST = 2.0
 
 
 def merge_hops(rows: DataFrame) -> DataFrame:
     """Rounds of evidence (query_id, id, hop, score, seen) as one list (W-2, U-1): an id once, with its best score and the hop
-    that saw it first; hops take turns, each by score, the hop of the best score first."""
-    one = rows.groupBy("query_id", "id").agg(F.max("score").alias("score"), F.min_by("hop", "seen").alias("hop"))
+    that saw it first; hops take turns, each by score, the hop of the best score first. Rows are written
+    first: Spark 4.1 takes a union of arms that are dealt alike as still dealt so when adaptive execution has rewritten them, and then groups
+    parts of a query apart; dealing them anew doesn't help, as it takes that for done."""
+    one = tables.kept(rows, "rounds").groupBy("query_id", "id").agg(F.max("score").alias("score"), F.min_by("hop", "seen").alias("hop"))
     one = one.withColumn("turn", F.row_number().over(Window.partitionBy("query_id", "hop").orderBy(F.col("score").desc(), "id")))
     one = one.withColumn("best", F.max("score").over(Window.partitionBy("query_id", "hop")))
     order = Window.partitionBy("query_id").orderBy("turn", F.col("best").desc(), "hop")
@@ -105,9 +109,9 @@ def attribute(pairs: DataFrame, top: int = 3, within: float = NEAR_BEST) -> Data
 
 
 def rejected_by_all(rejections: DataFrame, hops: DataFrame) -> DataFrame:
-    """Ids with whether every hop of their query rejects them, or only some (U-3)."""
+    """Ids with whether every hop of their query rejects them, or only some (U-3). Rejections are often a union; see `merge_hops`."""
     n = hops.groupBy("query_id").agg(F.count_distinct("hop").alias("n_hops"))
-    per = rejections.groupBy("query_id", "id").agg(F.count_distinct("hop").alias("n"))
+    per = tables.kept(rejections.select("query_id", "id", "hop"), "rejections").groupBy("query_id", "id").agg(F.count_distinct("hop").alias("n"))
     return per.join(n, "query_id").select("query_id", "id", (F.col("n") == F.col("n_hops")).alias("by_all"))
 
 

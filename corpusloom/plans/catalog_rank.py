@@ -333,7 +333,7 @@ SQL_REJECTED = TWO_ARMS + ", hh AS (SELECT DISTINCT query_id, hop FROM merged),
 
 
 def _rejected(s, d):
-    m = merged_hits(s, d)
+    m = tables.kept(merged_hits(s, d), "merged")  # four steps use it
     hops = m.select("query_id", "hop").distinct()
     own = m.where("id % 4 = 0").select("query_id", "id", "hop")
     other = m.where("id % 8 = 0").select("query_id", "id", F.col("hop").alias("o")).join(hops, "query_id").where("hop <> o").select("query_id", "id", "hop")
