@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.functions import text
 from corpusloom.operators.postings import B, K1, Index, bm25, ranked, read_index, write_index  # noqa: F401
+from corpusloom.sources import tables
 
 RRF_K = 60
 WEIGHTS = {"bm25": 1.0, "head": 1.0, "dense": 0.5}
@@ -83,13 +84,14 @@ def dense(queries: DataFrame, vectors: DataFrame, limit: int = 50, block: int =
 
 def fuse(arms: dict[str, DataFrame], top_k: int, weights: dict[str, float] | None = None, k: int = RRF_K) -> DataFrame:
     """Reciprocal rank fusion (R-7, JN-A): the sum of weight / (k + rank) over the arms; ties go to the arm named first,
-    then to the better rank in it. Ranks of each arm stay, null where a row is absent. One grouping, no outer join."""
+    then to the better rank in it. Ranks of each arm stay, null where a row is absent. One grouping, no outer join; the union is written first (see
+    `select.merge_hops`)."""
     weights = WEIGHTS | (weights or {})
     rows = None
     for place, (arm, hits) in enumerate(arms.items()):
         one = hits.select("query_id", "id", F.col("rank").alias("arm_rank"), F.lit(arm).alias("arm"), F.lit(place).alias("place"), F.lit(float(weights.get(arm, 1.0))).alias("weight"))
         rows = one if rows is None else rows.unionByName(one)
-    fused = rows.groupBy("query_id", "id").agg(
+    fused = tables.kept(rows, "arms").groupBy("query_id", "id").agg(
         F.sum(F.col("weight") / (k + F.col("arm_rank"))).alias("exact"), F.min(F.struct("place", "arm_rank")).alias("first"), *(F.max(F.when(F.col("arm") == a, F.col("arm_rank"))).alias(f"rank_{a}") for a in arms)
     )
     order = Window.partitionBy("query_id").orderBy(F.round("exact", 9).desc(), "first", "id")
@@ -106,11 +108,14 @@ def coverage(query, body):
 
 def rerank(hits: DataFrame, passages: DataFrame, queries: DataFrame, top_k: int, scorer: Callable | None = coverage, cut: int = 1800) -> DataFrame:
     """Rows scored against their query, best first (R-8, R-9, R-11, JN-B). hits: query_id, id, rank; passages: id, text. Without a
-    scorer, with one row, or with no more rows than top_k, a query's rows stay as they are with a null score. The
-    scorer sees only hits, which a top-k has cut before."""
+    scorer, with one row, or with no more rows than top_k, a query's rows stay as they are with a null score. Without a scorer
+    nobody reads texts, so hits of queries that have none stay, too. The scorer sees only hits, which a top-k has cut before."""
+    if scorer is None:
+        place = F.row_number().over(Window.partitionBy("query_id").orderBy("rank"))
+        return hits.withColumn("rerank_score", F.lit(None).cast("double")).withColumn("rank_rerank", place).where(F.col("rank_rerank") <= top_k).withColumn("rank_rerank", F.lit(None).cast("long"))
     n = F.count("*").over(Window.partitionBy("query_id"))
     rows = hits.withColumn("__n", n).join(passages.select("id", F.substring("text", 1, cut).alias("__text")), "id", "left").join(queries.select("query_id", F.col("query").alias("__query")), "query_id")
-    score = scorer(F.col("__query"), F.coalesce("__text", F.lit(""))) if scorer else F.lit(None).cast("double")
+    score = scorer(F.col("__query"), F.coalesce("__text", F.lit("")))
     rows = rows.withColumn("rerank_score", F.when((F.col("__n") > 1) & (F.col("__n") > top_k), score))
     order = Window.partitionBy("query_id").orderBy(F.col("rerank_score").desc_nulls_last(), "rank")
     rows = rows.withColumn("rank_rerank", F.row_number().over(order).cast("long")).where(F.col("rank_rerank") <= top_k)
