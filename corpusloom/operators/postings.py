@@ -20,9 +20,12 @@ no ties left: scores are compared at 6 decimals, then by id.
 from __future__ import annotations
 
 import math
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -32,6 +35,7 @@ from corpusloom.sources import tables
 K1, B = 1.2, 0.75
 SPAN = 1024  # documents of a span, a power of two
 BUCKET_DOCS, MOST_BUCKETS = 20_000, 4096  # documents for each bucket, were there no limit
+SLAB_DOCS = 1 << 20  # documents whose blocks of a bucket are sorted by one task
 LEAD = 8  # spans that give a query's threshold
 PUSHED = 5_000  # terms that are pushed to the scan as a list; beyond it the buckets are
 
@@ -56,28 +60,70 @@ def _bucket(buckets: int) -> Column:
     return F.pmod(F.xxhash64("term"), F.lit(buckets)).cast("int")
 
 
+def _span_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (span, id, tokens), spans one after the other, to a row for each term of a span: its postings as lists, by id."""
+    names = ["term", "span", "ids", "tfs", "dls"]
+
+    def made(rows: pa.Table) -> pa.RecordBatch:
+        rows = rows.take(pc.sort_indices(rows["id"])).combine_chunks()
+        lists = rows["tokens"].combine_chunks()
+        dl = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False).astype(np.int32)
+        words = lists.flatten().dictionary_encode()
+        keys = words.indices.to_numpy().astype(np.int64) * len(dl) + np.repeat(np.arange(len(dl)), dl)
+        keys, tf = np.unique(keys, return_counts=True)  # by term, then by document
+        doc = keys % len(dl)
+        at = np.searchsorted(keys, np.arange(len(words.dictionary) + 1, dtype=np.int64) * len(dl)).astype(np.int32)
+        lists = [pa.ListArray.from_arrays(pa.array(at), x) for x in (rows["id"].combine_chunks().take(pa.array(doc)), pa.array(tf.astype(np.int32)), pa.array(dl[doc]))]
+        return pa.RecordBatch.from_arrays([words.dictionary, pa.array(np.full(len(at) - 1, rows["span"][0].as_py(), np.int64)), *lists], names)
+
+    held: list[pa.Table] = []
+    for batch in batches:
+        spans = batch.column("span").to_numpy()
+        cuts = [0, *(np.flatnonzero(np.diff(spans)) + 1).tolist(), len(spans)]
+        for start, end in zip(cuts[:-1], cuts[1:], strict=True):
+            if end > start:
+                if held and held[0]["span"][0].as_py() != spans[start]:
+                    yield made(pa.concat_tables(held))
+                    held = []
+                held.append(pa.Table.from_batches([batch.slice(start, end - start)]))
+    if held:
+        yield made(pa.concat_tables(held))
+
+
 def write_index(docs: DataFrame, path: str, field: str = "text", id_col: str = "doc_id", span: int = SPAN) -> Index:
-    """The index of one field. Texts are read and cut into tokens once; what is shuffled is one row for each term of a document.
-    Blocks are dealt by ranges of (bucket, term, span), so no task holds all of a frequent term."""
+    """The index of one field. Texts are read and cut into tokens once. A span's documents follow each other in one task, which makes its blocks
+    without a shuffle; these are then shuffled once, as lists, by bucket and by `SLAB_DOCS` documents. Both numbers grow with the
+    documents, so that a task gets the blocks of as many postings whatever the size, and no task all of a frequent term."""
     spark = docs.sparkSession
     n = docs.count()
     buckets = min(MOST_BUCKETS, 2 ** max(3, math.ceil(math.log2(max(1, n / BUCKET_DOCS)))))
+    slabs = max(1, math.ceil(n / SLAB_DOCS))
     nth = F.shiftright(F.monotonically_increasing_id(), int(math.log2(span)))
-    tokens = docs.select(F.col(id_col).alias("id"), nth.alias("span"), text.tokens(F.col(field)).alias("tokens")).select("id", "span", F.size("tokens").cast("long").alias("dl"), "tokens")
-    postings = tokens.select("id", "span", "dl", F.explode("tokens").alias("term")).groupBy("term", "span", "id", "dl").agg(F.count("*").alias("tf"))
-    blocks = postings.groupBy("term", "span").agg(
-        F.count("*").alias("n"), F.max("tf").alias("top_tf"), F.min("dl").alias("least_dl"), F.array_sort(F.collect_list(F.struct("id", "tf", "dl"))).alias("postings")  # `span` of them at most
-    ).withColumn("bucket", _bucket(buckets))
-    order = ["bucket", "term", "span"]
-    blocks.repartitionByRange(*order).sortWithinPartitions(*order).write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/blocks")
+    tokens = docs.select(nth.alias("span"), F.col(id_col).alias("id"), text.tokens(F.col(field)).alias("tokens"))
+    kind = tokens.schema["id"].dataType.simpleString()
+    lists = tokens.mapInArrow(_span_blocks, f"term string, span long, ids array<{kind}>, tfs array<int>, dls array<int>").withColumn("bucket", _bucket(buckets))
+    dealt = lists.repartitionById(buckets * slabs, (F.col("bucket") * slabs + F.pmod(F.xxhash64("span"), F.lit(slabs))).cast("int")).sortWithinPartitions("bucket", "term", "span")
+    postings = F.arrays_zip(F.col("ids").alias("id"), F.col("tfs").alias("tf"), F.col("dls").alias("dl")).cast(f"array<struct<id: {kind}, tf: bigint, dl: bigint>>")  # `span` of them at most
+    long = lambda c: c.cast("long")
+    blocks = dealt.select("term", "span", long(F.size("ids")).alias("n"), long(F.array_max("tfs")).alias("top_tf"), long(F.array_min("dls")).alias("least_dl"), postings.alias("postings"), "bucket")
+    blocks.write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/blocks")
     written = spark.read.schema(blocks.schema).parquet(f"{path}/blocks")
-    frequencies = written.groupBy("bucket", "term").agg(F.sum("n").alias("df"))
-    frequencies.repartitionByRange("bucket", "term").sortWithinPartitions("bucket", "term").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/frequencies")
-    total = written.agg(F.sum(F.aggregate("postings", F.lit(0).cast("long"), lambda a, p: a + p["tf"])).alias("tokens"))
+    frequencies = written.select("bucket", "term", "n").repartitionById(buckets, "bucket").groupBy("bucket", "term").agg(F.sum("n").alias("df"))
+    frequencies.sortWithinPartitions("bucket", "term").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/frequencies")
+    total = written.agg(F.sum(_sum(F.col("postings.tf"))).alias("tokens"))
     total.select(F.lit(n).cast("long").alias("n"), F.coalesce("tokens", F.lit(0).cast("long")).alias("tokens"), F.lit(buckets).alias("buckets")).write.mode("overwrite").parquet(f"{path}/stats")
     return read_index(spark, path)
 
 
+def _sum(numbers: Column) -> Column:
+    return F.aggregate(numbers, F.lit(0).cast("long"), lambda a, x: a + x)
+
+
+def read_vocabulary(index: Index) -> DataFrame:
+    """term, df, n (occurrences) of every term, from its blocks."""
+    return index.blocks.groupBy("bucket", "term").agg(F.sum("n").alias("df"), F.sum(_sum(F.col("postings.tf"))).alias("n")).select("term", "df", "n")
+
+
 def read_index(spark: SparkSession, path: str) -> Index:
     stats = spark.read.parquet(f"{path}/stats").first()
     kept = {name: spark.read.parquet(f"{path}/{name}") for name in ("blocks", "frequencies")} if stats.tokens else {

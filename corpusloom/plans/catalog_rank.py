@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from corpusloom.operators import cells, cite, filters, retrieval, select
+from corpusloom.operators import cells, cite, filters, postings, retrieval, select
 from corpusloom.sources import tables
 from corpusloom.plans import agent, dispatch, inputs, probes, runs
 from corpusloom.plans.inputs import QUERY_WORDS, SQL_DOCS, SQL_MANIFEST, SQL_TOKENS, docs, manifest, table
@@ -90,8 +90,7 @@ _TOK = SQL_TOKENS.format("text")
 
 @query("r1_index", f"{D}, t AS (SELECT doc_id AS id, unnest({_TOK}) AS term FROM docs), p AS (SELECT term, id, count(*) AS tf FROM t GROUP BY term, id) SELECT term, count(*) AS df, CAST(sum(tf) AS BIGINT) AS n FROM p GROUP BY term")
 def _(s, d):
-    i = inputs.index(s, d, "text")
-    return i.postings.groupBy("term").agg(F.sum("tf").alias("n")).join(i.frequencies, "term").select("term", "df", "n")
+    return postings.read_vocabulary(inputs.index(s, d, "text"))
 
 
 @query("r3_head_search", f"{D}, {SQL_QUESTIONS}, {H50} SELECT * FROM headhits")
@@ -469,11 +468,12 @@ def route_hops(s, d):
 
 
 def dispatcher(s, d):
-    rows, index = passages(s, d), inputs.index(s, d, "text")
+    rows = passages(s, d)
     numbers = rows.select("id", "doc_id")
 
     def search(queries, allowed, limit):
         some = allowed.join(numbers, "id").drop("id").withColumnRenamed("doc_id", "id")
+        index = inputs.index(s, d, "text")  # made when something is first searched; a status asks the manifest alone
         return retrieval.bm25(queries, index, limit, some).withColumnRenamed("id", "doc_id").join(numbers, "doc_id").select("query_id", "id", "score", "rank")
 
     return dispatch.Dispatcher(search, rows.drop("doc_id"), manifest(s, d))

@@ -101,3 +101,20 @@ def test_empty(spark, tmp_path):
     assert p.bm25(spark.createDataFrame([(1, "a b")], "query_id long, query string"), index).count() == 0
     index = p.write_index(spark.createDataFrame([("x", "a"), ("y", "a a b"), ("z", None)], "doc_id string, text string"), str(tmp_path / "b"))
     assert [r.id for r in p.bm25(spark.createDataFrame([(1, "a b")], "query_id long, query string"), index).orderBy("rank").collect()] == ["y", "x"]
+
+
+def test_spans_and_slabs(spark, tmp_path, monkeypatch):
+    """A span's blocks are made where its documents are, in batches of any size, and are dealt to more tasks as documents grow."""
+    monkeypatch.setattr(p, "SLAB_DOCS", 400)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7)
+    try:
+        docs = corpus(1500, 2)
+        index = p.write_index(spark.createDataFrame(docs[::-1], "doc_id long, text string").repartition(3), str(tmp_path), span=16)
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    bags = {i: Counter((t or "").lower().split()) for i, t in docs}
+    assert sorted(map(tuple, index.postings.collect())) == sorted((w, i, k, b.total()) for i, b in bags.items() for w, k in b.items())
+    assert all([x.id for x in r.postings] == sorted(x.id for x in r.postings) and (r.n, r.top_tf, r.least_dl) == (len(r.postings), max(x.tf for x in r.postings), min(x.dl for x in r.postings)) for r in index.blocks.collect())
+    assert {r.term: (r.df, r.n) for r in p.read_vocabulary(index).collect()} == {w: (sum(w in b for b in bags.values()), k) for w, k in sum(bags.values(), Counter()).items()}
+    assert max(len([r for r in rows]) for rows in [index.blocks.where(f"bucket = {k}").select(F.input_file_name()).distinct().collect() for k in range(index.buckets)]) > 1
+    assert rows(p.bm25(spark.createDataFrame(QUERIES, "query_id long, query string"), index, 5)) == plain(docs, QUERIES, 5)

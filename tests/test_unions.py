@@ -32,3 +32,13 @@ def test_hits_without_a_question_stay_without_a_model(spark):
     asked, passages = spark.createDataFrame([(1, "a")], "query_id long, query string"), spark.createDataFrame([(11, "a")], "id long, text string")
     rows = retrieval.rerank(hits, passages, asked, 2, scorer=None).select("query_id", "id", "rank", "rerank_score", "rank_rerank").collect()
     assert sorted(map(tuple, rows)) == [(1, 11, 1, None, None), (1, 12, 2, None, None), (2, 21, 1, None, None), (2, 22, 2, None, None)]
+
+
+def test_a_status_needs_no_index(spark, data, monkeypatch):
+    from corpusloom.plans import catalog_rank, inputs
+
+    def never(*_):
+        raise AssertionError("a status reads the manifest alone")
+
+    monkeypatch.setattr(inputs, "index", never)
+    assert catalog_rank.Q["n3_status"][0](spark, data).count() > 0
