@@ -30,18 +30,24 @@ def chunk(docs: DataFrame, size: int = SIZE, overlap: int = OVERLAP, spans: Call
         tokens = docs.withColumn("__t", F.regexp_extract_all(F.col("text"), F.lit(r"\s*\S+"), F.lit(0)))
     else:
         tokens = docs.withColumn("__t", spans(F.col("text")))
-    rows = tokens.withColumn("__n", windows(F.size("__t"), size, overlap)).where("__n > 0").withColumn("ordinal", F.explode(F.sequence(F.lit(0), F.col("__n") - 1)))
-    rows = rows.withColumn("__part", F.slice("__t", F.col("ordinal") * stride + 1, F.lit(size)))
-    if spans is None:
-        body = F.array_join("__part", "")
-    else:
-        start, end = F.element_at("__part", 1)["start"], F.element_at("__part", -1)["end"]
-        body = F.substr(F.col("text"), start + 1, end - start)
-    rows = rows.withColumn("__body", text.stripped(body)).where("__body <> ''")
+    tokens = tokens.withColumn("__n", windows(F.size("__t"), size, overlap)).where("__n > 0")
+
+    def window(k: Column) -> Column:
+        part = F.slice("__t", k * stride + 1, F.lit(size))
+        if spans is None:
+            body = F.array_join(part, "")
+        else:
+            start, end = F.element_at(part, 1)["start"], F.element_at(part, -1)["end"]
+            body = F.substr(F.col("text"), start + 1, end - start)
+        return F.struct(k.alias("ordinal"), body.alias("body"), F.size(part).alias("n_tokens"))
+
+    # a text's windows are made before they are dealt to rows, so no row but the text's own carries all its tokens
+    rows = tokens.withColumn("__w", F.explode(F.transform(F.sequence(F.lit(0), F.col("__n") - 1), window))).drop("__t")
+    rows = rows.withColumns({"ordinal": F.col("__w.ordinal"), "__body": text.stripped(F.col("__w.body"))}).where("__body <> ''")
     prefix = F.when(F.coalesce("head", F.lit("")) != "", F.concat("head", F.lit("\n\n"))).otherwise(F.lit(""))
     return rows.select(
         F.concat_ws(":", "volume_id", "document_id", "ordinal").alias("chunk_id"), "volume_id", "document_id", "ordinal", F.col("__n").alias("n_chunks_in_doc"), "subtype", "head", "date_from", "date_to",
-        *(c for c in ("doc_number", "persons") if c in docs.columns), F.concat(prefix, "__body").alias("text"), F.size("__part").alias("n_tokens"),
+        *(c for c in ("doc_number", "persons") if c in docs.columns), F.concat(prefix, "__body").alias("text"), F.col("__w.n_tokens").alias("n_tokens"),
     )
 
 

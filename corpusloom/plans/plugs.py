@@ -8,6 +8,8 @@ from typing import Protocol
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -82,16 +84,28 @@ def hashed_encoder(dim: int = 16) -> Callable[[], Callable[[list[str]], np.ndarr
     return make
 
 
-def tokenizer_spans(path: str) -> Callable[[Column], Column]:
-    """Character spans of a tokenizer file's tokens, for chunks (X-4)."""
+def tokenizer_spans(path: str, at_once: int = 1 << 20) -> Callable[[Column], Column]:
+    """Character spans of a tokenizer file's tokens, for chunks (X-4). A task holds the tokens of some `at_once` characters and of one text, as
+    numbers in Arrow's columns."""
 
-    @F.pandas_udf("array<struct<start: int, end: int>>")
-    def spans(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf("array<struct<start: int, end: int>>")
+    def spans(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         from tokenizers import Tokenizer
 
         tool = Tokenizer.from_file(path)
+
+        def made(texts: pa.Array) -> pa.Array:
+            found = [np.array(x.offsets, np.int32).reshape(-1, 2) for x in tool.encode_batch([t or "" for t in texts.to_pylist()], add_special_tokens=False)]
+            start, end = np.ascontiguousarray(np.concatenate(found).T)
+            ends = np.cumsum([0, *map(len, found)]).astype(np.int32)
+            return pa.ListArray.from_arrays(pa.array(ends), pa.StructArray.from_arrays([pa.array(start), pa.array(end)], ["start", "end"]))
+
         for texts in batches:
-            yield pd.Series([[{"start": a, "end": b} for a, b in x.offsets] for x in tool.encode_batch(texts.fillna("").tolist(), add_special_tokens=False)])
+            part = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False)) // at_once
+            cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), len(texts)]
+            made_of = [made(texts.slice(a, b - a)) for a, b in zip(cuts[:-1], cuts[1:], strict=True) if b > a]
+            if made_of:
+                yield pa.concat_arrays(made_of)
 
     return spans
 

@@ -42,3 +42,17 @@ def test_a_status_needs_no_index(spark, data, monkeypatch):
 
     monkeypatch.setattr(inputs, "index", never)
     assert catalog_rank.Q["n3_status"][0](spark, data).count() > 0
+
+
+def test_spans_of_few_texts_at_a_time(spark):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    from corpusloom.plans import plugs
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    texts = ["", None, "one two", "ñandú é", "a" * 40, "", "three"]
+    df = spark.createDataFrame(list(enumerate(texts)), "id long, text string").coalesce(1)
+    got = df.select("id", plugs.tokenizer_spans(path, 10)(F.col("text")).alias("s")).orderBy("id").collect()
+    tool = Tokenizer.from_file(path)
+    assert [[tuple(x) for x in r.s] for r in got] == [tool.encode(t or "", add_special_tokens=False).offsets for t in texts]
