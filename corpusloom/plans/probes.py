@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.functions import text
 from corpusloom.operators import corpus, evaluate, select
+from corpusloom.sources import tables
 
 #: Countries as titles name them, and in Chinese.
 COUNTRIES = [
@@ -112,6 +113,7 @@ def verification_pairs(passages: DataFrame, n: int = 20, seed: int = 11) -> Data
     to another one, which doesn't: pair, claim, id, supports."""
     usable = passages.withColumn("s", F.filter(text.sentences(F.col("text")), lambda x: F.length(x).between(61, 319))).where(F.size("s") >= 2)
     some = select.seeded_sample(usable, "id", 2 * n, seed).select("id", F.get("s", F.lit(0)).alias("claim"))
+    some = tables.kept(some, "sampled")  # 2 n rows, whose pass over all sentences is not run again for each use
     placed = some.withColumn("k", F.row_number().over(Window.partitionBy(F.lit(1)).orderBy(F.md5(F.concat_ws(":", F.lit(str(seed)), "id")), "id")) - 1)  # 2 n rows
     other = placed.select((F.col("k") - n).alias("k"), F.col("id").alias("other"))
     own = placed.where(F.col("k") < n)
