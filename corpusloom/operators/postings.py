@@ -28,6 +28,8 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from corpusloom.functions import text
 from corpusloom.sources import tables
@@ -37,6 +39,8 @@ SPAN = 1024  # documents of a span, a power of two
 BUCKET_DOCS, MOST_BUCKETS = 20_000, 4096  # documents for each bucket, were there no limit
 SLAB_DOCS = 1 << 20  # documents whose blocks of a bucket are sorted by one task
 LEAD = 8  # spans that give a query's threshold
+TOGETHER = 4096  # queries that a span is scored for in one group
+PICKED = 100_000  # pairs of term and span that pick blocks before the shuffle
 PUSHED = 5_000  # terms that are pushed to the scan as a list; beyond it the buckets are
 
 
@@ -152,7 +156,7 @@ def of_terms(index: Index, terms: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 @dataclass(frozen=True)
 class Pruned:
-    """The steps of a pruned ranking: spans (query_id, span, terms, bound, place by bound) that have any of a query's terms, the hits in
+    """The steps of a pruned ranking: spans (query_id, span, terms, bound, place by bound) that have any of a query's terms, the best hits in
     the first of them, and the other spans that may matter."""
 
     spans: DataFrame
@@ -161,35 +165,86 @@ class Pruned:
     scored: Callable[[DataFrame], DataFrame]
 
 
+def _span_hits(limit: int | None, k1: float, b: float, avgdl: float, schema: pa.Schema):
+    """Of one span its blocks (term, ids, tfs, dls) and what is asked of it (query_id, terms, threshold), to (query_id, id, score): for each query the hits
+    that reach its threshold, the best `limit` if that is given. Holds one number a document of the span and the span's own postings."""
+
+    def run(blocks: pa.Table, asked: pa.Table) -> pa.Table:
+        if not blocks.num_rows or not asked.num_rows:
+            return schema.empty_table()
+        at = {t: k for k, t in enumerate(blocks["term"].to_pylist())}
+        flat = lambda c: (lambda x: (x.flatten(), x.offsets.to_numpy()))(blocks[c].combine_chunks())
+        ids, cuts = flat("ids")
+        cuts = cuts - cuts[0]
+        tf, dl = (flat(c)[0].to_numpy(zero_copy_only=False).astype(np.float64) for c in ("tfs", "dls"))
+        part = tf * (k1 + 1) / (tf + k1 * (1 - b + b * dl / avgdl))
+        docs = pc.unique(ids)
+        docs = docs.take(pc.sort_indices(docs))  # places are in the order of ids, which settles ties
+        place = pc.index_in(ids, value_set=docs).to_numpy(zero_copy_only=False)
+        rows, where, scores = [], [], []
+        for k, (terms, threshold) in enumerate(zip(asked["terms"].to_pylist(), asked["threshold"].to_pylist(), strict=True)):
+            total, hit = np.zeros(len(docs)), np.zeros(len(docs), bool)
+            for term in sorted(terms, key=lambda x: x["term"]):
+                if (i := at.get(term["term"])) is not None:
+                    mine = place[cuts[i] : cuts[i + 1]]
+                    total += np.bincount(mine, term["idf"] * part[cuts[i] : cuts[i + 1]], len(docs))
+                    hit[mine] = True
+            near = np.round(total, 6)
+            some = np.flatnonzero(hit & (near >= threshold))
+            if limit is not None and len(some) > limit:
+                some = some[np.lexsort((some, -near[some]))[:limit]]
+            rows.append(np.full(len(some), k))
+            where.append(some)
+            scores.append(near[some])
+        return pa.Table.from_arrays([asked["query_id"].take(pa.array(np.concatenate(rows))), docs.take(pa.array(np.concatenate(where))), pa.array(np.concatenate(scores))], schema=schema)
+
+    return run
+
+
 def pruned(queries: DataFrame, index: Index, limit: int, allowed: DataFrame | None = None, k1: float = K1, b: float = B) -> Pruned:
-    """What the steps share is written, some tens of bytes for each query and span and the leading hits, so no step runs twice."""
+    """What the steps share is written, some tens of bytes for each query and span and the leading hits, so no step runs twice. A span is scored
+    where all its blocks are: these are shuffled, once for all queries, and of what they hold only hits that may be ranked leave the task."""
     terms = queries.select("query_id", F.explode(F.array_distinct(text.tokens(text.query_text(F.col("query"))))).alias("term"))
+    each = allowed is not None and "query_id" in allowed.columns
+    if each:  # a query that nothing is allowed to has no hits
+        terms = terms.join(allowed.select("query_id").distinct(), "query_id", "left_semi")
+    terms = tables.kept(terms, "terms")
+    parts = max(1, math.ceil(terms.select("query_id").distinct().count() / TOGETHER))
     blocks, frequencies = of_terms(index, terms)
     idf = F.ln(1 + (F.lit(index.n) - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    weighed = terms.join(frequencies.select("term", "df"), "term").select("query_id", "term", idf.alias("idf"))
+    weighed = tables.kept(terms.join(frequencies.select("term", "df"), "term").select("query_id", "term", idf.alias("idf")), "weighed")
 
     def part(tf: str, dl: str) -> Column:
         return F.col("idf") * F.col(tf) * (k1 + 1) / (F.col(tf) + k1 * (1 - b + b * F.col(dl) / F.lit(index.avgdl)))
 
     def scored(spans: DataFrame) -> DataFrame:
-        hits = spans.select("query_id", "span", F.inline("terms")).join(blocks.select("term", "span", "postings"), ["term", "span"]).select("query_id", "idf", F.inline("postings"))
-        if allowed is not None:
-            on = ["query_id", "id"] if "query_id" in allowed.columns else ["id"]
-            hits = hits.join(allowed.select(*on), on, "left_semi")
-        return hits.groupBy("query_id", "id").agg(F.round(F.sum(part("tf", "dl")), 6).alias("score"))
+        """Hits of spans (query_id, span, terms, threshold), which are written: few pairs of term and span pick the blocks before these move."""
+        pairs = spans.select("span", F.explode("terms.term").alias("term"))
+        held = blocks.select("span", "term", F.col("postings.id").alias("ids"), F.col("postings.tf").cast("array<int>").alias("tfs"), F.col("postings.dl").cast("array<int>").alias("dls"))
+        if (spans.select(F.sum(F.size("terms"))).first()[0] or 0) <= PICKED:
+            held = held.join(F.broadcast(pairs.distinct()), ["span", "term"], "left_semi")
+        held = held.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))) if parts > 1 else F.lit(0))
+        asked = spans.select("span", F.pmod(F.xxhash64("query_id"), F.lit(parts)).cast("int").alias("part"), "query_id", "terms", "threshold")
+        types = {"query_id": asked.schema["query_id"].dataType, "id": held.schema["ids"].dataType.elementType, "score": T.DoubleType()}
+        schema = pa.schema([(n, to_arrow_type(t)) for n, t in types.items()])
+        run = _span_hits(limit if allowed is None else None, k1, b, index.avgdl, schema)
+        hits = held.groupBy("span", "part").cogroup(asked.groupBy("span", "part")).applyInArrow(run, T.StructType([T.StructField(n, t) for n, t in types.items()]))
+        return hits if allowed is None else hits.join(allowed.select(*(["query_id", "id"] if each else ["id"])), ["query_id", "id"] if each else ["id"], "left_semi")
 
     bounds = weighed.join(blocks.select("term", "span", "top_tf", "least_dl"), "term")
     spans = bounds.groupBy("query_id", "span").agg(F.sum(part("top_tf", "least_dl")).alias("bound"), F.collect_list(F.struct("term", "idf")).alias("terms"))
     most = Window.partitionBy("query_id").orderBy(F.col("bound").desc(), "span")
     spans = tables.kept(spans.withColumn("place", F.row_number().over(most)), "spans")
-    first = tables.kept(scored(spans.where(F.col("place") <= LEAD)), "lead")
-    threshold = ranked(first, limit).where(F.col("rank") == limit).select("query_id", F.col("score").alias("threshold"))
-    others = spans.where(F.col("place") > LEAD).join(threshold, "query_id", "left").where(F.col("bound") + 1e-6 >= F.coalesce("threshold", F.lit(0.0)))
-    return Pruned(spans, first, tables.kept(others.drop("threshold"), "others"), scored)
+    lead = tables.kept(spans.where(F.col("place") <= LEAD).withColumn("threshold", F.lit(0.0)), "leading")
+    first = tables.kept(ranked(scored(lead), limit), "lead")
+    threshold = first.where(F.col("rank") == limit).select("query_id", F.col("score").alias("threshold"))
+    others = spans.where(F.col("place") > LEAD).join(threshold, "query_id", "left").withColumn("threshold", F.coalesce("threshold", F.lit(0.0)))
+    return Pruned(spans, first.drop("rank"), tables.kept(others.where(F.col("bound") + 1e-6 >= F.col("threshold")), "others"), scored)
 
 
 def bm25(queries: DataFrame, index: Index, limit: int = 50, allowed: DataFrame | None = None, k1: float = K1, b: float = B) -> DataFrame:
     """(query_id, id, score, rank) of documents with any of a query's terms (R-2, R-3). queries: query_id, query.
-    allowed: ids that may be ranked, for all queries or, with a query_id, for each. A query without terms has no rows."""
+    allowed: ids that may be ranked, for all queries or, with a query_id, for each. A query without terms has no rows. Hits are written: what
+    they are joined with may be as large as the texts, which stay where they are if the hits are known to be few."""
     p = pruned(queries, index, limit, allowed, k1, b)
-    return ranked(p.first.union(p.scored(p.others)), limit)
+    return tables.kept(ranked(p.first.union(p.scored(p.others)), limit), "hits")

@@ -118,3 +118,20 @@ def test_spans_and_slabs(spark, tmp_path, monkeypatch):
     assert {r.term: (r.df, r.n) for r in p.read_vocabulary(index).collect()} == {w: (sum(w in b for b in bags.values()), k) for w, k in sum(bags.values(), Counter()).items()}
     assert max(len([r for r in rows]) for rows in [index.blocks.where(f"bucket = {k}").select(F.input_file_name()).distinct().collect() for k in range(index.buckets)]) > 1
     assert rows(p.bm25(spark.createDataFrame(QUERIES, "query_id long, query string"), index, 5)) == plain(docs, QUERIES, 5)
+
+
+@pytest.mark.parametrize("together, picked", [(2, 0), (3, 10**6)])
+def test_only_the_best_of_a_span_leave_it(spark, made, monkeypatch, together, picked):
+    """Spans are scored where their blocks are, for some queries at a time, and hits that can't be ranked aren't shuffled."""
+    docs, at = made
+    monkeypatch.setattr(p, "TOGETHER", together)
+    monkeypatch.setattr(p, "PICKED", picked)
+    queries = spark.createDataFrame(QUERIES, "query_id long, query string")
+    index = p.read_index(spark, at)
+    step = p.pruned(queries, index, 5)
+    assert step.first.groupBy("query_id").count().where("count > 5").count() == 0
+    n = step.others.count()
+    assert n and step.scored(step.others).count() <= 5 * n
+    assert rows(p.bm25(queries, index, 5)) == plain(docs, QUERIES, 5)
+    each = spark.createDataFrame([(2, 3), (2, 10**6 + 2), (5, 9)], "query_id long, id long")
+    assert rows(p.bm25(queries, index, 5, each)) == plain(docs, QUERIES, 5, lambda q, i: (q, i) in {(2, 3), (2, 10**6 + 2), (5, 9)})
