@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusloom.functions import text
+from corpusloom.sources import tables
 
 
 @dataclass(frozen=True)
@@ -89,15 +90,20 @@ def containing(df: DataFrame, terms: DataFrame, id_col: str, body: str = "text")
     first, last = F.get(parts, F.lit(0)), F.element_at(parts, -1)
     how = F.when(longest != "", "whole").when(F.size(parts) == 1, "within").when(F.length(first) >= F.length(last), "end").otherwise("start")
     keyed = terms.withColumn("__how", how).withColumn("__part", F.when(F.col("__how") == "whole", longest).when(F.col("__how") == "start", last).otherwise(first))
+    keyed = tables.kept(keyed.withColumn("__n", F.monotonically_increasing_id()), "terms")  # numbers stand for terms in what is joined below
+    own = [*terms.columns]
+    hows = {r[0] for r in keyed.select(F.when(F.col("__part") == "", "blank").otherwise(F.col("__how"))).distinct().collect()}  # five at most
     words = df.select(F.col(id_col).alias("__id"), F.explode(F.array_distinct(F.split(body, r"\s+"))).alias("__word"))
-    part, word, mode = F.col("__part"), F.col("__word"), F.col("__how")
-    fits = F.when(mode == "within", F.contains(word, part)).when(mode == "end", F.endswith(word, part)).otherwise(F.startswith(word, part))
-    short = words.select("__word").distinct().join(keyed.where("__how <> 'whole' and __part <> ''"), fits)
-    by_word = keyed.where("__how = 'whole'").withColumn("__word", part).unionByName(short).drop("__how", "__part")
-    own = [c for c in by_word.columns if c != "__word"]
-    pairs = words.join(by_word, "__word").select("__id", *own).distinct()
-    found = df.join(pairs, F.col(id_col) == F.col("__id")).drop("__id").where(F.contains(F.col(body), F.col("term")))
-    return found.unionByName(df.join(keyed.where("__part = ''").drop("__how", "__part"), F.contains(F.col(body), F.col("term"))))
+    pairs = words.join(keyed.where("__how = 'whole'").select(F.col("__part").alias("__word"), "__n"), "__word").select("__id", "__n")
+    if hows & {"within", "start", "end"}:  # only then are the corpus's different words asked for
+        part, word, mode = F.col("__part"), F.col("__word"), F.col("__how")
+        fits = F.when(mode == "within", F.contains(word, part)).when(mode == "end", F.endswith(word, part)).otherwise(F.startswith(word, part))
+        short = tables.kept(words.select("__word").distinct().join(keyed.where("__how <> 'whole' and __part <> ''"), fits).select("__word", "__n"), "words")
+        pairs = pairs.unionByName(words.join(short, "__word").select("__id", "__n"))
+    pairs = tables.kept(pairs, "pairs").distinct()  # their size is known, so few of them don't move the texts
+    texts = df.join(pairs, F.col(id_col) == F.col("__id")).drop("__id")
+    found = texts.join(keyed.select("__n", *own), "__n").drop("__n").where(F.contains(F.col(body), F.col("term"))).select(*df.columns, *own)
+    return found.unionByName(df.join(keyed.where("__part = ''").select(*own), F.contains(F.col(body), F.col("term")))) if "blank" in hows else found
 
 
 def first_chunks(chunks: DataFrame) -> DataFrame:
