@@ -10,6 +10,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -44,10 +45,24 @@ def _blocks(size: int):
     return run
 
 
-def _products(limit: int):
-    """For pairs of blocks (ids, matrix, q_ids, q_matrix, dim): the best `limit` of the block for each query."""
+def _best(rows: pa.Table, limit: int) -> pa.Table:
+    """The best `limit` rows of each query, by scores at 6 decimals, then by id."""
+    rows = rows.combine_chunks()
+    near = pa.array(np.round(rows["score"].to_numpy(), 6))
+    order = pc.sort_indices(pa.table({"q": rows["query_id"], "near": near, "id": rows["id"]}), [("q", "ascending"), ("near", "descending"), ("id", "ascending")])
+    q = pc.index_in(rows["query_id"], value_set=pc.unique(rows["query_id"])).to_numpy()[order.to_numpy()]
+    first = np.flatnonzero(np.concatenate(([True], q[1:] != q[:-1])))
+    nth = np.arange(len(q)) - np.repeat(first, np.diff(np.append(first, len(q))))
+    return rows.take(order.filter(pa.array(nth < limit)))
+
+
+def _products(limit: int, most: int = 1 << 20):
+    """For pairs of blocks (ids, matrix, q_ids, q_matrix, dim): the best `limit` of all blocks of a task for each query. Some more than `most` rows
+    are held at a time: what is best so far, which is let go when it alone is half of that."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.Table] = []
+        count = 0
         for batch in batches:
             for k in range(batch.num_rows):
                 dim = batch.column("dim")[k].as_py()
@@ -57,25 +72,30 @@ def _products(limit: int):
                 near = np.round(scores, 6)
                 best = np.partition(near, -limit, axis=1)[:, -limit] if len(v) > limit else np.full(len(q), -2.0)
                 rows, cols = np.nonzero(near >= best[:, None])
-                if len(v) > limit:  # of equal scores at the end, those of least id
-                    rank = np.argsort(np.argsort(np.array(ids.to_pylist(), object), kind="stable"), kind="stable")
-                    order = np.lexsort((rank[cols], -near[rows, cols], rows))
-                    rows, cols = rows[order], cols[order]
-                    first = np.flatnonzero(np.concatenate(([True], rows[1:] != rows[:-1])))
-                    keep = np.arange(len(rows)) - np.repeat(first, np.diff(np.append(first, len(rows)))) < limit
-                    rows, cols = rows[keep], cols[keep]
-                yield pa.RecordBatch.from_arrays([q_ids.take(pa.array(rows)), ids.take(pa.array(cols)), pa.array(scores[rows, cols])], ["query_id", "id", "score"])
+                some = pa.table({"query_id": q_ids.take(pa.array(rows)), "id": ids.take(pa.array(cols)), "score": scores[rows, cols]})
+                held.append(some)
+                count += len(some)
+                if count > most:
+                    held = [_best(pa.concat_tables(held), limit)]
+                    count = len(held[0])
+                    if count > most // 2:
+                        yield from held[0].to_batches(max_chunksize=1 << 16)
+                        held, count = [], 0
+        if count:
+            yield from _best(pa.concat_tables(held), limit).to_batches(max_chunksize=1 << 16)
 
     return run
 
 
 def dense(queries: DataFrame, vectors: DataFrame, limit: int = 50, block: int = 4096, asked: int = 512) -> DataFrame:
     """Exact cosine ranking (R-6): every query against every vector, which is what a stated query set asks for, as matrix
-    products of blocks, each of which gives its best `limit` for each query. queries: query_id, q_vector; vectors: id, vector (null: not
-    embedded; neither null nor zero vectors rank)."""
+    products of blocks; a task gives the best `limit` of its vectors for each query. queries: query_id, q_vector; vectors: id, vector (null: not
+    embedded; neither null nor zero vectors rank). The queries' blocks are written, so that their size is known: where it is small they go to
+    the vectors."""
     kind = lambda df, c: df.schema[c].dataType.simpleString()
     q_type, v_type = kind(queries, "query_id"), kind(vectors, "id")
     q = queries.where("q_vector is not null").select("query_id", "q_vector").mapInArrow(_blocks(asked), f"ids array<{q_type}>, matrix binary, dim int")
+    q = tables.kept(q, "asked")
     v = vectors.where("vector is not null").select("id", "vector").mapInArrow(_blocks(block), f"ids array<{v_type}>, matrix binary, dim int")
     pairs = v.crossJoin(q.select(F.col("ids").alias("q_ids"), F.col("matrix").alias("q_matrix"), F.col("dim").alias("q_dim"))).where("dim = q_dim")
     best = pairs.select("ids", "matrix", "q_ids", "q_matrix", "dim").mapInArrow(_products(limit), f"query_id {q_type}, id {v_type}, score double")
@@ -114,7 +134,9 @@ def rerank(hits: DataFrame, passages: DataFrame, queries: DataFrame, top_k: int,
         place = F.row_number().over(Window.partitionBy("query_id").orderBy("rank"))
         return hits.withColumn("rerank_score", F.lit(None).cast("double")).withColumn("rank_rerank", place).where(F.col("rank_rerank") <= top_k).withColumn("rank_rerank", F.lit(None).cast("long"))
     n = F.count("*").over(Window.partitionBy("query_id"))
-    rows = hits.withColumn("__n", n).join(passages.select("id", F.substring("text", 1, cut).alias("__text")), "id", "left").join(queries.select("query_id", F.col("query").alias("__query")), "query_id")
+    hits = tables.kept(hits, "hits")  # few, and known to be, so texts that nobody asks for don't move
+    texts = passages.select("id", F.substring("text", 1, cut).alias("__text")).join(hits.select("id").distinct(), "id", "left_semi")
+    rows = hits.withColumn("__n", n).join(texts, "id", "left").join(queries.select("query_id", F.col("query").alias("__query")), "query_id")
     score = scorer(F.col("__query"), F.coalesce("__text", F.lit("")))
     rows = rows.withColumn("rerank_score", F.when((F.col("__n") > 1) & (F.col("__n") > top_k), score))
     order = Window.partitionBy("query_id").orderBy(F.col("rerank_score").desc_nulls_last(), "rank")
