@@ -145,7 +145,7 @@ def ask(questions: DataFrame, dispatcher: dispatch.Dispatcher, generate: Callabl
     if neighbours:
         merged = dispatch.expanded(merged, dispatcher.passages)
     about = dispatcher.passages.select("id", "volume_id", "document_id", "subtype", "text")
-    evidence = merged.join(about, "id")
+    evidence = tables.kept(merged, "merged").join(about, "id")  # few, and known to be: the texts don't move
     evidence = tables.kept((dispatch.focused(evidence, questions, scorer) if focus else evidence).withColumn("document", F.concat_ws(":", "volume_id", "document_id")), "evidence")
     accepted = select.select_evidence(evidence, floor).where("kept").drop("kept") if system.grades else evidence
     claims, window = synthesis(questions, accepted, generate, scorer)

@@ -89,7 +89,7 @@ class Dispatcher:
         hits = hits.join(asked.select("key", "route", "k"), "key").where(F.col("rank") <= F.col("k")).select("key", "id", "score", "rank", tool.alias("tool"), "relaxed")
         every = hits.unionByName(looked_up.withColumn("relaxed", F.lit(False)))
         about = self.passages.select("id", "volume_id", "document_id", "ordinal", "subtype", "date_from", "text")
-        out = every.join(hops.select("key", "query_id", "hop"), "key").join(about, "id")
+        out = tables.kept(every.join(hops.select("key", "query_id", "hop"), "key"), "hits").join(about, "id")  # few, and known to be: the texts don't move
         dated = Window.partitionBy("key").orderBy(F.coalesce(F.nullif("date_from", F.lit("")), F.lit("9999")), "id")
         rank = F.when(F.col("tool") == "timeline_search", F.row_number().over(dated)).otherwise(F.col("rank")).cast("long")
         return out.withColumn("rank", rank).select("query_id", "hop", "id", "score", "rank", "tool", "relaxed", "volume_id", "document_id", "ordinal", "subtype", "date_from", "text")
@@ -100,7 +100,8 @@ def reranked(merged: DataFrame, hops: DataFrame, questions: DataFrame, passages:
     against the question itself (R-11)."""
     several = hops.groupBy("query_id").agg((F.count_distinct("hop") > 1).alias("several"))
     rows = merged.withColumn("n", F.count("*").over(Window.partitionBy("query_id"))).join(several, "query_id").withColumn("turn", F.col("several") & (F.col("n") > top_k))
-    said = rows.where("turn").join(questions.select("query_id", "question"), "query_id").join(passages.select("id", "text"), "id")
+    rows = tables.kept(rows, "merged")
+    said = tables.kept(rows.where("turn").join(questions.select("query_id", "question"), "query_id"), "said").join(passages.select("id", "text"), "id")
     said = said.withColumn("score", scorer(F.col("question"), F.substring("text", 1, 1800)))
     best = F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("score").desc(), "position")).cast("long")
     said = said.withColumn("position", best).where(F.col("position") <= union)
