@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusloom.functions import text
+from corpusloom.sources import tables
 
 CITABLE = ("historical-document",)
 
@@ -13,7 +14,9 @@ CITABLE = ("historical-document",)
 def cited(claims: DataFrame, evidence: DataFrame, accepted: DataFrame | None, manifest: DataFrame) -> DataFrame:
     """A row for each id of each claim with `refusal`, null if the id is good (JN-J, N-8). claims: query_id, claim, ids;
     evidence: query_id, id, volume_id, subtype; accepted: query_id, id, or None if all that was retrieved counts;
-    manifest: volume_id, status, not asked if empty. The first reason that holds is given."""
+    manifest: volume_id, status, not asked if empty. The first reason that holds is given. The manifest is often grouped from all documents: it is
+    written, once, so that it is known to be small and the ids don't move to meet it, by volume or all those without one together."""
+    manifest = tables.kept(manifest.select("volume_id", "status").distinct(), "manifest")
     rows = claims.select("query_id", "claim", F.explode("ids").alias("id"))
     got = evidence.select("query_id", "id", "volume_id", "subtype", F.lit(True).alias("__got")).dropDuplicates(["query_id", "id"])
     rows = rows.join(got, ["query_id", "id"], "left")
@@ -22,7 +25,7 @@ def cited(claims: DataFrame, evidence: DataFrame, accepted: DataFrame | None, ma
     else:
         rows = rows.join(accepted.select("query_id", "id", F.lit(True).alias("__accepted")).distinct(), ["query_id", "id"], "left")
     known = manifest.agg((F.count("*") > 0).alias("__known"))
-    rows = rows.join(manifest.select("volume_id", "status").distinct(), "volume_id", "left").crossJoin(known)
+    rows = rows.join(manifest, "volume_id", "left").crossJoin(known)
     reason = (
         F.when(~text.is_chunk_id(F.col("id")), "malformed")
         .when(F.col("__got").isNull(), "not retrieved")

@@ -277,9 +277,11 @@ ck AS (SELECT ci.query_id, claim, ci.id, CASE WHEN NOT regexp_matches(ci.id, '^[
 FROM ci LEFT JOIN ev ON ev.query_id = ci.query_id AND ev.cid = ci.id LEFT JOIN manifest m ON m.volume_id = ev.volume_id)"""
 
 
-def gate_inputs(s, d):
-    ev = body_hits(s, d, 10).join(docs(s, d).select(F.col("doc_id").alias("id"), "volume_id", "document_id", "subtype", "head"), "id")
-    ev = ev.select("query_id", F.expr(_CITED).alias("cid"), "volume_id", "document_id", "subtype", "head", "rank")
+def gate_inputs(s, d, *more):
+    """Claims, evidence (with more columns of its documents, if any) and what the gate says of each id. The evidence is written: few rows, and known to
+    be, so the claims don't move to meet them."""
+    ev = body_hits(s, d, 10).join(docs(s, d).select(F.col("doc_id").alias("id"), "volume_id", "document_id", "subtype", *more), "id")
+    ev = tables.kept(ev.select("query_id", F.expr(_CITED).alias("cid"), "volume_id", "document_id", "subtype", *more, "rank"), "evidence")
     k = F.col("claim") + F.col("rank")
     ids = F.when(k % 7 == 0, "bad id").when(k % 5 == 0, F.concat(F.lit("x:"), "cid")).when(k % 4 == 0, "src99:d1:0").otherwise(F.col("cid"))
     some = claims(s, d).join(ev.where("rank <= 4"), "query_id").where("claim % 9 <> 0").groupBy("query_id", "claim").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", ids.alias("i")))), lambda x: x["i"]).alias("ids"))
@@ -315,7 +317,7 @@ def _(s, d):
 @query("w9_citation_lines", SQL_GATE + """, o AS (SELECT ev.query_id, ev.cid, ev.volume_id, docs.document_id, docs.head FROM ev JOIN docs ON docs.doc_id = ev.doc QUALIFY row_number() OVER (PARTITION BY ev.query_id, ev.volume_id, docs.document_id ORDER BY ev.cid) = 1),
 n AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY volume_id, document_id) AS number FROM o) SELECT query_id, number, concat('[', CAST(number AS STRING), '] ', head, ' (', volume_id, ', ', document_id, ') ', 'https://example.org/', volume_id, '/', document_id) AS line FROM n""")
 def _(s, d):
-    return cite.citation_lines(gate_inputs(s, d)[1], "https://example.org").select("query_id", "number", "line")
+    return cite.citation_lines(gate_inputs(s, d, "head")[1], "https://example.org").select("query_id", "number", "line")
 
 
 @query("n11_n14_answers", SQL_GATE + """, g AS (SELECT query_id, claim, count(*) FILTER (WHERE refusal IS NULL) AS good FROM ck GROUP BY query_id, claim), p AS (SELECT c.query_id, count(*) AS n_claims, count(*) FILTER (WHERE coalesce(good, 0) = 0) AS n_uncited, count(*) FILTER (WHERE regexp_matches(text, 'https?://')) AS n_urls FROM claims c LEFT JOIN g ON g.query_id = c.query_id AND g.claim = c.claim GROUP BY c.query_id),

@@ -1,12 +1,15 @@
 """What leaves a task or moves in a join stays small: texts and words stay where they are, blocks give one best list a task."""
 
+import shutil
+
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pytest
 from pyspark.sql import functions as F
 
 from corpusloom.operators import filters, retrieval
-from corpusloom.plans import catalog_rank
+from corpusloom.plans import catalog_rank, inputs
 
 
 def test_terms_of_many_words_need_no_vocabulary(spark):
@@ -38,3 +41,53 @@ def test_texts_of_hits_alone_are_joined(spark, data):
     assert "LeftSemi" in rows._jdf.queryExecution().executedPlan().toString()
     found = catalog_rank.dispatcher(spark, data)(catalog_rank.route_hops(spark, data))
     assert any("/hits-" in f for f in found.inputFiles()) and found.where(F.col("text").isNotNull()).count() == found.count() > 0
+
+
+@pytest.fixture(scope="module")
+def copies(data, tmp_path_factory):
+    """The tables, and the tables with their documents eight times, in one file: as many words and queries, eight times the postings."""
+    import pyarrow.parquet as pq
+
+    out = {}
+    for n in (1, 8):
+        out[n] = str(shutil.copytree(data, tmp_path_factory.mktemp("copies") / str(n), copy_function=shutil.copyfile))
+        rows = pq.read_table(f"{data}/documents.parquet")
+        ids = rows.schema.get_field_index("doc_id")
+        pq.write_table(pa.concat_tables([rows.set_column(ids, rows.schema.field(ids), pc.add(rows["doc_id"], k * 1_000_000).cast(rows.schema.field(ids).type)) for k in range(n)]), f"{out[n]}/documents.parquet")
+    return out
+
+
+def shuffled(spark, run):
+    """Records that a run shuffles, by Spark's own count of its stages."""
+    store, bus = spark.sparkContext._jsc.sc().statusStore(), spark.sparkContext._jsc.sc().listenerBus()
+
+    def stages():
+        bus.waitUntilEmpty(60_000)
+        some = store.stageList(None, False, False, spark.sparkContext._gateway.new_array(spark.sparkContext._jvm.double, 0), None)
+        return {(x.stageId(), x.attemptId()): x.shuffleWriteRecords() for x in (some.apply(k) for k in range(some.size()))}
+
+    known = stages()
+    run()
+    return sum(n for stage, n in stages().items() if stage > max(known))
+
+
+@pytest.mark.parametrize("name", ["w6_synthesis_window", "n13_b0_2step", "n13_b1", "u2_documents", "n13_b2_corrections", "w3_select_evidence", "n4_graded_by_model", "n9_repair", "u5_jaccard"])
+def test_searches_do_not_shuffle_postings_apart(spark, copies, name):
+    """Eight times the documents in the same spans: lists get longer, what is shuffled doesn't get more."""
+    rows = {}
+    for n, d in copies.items():
+        inputs.index(spark, d, "text"), inputs.index(spark, d, "head")
+        rows[n] = shuffled(spark, lambda d=d: catalog_rank.Q[name][0](spark, d).collect())
+    assert 0 < rows[8] < 2 * rows[1]
+
+
+def test_claims_do_not_move_to_meet_evidence(spark, data):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "64k")
+    try:
+        checked = catalog_rank.gate_inputs(spark, data)[2]
+        plan = checked._jdf.queryExecution().executedPlan().toString()
+        assert any("/evidence-" in f for f in checked.inputFiles())
+        assert not any("hashpartitioning(volume_id" in x for x in plan.splitlines())
+        assert "SortMergeJoin [query_id" not in plan and "SortMergeJoin [volume_id" not in plan
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
