@@ -110,7 +110,8 @@ def write_index(docs: DataFrame, path: str, field: str = "text", id_col: str = "
     postings = F.arrays_zip(F.col("ids").alias("id"), F.col("tfs").alias("tf"), F.col("dls").alias("dl")).cast(f"array<struct<id: {kind}, tf: bigint, dl: bigint>>")  # `span` of them at most
     long = lambda c: c.cast("long")
     blocks = dealt.select("term", "span", long(F.size("ids")).alias("n"), long(F.array_max("tfs")).alias("top_tf"), long(F.array_min("dls")).alias("least_dl"), postings.alias("postings"), "bucket")
-    blocks.write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/blocks")
+    # Ids don't fit in a dictionary page where documents are many: the second format then writes them as differences, not as eight bytes each.
+    blocks.write.mode("overwrite").option("parquet.writer.version", "v2").partitionBy("bucket").parquet(f"{path}/blocks")
     written = spark.read.schema(blocks.schema).parquet(f"{path}/blocks")
     frequencies = written.select("bucket", "term", "n").repartitionById(buckets, "bucket").groupBy("bucket", "term").agg(F.sum("n").alias("df"))
     frequencies.sortWithinPartitions("bucket", "term").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/frequencies")

@@ -135,3 +135,17 @@ def test_only_the_best_of_a_span_leave_it(spark, made, monkeypatch, together, pi
     assert rows(p.bm25(queries, index, 5)) == plain(docs, QUERIES, 5)
     each = spark.createDataFrame([(2, 3), (2, 10**6 + 2), (5, 9)], "query_id long, id long")
     assert rows(p.bm25(queries, index, 5, each)) == plain(docs, QUERIES, 5, lambda q, i: (q, i) in {(2, 3), (2, 10**6 + 2), (5, 9)})
+
+
+def test_ids_without_a_dictionary_are_differences(spark, tmp_path):
+    """Ids that are all different, as in a large index, take far less than their eight bytes, and are read as they were."""
+    import pyarrow.parquet as pq
+
+    docs = spark.createDataFrame([(7_000_000_000 + k * 3, f"w{k:06d}") for k in range(4000)], "doc_id long, text string").coalesce(1)
+    index = p.write_index(docs, str(tmp_path / "x"))
+    sizes = []
+    for f in (tmp_path / "x" / "blocks").rglob("*.parquet"):
+        m = pq.ParquetFile(f).metadata
+        sizes += [(c.total_uncompressed_size, c.num_values) for g in range(m.num_row_groups) for c in (m.row_group(g).column(k) for k in range(m.num_columns)) if c.path_in_schema.endswith("element.id")]
+    assert sum(n for _, n in sizes) == 4000 and sum(b for b, _ in sizes) < 4 * 4000
+    assert sorted((r.term, r.id) for r in index.postings.collect()) == [(f"w{k:06d}", 7_000_000_000 + k * 3) for k in range(4000)]
