@@ -41,8 +41,8 @@ def unnumbered(c: Column) -> Column:
 
 
 def stripped(c: Column) -> Column:
-    """Without white space at the ends."""
-    return F.regexp_replace(c, f"^[{SPACE}]+|[{SPACE}]+$", "")
+    """Without white space at the ends; each character is looked at once or twice, however long the white space inside."""
+    return F.regexp_extract(c, f"(?s)^[{SPACE}]*+(.*[^{SPACE}])", 1)
 
 
 def keywords(c: Column, n: int = 6) -> Column:

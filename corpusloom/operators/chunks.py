@@ -19,18 +19,16 @@ def windows(n, size: int = SIZE, overlap: int = OVERLAP):
     return F.when(n > 0, 1 + F.greatest(F.lit(0), F.ceil((n - size) / (size - overlap)))).otherwise(0).cast("int")
 
 
-def chunk(docs: DataFrame, size: int = SIZE, overlap: int = OVERLAP, spans: Callable[[Column], Column] | None = None) -> DataFrame:
+def chunk(
+    docs: DataFrame, size: int = SIZE, overlap: int = OVERLAP, spans: Callable[[Column], Column] | None = None, cut: Callable[[Column, int, int], Column] | None = None
+) -> DataFrame:
     """A row for each window of tokens (C-1): chunk_id, ordinal, n_chunks_in_doc, n_tokens (of the body), text (head and
     empty line, if there is a head, and the body), and those of the documents' doc_number and persons that they have. Tokens
     are what stands between white space, or what `spans` makes of the text: an array of structs of start and end, in characters from 0, the end
     excluded (X-4). The body is cut from the first token's start to the last one's end. A window whose body is blank gives no
-    row, but its ordinal is used up."""
+    row, but its ordinal is used up. `cut` gives the windows themselves (an array of structs of ordinal, body and n_tokens), so that tokens needn't
+    leave the function that makes them."""
     stride = size - overlap
-    if spans is None:
-        tokens = docs.withColumn("__t", F.regexp_extract_all(F.col("text"), F.lit(r"\s*\S+"), F.lit(0)))
-    else:
-        tokens = docs.withColumn("__t", spans(F.col("text")))
-    tokens = tokens.withColumn("__n", windows(F.size("__t"), size, overlap)).where("__n > 0")
 
     def window(k: Column) -> Column:
         part = F.slice("__t", k * stride + 1, F.lit(size))
@@ -41,9 +39,16 @@ def chunk(docs: DataFrame, size: int = SIZE, overlap: int = OVERLAP, spans: Call
             body = F.substr(F.col("text"), start + 1, end - start)
         return F.struct(k.alias("ordinal"), body.alias("body"), F.size(part).alias("n_tokens"))
 
-    # a text's windows are made before they are dealt to rows, so no row but the text's own carries all its tokens
-    rows = tokens.withColumn("__w", F.explode(F.transform(F.sequence(F.lit(0), F.col("__n") - 1), window))).drop("__t")
-    rows = rows.withColumns({"ordinal": F.col("__w.ordinal"), "__body": text.stripped(F.col("__w.body"))}).where("__body <> ''")
+    # A text's windows are made before they are dealt to rows, so no row but the text's own carries all its tokens. Texts without
+    # any go with the blank windows: a condition on the tokens would be moved to where they are made, and make them twice.
+    if cut is not None:
+        made = docs.withColumn("__ws", cut(F.col("text"), size, overlap)).withColumn("__n", F.size("__ws"))
+        rows = made.withColumn("__w", F.explode_outer("__ws")).drop("__ws")
+    else:
+        tokens = docs.withColumn("__t", F.regexp_extract_all(F.col("text"), F.lit(r"\s*\S+"), F.lit(0)) if spans is None else spans(F.col("text")))
+        tokens = tokens.withColumn("__n", windows(F.size("__t"), size, overlap))
+        rows = tokens.withColumn("__w", F.explode_outer(F.when(F.col("__n") > 0, F.transform(F.sequence(F.lit(0), F.col("__n") - 1), window)))).drop("__t")
+    rows = rows.where(F.col("__w.body").rlike(f"[^{text.SPACE}]")).withColumns({"ordinal": F.col("__w.ordinal"), "__body": text.stripped(F.col("__w.body"))})
     prefix = F.when(F.coalesce("head", F.lit("")) != "", F.concat("head", F.lit("\n\n"))).otherwise(F.lit(""))
     return rows.select(
         F.concat_ws(":", "volume_id", "document_id", "ordinal").alias("chunk_id"), "volume_id", "document_id", "ordinal", F.col("__n").alias("n_chunks_in_doc"), "subtype", "head", "date_from", "date_to",

@@ -179,7 +179,7 @@ def _(s, d):
 def _(s, d):
     import public_tokenizers
 
-    return chunks.chunk(docs(s, d), 512, 64, plugs.tokenizer_spans(public_tokenizers.path("byte_bpe_50k.json"))).select("chunk_id", "ordinal", "n_chunks_in_doc", "n_tokens", "text")
+    return chunks.chunk(docs(s, d), 512, 64, cut=plugs.tokenizer_windows(public_tokenizers.path("byte_bpe_50k.json"))).select("chunk_id", "ordinal", "n_chunks_in_doc", "n_tokens", "text")
 
 
 @query("x5_structured", "SELECT event_id, CASE event_id % 4 WHEN 0 THEN '{\"score\": 1}' WHEN 1 THEN '{\"score\": 2}' END AS answer, CASE WHEN event_id % 4 = 0 THEN 1 ELSE 2 END AS calls FROM events WHERE event_id % 4 < 3")

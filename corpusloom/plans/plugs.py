@@ -101,15 +101,40 @@ def tokenizer_spans(path: str, at_once: int = 1 << 20) -> Callable[[Column], Col
             return pa.ListArray.from_arrays(pa.array(ends), pa.StructArray.from_arrays([pa.array(start), pa.array(end)], ["start", "end"]))
 
         for texts in batches:
-            part = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False)) // at_once
-            cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), len(texts)]
-            made_of = [made(texts.slice(a, b - a)) for a, b in zip(cuts[:-1], cuts[1:], strict=True) if b > a]
+            made_of = [made(x) for x in _slices(texts, at_once)]
             if made_of:
                 yield pa.concat_arrays(made_of)
 
     return spans
 
 
+def _slices(texts: pa.Array, at_once: int) -> list[pa.Array]:
+    """Slices of some `at_once` bytes of text, or of one text."""
+    part = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False)) // at_once
+    cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), len(texts)]
+    return [texts.slice(a, b - a) for a, b in zip(cuts[:-1], cuts[1:], strict=True) if b > a]
+
+
+def tokenizer_windows(path: str, at_once: int = 1 << 20) -> Callable[[Column, int, int], Column]:
+    """Windows of a tokenizer file's tokens, for chunks (X-4): what `tokenizer_spans` and `chunk` cut, without the tokens of all texts."""
+
+    def windows(text: Column, size: int, overlap: int) -> Column:
+        if size <= overlap:
+            raise ValueError("the stride must be positive")
+
+        @F.arrow_udf("array<struct<ordinal: int, body: string, n_tokens: int>>")
+        def cut(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+            from corpusloom.functions.tokens import tokens
+
+            tool = tokens(path)
+            for texts in batches:
+                yield pa.concat_arrays([tool.windows(x, size, overlap) for x in _slices(texts, at_once) or [texts]])
+
+        return cut(text)
+
+    return windows
+
+
 def structured(make: Callable[[], Callable[[str], str]], check: Callable[[object], str | None], attempts: int = 2):
     """A column function prompt -> struct of answer (JSON that passes the check, else null) and calls (X-5). check gives what is wrong with a parsed
     answer, or None; the next prompt has it, and then the model is given up."""
